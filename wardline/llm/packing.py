@@ -8,7 +8,6 @@ smallest, then closes.
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterable, Iterator
 
@@ -23,7 +22,7 @@ from tokenizers import Tokenizer
 CAPACITY = 2048
 END = 0
 GROUP_ROWS = 20_000
-MEMO_WORDS = 1_000_000
+MEMO_WORDS = 200_000
 
 
 def place(sizes: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, np.ndarray]:
@@ -54,31 +53,47 @@ def place(sizes: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, np.n
 class WordIds:
     """Ids of texts, encoding each distinct word once.
 
-    The vocabulary's tokens never cross white space, nor the border between a letter and
-    a full stop or comma that ends a word, so words are looked up apart. Texts that may
-    hold special tokens are encoded whole.
+    The vocabulary's tokens never cross white space, so words are looked up apart. Texts
+    that may hold special tokens are encoded whole.
     """
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
-        # kept between the tasks of one Python worker
-        self.memo: dict[bytes, bytes] = vars(public_tokenizers).setdefault("_word_ids", {}).setdefault(path, {})
+        # kept between the tasks of one Python worker: words met lately, and those before
+        self.memo: list[dict[bytes, bytes]] = vars(public_tokenizers).setdefault("_word_ids", {}).setdefault(path, [{}, {}])
 
     def __call__(self, text: bytes) -> bytes:
         """Little-endian unsigned 32-bit ids."""
         if b"<|" in text:
             return self._ids([text])[0]
-        words = re.sub(rb"(?<=[a-z])([.,])(?=[\s]|$)", rb" \1", text.lower()).split()
-        if len(self.memo) > MEMO_WORDS:
-            self.memo.clear()
-        memo = self.memo
-        if new := [w for w in dict.fromkeys(words) if w not in memo]:
-            memo.update(zip(new, self._ids(new), strict=True))
-        return b"".join([memo[w] for w in words])
+        words = text.lower().split()
+        if len(self.memo[0]) > MEMO_WORDS:
+            self.memo[:] = {}, self.memo[0]
+        lately, before = self.memo
+        if missing := set(words).difference(lately):
+            lately.update({w: before[w] for w in missing if w in before})
+            new = list(missing.difference(before))
+            lately.update(zip(new, self._ids(new), strict=True))
+        return b"".join(map(lately.__getitem__, words))
 
     def _ids(self, texts: list[bytes]) -> list[bytes]:
-        encoded = self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in encoded]
+        """Ids of each text. Texts of letters alone are one word each to the tokenizer, which takes them in one go."""
+        plain, out = [t.decode() for t in texts], [b""] * len(texts)
+        letters = [i for i, t in enumerate(plain) if t.isalpha()]
+        if letters:
+            encoded = self.tokenizer.encode(" ".join([plain[i] for i in letters]), add_special_tokens=False)
+            ids = np.array(encoded.ids, "<u4").tobytes()
+            starts = np.flatnonzero(np.diff(np.array(encoded.word_ids, np.int64), prepend=-1))
+            if len(starts) == len(letters):
+                ends = [*(4 * starts[1:]).tolist(), len(ids)]
+                for i, low, high in zip(letters, (4 * starts).tolist(), ends):
+                    out[i] = ids[low:high]
+            else:
+                letters = []
+        rest = sorted(set(range(len(plain))).difference(letters))
+        for i, e in zip(rest, self.tokenizer.encode_batch([plain[i] for i in rest], add_special_tokens=False)):
+            out[i] = np.array(e.ids, "<u4").tobytes()
+        return out
 
 
 def _cut(path: str, capacity: int, end: int):
