@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
-from . import exact, mixing, packing, simhash, toxicity
+from . import exact, mixing, packing, ppm, simhash, toxicity
 from .common import table
 
 
@@ -30,6 +30,10 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ppm.scores(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {
         "op2_mixing": op2_mixing,
@@ -37,6 +41,7 @@ def queries() -> dict:
         "op5_simhash": op5_simhash,
         "op6_toxicity": op6_toxicity,
         "op8_packing": op8_packing,
+        "op9_lm_scoring": op9_lm_scoring,
         "pipeline": corpus_pipeline.run,
     }
 
