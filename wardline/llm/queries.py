@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
-from . import exact, mixing, packing, ppm, simhash, toxicity
+from . import exact, mixing, packing, ppm, simhash, substring, toxicity
 from .common import table
 
 
@@ -26,6 +26,10 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.dedup(table(spark, sf_dir, "documents"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -40,6 +44,7 @@ def queries() -> dict:
         "op4_exact_dedup": op4_exact_dedup,
         "op5_simhash": op5_simhash,
         "op6_toxicity": op6_toxicity,
+        "op7_substring_dedup": op7_substring_dedup,
         "op8_packing": op8_packing,
         "op9_lm_scoring": op9_lm_scoring,
         "pipeline": corpus_pipeline.run,
