@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
-from . import exact, mixing, packing, ppm, simhash, substring, toxicity
+from . import exact, iblt, mixing, packing, ppm, simhash, substring, toxicity
 from .common import table
 
 
@@ -14,6 +14,10 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.shares(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return iblt.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.groups(table(spark, sf_dir, "documents"))
 
@@ -41,6 +45,7 @@ def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     return {
         "op2_mixing": op2_mixing,
+        "op3_fingerprints": op3_fingerprints,
         "op4_exact_dedup": op4_exact_dedup,
         "op5_simhash": op5_simhash,
         "op6_toxicity": op6_toxicity,
