@@ -12,13 +12,13 @@ its links, never all pairs of a group.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterable, Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import fresh, settle
@@ -27,7 +27,6 @@ SHINGLE, SEED, RADIUS = 4, 42, 4
 BANDS, BAND_BITS = 4, 16
 #: Vantage points: each halves the bits anew, so their distances tell different things.
 VANTAGE = (0x5555, 0x3333, 0x0F0F, 0x00FF, 0x6666, 0x5A5A, 0x55AA, 0x3C3C)
-SHARD_ROWS, LEAST_LEVELS, MOST_LEVELS = 8_000, 2, 6
 LEAF_PAIRS = 1 << 16
 
 
@@ -191,6 +190,15 @@ def shards(fps: DataFrame, levels: int) -> DataFrame:
     return rows.select("shard", "fp")
 
 
+def levels_for(spark: SparkSession) -> int:
+    """Vantage points to shard by, so that the largest shard is little more than a task's share.
+
+    Each vantage point halves the largest shard and makes the rows 1.5 times as many.
+    """
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return min(len(VANTAGE), max(1, math.ceil(math.log(max(tasks, 8) / 8, 3))))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, root: nodes that have links, with the smallest node reachable; by alternating large and small stars."""
     pair = edges.filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
@@ -218,11 +226,7 @@ def clusters(docs: DataFrame) -> DataFrame:
     read = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
     rows = settle(read.mapInArrow(_fingerprints, "doc_id long, fp long"))
     each = settle(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    for levels in range(LEAST_LEVELS, MOST_LEVELS + 1):
-        largest = shards(each, levels).groupBy("shard").count().agg(F.max("count")).first()[0] or 0
-        if largest <= SHARD_ROWS:
-            break
-    edges = shards(each, levels).repartition("shard").mapInArrow(_linked, "a long, b long")
+    edges = shards(each, levels_for(docs.sparkSession)).repartition("shard").mapInArrow(_linked, "a long, b long")
     roots = components(edges)
     whole = each.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     ids = whole.groupBy("root").agg(F.min("least").alias("component_id"))
