@@ -6,10 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
-from . import exact, iblt, mixing, packing, ppm, simhash, substring, toxicity
+from . import exact, iblt, licenses, mixing, packing, ppm, simhash, substring, toxicity
 from .common import table
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.matches(table(spark, sf_dir, "documents"))
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.shares(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -44,6 +48,7 @@ def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {
+        "op1_license_scan": op1_license_scan,
         "op2_mixing": op2_mixing,
         "op3_fingerprints": op3_fingerprints,
         "op4_exact_dedup": op4_exact_dedup,

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import hash_words, mix, settle
 
 WINDOW, ANCHOR = 20, 8
 #: One word run in so many ends a stretch.
@@ -69,18 +69,12 @@ class FixedFilter:
         return held
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 def _runs(words: np.ndarray, size: int) -> np.ndarray:
     """Hash of each run of size words, by doubling."""
     out, have = words, 1
     while have < size:
         step = min(have, size - have)
-        out = _mix(out[: len(out) - step] * np.uint64(0x9E3779B97F4A7C15) + (out[step:] ^ np.uint64(have)))
+        out = mix(out[: len(out) - step] * np.uint64(0x9E3779B97F4A7C15) + (out[step:] ^ np.uint64(have)))
         have += step
     return out
 
@@ -97,22 +91,7 @@ class Page:
         lengths = np.fromiter(map(len, self.words), np.int64, len(self.words))
         self.ends = np.cumsum(lengths + 1) - 1
         self.starts = self.ends - lengths
-        self.word_hash = self._hash_words(lengths)
-
-    def _hash_words(self, lengths: np.ndarray) -> np.ndarray:
-        """A 64-bit hash of each word's bytes, from 8 bytes at a time."""
-        raw = np.frombuffer(self.joined + bytes(8), np.uint8)
-        lanes = np.lib.stride_tricks.as_strided(raw, (len(self.joined) + 1, 8), (1, 1))
-        out = lengths.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        at, left, which = self.starts.copy(), lengths.copy(), np.arange(len(lengths))
-        while len(which):
-            lane = np.ascontiguousarray(lanes[at]).view("<u8")[:, 0]
-            used = np.minimum(left, 8).astype(np.uint64)
-            lane = np.where(used < 8, lane & ((np.uint64(1) << (used * np.uint64(8) & np.uint64(63))) - np.uint64(1)), lane)
-            out[which] = _mix(out[which] ^ lane) + np.uint64(1)
-            more = left > 8
-            at, left, which = at[more] + 8, left[more] - 8, which[more]
-        return out
+        self.word_hash = hash_words(self.joined, self.starts, lengths)
 
     def key(self, first: int, last: int) -> tuple[int, int]:
         """128-bit fingerprint of the words first..last, as two signed numbers."""
