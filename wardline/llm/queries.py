@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
-from . import exact, iblt, licenses, mixing, packing, ppm, simhash, substring, toxicity
+from . import chat, exact, iblt, licenses, mixing, packing, ppm, simhash, substring, toxicity
 from .common import table
 
 
@@ -46,6 +46,10 @@ def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ppm.scores(table(spark, sf_dir, "documents"))
 
 
+def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.repaired(table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict:
     return {
         "op1_license_scan": op1_license_scan,
@@ -57,6 +61,7 @@ def queries() -> dict:
         "op7_substring_dedup": op7_substring_dedup,
         "op8_packing": op8_packing,
         "op9_lm_scoring": op9_lm_scoring,
+        "op10_chat_format": op10_chat_format,
         "pipeline": corpus_pipeline.run,
     }
 
