@@ -85,9 +85,9 @@ def likeness(differ: Column, a: Column, b: Column) -> Column:
 
 
 def written(cells: str) -> Column:
-    """A sketch as text: count, key and check of each cell, in hex."""
+    """A sketch as text: count, key and check of each cell, in base 64."""
     cell = "concat(lpad(hex(c.n & 65535), 4, '0'), lpad(hex(c.key), 16, '0'), lpad(hex(c.check), 8, '0'))"
-    return F.expr(f"lower(array_join(transform({cells}, c -> {cell}), ''))")
+    return F.expr(f"base64(unhex(array_join(transform({cells}, c -> {cell}), '')))")
 
 
 def _followers(keys: DataFrame) -> DataFrame:
@@ -119,13 +119,12 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     ignored; an empty table gives an empty result.
     """
     text = F.coalesce("text", F.lit(""))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).withColumns(
-        {"id": F.coalesce("doc_id", F.lit(-(1 << 63)).cast("long")), "th": F.xxhash64("text")}
-    )
+    no_id = F.lit(-(1 << 63)).cast("long")
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), no_id).alias("id"), text.alias("text")).withColumn("th", F.xxhash64("text"))
     keys = rows.select("id", "th", F.char_length("text").alias("n")).distinct()
     edges = settle(_followers(keys)).withColumn("cut", F.floor(F.col("n") / 3).cast("int"))
     receivers = edges.select(F.col("next_id").alias("id"), F.col("next_th").alias("th"), F.col("id").alias("to_id"), F.col("th").alias("to_th"), "cut")
-    texts = rows.select("id", "th", "doc_id", "text")
+    texts = rows.select("id", "th", "text")  # dealt once, for senders and receivers
     sent = texts.join(receivers, ["id", "th"]).select(
         F.col("to_id").alias("id"), F.col("to_th").alias("th"), "cut", F.expr("left(text, cut)").alias("begin"), digests("text").alias("next")
     )
@@ -133,7 +132,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
         sent = sent.groupBy("id", "th").agg(F.first("cut").alias("cut"), F.first("begin").alias("begin"), F.first("next").alias("next"))
     joined = texts.join(sent, ["id", "th"])
     edited = joined.withColumn("n_chars", F.char_length("text").cast("long")).withColumn("edited", F.expr("concat(left(text, int(n_chars) - cut), begin)"))
-    sets = edited.select("doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), digests("text").alias("own"), digests("edited").alias("other"), "next")
+    sets = edited.select(F.nullif("id", no_id).alias("doc_id"), "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), digests("text").alias("own"), digests("edited").alias("other"), "next")
     cells = sets.withColumns({c: F.expr(_sketch(k, "0")) for c, k in (("own_cells", "own"), ("other_cells", "other"), ("next_cells", "next"))})
     far = cells.withColumns({"d_edited": difference("own", "other", "own_cells", "other_cells"), "d_next": difference("own", "next", "own_cells", "next_cells")})
     return far.select(
