@@ -23,6 +23,8 @@ CAPACITY = 2048
 END = 0
 GROUP_ROWS = 20_000
 MEMO_WORDS = 200_000
+#: Signs that the tokenizer parts from letters before them.
+SIGNS = b".,;:!?)\"%&*#$"
 
 
 def place(sizes: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, np.ndarray]:
@@ -72,8 +74,13 @@ class WordIds:
         lately, before = self.memo
         if missing := set(words).difference(lately):
             lately.update({w: before[w] for w in missing if w in before})
-            new = list(missing.difference(before))
+            # a sign ends a word of letters for the tokenizer too, so what is before and after it is looked up apart
+            split = {w: (core, w[len(core) :]) for w in missing.difference(before) if len(core := w.rstrip(SIGNS)) < len(w) and core.decode().isalpha()}
+            parts = {p for pair in split.values() for p in pair}
+            lately.update({w: before[w] for w in parts if w in before})
+            new = [w for w in missing.difference(before, split) | parts if w not in lately]
             lately.update(zip(new, self._ids(new), strict=True))
+            lately.update({w: lately[core] + lately[tail] for w, (core, tail) in split.items()})
         return b"".join(map(lately.__getitem__, words))
 
     def _ids(self, texts: list[bytes]) -> list[bytes]:
