@@ -44,6 +44,7 @@ def made(seed):
         if draw.random() < 0.3 and text:
             del text[draw.randrange(len(text))]
         out.append((i * 3, draw.choice([" ", "\n", "  "]).join(text)))
+    out += [(1000 + i, " ".join(base[0][:20] + ["y"] * (i // 3)) if len(base[0]) >= 20 else "z " * 20) for i in range(9)]
     draw.shuffle(out)
     return out
 
@@ -67,12 +68,18 @@ def test_index_compacts_and_keeps_its_keys(spark, tmp_path):
     index = substring.FingerprintIndex(spark, str(tmp_path), most_runs=2)
     found = []
     for i in range(5):
-        part = spark.range(10 * i, 10 * i + 20).selectExpr("id AS k1", "id * 7 AS k2", f"{i}L AS place", "int(id) AS at", "1 AS span")
-        found.append(index.merge(part).count())
+        part = spark.range(10 * i, 10 * i + 20).selectExpr("id AS k1", "int(id * 7) AS k2", f"{i}L AS place", "int(id) AS at", "1 AS span", "false AS again")
+        found.append(index.merge(part)[0].count())
     assert found == [0, 10, 10, 10, 10]
     assert len(index.runs) <= 2 and index.history().count() == 60
 
 
+def test_place_hash_is_sparks(spark):
+    places = [(5, 7), (-3, 0), (substring.LAST, 12345)]
+    df = spark.createDataFrame(places, "place long, at int").selectExpr("xxhash64(place, at) AS h")
+    assert [r.h % (1 << 64) for r in df.collect()] == [substring.place_hash(*p) for p in places]
+
+
 def test_fixed_filter_holds_all(spark):
     hashes = spark.range(5000).selectExpr("xxhash64(id) AS h")
     probe = substring.FixedFilter(hashes).probe()

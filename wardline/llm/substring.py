@@ -1,27 +1,32 @@
 """Substring dedup over a log-structured fingerprint index.
 
-The index is a folder of immutable runs, each sorted by fingerprint: the first place of
-every window, or whole stretch of windows, met so far. A batch of documents is
-merge-joined with the runs; what they or an earlier place of the batch hold is a
-duplicate, what they lack becomes a new run, and runs are compacted into one when there
-are several. Fingerprints are 128-bit hashes of the windows' own bytes, and a batch's
-places are kept to its rows, so nothing of a group of copies gathers in one task.
+The index is a folder of immutable runs, each sorted by fingerprint: the places of the
+windows, or whole stretches of windows, met so far. A batch of documents is dealt and
+sorted with the runs' keys; a place whose fingerprint a run or an earlier place of the
+batch holds is a duplicate, and the merged rows become a new run. Runs are compacted
+into one when there are several. Matches are verified by a second hash of the windows'
+own bytes. A task drops the repetitions within its own documents before they are dealt,
+so a large group of copies adds a row or few for each task.
 
 Two things keep the index far smaller than the text without missing a window:
 
 - Windows are dealt into stretches whose ends depend on the words alone. A stretch and
   the words its last window needs make one fingerprint; a stretch met before has all
   its windows met before.
-- Single windows are indexed only where their words recur in *different* stretches. Each
-  window has an anchor, the least hash of its shorter word runs, so equal windows have
-  equal anchors; a filter of fixed size holds the anchors met in several stretches, and
-  windows of other anchors recur with their whole stretch or not at all. (Recurrence
-  inside one document is found there.) A filter that fills up only lets more windows in.
+- Single windows are indexed only in stretches that may be met for the first time, and
+  only where their words recur in *different* stretches. Each window has an anchor, the
+  least hash of its shorter word runs, so equal windows have equal anchors; windows of
+  an anchor that was met in one stretch only recur with their whole stretch or not at
+  all. (Recurrence inside one document is found there.)
+
+First places and recurring anchors are told by filters of a fixed size. A filter that
+fills up only lets more windows in.
 """
 
 from __future__ import annotations
 
 import hashlib
+import struct
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -34,10 +39,11 @@ from pyspark.sql import functions as F
 
 from .common import hash_words, mix, settle
 
-WINDOW, ANCHOR = 20, 8
+WINDOW, ANCHOR = 20, 12
 #: One word run in so many ends a stretch.
-STRETCH = 48
+STRETCH = 64
 FILTER_BITS = 1 << 26
+KEY = "<qi"
 BATCHES, MOST_RUNS = 2, 4
 LAST = (1 << 63) - 1  # place of documents without id
 
@@ -94,8 +100,8 @@ class Page:
         self.word_hash = hash_words(self.joined, self.starts, lengths)
 
     def key(self, first: int, last: int) -> tuple[int, int]:
-        """128-bit fingerprint of the words first..last, as two signed numbers."""
-        return np.frombuffer(xxhash.xxh3_128_digest(self.joined[self.starts[first] : self.ends[last]]), "<i8").tolist()
+        """Fingerprint of the words first..last: 64 bits to find by and 32 to verify, as signed numbers."""
+        return struct.unpack(KEY, xxhash.xxh3_128_digest(self.joined[self.starts[first] : self.ends[last]])[:12])
 
     def stretches(self) -> np.ndarray:
         """First window of each stretch."""
@@ -119,12 +125,12 @@ class Page:
     def repeats(self) -> np.ndarray:
         """Windows whose words also start earlier in this document."""
         whole = _runs(self.word_hash, WINDOW)
-        order = np.argsort(whole, kind="stable")
-        again = order[1:][whole[order[1:]] == whole[order[:-1]]]
+        order = np.sort(whole)
+        again = order[1:][order[1:] == order[:-1]]
         if not len(again):
-            return again
+            return np.zeros(0, np.int64)
         seen, out = set(), []  # equal hashes: compare the words
-        twice = np.flatnonzero(np.isin(whole, whole[again]))
+        twice = np.flatnonzero(np.isin(whole, again))
         for i in twice.tolist():
             words = self.joined[self.starts[i] : self.ends[i + WINDOW - 1]]
             if words in seen:
@@ -173,75 +179,123 @@ def _anchor_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield flush()
 
 
-_PLACES = "k1 long, k2 long, place long, at int, span int"
+_PLACES = "k1 long, k2 int, place long, at int, span int, again boolean"
+_FIELDS = [("k1", pa.int64()), ("k2", pa.int32()), ("place", pa.int64()), ("at", pa.int32()), ("span", pa.int32()), ("again", pa.bool_())]
 
 
-def _place_rows(held: Callable[[np.ndarray], np.ndarray] | None):
-    """Rows of the stretches, and of the single windows whose anchor is held (all, if there is no filter)."""
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    columns = zip(*rows) if rows else [[]] * len(_FIELDS)
+    return pa.record_batch([pa.array(list(c), k) for c, (_, k) in zip(columns, _FIELDS)], names=[n for n, _ in _FIELDS])
+
+
+def _emit(rows: Iterable[tuple[tuple[int, int], int, int, int]]) -> Iterator[pa.RecordBatch]:
+    """Batches of (key, place, at, span); of one key's places in the task the first keeps its key, the others are known to repeat it."""
+    first: dict[tuple[int, int], tuple[int, int, int]] = {}
+    again: list[tuple] = []
+
+    def flush() -> pa.RecordBatch:
+        # a repetition needs no key; its place deals it anywhere
+        return _batch([(*k, *v, False) for k, v in first.items()] + [((p * 0x9E3779B97F4A7C15 + a) % (1 << 63), 0, p, a, n, True) for p, a, n in again])
+
+    for key, *here in rows:
+        here, old = tuple(here), first.get(key)
+        if old is None or here[:2] < old[:2]:
+            first[key] = here
+        if old is not None and here[:2] != old[:2]:
+            again.append(max(here, old))
+        if len(first) + len(again) > 200_000:
+            yield flush()
+            first, again = {}, []
+    yield flush()
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: list[tuple] = []
 
-        def flush() -> pa.RecordBatch:
-            columns = zip(*rows) if rows else [[]] * 5
-            return pa.record_batch([pa.array(list(c), k) for c, k in zip(columns, [pa.int64()] * 3 + [pa.int32()] * 2)], names=["k1", "k2", "place", "at", "span"])
+def _stretch_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each stretch of several windows."""
 
+    def rows() -> Iterator[tuple]:
         for place, page in _pages(batches):
             if page.windows:
                 first, span, keys = page.stretch_keys()
-                rows += [(*k, place, a, n) for k, a, n in zip(keys, first.tolist(), span.tolist())]
-                wanted = held(page.anchors()) if held else np.ones(page.windows, bool)
-                wanted[first[span == 1]] = False  # a stretch of one window is that window
-                wanted[page.repeats()] = False
-                rows += [(*page.key(i, i + WINDOW - 1), place, i, 1) for i in np.flatnonzero(wanted).tolist()]
-                if len(rows) > 200_000:
-                    yield flush()
-                    rows = []
-        yield flush()
+                yield from ((k, place, a, n) for k, a, n in zip(keys, first.tolist(), span.tolist()) if n > 1)
 
-    return run
+    return _emit(rows())
+
+
+def _marked(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted rows of runs (span 0) and of a batch: the batch's, marked where a key's first row is another place."""
+    now: tuple | None = None  # key and place of the first row of the key met last
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        k1, k2, place, at, span, again = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+        new = np.append(now is None or (k1[0], k2[0]) != now[:2], (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1]))
+        head = np.maximum.accumulate(np.where(new, np.arange(len(new)), -1))
+        carried = head < 0
+        head = np.maximum(head, 0)
+        first_place, first_at = place[head], at[head]
+        if carried.any():
+            first_place, first_at = np.where(carried, now[2], first_place), np.where(carried, now[3], first_at)
+        again = again | (place != first_place) | (at != first_at)
+        now = k1[-1], k2[-1], first_place[-1], first_at[-1]
+        own = span > 0
+        yield pa.record_batch([pa.array(c[own], k) for c, (_, k) in zip((k1, k2, place, at, span, again), _FIELDS)], names=[n for n, _ in _FIELDS])
+
+
+def place_hash(place: int, at: int) -> int:
+    """What Spark's xxhash64 gives for a long and an int."""
+    return xxhash.xxh64_intdigest(at.to_bytes(4, "little"), xxhash.xxh64_intdigest(place.to_bytes(8, "little", signed=True), 42))
+
+
+def _window_rows(recurs: Callable[[np.ndarray], np.ndarray] | None, is_first: Callable[[np.ndarray], np.ndarray]):
+    """A row for each single window that may recur elsewhere (for each, without recurs) and may be a first place."""
+
+    def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple]:
+        for place, page in _pages(batches):
+            if page.windows:
+                first = page.stretches()
+                span = np.diff(np.append(first, page.windows))
+                new = is_first(np.array([place_hash(place, a) for a in first.tolist()], np.uint64))
+                wanted = np.repeat(new, span)
+                if recurs and wanted.any():
+                    wanted &= recurs(page.anchors())
+                wanted[first[span == 1]] = True  # a stretch of one window has no other row
+                yield from ((page.key(i, i + WINDOW - 1), place, i, 1) for i in np.flatnonzero(wanted).tolist())
+
+    return lambda batches: _emit(rows(batches))
 
 
 class FingerprintIndex:
-    """Immutable runs of (k1, k2), sorted, in one folder that all executors share."""
+    """Immutable runs of places sorted by key, in one folder that all executors share."""
 
     def __init__(self, spark: SparkSession, folder: str, most_runs: int = MOST_RUNS):
         self.spark, self.folder, self.most_runs, self.runs, self.made = spark, folder, most_runs, [], 0
 
-    def _write(self, keys: DataFrame) -> str:
+    def _write(self, rows: DataFrame) -> str:
         path, self.made = f"{self.folder}/run-{self.made}", self.made + 1
-        keys.repartition("k1").sortWithinPartitions("k1", "k2").write.parquet(path)
+        rows.write.parquet(path)
         return path
 
     def history(self) -> DataFrame | None:
         """Keys of all runs; no key is in two of them."""
-        return self.spark.read.parquet(*self.runs) if self.runs else None
-
-    def merge(self, places: DataFrame) -> DataFrame:
-        """Join a batch's places with the runs, add its new keys as a run, and return the places that repeat an earlier one."""
-        path = f"{self.folder}/batch-{self.made}"
-        places.write.parquet(path)
-        places = self.spark.read.parquet(path)
-        first = places.groupBy("k1", "k2").agg(F.min(F.struct("place", "at")).alias("first"))
-        past = self.history()
+        return self.spark.read.parquet(*self.runs).filter("NOT again").select("k1", "k2") if self.runs else None
+
+    def merge(self, places: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Merge a batch's places with the runs into a new run: the places that repeat an earlier one, and the first ones."""
+        rows, past = places, self.history()
         if past is not None:
-            first = first.join(past.withColumn("past", F.lit(True)), ["k1", "k2"], "left")
-        else:
-            first = first.withColumn("past", F.lit(None).cast("boolean"))
-        self.runs.append(self._write(first.filter("past IS NULL").select("k1", "k2")))
+            known = past.select("k1", "k2", F.lit(-(1 << 63)).cast("long").alias("place"), F.lit(0).alias("at"), F.lit(0).alias("span"), F.lit(False).alias("again"))
+            rows = rows.union(known)
+        merged = rows.repartition("k1").sortWithinPartitions("k1", "k2", "place", "at").mapInArrow(_marked, _PLACES)
+        self.runs.append(self._write(merged))
+        run = self.spark.read.parquet(self.runs[-1])
         self.compact()
-        own = (F.col("first.place") == F.col("place")) & (F.col("first.at") == F.col("at"))
-        twice = places.groupBy("k1", "k2").agg(F.min(F.struct("place", "at")).alias("first"), F.max(F.struct("place", "at")).alias("last"))
-        if past is not None:
-            twice = twice.join(past.withColumn("past", F.lit(True)), ["k1", "k2"], "left").filter("past OR first != last")
-        else:
-            twice = twice.withColumn("past", F.lit(None).cast("boolean")).filter("first != last")
-        return places.join(twice, ["k1", "k2"]).filter(F.col("past").isNotNull() | ~own).select("place", "at", "span")
+        return run.filter("again").select("place", "at", "span"), run.filter("NOT again")
 
     def compact(self) -> None:
         """Merge the runs into one once there are more than most_runs."""
         if len(self.runs) > self.most_runs:
-            self.runs = [self._write(self.history())]
+            whole = self.spark.read.parquet(*self.runs).filter("NOT again")
+            self.runs = [self._write(whole.repartition("k1").sortWithinPartitions("k1", "k2"))]
 
 
 def _final(placed: bool):
@@ -280,11 +334,11 @@ def dedup(docs: DataFrame, batches: int = BATCHES, filtered: bool = True) -> Dat
     spark = docs.sparkSession
     place = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))
     read = docs.select(place.alias("place"), F.col("text").cast("binary").alias("text"), F.col("doc_id").cast("long").alias("doc_id"))
-    held = None
+    recurs = None
     if filtered:
         pairs = read.mapInArrow(_anchor_rows, "anchor long, stretch long").repartition("anchor")
         several = pairs.groupBy("anchor").agg(F.min("stretch").alias("low"), F.max("stretch").alias("high")).filter("low != high")
-        held = FixedFilter(several.select("anchor")).probe()
+        recurs = FixedFilter(several.select("anchor")).probe()
     low, high = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
     low, high = low or 0, high or 0
     context = spark.sparkContext
@@ -294,8 +348,11 @@ def dedup(docs: DataFrame, batches: int = BATCHES, filtered: bool = True) -> Dat
     for i in range(batches):
         begin, end = (low + (high - low + 1) * k // batches for k in (i, i + 1))
         inside = F.lit(True) if batches == 1 else (F.col("place") >= begin if i else F.lit(True)) & (F.col("place") < end if i < batches - 1 else F.lit(True))
-        part = index.merge(read.filter(inside).mapInArrow(_place_rows(held), _PLACES))
-        found = part if found is None else found.union(part)
+        batch = read.filter(inside)
+        again, new = index.merge(batch.mapInArrow(_stretch_rows, _PLACES))
+        is_first = FixedFilter(new.select(F.xxhash64("place", "at").alias("place"))).probe()
+        single, _ = index.merge(batch.mapInArrow(_window_rows(recurs, is_first), _PLACES))
+        found = again.union(single) if found is None else found.union(again).union(single)
     found = settle(found.groupBy("place").agg(F.collect_list(F.struct("at", "span")).alias("places")))
     touched = FixedFilter(found.select(F.xxhash64("place").alias("place"))).probe()
     may_hold = F.pandas_udf(lambda hashes: pd.Series(touched(hashes.to_numpy().view(np.uint64))), "boolean")
