@@ -12,10 +12,12 @@ strings it holds, and the answers return to it.
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -24,8 +26,8 @@ from .common import crc_of_id, settle
 
 #: Bytes of context.
 ORDER = 5
-BLOCK_BYTES = 32_000_000
-CHUNK = 1 << 21
+BLOCK_BYTES = 16_000_000
+CHUNK = 1 << 19
 SPACER = 10  # before a text and after it
 
 
@@ -135,19 +137,27 @@ def _ask_words(part: pa.Table) -> pa.Table:
     return pa.table({"block": pa.array([block] * len(keys), pa.int32()), "word": pa.array(keys, pa.binary()), "n": pa.array([trained[k] for k in keys], pa.int64())})
 
 
+def tally(codes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct codes in order, and how often each occurs."""
+    code = np.sort(np.concatenate([np.zeros(0, np.int64), *codes]))
+    first = np.flatnonzero(np.diff(code, prepend=-1))
+    return code[first], np.diff(first, append=len(code))
+
+
 def _ask_strings(part: pa.Table) -> pa.Table:
     known, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
-    codes, weights, held = [], [], 0
+    codes: tuple[list, list] = [], []  # of training and of held-out texts
+    held = 0
 
     def merged() -> tuple[np.ndarray, np.ndarray]:
-        return sums(np.concatenate([known, *codes]), np.concatenate([counts, *weights]))
+        (keys, n), (others, _) = tally(codes[0]), tally(codes[1])
+        return sums(np.concatenate([known, keys, others]), np.concatenate([counts, n, np.zeros(len(others), np.int64)]))
 
     for _, held_out, words in _texts(part):
-        codes.append(strings_of(words))
-        weights.append(np.full(len(codes[-1]), 0 if held_out else 1, np.int64))
-        held += len(codes[-1])
+        codes[held_out].append(strings_of(words))
+        held += len(codes[held_out][-1])
         if held > CHUNK:
-            (known, counts), codes, weights, held = merged(), [], [], 0
+            (known, counts), codes, held = merged(), ([], []), 0
     known, counts = merged()
     block = part.column("block")[0].as_py()
     return pa.table({"block": pa.array(np.full(len(known), block, np.int32)), "string": pa.array(known), "n": pa.array(counts)})
@@ -164,7 +174,7 @@ def _count_pairs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _model(pairs: Callable[[], np.ndarray]):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        columns = [[c.to_numpy() for c in b.columns] for b in batches]
+        columns = [[c.to_numpy() for c in b.columns[:2]] for b in batches]
         if columns:
             strings, counts = (np.concatenate(x) for x in zip(*columns))
             yield pa.record_batch([pa.array(strings), pa.array(log_probs(strings, counts, pairs()))], names=["string", "value"])
@@ -177,22 +187,35 @@ _SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, log_count
 
 def _score(part: pa.Table, answers: pa.Table) -> pa.Table:
     trained, others = _count_words(part)
-    counts = {k: n for k, n in trained.items()}
-    mine = len(trained)
+    total, mine, logs = sum(trained.values()), len(trained), dict.fromkeys(others)
+    del others
     words = answers.filter(answers.column("word").is_valid())
     for word, n, first in zip(words.column("word").to_pylist(), words.column("value").to_pylist(), words.column("first").to_pylist()):
-        mine -= counts.get(word, 0) > 0 and not first
-        counts[word] = int(n)
-    logs = {k: float(np.log10(n + 1)) for k, n in counts.items() if n}
+        mine -= trained.pop(word, 0) > 0 and not first
+        logs[word] = math.log10(n + 1)
+    logs.update((k, math.log10(n + 1)) for k, n in trained.items())
+    del trained, words
     known = answers.filter(answers.column("string").is_valid())
-    keys, values = known.column("string").to_numpy(), known.column("value").to_numpy()
-    order = np.argsort(keys)
-    keys, values = keys[order], values[order]
-    rows = [(None, None, None, None, None, None, sum(trained.values()), mine)]
+    place, values = pd.Index(known.column("string").to_numpy()), known.column("value").to_numpy()
+    rows = [(None, None, None, None, None, None, total, mine)]
+    waiting: list[tuple] = []
+    codes, held = [], 0
+
+    def flush() -> None:
+        if codes:
+            each = values[place.get_indexer(np.concatenate(codes))]
+            starts = np.cumsum([0, *map(len, codes[:-1])])
+            rows.extend((*row, score, None, None) for row, score in zip(waiting, np.add.reduceat(each, starts).tolist()))
+
     for doc_id, held_out, tokens in _texts(part):
         found = [x for x in map(logs.get, [*tokens, b""]) if x is not None]
-        score = values[np.searchsorted(keys, strings_of(tokens))].sum()
-        rows.append((doc_id, held_out, len(tokens) + 1, len(found), sum(found), float(score), None, None))
+        waiting.append((doc_id, held_out, len(tokens) + 1, len(found), sum(found)))
+        codes.append(strings_of(tokens))
+        held += len(codes[-1])
+        if held > CHUNK:
+            flush()
+            waiting, codes, held = [], [], 0
+    flush()
     kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.int64()]
     names = [x.split()[0] for x in _SCORED.split(", ")]
     return pa.table([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
@@ -225,11 +248,12 @@ def scores(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     words = words.withColumns({"all": F.sum("n").over(each), "least": F.min(F.when(F.col("n") > 0, F.col("block"))).over(each)})
     words = words.filter("all != n").select("block", "word", F.lit(None).cast("long").alias("string"), F.col("all").cast("double").alias("value"), (F.col("least") == F.col("block")).alias("first"))
 
-    asked = by_block.applyInArrow(_ask_strings, "block int, string long, n long").repartition("string")
-    whole = asked.groupBy("string").agg(F.sum("n").alias("n"))
+    asked = by_block.applyInArrow(_ask_strings, "block int, string long, n long").filter("string IS NOT NULL").repartition("string")
+    # both uses of asked take the same rows and columns, so that it is dealt once
+    whole = asked.groupBy("string").agg(F.sum("n").alias("n"), F.min("block").alias("block"))
     by_context = whole.repartition(F.expr("shiftright(string, 8) & 65535"))
     known = by_context.mapInArrow(_model(lambda: pairs.value), "string long, value double")
-    strings = asked.select("block", "string").join(known, "string").select("block", F.lit(None).cast("binary").alias("word"), "string", "value", F.lit(None).cast("boolean").alias("first"))
+    strings = asked.join(known, "string").select("block", F.lit(None).cast("binary").alias("word"), "string", "value", (F.col("n") < 0).alias("first"))
 
     answers = words.union(strings)
     scored = settle(by_block.cogroup(answers.groupBy("block")).applyInArrow(_score, _SCORED))
