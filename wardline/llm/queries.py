@@ -66,5 +66,24 @@ def queries() -> dict:
     }
 
 
+OP4_SQL = r"""
+WITH n AS (SELECT doc_id, coalesce(text, '') AS t, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS k FROM documents),
+r AS (SELECT doc_id, sha256(k) AS text_sha256, count(*) OVER (PARTITION BY k) AS group_size,
+  first_value(doc_id) OVER w AS keep_id, row_number() OVER w AS nth FROM n WINDOW w AS (PARTITION BY k ORDER BY length(t) DESC, doc_id NULLS LAST))
+SELECT doc_id, keep_id, group_size, nth = 1 AS kept, text_sha256 FROM r"""
+
+OP7_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+k AS (SELECT doc_id, unnest(list_transform(range(1, len(ws) - 18), lambda i: md5(array_to_string(ws[i:i + 19], ' ')))) AS k, unnest(range(1, len(ws) - 18)) AS i FROM d),
+dup AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY k ORDER BY doc_id, i) AS nth FROM k) WHERE nth > 1),
+gone AS (SELECT DISTINCT doc_id, i + j AS i FROM dup, range(20) r(j)),
+w AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS i FROM d),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS t FROM w ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id),
+cut AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(cut.n, 0) AS n_removed, sha256(coalesce(kept.t, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id) LEFT JOIN cut USING (doc_id)"""
+
+
 def oracle_sql() -> dict:
-    return {}
+    """SQL of the queries that it can express; the others are held against brute force in the tests."""
+    return {"op4_exact_dedup": OP4_SQL, "op7_substring_dedup": OP7_SQL} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
