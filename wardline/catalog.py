@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from wardline.plans import resolution, spatial, table_queries, text_queries  # noqa: F401
+from wardline.plans.registry import QUERIES, SQL
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict:
-    return {}
+    return dict(SQL)
