@@ -38,7 +38,7 @@ def house_ranges(c: Column) -> Column:
 
 def statute_rules(c: Column) -> Column:
     """Rules of a statute's text: the streets named in each sentence, with its house ranges."""
-    pieces = F.filter(F.transform(F.split(F.regexp_replace(c, r"(?iu)улицы\s*:", ". "), r"[.;](?=\s|$)"), lambda x: F.trim(x)), lambda x: x != "")
+    pieces = F.filter(F.transform(F.split(F.regexp_replace(F.regexp_replace(c, r"(?iu)улицы\s*:", ". "), r"(?iu)\bул\.\s*", "улица "), r"[.;](?=\s|$)"), lambda x: F.trim(x)), lambda x: x != "")
     street = lambda x: F.nullif(F.trim(F.regexp_extract(x, r"(?iu)^(?:ул(?:ица|\.)?\s+)?([А-Яа-яЁёA-Za-z][А-Яа-яЁёA-Za-z\s\-]+?)\s*(?:,|:|\(|дома|д\.|№|\d|$)", 1)), F.lit(""))
     rules = F.transform(pieces, lambda x: F.struct(street(x).alias("street"), boundary(x).alias("houses"), x.alias("source_text")))
     return F.filter(rules, lambda r: r["street"].isNotNull())

@@ -229,7 +229,7 @@ def contact_files(spark: SparkSession, path: str) -> DataFrame:
         "path",
         text.section_number(c).alias("section"),
         text.first_group(c, r"([\w.+-]+@[\w-]+\.[\w.]+)").alias("email"),
-        text.first_group(c, r"(?iu)(?:тел\.?|телефон)\s*:?\s*([+\d][\d\s()\-]{5,})").alias("phone"),
+        text.first_group(c, r"(?iu)(?:тел\.?|телефон)\s*:?\s*([+\d][\d ()\-]{5,})").alias("phone"),
     )
 
 
