@@ -7,7 +7,7 @@ import re
 import numpy as np
 import pytest
 
-from wardline.llm import substring
+from wardline.llm import common, substring
 from .helpers import DATA, clashing, empty, odd, rows
 
 
@@ -82,7 +82,7 @@ def test_place_hash_is_sparks(spark):
 
 def test_fixed_filter_holds_all(spark):
     hashes = spark.range(5000).selectExpr("xxhash64(id) AS h")
-    probe = substring.FixedFilter(hashes).probe()
+    probe = common.FixedFilter(hashes).probe()
     own = np.array([r.h for r in hashes.collect()], np.int64).view(np.uint64)
     other = np.array([r.h for r in spark.range(5000, 10000).selectExpr("xxhash64(id) AS h").collect()], np.int64).view(np.uint64)
     assert probe(own).all() and probe(other).mean() < 0.01

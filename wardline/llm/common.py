@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: ASCII white space, the only separators of words here.
 SPACE = rb" \t\n\x0b\x0c\r".decode("unicode_escape").encode()
 WORD = r"[^\x20\x09-\x0D]+"
+FILTER_BITS = 1 << 26
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,24 +50,62 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
-def mix(x: np.ndarray) -> np.ndarray:
-    """Mix 64-bit numbers so that each bit depends on all."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+def combine(a: np.ndarray, b: np.ndarray | int) -> np.ndarray:
+    """A hash of two 64-bit hashes, in their order; all bits of the result depend on both."""
+    x = a * np.uint64(0x9E3779B97F4A7C15)
+    x ^= b if isinstance(b, np.ndarray) else np.uint64(b)
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(32)
+    return x
 
 
 def hash_words(text: bytes, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each word of a text, 8 bytes at a time."""
-    raw = np.frombuffer(text + bytes(8), np.uint8)
-    lanes = np.lib.stride_tricks.as_strided(raw, (len(text) + 1, 8), (1, 1))
-    out = lengths.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    at, left, which = starts.astype(np.int64), lengths.astype(np.int64), np.arange(len(lengths))
-    while len(which):
-        lane = np.ascontiguousarray(lanes[at]).view("<u8")[:, 0]
-        used = np.minimum(left, 8).astype(np.uint64)
-        lane = np.where(used < 8, lane & ((np.uint64(1) << (used * np.uint64(8) & np.uint64(63))) - np.uint64(1)), lane)
-        out[which] = mix(out[which] ^ lane) + np.uint64(1)
-        more = left > 8
-        at, left, which = at[more] + 8, left[more] - 8, which[more]
+    lanes = np.ndarray((len(text) + 1,), "<u8", text + bytes(8), 0, (1,))  # the 8 bytes from each place on
+    out = combine(lengths.astype(np.uint64), 1)
+    at, left, which = starts, lengths, None
+    while len(at):
+        lane = lanes[at]
+        short = np.flatnonzero(left < 8)
+        lane[short] &= (np.uint64(1) << (left[short].astype(np.uint64) << np.uint64(3))) - np.uint64(1)
+        if which is None:
+            out = combine(out, lane)
+            which = np.flatnonzero(left > 8)
+            at, left = at[which] + 8, left[which] - 8
+        else:
+            out[which] = combine(out[which], lane)
+            more = left > 8
+            at, left, which = at[more] + 8, left[more] - 8, which[more]
     return out
+
+
+class FixedFilter:
+    """A Bloom filter of FILTER_BITS bits over 64-bit hashes, built by an aggregation; 8 MB at any input."""
+
+    SHIFTS = (0, 13, 26, 38)
+
+    def __init__(self, hashes: DataFrame):
+        (name,) = hashes.columns
+        spot = F.explode(F.array(*[F.shiftrightunsigned(F.col(name), s).bitwiseAND(F.lit(FILTER_BITS - 1)) for s in self.SHIFTS]))
+        words = hashes.select(spot.alias("spot")).groupBy(F.shiftright("spot", 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, int(spot & 63))")).alias("bits"))
+        table = words.toArrow()  # FILTER_BITS / 64 rows at most
+        bits = np.zeros(FILTER_BITS // 64, np.int64)
+        bits[table.column("at").to_numpy()] = table.column("bits").to_numpy()
+        self.shared = hashes.sparkSession.sparkContext.broadcast(bits.view(np.uint64))
+
+    def probe(self) -> Callable[[np.ndarray], np.ndarray]:
+        shared, shifts = self.shared, self.SHIFTS
+
+        def held(hashes: np.ndarray) -> np.ndarray:
+            out = np.ones(len(hashes), bool)
+            for s in shifts:
+                spot = hashes >> np.uint64(s) & np.uint64(FILTER_BITS - 1)
+                out &= (shared.value[spot >> np.uint64(6)] >> (spot & np.uint64(63)) & np.uint64(1)).astype(bool)
+            return out
+
+        return held
+
+    def column(self, hashed: Column) -> Column:
+        """Whether a column of hashes may be among those of the filter: surely not, if false."""
+        held = self.probe()
+        return F.pandas_udf(lambda part: pd.Series(held(part.to_numpy(np.int64).view(np.uint64))), "boolean")(hashed)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_words, mix
+from .common import combine, hash_words
 
 RUN, WINNOW, BAND, LEAST_COVERAGE = 3, 4, 8, 0.8
 #: All templates together; they go to every task.
@@ -76,7 +76,7 @@ def runs_of(hashes: np.ndarray) -> np.ndarray:
     n = max(0, len(hashes) - RUN + 1)
     out = np.zeros(n, np.uint64)
     for i in range(RUN):
-        out = mix(out * np.uint64(0x9E3779B97F4A7C15) + hashes[i : i + n])
+        out = combine(out, hashes[i : i + n])
     return out
 
 

@@ -26,61 +26,30 @@ fills up only lets more windows in.
 from __future__ import annotations
 
 import hashlib
-import struct
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import hash_words, mix, settle
+from .common import FixedFilter, combine, hash_words, settle
 
 WINDOW, ANCHOR = 20, 12
 #: One word run in so many ends a stretch.
 STRETCH = 64
-FILTER_BITS = 1 << 26
-KEY = "<qi"
 BATCHES, MOST_RUNS = 2, 4
 LAST = (1 << 63) - 1  # place of documents without id
 
 
-class FixedFilter:
-    """A Bloom filter of FILTER_BITS bits over 64-bit hashes, built by an aggregation; 8 MB at any input."""
-
-    SHIFTS = (0, 13, 26, 38)
-
-    def __init__(self, hashes: DataFrame):
-        (name,) = hashes.columns
-        spot = F.explode(F.array(*[F.shiftrightunsigned(F.col(name), s).bitwiseAND(F.lit(FILTER_BITS - 1)) for s in self.SHIFTS]))
-        words = hashes.select(spot.alias("spot")).groupBy(F.shiftright("spot", 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, int(spot & 63))")).alias("bits"))
-        table = words.toArrow()  # FILTER_BITS / 64 rows at most
-        bits = np.zeros(FILTER_BITS // 64, np.int64)
-        bits[table.column("at").to_numpy()] = table.column("bits").to_numpy()
-        self.shared = hashes.sparkSession.sparkContext.broadcast(bits.view(np.uint64))
-
-    def probe(self) -> Callable[[np.ndarray], np.ndarray]:
-        shared, shifts = self.shared, self.SHIFTS
-
-        def held(hashes: np.ndarray) -> np.ndarray:
-            out = np.ones(len(hashes), bool)
-            for s in shifts:
-                spot = hashes >> np.uint64(s) & np.uint64(FILTER_BITS - 1)
-                out &= (shared.value[spot >> np.uint64(6)] >> (spot & np.uint64(63)) & np.uint64(1)).astype(bool)
-            return out
-
-        return held
-
-
 def _runs(words: np.ndarray, size: int) -> np.ndarray:
     """Hash of each run of size words, by doubling."""
     out, have = words, 1
     while have < size:
         step = min(have, size - have)
-        out = mix(out[: len(out) - step] * np.uint64(0x9E3779B97F4A7C15) + (out[step:] ^ np.uint64(have)))
+        out = combine(out[: len(out) - step], out[step:])
         have += step
     return out
 
@@ -99,19 +68,22 @@ class Page:
         self.starts = self.ends - lengths
         self.word_hash = hash_words(self.joined, self.starts, lengths)
 
-    def key(self, first: int, last: int) -> tuple[int, int]:
-        """Fingerprint of the words first..last: 64 bits to find by and 32 to verify, as signed numbers."""
-        return struct.unpack(KEY, xxhash.xxh3_128_digest(self.joined[self.starts[first] : self.ends[last]])[:12])
+    def keys(self, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Fingerprints of the words first..last: 64 bits to find by and 32 to verify, as signed numbers."""
+        text, digest = self.joined, xxhash.xxh3_128_digest
+        rows = b"".join([digest(text[a:b]) for a, b in zip(self.starts[first].tolist(), self.ends[last].tolist())])
+        both = np.frombuffer(rows, [("k1", "<i8"), ("k2", "<i4"), ("rest", "<i4")])
+        return both["k1"], both["k2"]
 
     def stretches(self) -> np.ndarray:
         """First window of each stretch."""
         ends = np.flatnonzero(_runs(self.word_hash, 3)[: self.windows] % np.uint64(STRETCH) == 0)
         return np.unique(np.append(ends, 0))
 
-    def stretch_keys(self) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]:
+    def stretch_keys(self) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray]]:
         first = self.stretches()
         span = np.diff(np.append(first, self.windows))
-        return first, span, [self.key(a, a + n + WINDOW - 2) for a, n in zip(first.tolist(), span.tolist())]
+        return first, span, self.keys(first, first + span + WINDOW - 2)
 
     def anchors(self) -> np.ndarray:
         """For each window the least hash of its runs of ANCHOR words."""
@@ -124,6 +96,9 @@ class Page:
 
     def repeats(self) -> np.ndarray:
         """Windows whose words also start earlier in this document."""
+        order = np.sort(_runs(self.word_hash, 8))
+        if not (order[1:] == order[:-1]).any():  # shorter runs, and none of them twice
+            return np.zeros(0, np.int64)
         whole = _runs(self.word_hash, WINDOW)
         order = np.sort(whole)
         again = order[1:][order[1:] == order[:-1]]
@@ -158,21 +133,24 @@ def _pages(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, Page]]:
 
 
 def _anchor_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The anchors of windows with the stretches that they start in, each pair once for some documents of the task."""
     held, parts = 0, []
 
     def flush() -> pa.RecordBatch:
-        both = np.unique(np.concatenate(parts)) if parts else np.zeros(0, [("anchor", "<u8"), ("stretch", "<i8")])
-        return pa.record_batch([pa.array(both["anchor"].view(np.int64)), pa.array(both["stretch"])], names=["anchor", "stretch"])
+        anchors, stretches = (np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        both = combine(anchors, stretches.view(np.uint64))
+        order = np.argsort(both)
+        anchors, stretches = anchors[order], stretches[order]
+        first = np.append(True, (anchors[1:] != anchors[:-1]) | (stretches[1:] != stretches[:-1]))[: len(order)]
+        return pa.record_batch([pa.array(anchors[first].view(np.int64)), pa.array(stretches[first])], names=["anchor", "stretch"])
 
     for _, page in _pages(batches):
         if page.windows:
-            first, span, keys = page.stretch_keys()
-            anchors, stretch = page.anchors(), np.repeat(np.array([k[0] for k in keys], np.int64), span)
+            _, span, keys = page.stretch_keys()
+            anchors, stretch = page.anchors(), np.repeat(keys[0], span)
             new = np.flatnonzero(np.append(True, (anchors[1:] != anchors[:-1]) | (stretch[1:] != stretch[:-1])))
-            part = np.empty(len(new), [("anchor", "<u8"), ("stretch", "<i8")])
-            part["anchor"], part["stretch"] = anchors[new], stretch[new]
-            parts.append(part)
-            held += len(part)
+            parts.append((anchors[new], stretch[new]))
+            held += len(new)
             if held > 1_000_000:
                 yield flush()
                 held, parts = 0, []
@@ -183,42 +161,42 @@ _PLACES = "k1 long, k2 int, place long, at int, span int, again boolean"
 _FIELDS = [("k1", pa.int64()), ("k2", pa.int32()), ("place", pa.int64()), ("at", pa.int32()), ("span", pa.int32()), ("again", pa.bool_())]
 
 
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    columns = zip(*rows) if rows else [[]] * len(_FIELDS)
-    return pa.record_batch([pa.array(list(c), k) for c, (_, k) in zip(columns, _FIELDS)], names=[n for n, _ in _FIELDS])
-
-
-def _emit(rows: Iterable[tuple[tuple[int, int], int, int, int]]) -> Iterator[pa.RecordBatch]:
-    """Batches of (key, place, at, span); of one key's places in the task the first keeps its key, the others are known to repeat it."""
-    first: dict[tuple[int, int], tuple[int, int, int]] = {}
-    again: list[tuple] = []
+def _emit(parts: Iterable[tuple]) -> Iterator[pa.RecordBatch]:
+    """Batches of (keys, place, at, span); a place that repeats another of the task is marked, and its key given up."""
+    waiting: list[list] = []
+    held = 0
 
     def flush() -> pa.RecordBatch:
-        # a repetition needs no key; its place deals it anywhere
-        return _batch([(*k, *v, False) for k, v in first.items()] + [((p * 0x9E3779B97F4A7C15 + a) % (1 << 63), 0, p, a, n, True) for p, a, n in again])
-
-    for key, *here in rows:
-        here, old = tuple(here), first.get(key)
-        if old is None or here[:2] < old[:2]:
-            first[key] = here
-        if old is not None and here[:2] != old[:2]:
-            again.append(max(here, old))
-        if len(first) + len(again) > 200_000:
+        k1, k2, place, at, span = (np.concatenate(x) for x in zip(*waiting)) if waiting else (np.zeros(0, np.int64),) * 5
+        order = np.lexsort((at, place, k2, k1))
+        k1, k2, place, at, span = (x[order] for x in (k1, k2, place, at, span))
+        twin = (k1[1:] == k1[:-1]) & (k2[1:] == k2[:-1])
+        head = np.maximum.accumulate(np.where(np.append(True, ~twin), np.arange(len(k1)), 0)) if len(k1) else order
+        again = (place != place[head]) | (at != at[head])
+        # a repetition needs no key: its place deals it anywhere
+        k1 = np.where(again, (combine(place.astype(np.uint64), 0) ^ at.astype(np.uint64)).view(np.int64), k1)
+        return pa.record_batch([pa.array(c.astype(k.to_pandas_dtype()), k) for c, (_, k) in zip((k1, k2, place, at, span, again), _FIELDS)], names=[n for n, _ in _FIELDS])
+
+    for (k1, k2), place, at, span in parts:
+        waiting.append([k1, k2, np.full(len(k1), place), at, span])
+        held += len(k1)
+        if held > 300_000:
             yield flush()
-            first, again = {}, []
+            waiting, held = [], 0
     yield flush()
 
 
 def _stretch_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each stretch of several windows."""
 
-    def rows() -> Iterator[tuple]:
+    def parts() -> Iterator[tuple]:
         for place, page in _pages(batches):
             if page.windows:
                 first, span, keys = page.stretch_keys()
-                yield from ((k, place, a, n) for k, a, n in zip(keys, first.tolist(), span.tolist()) if n > 1)
+                wide = span > 1
+                yield (keys[0][wide], keys[1][wide]), place, first[wide], span[wide]
 
-    return _emit(rows())
+    return _emit(parts())
 
 
 def _marked(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -249,7 +227,7 @@ def place_hash(place: int, at: int) -> int:
 def _window_rows(recurs: Callable[[np.ndarray], np.ndarray] | None, is_first: Callable[[np.ndarray], np.ndarray]):
     """A row for each single window that may recur elsewhere (for each, without recurs) and may be a first place."""
 
-    def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple]:
+    def parts(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple]:
         for place, page in _pages(batches):
             if page.windows:
                 first = page.stretches()
@@ -259,9 +237,10 @@ def _window_rows(recurs: Callable[[np.ndarray], np.ndarray] | None, is_first: Ca
                 if recurs and wanted.any():
                     wanted &= recurs(page.anchors())
                 wanted[first[span == 1]] = True  # a stretch of one window has no other row
-                yield from ((page.key(i, i + WINDOW - 1), place, i, 1) for i in np.flatnonzero(wanted).tolist())
+                at = np.flatnonzero(wanted)
+                yield page.keys(at, at + WINDOW - 1), place, at, np.ones(len(at), np.int64)
 
-    return lambda batches: _emit(rows(batches))
+    return lambda batches: _emit(parts(batches))
 
 
 class FingerprintIndex:
@@ -354,9 +333,8 @@ def dedup(docs: DataFrame, batches: int = BATCHES, filtered: bool = True) -> Dat
         single, _ = index.merge(batch.mapInArrow(_window_rows(recurs, is_first), _PLACES))
         found = again.union(single) if found is None else found.union(again).union(single)
     found = settle(found.groupBy("place").agg(F.collect_list(F.struct("at", "span")).alias("places")))
-    touched = FixedFilter(found.select(F.xxhash64("place").alias("place"))).probe()
-    may_hold = F.pandas_udf(lambda hashes: pd.Series(touched(hashes.to_numpy().view(np.uint64))), "boolean")
-    marked = read.withColumn("touched", may_hold(F.xxhash64("place")))
+    touched = FixedFilter(found.select(F.xxhash64("place").alias("place"))).column(F.xxhash64("place"))
+    marked = read.withColumn("touched", touched)
     apart = marked.filter("NOT touched").drop("touched").mapInArrow(_final(False), _RESULT)
     joined = marked.filter("touched").drop("touched").join(found, "place", "left").select("place", "text", "doc_id", "places")
     return apart.union(joined.mapInArrow(_final(True), _RESULT))
