@@ -6,7 +6,7 @@ import time
 
 from pyspark.sql import functions as F
 
-from wardline.plans import batch
+from wardline.plans import batch, wide
 from wardline.sources import readers, writers
 from wardline.streaming import stateful
 
@@ -124,3 +124,16 @@ def test_positions(spark):
     messages = ['{"mmsi": 1, "lat": 0, "lon": 5}', '{"data": {"MMSI": "2", "latitude": 1.5, "longitude": 2.5}}', "nonsense", '{"mmsi": 3}']
     df = spark.createDataFrame([(m,) for m in messages], "value string")
     assert [(r.mmsi, r.lat, r.lon) for r in stateful.positions(df).collect()] == [("1", 0.0, 5.0), ("2", 1.5, 2.5)]
+
+
+def test_wide_rows(spark):
+    resolved = spark.createDataFrame(
+        [(1, "Мира, 5", 0.9, True, "auto", "спор", False, "С1", "R", "3", "A", None, " ", "postgis", 1000.0), (2, None, None, False, None, None, None, None, "X", "y", None, None, None, "?", None)],
+        "row_id int, normalized_address string, confidence double, needs_manual_review boolean, level string, case_type string, exclusive boolean, court_name string, region string, section_num string, address string, email string, phone string, source string, debt_amount double",
+    )
+    regions = spark.createDataFrame([("R", "52MS", "http://r")], "region string, region_code string, site string")
+    details = spark.createDataFrame([("R", 3, *"1234567")], "region string, section_num int, " + ", ".join(f"`{c}` string" for c in wide.DETAILS))
+    out = {r.row_id: r.asDict() for r in wide.wide_rows(resolved, regions, details).collect()}
+    assert len(out[1]) == 50 and all(isinstance(v, str) for k, v in out[2].items() if k != "row_id")
+    assert (out[1]["Код суда"], out[1]["Требует проверки"], out[1]["Госпошлина, руб."], out[1]["Банк"], out[1]["Телефон суда"]) == ("52MS3", "Да", "32.00", "7", "")
+    assert out[2]["Код суда"] == "" and out[2]["Источник данных"] == ""

@@ -5,8 +5,8 @@ import random
 
 from pyspark.sql import functions as F
 
-from wardline.functions import geo, ranges, text
-from wardline.operators import joins
+from wardline.functions import address, geo, ranges, text
+from wardline.operators import joins, quality
 
 RULES = "rule_order int, section_num string, region string, area_text string, street_pattern string, house_from int, house_to int, house_parity string, house_suffix string, house_step int"
 ONE = (1, "1", "Нижегородская область", "Нижний Новгород", r"ул\.\s*Ватутина", 1, 20, None, None, None)
@@ -104,3 +104,26 @@ def test_house_ranges(spark):
     assert got("3, 10") == [(3, 3, None, None), (10, 10, None, None)]
     assert got("5") == [(5, 5, None, None)] and got("") == []
     assert [r.street for r in one(spark, ranges.statute_rules(F.lit("Улицы: Мира, дома 1-9 нечет; ул. Ленина 2-8. ")))] == ["Мира", "Ленина"]
+
+
+def test_addresses(spark):
+    def parsed(value, mode="fixed"):
+        return one(spark, address.parse(F.lit(value), mode))
+
+    assert parsed("634000, г. Томск, ул Ленина, д 5").region == "Томская область"
+    assert parsed("634000, г. Томск", "compat").region == "Омская область"
+    for value, region in (("г. Москва", "Москва"), ("Московская обл., г. Химки", "Московская область"), ("Удмуртия Респ, Ижевск", "Удмуртская Республика"), ("Республика Крым", "Республика Крым"), ("Чукотский АО", "Чукотский АО"), ("Алтайский край", "Алтайский край"), ("nowhere", None)):
+        assert parsed(value).region == region, value
+    p = parsed("603950, Нижегородская обл, г. Нижний Новгород, ул. Ватутина, д. 10А")
+    assert (p.region, p.district, p.street, p.house) == ("Нижегородская область", "Нижний Новгород", "Ватутина", "10")
+    assert one(spark, address.plausible_street(F.lit("Мира"))) and not one(spark, address.plausible_street(F.lit("д. 5")))
+
+
+def test_ring_faults_and_verification(spark):
+    square = [(0.0, 0.0), (2.0, 0.0), (2.0, 2.0), (0.0, 2.0)]
+    bow = [(0.0, 0.0), (2.0, 2.0), (2.0, 0.0), (0.0, 2.0)]
+    shift = [(x + 1, y + 1) for x, y in square]
+    rings = [(1, square), (2, shift), (3, bow), (4, None), (5, square[:2]), (6, [(x + 9, y) for x, y in square])]
+    areas = spark.createDataFrame([(i, r and [{"x": x, "y": y} for x, y in r]) for i, r in rings], "area_id int, ring array<struct<x:double,y:double>>")
+    got = {r.area_id: (r.fault, r.overlaps, r.status) for r in quality.verification(areas).collect()}
+    assert got == {1: (None, 1, "warning"), 2: (None, 1, "warning"), 3: ("crosses itself", 0, "error"), 4: ("missing", 0, "error"), 5: ("too few corners", 0, "error"), 6: (None, 0, "ok")}

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wardline.functions import geo, grades, text
-from wardline.operators import joins, reports, resolve
+from wardline.functions import address, geo, grades, text
+from wardline.operators import joins, quality, reports, resolve
 
 from .registry import Tables, query, sql_round
 
@@ -191,3 +191,54 @@ def q_source_grades(t: Tables) -> DataFrame:
     kind = F.col("event_type")
     source = F.when(kind == "view", "the provider").when(kind == "click", "court_districts").when(kind == "error", "courts_geo").otherwise("x")
     return t.events.select("event_id", grades.source_confidence(source, F.lit(1), F.lit(False)).alias("confidence"))
+
+
+@query("SELECT c_custkey, CASE c_custkey % 6 WHEN 0 THEN 'Омская область' WHEN 1 THEN 'Томская область' WHEN 2 THEN 'Республика Татарстан' WHEN 3 THEN 'Пермский край' WHEN 4 THEN 'Республика Коми' END AS region FROM customer")
+def q_address_region(t: Tables) -> DataFrame:
+    """Regions named in addresses, or of the city that they name."""
+    k = F.col("c_custkey")
+    written = F.element_at(F.array(*[F.lit(x) for x in ("644000, г Омск, ул Мира", "г. Томск", "город Казань, д. 5", "614000, Пермский край, Пермь", "Коми Респ, г Ухта", "Kazan")]), (k % 6 + 1).cast("int"))
+    parsed = address.parse(F.concat(written, F.lit(", "), "c_name"))
+    return t.customer.select("c_custkey", parsed["region"].alias("region"))
+
+
+@query("SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 'Советский' WHEN 1 THEN 'Приокский' WHEN 2 THEN 'Нижний Новгород' ELSE 'Ивановка' END AS district FROM customer")
+def q_address_district(t: Tables) -> DataFrame:
+    k = F.col("c_custkey")
+    written = F.element_at(F.array(*[F.lit(x) for x in ("г. Город, Советский район, 5", "Приокский р-н, д. 1", "г Нижний  Новгород, ул. Мира", "село Ивановка")]), (k % 4 + 1).cast("int"))
+    return t.customer.select("c_custkey", address.district_of(written).alias("district"))
+
+
+@query(
+    f"""SELECT count(*) AS n, {sql_round("avg(CASE WHEN c_custkey % 5 <> 0 THEN 1 ELSE 0 END) * 100.0::DOUBLE", 1)} AS found_a, 100.0::DOUBLE AS found_b, {sql_round("avg(CASE WHEN c_custkey % 5 <> 0 AND c_custkey % 3 <> 0 THEN 1 ELSE 0 END) * 100.0::DOUBLE", 1)} AS alike FROM customer"""
+)
+def q_compare_resolvers(t: Tables) -> DataFrame:
+    """How often two resolvers agree."""
+    k = F.col("c_custkey")
+    a = t.customer.select(k.alias("row_id"), F.when(k % 5 != 0, F.concat(F.lit("Судебный участок №"), k.cast("string"))).alias("court_name"))
+    b = t.customer.select(k.alias("row_id"), F.concat(F.lit("участок № "), F.when(k % 3 != 0, k).otherwise(k + 1).cast("string")).alias("court_name"))
+    return quality.compare(a, b)
+
+
+@query(
+    """SELECT * FROM (SELECT p_partkey, p_name FROM (SELECT *, row_number() OVER (PARTITION BY p_name, p_type ORDER BY p_partkey) AS nth FROM part WHERE p_size <= 25) WHERE nth = 1 ORDER BY p_partkey LIMIT 25)
+UNION ALL SELECT * FROM (SELECT p_partkey, p_name FROM (SELECT *, row_number() OVER (PARTITION BY p_name, p_type ORDER BY p_partkey) AS nth FROM part WHERE p_size > 25) WHERE nth = 1 ORDER BY p_partkey LIMIT 25)"""
+)
+def q_stratified_sample(t: Tables) -> DataFrame:
+    """The first 25 distinct rows of each of two strata."""
+    small = F.col("p_size") <= 25
+    return quality.strata(t.part, [small, ~small], 25, ["p_name", "p_type"], F.col("p_partkey")).select("p_partkey", "p_name")
+
+
+@query("SELECT p_partkey, regexp_matches(p_name, '^[a-z][a-z .-]{2,}$') AS ok FROM part")
+def q_plausible_street(t: Tables) -> DataFrame:
+    return t.part.select("p_partkey", address.plausible_street(F.col("p_name")).alias("ok"))
+
+
+@query("SELECT s_suppkey, s_name AS court_name, 'R' || s_nationkey::VARCHAR AS region, CASE WHEN s_suppkey % 2 = 0 THEN s_suppkey ELSE 0 END::INTEGER AS section_num FROM supplier")
+def q_canonical_courts(t: Tables) -> DataFrame:
+    """Court rows of different shapes under one set of names."""
+    k = F.col("s_suppkey")
+    rows = t.supplier.select(k, F.lit(" ").alias("court_name"), F.col("s_name").alias("name"), F.concat(F.lit("R"), F.col("s_nationkey").cast("string")).alias("court_region"), F.when(k % 2 == 0, k.cast("string")).otherwise("x").alias("section"))
+    made = address.canonical_court(rows.columns)
+    return rows.select("s_suppkey", *[made[n].alias(n) for n in ("court_name", "region", "section_num")])
