@@ -55,7 +55,7 @@ def composite_lookup(rows: DataFrame, details: DataFrame, keys: tuple[str, ...]
 
 def needle_lookup(rows: DataFrame, value: str, needles: DataFrame) -> DataFrame:
     """The region of the first needle that a text holds; needles: pos, needle, region."""
-    pairs = rows.select("row_id", F.lower(F.col(value)).alias("_text")).join(F.broadcast(needles.limit(BROADCAST_ROWS)), F.expr("contains(_text, needle)"))
+    pairs = rows.select("row_id", F.lower(F.col(value)).alias("_text")).join(dimension(needles), F.expr("contains(_text, needle)"))
     first = pairs.groupBy("row_id").agg(F.min_by("region", "pos").alias("region"))
     return rows.join(first, "row_id", "left")
 

@@ -160,7 +160,7 @@ def q_membership(t: Tables) -> DataFrame:
     known = t.supplier.select(F.col("s_nationkey").alias("c_nationkey")).distinct().withColumn("in_set", F.lit(True))
     names = t.customer.select("c_nationkey").distinct()
     key = F.col("c_nationkey").cast("string")
-    alike = names.join(F.broadcast(t.nation), F.contains(F.col("n_name"), key) | F.contains(key, F.col("n_name")), "left_semi").withColumn("in_names", F.lit(True))
+    alike = names.join(joins.dimension(t.nation), F.contains(F.col("n_name"), key) | F.contains(key, F.col("n_name")), "left_semi").withColumn("in_names", F.lit(True))
     joined = t.customer.join(known, "c_nationkey", "left").join(alike, "c_nationkey", "left")
     return joined.select("c_custkey", F.coalesce("in_set", F.lit(False)).alias("known"), F.coalesce("in_names", F.lit(False)).alias("alike"))
 
