@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import combine, hash_words
+from .common import combine, hash_words, pieces
 
 RUN, WINNOW, BAND, LEAST_COVERAGE = 3, 4, 8, 0.8
 #: All templates together; they go to every task.
@@ -175,7 +175,7 @@ def scan(text: bytes, index: Index, least: float = LEAST_COVERAGE) -> Iterator[t
 
 def _scan(index: Index, least: float):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             rows = []
             for doc_id, text in zip(*(c.to_pylist() for c in batch.columns)):
                 for name, matched, coverage, low, high in scan(text, index, least):

@@ -8,6 +8,7 @@ smallest, then closes.
 
 from __future__ import annotations
 
+import unicodedata
 import zlib
 from collections.abc import Iterable, Iterator
 
@@ -18,6 +19,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
+from tokenizers.pre_tokenizers import ByteLevel, WhitespaceSplit
+from tokenizers.pre_tokenizers import Sequence as Pieces
+
+from .common import pieces
 
 CAPACITY = 2048
 END = 0
@@ -60,9 +65,16 @@ class WordIds:
     """
 
     def __init__(self, path: str):
-        self.tokenizer = Tokenizer.from_file(path)
-        # kept between the tasks of one Python worker: words met lately, and those before
-        self.memo: list[dict[bytes, bytes]] = vars(public_tokenizers).setdefault("_word_ids", {}).setdefault(path, [{}, {}])
+        # kept between the tasks of one Python worker
+        loaded = vars(public_tokenizers).setdefault("_loaded", {})
+        if path not in loaded:
+            whole = Tokenizer.from_file(path)
+            # the same model for words of letters that normalising leaves as they are
+            bare = Tokenizer(whole.model)
+            bare.pre_tokenizer = Pieces([WhitespaceSplit(), ByteLevel(add_prefix_space=False, use_regex=False)])
+            loaded[path] = whole, bare
+        self.tokenizer, self.bare = loaded[path]
+        self.memo: list[dict[bytes, bytes]] = [{}, {}]  # words met lately, and those before
 
     def __call__(self, text: bytes) -> bytes:
         """Little-endian unsigned 32-bit ids."""
@@ -87,26 +99,34 @@ class WordIds:
         """Ids of each text. Texts of letters alone are one word each to the tokenizer, which takes them in one go."""
         plain, out = [t.decode() for t in texts], [b""] * len(texts)
         letters = [i for i, t in enumerate(plain) if t.isalpha()]
-        if letters:
-            encoded = self.tokenizer.encode(" ".join([plain[i] for i in letters]), add_special_tokens=False)
-            ids = np.array(encoded.ids, "<u4").tobytes()
-            starts = np.flatnonzero(np.diff(np.array(encoded.word_ids, np.int64), prepend=-1))
-            if len(starts) == len(letters):
-                ends = [*(4 * starts[1:]).tolist(), len(ids)]
-                for i, low, high in zip(letters, (4 * starts).tolist(), ends):
-                    out[i] = ids[low:high]
-            else:
-                letters = []
-        rest = sorted(set(range(len(plain))).difference(letters))
+        small = [i for i in letters if plain[i] == plain[i].lower()]
+        large = sorted(set(letters).difference(small))
+        done = self._each(small, plain, out, self.bare) + self._each(large, plain, out, self.tokenizer)
+        rest = sorted(set(range(len(plain))).difference(done))
         for i, e in zip(rest, self.tokenizer.encode_batch([plain[i] for i in rest], add_special_tokens=False)):
             out[i] = np.array(e.ids, "<u4").tobytes()
         return out
 
+    def _each(self, which: list[int], plain: list[str], out: list[bytes], tokenizer: Tokenizer) -> list[int]:
+        """Set the ids of some words of letters; returns those for which it could."""
+        joined = " ".join([plain[i] for i in which])
+        if not which or tokenizer is self.bare and not unicodedata.is_normalized("NFC", joined):
+            return []
+        encoded = tokenizer.encode(joined, add_special_tokens=False)
+        ids = np.array(encoded.ids, "<u4").tobytes()
+        starts = np.flatnonzero(np.diff(np.array(encoded.word_ids, np.int64), prepend=-1))
+        if len(starts) != len(which):
+            return []
+        ends = [*(4 * starts[1:]).tolist(), len(ids)]
+        for i, low, high in zip(which, (4 * starts).tolist(), ends):
+            out[i] = ids[low:high]
+        return which
+
 
 def _cut(path: str, capacity: int, end: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of, last = WordIds(path), np.array([end], "<u4").tobytes()
-        for batch in batches:
+        for batch in pieces(batches):
             rows = []
             for doc_id, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 ids = ids_of(text or b"") + last
@@ -141,7 +161,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY
     path = tokenizer or public_tokenizers.path("word_bpe_49k.json")
     read = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"))
     groups = max(1, docs.count() // group_rows)
-    pieces = read.mapInArrow(_cut(path, capacity, end), "doc_id long, piece int, start long, length long, ids_crc32 long")
-    dealt = pieces.withColumn("pack", F.pmod(F.xxhash64("doc_id", "piece", F.monotonically_increasing_id()), F.lit(groups)).cast("int"))
+    cut = read.mapInArrow(_cut(path, capacity, end), "doc_id long, piece int, start long, length long, ids_crc32 long")
+    dealt = cut.withColumn("pack", F.pmod(F.xxhash64("doc_id", "piece", F.monotonically_increasing_id()), F.lit(groups)).cast("int"))
     out = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
     return dealt.groupBy("pack").applyInPandas(_pack(capacity), out)

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import FixedFilter, combine, hash_words, settle
+from .common import FixedFilter, combine, hash_words, pieces, settle
 
 WINDOW, ANCHOR = 20, 12
 #: One word run in so many ends a stretch.
@@ -127,7 +127,7 @@ class Page:
 
 
 def _pages(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, Page]]:
-    for batch in batches:
+    for batch in pieces(batches):
         for place, text in zip(*(c.to_pylist() for c in batch.columns[:2])):
             yield place, Page(text)
 
@@ -281,7 +281,7 @@ def _final(placed: bool):
     """Results of documents, with the duplicate places found for them or without any."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             out = []
             extra = batch.column(3).to_pylist() if placed else [None] * batch.num_rows
             for doc_id, text, places in zip(batch.column(2).to_pylist(), batch.column(1).to_pylist(), extra):
