@@ -19,9 +19,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, fresh
+from .common import SPACE, FixedFilter, fewer_files, fresh, pieces, settle
 
-TRIE_BYTES = 96_000_000
+TRIE_BYTES = 32_000_000
 NODE_BYTES = 260
 Value = list  # [code points of the owner, no id?, its id, rows, rows alike in both], least owner first
 
@@ -148,8 +148,8 @@ def _rows(entries: Iterable[tuple[bytes, Value]], content: bool) -> Iterator[pa.
 
 
 def _combine(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    trie = Trie(TRIE_BYTES // 3)
-    for batch in batches:
+    trie = Trie(TRIE_BYTES // 4)
+    for batch in pieces(batches):
         for doc_id, n, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             trie.add(normal(text), [-n, doc_id is None, doc_id or 0, 1, 1])
             if trie.held > trie.budget:
@@ -160,14 +160,14 @@ def _combine(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _own(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     trie = Trie()
-    for batch in batches:
+    for batch in pieces(batches):
         for content, n, doc_id, rows, alike in zip(*(c.to_pylist() for c in batch.columns[2:]), strict=True):
             trie.put(content, [-n, doc_id is None, doc_id or 0, rows, alike])
     yield from _rows(trie.items(), False)
 
 
 def _members(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in pieces(batches):
         keys = [normal(t) for t in batch.column(2).to_pylist()]
         yield pa.record_batch(
             [batch.column(0), batch.column(1), pa.array(map(len, keys), pa.int64()), pa.array([hashlib.sha256(k).digest() for k in keys], pa.binary())],
@@ -205,15 +205,23 @@ def groups(docs: DataFrame) -> DataFrame:
 
 
 def dedup(docs: DataFrame) -> DataFrame:
-    """docs without the copies: of equal texts one row stays, columns unchanged."""
-    sha, nth = fresh(docs, "sha", "nth")
+    """docs without the copies: of equal texts one row stays, columns unchanged.
+
+    Only rows that share their doc_id with a dropped row, or may do so by a filter of
+    fixed size, are joined with the decisions; the others' texts are not moved.
+    """
+    sha, nth, touched = fresh(docs, "sha", "nth", "touched")
     whole = F.sha2(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+", "").cast("binary"), 256)
-    kept = groups(docs).filter("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
+    decided = settle(groups(docs).select("doc_id", "kept", "text_sha256"))
+    dropped = FixedFilter(decided.filter("NOT kept").select(F.xxhash64("doc_id").alias("hash")))
+    marked = docs.withColumn(touched, dropped.column(F.xxhash64(F.col("doc_id").cast("long"))))
+    kept = decided.filter("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
     longest = F.row_number().over(Window.partitionBy("doc_id", sha).orderBy(F.char_length("text").desc_nulls_last()))
-    return (
-        docs.withColumn(sha, whole)
+    looked = (
+        marked.filter(touched)
+        .withColumn(sha, whole)
         .withColumn(nth, longest)
         .filter(F.col(nth) == 1)
         .join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col(sha) == F.col("_sha")), "left_semi")
-        .select(*docs.columns)
     )
+    return fewer_files(marked.filter(~F.col(touched)).select(*docs.columns).union(looked.select(*docs.columns)))

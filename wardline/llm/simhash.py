@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh, settle
+from .common import FixedFilter, fewer_files, fresh, pieces, settle
 
 SHINGLE, SEED, RADIUS = 4, 42, 4
 BANDS, BAND_BITS = 4, 16
@@ -49,7 +49,7 @@ def fingerprint(text: bytes | None) -> int:
 
 
 def _fingerprints(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in pieces(batches):
         yield pa.record_batch([batch.column(0), pa.array([fingerprint(t) for t in batch.column(1).to_pylist()], pa.int64())], names=["doc_id", "fp"])
 
 
@@ -224,7 +224,7 @@ def clusters(docs: DataFrame) -> DataFrame:
     null if there is none. An empty table gives an empty result.
     """
     read = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
-    rows = settle(read.mapInArrow(_fingerprints, "doc_id long, fp long"))
+    rows = settle(fewer_files(read.mapInArrow(_fingerprints, "doc_id long, fp long")))
     each = settle(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
     edges = shards(each, levels_for(docs.sparkSession)).repartition("shard").mapInArrow(_linked, "a long, b long")
     roots = components(edges)
@@ -237,9 +237,14 @@ def clusters(docs: DataFrame) -> DataFrame:
 def dedup(docs: DataFrame) -> DataFrame:
     """docs with one document of each component, that of the smallest doc_id; columns unchanged.
 
-    Rows that repeat a doc_id stay or go together; those without one stay only where
+    Only rows that may be dropped, by a filter of fixed size, are joined with the
+    decisions; the others' texts are not moved. Rows that repeat a doc_id stay or go together; those without one stay only where
     their component has no id at all.
     """
-    (key,) = fresh(docs, "id")
-    kept = clusters(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(key)).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col(key)), "left_semi").select(*docs.columns)
+    key, touched = fresh(docs, "id", "touched")
+    decided = settle(clusters(docs).select("doc_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept")))
+    dropped = FixedFilter(decided.filter("NOT kept").select(F.xxhash64("doc_id").alias("hash")))
+    marked = docs.withColumn(touched, dropped.column(F.xxhash64(F.col("doc_id").cast("long"))))
+    kept = decided.filter("kept").select(F.col("doc_id").alias(key)).distinct()
+    looked = marked.filter(touched).join(kept, F.col("doc_id").eqNullSafe(F.col(key)), "left_semi")
+    return fewer_files(marked.filter(~F.col(touched)).select(*docs.columns).union(looked.select(*docs.columns)))

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_of_id, fresh
+from .common import crc_of_id, fewer_files, fresh
 
 ORDERS = (3, 4, 5)
 FEATURE_BITS = 19
@@ -50,29 +50,40 @@ def features(text: bytes | None, seen: np.ndarray) -> np.ndarray:
 def fit(texts: list[bytes | None], labels: np.ndarray, prior: float = PRIOR) -> tuple[np.ndarray, float]:
     """Weight of each feature, and the bias, for texts with labels 0 and 1; prior: the share of 1 at large."""
     size, seen = 1 << FEATURE_BITS, np.zeros(1 << FEATURE_BITS, bool)
-    rows = [features(t, seen).astype(np.int32) for t in texts]
     weights = np.zeros(size, np.float32)
     if len(set(labels.tolist())) < 2:  # nothing to tell apart
         return weights, float(np.log(prior / (1 - prior)))
-    often = np.bincount(np.concatenate(rows), minlength=size)
-    toxic_often = np.bincount(np.concatenate([r for r, y in zip(rows, labels) if y == 1]), minlength=size)
+    often, toxic_often = np.zeros(size, np.int64), np.zeros(size, np.int64)
+    for t, y in zip(texts, labels):
+        found = features(t, seen)
+        often[found] += 1
+        if y == 1:
+            toxic_often[found] += 1
     here = labels.mean()
-    surprise = (toxic_often - often * here) / np.sqrt(np.maximum(often, 1) * here * (1 - here) * np.maximum(1 - often / len(rows), 1e-3))
+    surprise = (toxic_often - often * here) / np.sqrt(np.maximum(often, 1) * here * (1 - here) * np.maximum(1 - often / len(texts), 1e-3))
     kept = np.flatnonzero((often >= LEAST_TEXTS) & (np.abs(surprise) >= SURPRISE))
     place = np.full(size, -1, np.int32)
     place[kept] = np.arange(len(kept), dtype=np.int32)
-    rows = [x[x >= 0] for x in (place[r] for r in rows)]
-    lengths = np.array([len(r) for r in rows])
-    flat, owner = np.concatenate(rows), np.repeat(np.arange(len(rows)), lengths)
-    toxic = labels[owner] == 1
-    rates = [np.bincount(flat[m], minlength=len(kept)) + SMOOTH for m in (toxic, ~toxic)]
-    ratio = np.log(rates[0] / rates[0].sum()) - np.log(rates[1] / rates[1].sum())
-    values, n = ratio[flat], len(rows)
+    rows = []
+    for t in texts:  # looked at once more, so that only what is kept is held
+        found = place[features(t, seen)]
+        rows.append(found[found >= 0])
+    lengths, flat = np.array([len(r) for r in rows]), np.concatenate(rows)
+    del rows
+    ends = np.append(0, np.cumsum(lengths))
+    blocks = [(i, min(i + 250, len(texts))) for i in range(0, len(texts), 250)]  # what is derived from flat is held for one of them
+    toxic_rate, clean_rate = toxic_often[kept] + SMOOTH, (often - toxic_often)[kept] + SMOOTH
+    ratio = np.log(toxic_rate / toxic_rate.sum()) - np.log(clean_rate / clean_rate.sum())
     w, bias, moment, speed = np.zeros(len(kept)), 0.0, np.zeros(len(kept) + 1), np.zeros(len(kept) + 1)
     for step in range(1, STEPS + 1):
-        margin = np.bincount(owner, weights=values * w[flat], minlength=n) + bias
-        error = 1 / (1 + np.exp(-np.clip(margin, -30, 30))) - labels
-        slope = np.append(np.bincount(flat, weights=values * error[owner], minlength=len(kept)) / n + PENALTY * w / n, error.mean())
+        slope = np.append(PENALTY * w, 0.0)
+        for low, high in blocks:
+            found, owner = flat[ends[low] : ends[high]], np.repeat(np.arange(high - low), lengths[low:high])
+            margin = np.bincount(owner, weights=(ratio * w)[found], minlength=high - low) + bias
+            error = 1 / (1 + np.exp(-np.clip(margin, -30, 30))) - labels[low:high]
+            slope[:-1] += ratio * np.bincount(found, weights=error[owner], minlength=len(kept))
+            slope[-1] += error.sum()
+        slope /= len(texts)
         moment = 0.9 * moment + 0.1 * slope
         speed = 0.999 * speed + 0.001 * slope * slope
         change = RATE * (moment / (1 - 0.9**step)) / (np.sqrt(speed / (1 - 0.999**step)) + 1e-8)
@@ -143,4 +154,4 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) ->
     """docs whose score stays under the threshold, columns unchanged."""
     (name,) = fresh(docs, "score")
     scored = docs.withColumn(name, scorer(train(docs, labels, fit_rows), docs.sparkSession))
-    return scored.filter(F.col(name) < THRESHOLD).select(*docs.columns)
+    return fewer_files(scored.filter(F.col(name) < THRESHOLD).select(*docs.columns))
