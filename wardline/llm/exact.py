@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, FixedFilter, fewer_files, fresh, pieces, settle
+from .common import SPACE, FixedFilter, fewer_files, fresh, pieces, settle, small_batches
 
 TRIE_BYTES = 32_000_000
 NODE_BYTES = 260
@@ -184,7 +184,7 @@ def groups(docs: DataFrame) -> DataFrame:
     an empty result; other columns are ignored.
     """
     text = F.coalesce("text", F.lit(""))
-    read = docs.select(F.col("doc_id").cast("long"), F.char_length(text).cast("long").alias("n"), text.cast("binary").alias("text"))
+    read = small_batches(docs).select(F.col("doc_id").cast("long"), F.char_length(text).cast("long").alias("n"), text.cast("binary").alias("text"))
     owners = (
         read.mapInArrow(_combine, _TEXTS)
         .repartition("length", "sha")

@@ -22,7 +22,7 @@ from tokenizers import Tokenizer
 from tokenizers.pre_tokenizers import ByteLevel, WhitespaceSplit
 from tokenizers.pre_tokenizers import Sequence as Pieces
 
-from .common import pieces
+from .common import pieces, small_batches
 
 CAPACITY = 2048
 END = 0
@@ -159,7 +159,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY
     at most a few sequences of each group stay part empty.
     """
     path = tokenizer or public_tokenizers.path("word_bpe_49k.json")
-    read = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"))
+    read = small_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"))
     groups = max(1, docs.count() // group_rows)
     cut = read.mapInArrow(_cut(path, capacity, end), "doc_id long, piece int, start long, length long, ids_crc32 long")
     dealt = cut.withColumn("pack", F.pmod(F.xxhash64("doc_id", "piece", F.monotonically_increasing_id()), F.lit(groups)).cast("int"))

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_of_id, fewer_files, fresh
+from .common import crc_of_id, fewer_files, fresh, small_batches
 
 ORDERS = (3, 4, 5)
 FEATURE_BITS = 19
@@ -116,7 +116,7 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> tuple
     order = [F.xxhash64(F.lit(3), F.col("doc_id")), F.col("doc_id")]
     picked = known.filter("toxic = 1").orderBy(*order).limit(half).union(known.filter("toxic = 0").orderBy(*order).limit(half))
     picked = F.broadcast(picked)  # fit_rows rows at most
-    sample = docs.join(picked, "doc_id").select(F.col("text").cast("binary").alias("text"), "toxic", "doc_id")
+    sample = small_batches(docs).join(picked, "doc_id").select(F.col("text").cast("binary").alias("text"), "toxic", "doc_id")
     sample = sample.orderBy(*order, F.xxhash64("text")).limit(fit_rows).select("text", "toxic").coalesce(1)
     row = sample.mapInArrow(_fit, "weights binary, bias double").collect()
     if not row:
