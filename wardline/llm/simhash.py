@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import FixedFilter, fewer_files, fresh, pieces, settle
+from .common import FixedFilter, fewer_files, fresh, pieces, settle, small_batches
 
 SHINGLE, SEED, RADIUS = 4, 42, 4
 BANDS, BAND_BITS = 4, 16
@@ -196,7 +196,7 @@ def levels_for(spark: SparkSession) -> int:
     Each vantage point halves the largest shard and makes the rows 1.5 times as many.
     """
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return min(len(VANTAGE), max(1, math.ceil(math.log(max(tasks, 8) / 8, 3))))
+    return min(len(VANTAGE), max(2, math.ceil(math.log(max(tasks, 8) / 8, 3))))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -223,7 +223,7 @@ def clusters(docs: DataFrame) -> DataFrame:
     equal fingerprints are always linked. A null doc_id gets its component's smallest id,
     null if there is none. An empty table gives an empty result.
     """
-    read = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
+    read = small_batches(docs).select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
     rows = settle(fewer_files(read.mapInArrow(_fingerprints, "doc_id long, fp long")))
     each = settle(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
     edges = shards(each, levels_for(docs.sparkSession)).repartition("shard").mapInArrow(_linked, "a long, b long")
