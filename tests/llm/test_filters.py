@@ -64,6 +64,20 @@ def test_trie_spills_and_returns_every_key():
     assert all(v[2] == keys.index(k) for k, v in got.items())
 
 
+def test_trie_with_a_shared_beginning_and_a_key_over_budget():
+    head, chain = b"h" * 2000, [b"c" * n for n in range(1, 150)]
+    draw = random.Random(2)
+    keys = [head + b"%d," % i * draw.randint(1, 9) for i in range(900)] + [head + b"long" * 9000, b"x" * 30_000, *chain, b""]
+    trie, want = exact.Trie(budget=20_000), {}
+    for key in keys * 2:
+        owner = [-len(key), False, draw.randrange(100)]
+        trie.put(key, [*owner, 1, 1])
+        want[key] = min(want.get(key, owner), owner)
+    assert trie.spilled
+    got = [(k, v[:3], v[3]) for k, v in trie.items()]
+    assert sorted(got) == sorted((k, o, 2) for k, o in want.items())
+
+
 def brute_simhash(text):
     words = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     if not words:

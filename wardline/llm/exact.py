@@ -27,10 +27,11 @@ Value = list  # [code points of the owner, no id?, its id, rows, rows alike in b
 
 
 class _Node:
-    __slots__ = ("label", "below", "value")
+    __slots__ = ("label", "below", "value", "file", "path")
 
     def __init__(self, label: bytes, value: Value | None = None):
         self.label, self.below, self.value = label, {}, value
+        self.file, self.path = None, None
 
 
 def _shared(a: bytes, b: bytes, at: int) -> int:
@@ -53,24 +54,27 @@ def _merge(old: Value | None, new: Value) -> Value:
 
 
 class Trie:
-    """Compressed radix trie from byte strings to owners."""
+    """Compressed radix trie from byte strings to owners.
+
+    Of a spilled subtree a stub of one byte stays (below is None), whose keys go to its
+    file from there on. What all keys of a file begin with is kept once, as the path.
+    """
 
     def __init__(self, budget: int = TRIE_BYTES):
         self.budget, self.held, self.root = budget, 0, _Node(b"")
-        self.size: dict[int, int] = {}  # bytes under each first byte
-        self.spilled: dict[int, object] = {}
+        self.spilled: list[tuple[object, bytes]] = []  # with what comes before their keys
 
     def add(self, key: bytes, value: Value) -> None:
-        if key and key[0] in self.spilled:
-            pickle.dump((key[1:], value), self.spilled[key[0]])
-            return
-        node, at, grown = self.root, 0, 0
+        node, at = self.root, 0
         while at < len(key):
             child = node.below.get(key[at])
             if child is None:
                 node.below[key[at]] = _Node(key[at:], value)
-                grown += len(key) - at + NODE_BYTES
-                break
+                self.held += len(key) - at + NODE_BYTES
+                return
+            if child.below is None:
+                pickle.dump((key[at:], value), child.file)
+                return
             if key.startswith(child.label, at):
                 node, at = child, at + len(child.label)
                 continue
@@ -79,13 +83,9 @@ class Trie:
             child.label = child.label[n:]
             upper.below[child.label[0]] = child
             node.below[key[at]] = upper
-            grown += NODE_BYTES
+            self.held += NODE_BYTES
             node, at = upper, at + n
-        else:
-            node.value = _merge(node.value, value)
-        if grown:
-            self.held += grown
-            self.size[key[0]] = self.size.get(key[0], 0) + grown
+        node.value = _merge(node.value, value)
 
     def _walk(self, node: _Node, prefix: bytes) -> Iterator[tuple[bytes, Value]]:
         stack = [(node, prefix)]
@@ -94,21 +94,73 @@ class Trie:
             prefix += node.label
             if node.value is not None:
                 yield prefix, node.value
-            stack.extend((x, prefix) for x in node.below.values())
-
-    def spill(self) -> None:
-        """Move the largest subtree to a file; later keys under it follow there."""
-        first = max(self.size, key=self.size.get)
-        out = self.spilled[first] = tempfile.TemporaryFile()
-        for key, value in self._walk(self.root.below.pop(first), b""):
-            pickle.dump((key[1:], value), out)
-        self.held -= self.size.pop(first)
+            stack.extend((x, prefix) for x in (node.below or {}).values())
+
+    def _sizes(self) -> tuple[dict[int, int], set[int]]:
+        """Bytes held under each node, and the nodes that have stubs below; by id."""
+        nodes, above = [self.root], [0]
+        for i, node in enumerate(nodes):  # grows as it is read
+            below = (node.below or {}).values()
+            nodes.extend(below)
+            above.extend([i] * len(below))
+        sizes = [0 if n.below is None else len(n.label) + NODE_BYTES for n in nodes]
+        cut = [n.below is None for n in nodes]
+        for i in range(len(nodes) - 1, 0, -1):
+            sizes[above[i]] += sizes[i]
+            cut[above[i]] |= cut[i]
+        return {id(n): s for n, s in zip(nodes, sizes)}, {id(n) for n, c in zip(nodes, cut) if c}
+
+    def _new_file(self, path: bytes):
+        self.spilled.append((tempfile.TemporaryFile(), path))
+        return self.spilled[-1][0]
+
+    def spill(self) -> bool:
+        """Move subtrees to files, the largest first, until half the budget is free; False if there are none.
+
+        They are cut below the last node that holds over half of all, so neither one
+        long key nor a long beginning that keys share is written again.
+        """
+        sizes, cut = self._sizes()
+        node, labels = self.root, []
+        while node.below:
+            heavy = max(node.below.values(), key=lambda x: sizes[id(x)])
+            if sizes[id(heavy)] <= self.held / 2:
+                break
+            node = heavy
+            labels.append(node.label)
+        found, open_ = [], [(node, labels)]
+        while open_:
+            site, labels = open_.pop()
+            for child in (site.below or {}).values():
+                if child.below is not None:
+                    if id(child) in cut:
+                        open_.append((child, [*labels, child.label]))
+                    else:
+                        found.append((sizes[id(child)], site, labels, child))
+        for size, site, labels, child in sorted(found, key=lambda x: -x[0]):
+            if self.held <= self.budget / 2:
+                break
+            if site.path is None:
+                site.path = b"".join(labels)
+            stub = _Node(child.label[:1])
+            if size > self.budget / 64:
+                stub.file = self._new_file(site.path)
+            else:  # small subtrees share a file
+                site.file = site.file or self._new_file(site.path)
+                stub.file = site.file
+            stub.below = None
+            for entry in self._walk(child, b""):
+                pickle.dump(entry, stub.file)
+            site.below[child.label[0]] = stub
+            self.held -= size
+        return bool(found)
 
     def items(self) -> Iterator[tuple[bytes, Value]]:
-        """All entries; each spilled subtree is read back into a trie of its own."""
+        """All entries; each file is read back into a trie of its own, and so are the files that this makes."""
         yield from self._walk(self.root, b"")
-        self.root = _Node(b"")
-        for first, file in self.spilled.items():
+        waiting, self.root, self.spilled = self.spilled, _Node(b""), []
+        while waiting:
+            file, path = waiting.pop()
             file.seek(0)
             part = Trie(self.budget)
             try:
@@ -116,14 +168,14 @@ class Trie:
                     part.put(*pickle.load(file))
             except EOFError:
                 file.close()
-            for key, value in part.items():
-                yield bytes([first]) + key, value
+            yield from self._walk(part.root, path)
+            waiting.extend((f, path + p) for f, p in part.spilled)
 
     def put(self, key: bytes, value: Value) -> None:
-        """add, within the budget."""
+        """add, within the budget as far as entries can be parted."""
         self.add(key, value)
-        while self.held > self.budget and self.size:
-            self.spill()
+        while self.held > self.budget and self.spill():
+            pass
 
 
 def normal(text: bytes | None) -> bytes:
