@@ -64,6 +64,14 @@ def test_whole_table_and_odd_rows(spark):
     assert substring.dedup(empty(spark)).count() == 0
 
 
+def test_rows_that_share_their_place(spark):
+    earlier, own, other = (" ".join(f"{c}{i}" for i in range(60)) for c in "abc")
+    table = [(1, earlier), (None, earlier), (None, own), (None, other), (None, "b " + own), (None, own), (5, earlier), (5, other)]
+    docs = spark.createDataFrame(table, "doc_id long, text string")
+    for batches in (1, 2):
+        assert sorted(map(str, rows(substring.dedup(docs, batches)))) == sorted(map(str, brute(table)))
+
+
 def test_index_compacts_and_keeps_its_keys(spark, tmp_path):
     index = substring.FingerprintIndex(spark, str(tmp_path), most_runs=2)
     found = []

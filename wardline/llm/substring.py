@@ -126,10 +126,10 @@ class Page:
         return len(self.words), int(len(kept) - kept.sum()), hashlib.sha256(words).hexdigest()
 
 
-def _pages(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, Page]]:
+def _pages(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, int, Page]]:
     for batch in pieces(batches):
-        for place, text in zip(*(c.to_pylist() for c in batch.columns[:2])):
-            yield place, Page(text)
+        for place, row, text in zip(*(c.to_pylist() for c in batch.columns[:3])):
+            yield place, row, Page(text)
 
 
 def _anchor_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,7 +144,7 @@ def _anchor_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = np.append(True, (anchors[1:] != anchors[:-1]) | (stretches[1:] != stretches[:-1]))[: len(order)]
         return pa.record_batch([pa.array(anchors[first].view(np.int64)), pa.array(stretches[first])], names=["anchor", "stretch"])
 
-    for _, page in _pages(batches):
+    for _, _, page in _pages(batches):
         if page.windows:
             _, span, keys = page.stretch_keys()
             anchors, stretch = page.anchors(), np.repeat(keys[0], span)
@@ -157,28 +157,28 @@ def _anchor_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield flush()
 
 
-_PLACES = "k1 long, k2 int, place long, at int, span int, again boolean"
-_FIELDS = [("k1", pa.int64()), ("k2", pa.int32()), ("place", pa.int64()), ("at", pa.int32()), ("span", pa.int32()), ("again", pa.bool_())]
+_PLACES = "k1 long, k2 int, place long, row long, at int, span int, again boolean"
+_FIELDS = [("k1", pa.int64()), ("k2", pa.int32()), ("place", pa.int64()), ("row", pa.int64()), ("at", pa.int32()), ("span", pa.int32()), ("again", pa.bool_())]
 
 
 def _emit(parts: Iterable[tuple]) -> Iterator[pa.RecordBatch]:
-    """Batches of (keys, place, at, span); a place that repeats another of the task is marked, and its key given up."""
+    """Batches of (keys, place, row, at, span); a place that repeats another of the task is marked, and its key given up."""
     waiting: list[list] = []
     held = 0
 
     def flush() -> pa.RecordBatch:
-        k1, k2, place, at, span = (np.concatenate(x) for x in zip(*waiting)) if waiting else (np.zeros(0, np.int64),) * 5
+        k1, k2, place, row, at, span = (np.concatenate(x) for x in zip(*waiting)) if waiting else (np.zeros(0, np.int64),) * 6
         order = np.lexsort((at, place, k2, k1))
-        k1, k2, place, at, span = (x[order] for x in (k1, k2, place, at, span))
+        k1, k2, place, row, at, span = (x[order] for x in (k1, k2, place, row, at, span))
         twin = (k1[1:] == k1[:-1]) & (k2[1:] == k2[:-1])
         head = np.maximum.accumulate(np.where(np.append(True, ~twin), np.arange(len(k1)), 0)) if len(k1) else order
         again = (place != place[head]) | (at != at[head])
         # a repetition needs no key: its place deals it anywhere
         k1 = np.where(again, (combine(place.astype(np.uint64), 0) ^ at.astype(np.uint64)).view(np.int64), k1)
-        return pa.record_batch([pa.array(c.astype(k.to_pandas_dtype()), k) for c, (_, k) in zip((k1, k2, place, at, span, again), _FIELDS)], names=[n for n, _ in _FIELDS])
+        return pa.record_batch([pa.array(c.astype(k.to_pandas_dtype()), k) for c, (_, k) in zip((k1, k2, place, row, at, span, again), _FIELDS)], names=[n for n, _ in _FIELDS])
 
-    for (k1, k2), place, at, span in parts:
-        waiting.append([k1, k2, np.full(len(k1), place), at, span])
+    for (k1, k2), place, row, at, span in parts:
+        waiting.append([k1, k2, np.full(len(k1), place), np.full(len(k1), row), at, span])
         held += len(k1)
         if held > 300_000:
             yield flush()
@@ -190,11 +190,11 @@ def _stretch_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     """A row for each stretch of several windows."""
 
     def parts() -> Iterator[tuple]:
-        for place, page in _pages(batches):
+        for place, row, page in _pages(batches):
             if page.windows:
                 first, span, keys = page.stretch_keys()
                 wide = span > 1
-                yield (keys[0][wide], keys[1][wide]), place, first[wide], span[wide]
+                yield (keys[0][wide], keys[1][wide]), place, row, first[wide], span[wide]
 
     return _emit(parts())
 
@@ -205,7 +205,7 @@ def _marked(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not batch.num_rows:
             continue
-        k1, k2, place, at, span, again = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+        k1, k2, place, row, at, span, again = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
         new = np.append(now is None or (k1[0], k2[0]) != now[:2], (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1]))
         head = np.maximum.accumulate(np.where(new, np.arange(len(new)), -1))
         carried = head < 0
@@ -216,7 +216,7 @@ def _marked(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         again = again | (place != first_place) | (at != first_at)
         now = k1[-1], k2[-1], first_place[-1], first_at[-1]
         own = span > 0
-        yield pa.record_batch([pa.array(c[own], k) for c, (_, k) in zip((k1, k2, place, at, span, again), _FIELDS)], names=[n for n, _ in _FIELDS])
+        yield pa.record_batch([pa.array(c[own], k) for c, (_, k) in zip((k1, k2, place, row, at, span, again), _FIELDS)], names=[n for n, _ in _FIELDS])
 
 
 def place_hash(place: int, at: int) -> int:
@@ -228,7 +228,7 @@ def _window_rows(recurs: Callable[[np.ndarray], np.ndarray] | None, is_first: Ca
     """A row for each single window that may recur elsewhere (for each, without recurs) and may be a first place."""
 
     def parts(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple]:
-        for place, page in _pages(batches):
+        for place, row, page in _pages(batches):
             if page.windows:
                 first = page.stretches()
                 span = np.diff(np.append(first, page.windows))
@@ -238,7 +238,7 @@ def _window_rows(recurs: Callable[[np.ndarray], np.ndarray] | None, is_first: Ca
                     wanted &= recurs(page.anchors())
                 wanted[first[span == 1]] = True  # a stretch of one window has no other row
                 at = np.flatnonzero(wanted)
-                yield page.keys(at, at + WINDOW - 1), place, at, np.ones(len(at), np.int64)
+                yield page.keys(at, at + WINDOW - 1), place, row, at, np.ones(len(at), np.int64)
 
     return lambda batches: _emit(parts(batches))
 
@@ -259,16 +259,21 @@ class FingerprintIndex:
         return self.spark.read.parquet(*self.runs).filter("NOT again").select("k1", "k2") if self.runs else None
 
     def merge(self, places: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Merge a batch's places with the runs into a new run: the places that repeat an earlier one, and the first ones."""
-        rows, past = places, self.history()
+        """Merge a batch's places with the runs into a new run: the places that repeat an earlier one, and the first ones.
+
+        Without a column row, the rows of a place are one.
+        """
+        if "row" not in places.columns:
+            places = places.withColumn("row", F.lit(0).cast("long"))
+        rows, past = places.select([n for n, _ in _FIELDS]), self.history()
         if past is not None:
-            known = past.select("k1", "k2", F.lit(-(1 << 63)).cast("long").alias("place"), F.lit(0).alias("at"), F.lit(0).alias("span"), F.lit(False).alias("again"))
+            known = past.select("k1", "k2", F.lit(-(1 << 63)).cast("long").alias("place"), F.lit(0).cast("long").alias("row"), F.lit(0).alias("at"), F.lit(0).alias("span"), F.lit(False).alias("again"))
             rows = rows.union(known)
         merged = rows.repartition("k1").sortWithinPartitions("k1", "k2", "place", "at").mapInArrow(_marked, _PLACES)
         self.runs.append(self._write(merged))
         run = self.spark.read.parquet(self.runs[-1])
         self.compact()
-        return run.filter("again").select("place", "at", "span"), run.filter("NOT again")
+        return run.filter("again").select("place", "row", "at", "span"), run.filter("NOT again")
 
     def compact(self) -> None:
         """Merge the runs into one once there are more than most_runs."""
@@ -283,8 +288,8 @@ def _final(placed: bool):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
             out = []
-            extra = batch.column(3).to_pylist() if placed else [None] * batch.num_rows
-            for doc_id, text, places in zip(batch.column(2).to_pylist(), batch.column(1).to_pylist(), extra):
+            extra = batch.column(4).to_pylist() if placed else [None] * batch.num_rows
+            for doc_id, text, places in zip(batch.column(3).to_pylist(), batch.column(2).to_pylist(), extra):
                 page = Page(text)
                 duplicate = np.zeros(page.windows, bool)
                 if page.windows:
@@ -305,14 +310,15 @@ def dedup(docs: DataFrame, batches: int = BATCHES, filtered: bool = True) -> Dat
     """doc_id, n_words, n_removed, kept_sha256: one row per row of docs.
 
     Documents go through the index in batches by rising doc_id. A null text has no words;
-    rows without doc_id come last and count as one document, as do rows that share one:
-    neither is earlier than the other. Other columns are ignored; an empty table gives an
+    rows without doc_id come last. Of rows that share their doc_id or have none, none is
+    earlier than another: a window is earlier by its place in its own row alone. Each row
+    loses only what was found in it, told by its doc_id and a hash of its text. Other columns are ignored; an empty table gives an
     empty result. Without the filter every window is indexed, as when the batches to come
     are not known yet.
     """
     spark = docs.sparkSession
     place = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))
-    read = docs.select(place.alias("place"), F.col("text").cast("binary").alias("text"), F.col("doc_id").cast("long").alias("doc_id"))
+    read = docs.select(place.alias("place"), F.xxhash64(F.col("text").cast("binary")).alias("row"), F.col("text").cast("binary").alias("text"), F.col("doc_id").cast("long").alias("doc_id"))
     recurs = None
     if filtered:
         pairs = read.mapInArrow(_anchor_rows, "anchor long, stretch long").repartition("anchor")
@@ -332,9 +338,10 @@ def dedup(docs: DataFrame, batches: int = BATCHES, filtered: bool = True) -> Dat
         is_first = FixedFilter(new.select(F.xxhash64("place", "at").alias("place"))).probe()
         single, _ = index.merge(batch.mapInArrow(_window_rows(recurs, is_first), _PLACES))
         found = again.union(single) if found is None else found.union(again).union(single)
-    found = settle(found.groupBy("place").agg(F.collect_list(F.struct("at", "span")).alias("places")))
-    touched = FixedFilter(found.select(F.xxhash64("place").alias("place"))).column(F.xxhash64("place"))
+    # copies under one place find the same: each of their places counts once
+    found = settle(found.distinct().groupBy("place", "row").agg(F.collect_list(F.struct("at", "span")).alias("places")))
+    touched = FixedFilter(found.select(F.xxhash64("place", "row").alias("place"))).column(F.xxhash64("place", "row"))
     marked = read.withColumn("touched", touched)
     apart = marked.filter("NOT touched").drop("touched").mapInArrow(_final(False), _RESULT)
-    joined = marked.filter("touched").drop("touched").join(found, "place", "left").select("place", "text", "doc_id", "places")
+    joined = marked.filter("touched").drop("touched").join(found, ["place", "row"], "left").select("place", "row", "text", "doc_id", "places")
     return apart.union(joined.mapInArrow(_final(True), _RESULT))
