@@ -62,6 +62,18 @@ def test_other_readers(spark, tmp_path):
     assert [(r.section, r.district) for r in readers.section_texts(texts).orderBy("section").collect()] == [(1, "Советский район"), (2, "Приокский район")]
 
 
+def test_files_in_windows_1251(spark, tmp_path):
+    (tmp_path / "c").mkdir()
+    contact, area = "Участок № 12\nТелефон: +7 (831) 111-22-33\nx@y.ru", {"type": "Feature", "geometry": {"type": "Polygon", "coordinates": [[[0, 0], [1, 0], [1, 1]]]}, "properties": {"title": "Участок № 7"}}
+    (tmp_path / "c" / "1.txt").write_bytes(contact.encode("windows-1251"))
+    (tmp_path / "c" / "2.txt").write_bytes(b"\xef\xbb\xbf" + contact.encode())
+    (tmp_path / "c" / "3.txt").write_bytes(b"\x98 z@y.ru")  # no character of windows-1251
+    got = readers.contact_files(spark, str(tmp_path / "c")).orderBy("path").collect()
+    assert [(r.section, r.email, r.phone) for r in got] == [(12, "x@y.ru", "+7 (831) 111-22-33")] * 2 + [(None, "z@y.ru", None)]
+    (tmp_path / "a.json").write_bytes(json.dumps({"features": [area]}, ensure_ascii=False).encode("windows-1251"))
+    assert [(r.name, r.section_num) for r in readers.geojson_areas(spark, str(tmp_path / "a.json")).collect()] == [("Участок № 7", 7)]
+
+
 def test_writers(spark, tmp_path):
     df = spark.createDataFrame([(1, "A", "Мира", None, "ERROR", "NO_ADDRESS", 1000.0, "c", "d")], "row_id int, fio string, address string, inn string, status string, error_code string, debt_amount double, court_name string, court_address string")
     writers.result_csv(df, str(tmp_path / "out"), ["fio", "inn", "other"])

@@ -96,9 +96,21 @@ def geojson_areas(spark: SparkSession, path: str) -> DataFrame:
 
 
 def decoded(content: Column) -> Column:
-    """Bytes to text by the first encoding under which they make sense, without a byte order mark."""
-    tries = [F.when(F.is_valid_utf8(content.cast("string")), content.cast("string"))]
-    return F.regexp_replace(F.coalesce(*tries, F.decode(content, "ISO-8859-1")), "^﻿", "")
+    """Bytes to text by the first of ENCODINGS under which they make sense, without a byte order mark."""
+
+    @F.pandas_udf("string")
+    def other(contents):
+        def one(raw):
+            for encoding in ENCODINGS:
+                try:
+                    return raw.decode(encoding)
+                except UnicodeDecodeError:
+                    continue
+
+        return contents.map(one, na_action="ignore")
+
+    plain = F.when(F.is_valid_utf8(content.cast("string")), content.cast("string"))
+    return F.regexp_replace(F.coalesce(plain, other(content)), "^﻿", "")
 
 
 def kml_points(spark: SparkSession, path: str) -> DataFrame:
