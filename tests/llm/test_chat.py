@@ -85,3 +85,29 @@ def test_whole_table_and_odd_rows(spark):
     table = [(1, 0, "User", None), (1, None, None, "x"), (None, 5, "assistant", ""), (2, 1, "user", "same"), (2, 1, "user", "same"), (3, -4, " SYSTEM ", "s")]
     check(table, chat.repaired(spark.createDataFrame(table, "conv_id long, turn long, role string, text string")).collect())
     assert chat.repaired(turns.limit(0)).count() == 0
+
+
+def test_stretches_are_cut_by_rows(spark, monkeypatch):
+    draw = random.Random(8)
+    table = [(None, None, draw.choice(["user", "assistant", None]), draw.choice(["same", "x" * 300 + str(i)])) for i in range(300)]
+    table += [(1, 7, draw.choice(["user", "assistant"]), f"t{i % 9}") for i in range(200)] + [(2, 0, "user", "same")] * 200
+    turns = spark.createDataFrame(table, "conv_id long, turn long, role string, text string").repartition(3)
+    monkeypatch.setattr(chat, "_sum_up", _noted(chat._sum_up))
+    check(table, chat.repaired(turns, 20).collect())
+
+
+def _noted(sum_up):
+    """sum_up that fails on a stretch of more than 20 rows."""
+
+    def run(batches):
+        def looked():
+            sizes = {}
+            for b in batches:
+                for key in zip(*(c.to_pylist() for c in b.columns[:2])):
+                    sizes[key] = sizes.get(key, 0) + 1
+                yield b
+            assert max(sizes.values(), default=0) <= 20
+
+        return sum_up(looked())
+
+    return run

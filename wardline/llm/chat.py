@@ -4,8 +4,9 @@ Legal conversations run through an automaton: an optional system turn, then user
 assistant in turns, ending with the assistant. Each source turn is kept, relabelled or
 merged into the turn before it, and empty turns are inserted, at the least total cost.
 The cheapest way through a stretch of turns is known for every pair of states before and
-after it, and such tables combine, so a long conversation is split by turn number: its
-stretches are summed up apart, a short pass over the tables fixes the states between
+after it, and such tables combine, so a long conversation is split into stretches of
+rows, however its turns are numbered: rows are dealt to ranges in their order, and each
+range's share of a conversation is cut by row count. Stretches are summed up apart, a short pass over the tables fixes the states between
 them, and each stretch is then repaired and rendered by itself.
 """
 
@@ -14,18 +15,24 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 from itertools import groupby
 
+import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import settle, small_batches
+
 START, SYSTEM, USER, ASSISTANT = range(4)
 ROLES = ("", "system", "user", "assistant")
 #: The states that a turn of each role may follow.
 AFTER = {SYSTEM: (START,), USER: (START, SYSTEM, ASSISTANT), ASSISTANT: (USER,)}
 KEEP, MERGE, RELABEL, MERGE_RELABEL, INSERT = "keep", "merge", "relabel", "merge+relabel", "insert"
 COST = {KEEP: 0, MERGE: 1, RELABEL: 2, MERGE_RELABEL: 3, INSERT: 3}
-#: Turn numbers in a stretch.
+#: Rows in a stretch.
 STRETCH = 2_000
+#: Characters of a text that rows are dealt to ranges by.
+PREFIX = 200
 OPEN, CLOSE = "<|{role}|>\n", "<|end|>\n"
 FAR = 1 << 60
 
@@ -200,6 +207,27 @@ def _render(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     return _emit(rows(), _TURNS)
 
 
+def _cut(stretch: int):
+    """Rows in their order, each with its stretch and its number in the task: conversations are cut anew in each task."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        base, done, now, count = TaskContext.get().partitionId() << 32, 0, None, 0
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            column = batch.column(0)
+            ids, none = column.fill_null(0).to_numpy(zero_copy_only=False), column.is_null().to_numpy(zero_copy_only=False)
+            new = np.append((none[0], ids[0]) != now, (ids[1:] != ids[:-1]) | (none[1:] != none[:-1]))
+            head = np.maximum.accumulate(np.where(new, np.arange(n), -1))
+            nth = np.where(head < 0, count + np.arange(n), np.arange(n) - head)
+            now, count = (none[-1], ids[-1]), int(nth[-1]) + 1
+            yield pa.record_batch([column, pa.array(base + nth // stretch), pa.array(base + done + np.arange(n)), *batch.columns[1:]], names=["conv_id", "stretch", "nth", "turn", "role", "text"])
+            done += n
+
+    return run
+
+
 def repaired(turns: DataFrame, stretch: int = STRETCH) -> DataFrame:
     """conv_id, turn, role, action, new_role, new_turn, rendered, cost: a row for each source or inserted turn.
 
@@ -209,30 +237,34 @@ def repaired(turns: DataFrame, stretch: int = STRETCH) -> DataFrame:
     come last, equal numbers in the order of role and text; unknown and null roles are
     relabelled, null texts empty, and repeated rows are turns of their own. Other columns
     are ignored; an empty table gives an empty result.
+
+    Rows alike in all but a text of more than PREFIX characters, and in so many of its
+    first ones, are ordered in one task; they are still cut into stretches.
     """
-    read = turns.select(
-        F.col("conv_id").cast("long"),
-        F.coalesce(F.floor(F.col("turn") / stretch), F.lit((1 << 63) - 1)).cast("long").alias("stretch"),
-        F.col("turn").cast("long"),
-        F.col("role").cast("string"),
-        F.col("text").cast("string"),
+    read = small_batches(turns).select(
+        F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.col("role").cast("string"), F.col("text").cast("string")
+    )
+    begin = [F.col("conv_id"), F.col("turn").asc_nulls_last(), F.col("role").asc_nulls_last()]
+    short = F.coalesce(F.char_length("text"), F.lit(0)) <= PREFIX
+    # rows alike in whole short texts are interchangeable: they may go to several ranges
+    keyed = read.withColumns({"first": F.left("text", F.lit(PREFIX)), "long": ~short, "any": F.when(short, F.xxhash64(F.monotonically_increasing_id()))})
+    ordered = keyed.repartitionByRange(*begin, "first", "long", "any").sortWithinPartitions(*begin, "text")
+    numbered = settle(
+        ordered.select("conv_id", "turn", "role", "text").mapInArrow(_cut(stretch), "conv_id long, stretch long, nth long, turn long, role string, text string")
     )
-    order = [F.col("turn").asc_nulls_last(), F.col("role").asc_nulls_last()]
+    # a stretch lies in one partition of numbered, in order, and so in one task after the join too, however that is dealt
     states = (
-        read.select("conv_id", "stretch", "role", "turn")
-        .repartition("conv_id", "stretch")
-        .sortWithinPartitions("conv_id", "stretch", *order)
-        .select("conv_id", "stretch", "role")
+        numbered.select("conv_id", "stretch", "role")
         .mapInArrow(_sum_up, _TABLES)
         .repartition("conv_id")
         .sortWithinPartitions("conv_id", "stretch")
         .mapInArrow(_fix_states, _STATES)
         .select(F.col("conv_id").alias("id"), F.col("stretch").alias("part"), "begin", "stop", "made", "cost", "last")
     )
-    joined = read.join(states, F.col("conv_id").eqNullSafe(F.col("id")) & (F.col("stretch") == F.col("part")))
+    joined = numbered.join(states, F.col("conv_id").eqNullSafe(F.col("id")) & (F.col("stretch") == F.col("part")))
     return (
-        joined.select("conv_id", "stretch", "begin", "stop", "made", "cost", "last", "turn", "role", "text")
-        .repartition("conv_id", "stretch")
-        .sortWithinPartitions("conv_id", "stretch", *order, "text")
+        joined.select("conv_id", "stretch", "begin", "stop", "made", "cost", "last", "turn", "role", "text", "nth")
+        .sortWithinPartitions("conv_id", "stretch", "nth")
+        .drop("nth")
         .mapInArrow(_render, _TURNS)
     )
