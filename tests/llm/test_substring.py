@@ -4,10 +4,10 @@ import hashlib
 import random
 import re
 
-import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from wardline.llm import common, substring
+from wardline.llm import substring
 from .helpers import DATA, clashing, empty, odd, rows
 
 
@@ -73,24 +73,37 @@ def test_rows_that_share_their_place(spark):
 
 
 def test_index_compacts_and_keeps_its_keys(spark, tmp_path):
-    index = substring.FingerprintIndex(spark, str(tmp_path), most_runs=2)
+    index = substring.FingerprintIndex(spark, str(tmp_path / "index"), most_runs=2)
     found = []
     for i in range(5):
-        part = spark.range(10 * i, 10 * i + 20).selectExpr("id AS k1", "int(id * 7) AS k2", f"{i}L AS place", "int(id) AS at", "1 AS span", "false AS again")
+        part = spark.range(10 * i, 10 * i + 20).selectExpr("id AS k1", "id * 7 AS k2", f"{i}L AS place", f"{i}L AS doc", "int(id) AS at", "1 AS span", "false AS again", "array(1L) AS cells")
         found.append(index.merge(part)[0].count())
     assert found == [0, 10, 10, 10, 10]
     assert len(index.runs) <= 2 and index.history().count() == 60
-
-
-def test_place_hash_is_sparks(spark):
-    places = [(5, 7), (-3, 0), (substring.LAST, 12345)]
-    df = spark.createDataFrame(places, "place long, at int").selectExpr("xxhash64(place, at) AS h")
-    assert [r.h % (1 << 64) for r in df.collect()] == [substring.place_hash(*p) for p in places]
-
-
-def test_fixed_filter_holds_all(spark):
-    hashes = spark.range(5000).selectExpr("xxhash64(id) AS h")
-    probe = common.FixedFilter(hashes).probe()
-    own = np.array([r.h for r in hashes.collect()], np.int64).view(np.uint64)
-    other = np.array([r.h for r in spark.range(5000, 10000).selectExpr("xxhash64(id) AS h").collect()], np.int64).view(np.uint64)
-    assert probe(own).all() and probe(other).mean() < 0.01
+    again = substring.FingerprintIndex(spark, str(tmp_path / "index"))
+    assert len(again.runs) == len(index.runs) and sorted(rows(again.history())) == sorted(rows(index.history()))
+    index.close()
+    again.close()
+
+
+def test_runs_are_merged_where_they_lie(spark, tmp_path):
+    index = substring.FingerprintIndex(spark, str(tmp_path / "index"))
+    part = spark.range(1000).selectExpr("id AS k1", "id AS k2", "id AS place", "id AS doc", "1 AS at", "1 AS span", "false AS again", "array(1L) AS cells")
+    index.merge(part)
+    past = index.history().withColumnsRenamed({"k1": "past", "k2": "past2"})
+    joined = part.repartition(index.buckets, "k1").join(past.hint("merge"), F.col("k1") == F.col("past"), "left")
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "SortMergeJoin" in plan  # the batch is dealt, the run is not
+    index.close()
+
+
+def test_an_index_is_opened_again(spark, tmp_path):
+    table = sorted(made(5))
+    early, late = table[:25], table[25:]
+    docs = [spark.createDataFrame(t, "doc_id long, text string") for t in (early, late)]
+    got = []
+    for part in docs:  # each call opens the folder anew
+        index = substring.FingerprintIndex(spark, str(tmp_path / "index"))
+        got += rows(substring.dedup(part, 2, index=index))
+        index.close()
+    assert sorted(map(str, got)) == sorted(map(str, brute(table)))

@@ -1,47 +1,52 @@
 """Substring dedup over a log-structured fingerprint index.
 
-The index is a folder of immutable runs, each sorted by fingerprint: the places of the
-windows, or whole stretches of windows, met so far. A batch of documents is dealt and
-sorted with the runs' keys; a place whose fingerprint a run or an earlier place of the
-batch holds is a duplicate, and the merged rows become a new run. Runs are compacted
-into one when there are several. Matches are verified by a second hash of the windows'
-own bytes. A task drops the repetitions within its own documents before they are dealt,
-so a large group of copies adds a row or few for each task.
+The index is a folder of immutable runs, each bucketed and sorted by fingerprint: the
+keys of the windows, or of whole stretches of windows, met so far. A batch of documents
+is dealt to the same buckets, sorted, and merge-joined with each run where that lies; a
+place whose fingerprint a run or an earlier place of the batch holds is a duplicate, and
+the batch's rows become a new run. Runs are compacted into one when there are several. A
+match is one of 128 bits: 64 to find it by and 64 more of the digest to verify it. A task
+drops the repetitions within its own documents before they are dealt, so a large group
+of copies adds a row or few for each task.
 
 Two things keep the index far smaller than the text without missing a window:
 
 - Windows are dealt into stretches whose ends depend on the words alone. A stretch and
   the words its last window needs make one fingerprint; a stretch met before has all
   its windows met before.
-- Single windows are indexed only in stretches that may be met for the first time, and
-  only where their words recur in *different* stretches. Each window has an anchor, the
-  least hash of its shorter word runs, so equal windows have equal anchors; windows of
-  an anchor that was met in one stretch only recur with their whole stretch or not at
-  all. (Recurrence inside one document is found there.)
-
-First places and recurring anchors are told by filters of a fixed size. A filter that
-fills up only lets more windows in.
+- Where all documents are known beforehand, single windows are indexed only in stretches
+  met for the first time, and there only where their words recur. Each window has an
+  anchor, the least hash of its shorter word runs, so equal windows have equal anchors,
+  and windows of an anchor that was met in one stretch only recur with their whole
+  stretch or not at all. Stretches, anchors and texts meet by shuffled joins; nothing
+  here has a size of its own that the data could outgrow.
 """
 
 from __future__ import annotations
 
 import hashlib
 import uuid
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterable, Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import FixedFilter, combine, hash_words, pieces, settle
+from .common import combine, hash_words, pieces, settle, shared_folder, small_batches
 
 WINDOW, ANCHOR = 20, 12
 #: One word run in so many ends a stretch.
 STRETCH = 64
-BATCHES, MOST_RUNS = 2, 4
+BATCHES, MOST_RUNS = 3, 4
 LAST = (1 << 63) - 1  # place of documents without id
+#: Keys of stretches differ from those of windows in this.
+STRETCH_MARK = 0x5DEECE66D
+#: A cell, some windows in a row with one anchor, is written as its first window, whether it recurs for sure, and their number.
+CELL_BITS, RECURS, CELL_WINDOWS = 24, 1 << 23, 1 << 20
 
 
 def _runs(words: np.ndarray, size: int) -> np.ndarray:
@@ -61,18 +66,28 @@ class Page:
         self.words = (text or b"").split()
         self.joined = b" ".join(self.words)
         self.windows = max(0, len(self.words) - WINDOW + 1)
-        if not self.windows:
-            return
-        lengths = np.fromiter(map(len, self.words), np.int64, len(self.words))
-        self.ends = np.cumsum(lengths + 1) - 1
-        self.starts = self.ends - lengths
-        self.word_hash = hash_words(self.joined, self.starts, lengths)
+
+    @cached_property
+    def lengths(self) -> np.ndarray:
+        return np.fromiter(map(len, self.words), np.int64, len(self.words))
+
+    @cached_property
+    def ends(self) -> np.ndarray:
+        return np.cumsum(self.lengths + 1) - 1
+
+    @cached_property
+    def starts(self) -> np.ndarray:
+        return self.ends - self.lengths
+
+    @cached_property
+    def word_hash(self) -> np.ndarray:
+        return hash_words(self.joined, self.starts, self.lengths)
 
     def keys(self, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Fingerprints of the words first..last: 64 bits to find by and 32 to verify, as signed numbers."""
+        """The two halves of the digests of the words first..last."""
         text, digest = self.joined, xxhash.xxh3_128_digest
         rows = b"".join([digest(text[a:b]) for a, b in zip(self.starts[first].tolist(), self.ends[last].tolist())])
-        both = np.frombuffer(rows, [("k1", "<i8"), ("k2", "<i4"), ("rest", "<i4")])
+        both = np.frombuffer(rows, [("k1", "<i8"), ("k2", "<i8")])
         return both["k1"], both["k2"]
 
     def stretches(self) -> np.ndarray:
@@ -80,132 +95,169 @@ class Page:
         ends = np.flatnonzero(_runs(self.word_hash, 3)[: self.windows] % np.uint64(STRETCH) == 0)
         return np.unique(np.append(ends, 0))
 
-    def stretch_keys(self) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray]]:
-        first = self.stretches()
-        span = np.diff(np.append(first, self.windows))
-        return first, span, self.keys(first, first + span + WINDOW - 2)
-
-    def anchors(self) -> np.ndarray:
-        """For each window the least hash of its runs of ANCHOR words."""
-        low, wide, have = _runs(self.word_hash, ANCHOR), WINDOW - ANCHOR + 1, 1
+    def cells(self, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Anchors of the windows, each run of equal ones in a stretch once; the cells; and how many each stretch has."""
+        short = _runs(self.word_hash, ANCHOR)
+        low, wide, have = short, WINDOW - ANCHOR + 1, 1
         while have < wide:
             step = min(have, wide - have)
             low = np.minimum(low[: len(low) - step], low[step:])
             have += step
-        return low
-
-    def repeats(self) -> np.ndarray:
-        """Windows whose words also start earlier in this document."""
-        order = np.sort(_runs(self.word_hash, 8))
-        if not (order[1:] == order[:-1]).any():  # shorter runs, and none of them twice
-            return np.zeros(0, np.int64)
-        whole = _runs(self.word_hash, WINDOW)
-        order = np.sort(whole)
-        again = order[1:][order[1:] == order[:-1]]
-        if not len(again):
-            return np.zeros(0, np.int64)
-        seen, out = set(), []  # equal hashes: compare the words
-        twice = np.flatnonzero(np.isin(whole, again))
-        for i in twice.tolist():
-            words = self.joined[self.starts[i] : self.ends[i + WINDOW - 1]]
-            if words in seen:
-                out.append(i)
-            seen.add(words)
-        return np.array(out, np.int64)
-
-    def result(self, duplicate: np.ndarray) -> tuple[int, int, str]:
-        """Words, removed words and the hash of the kept ones, given which windows are duplicates."""
-        if not self.windows or not duplicate.any():
-            return len(self.words), 0, hashlib.sha256(self.joined).hexdigest()
+        new = np.append(True, low[1:] != low[:-1])
+        new[first] = True
+        new[::CELL_WINDOWS] = True
+        at = np.flatnonzero(new)
+        anchors, cell = low[at], at << CELL_BITS | np.diff(np.append(at, self.windows))
+        order = np.sort(short)
+        twice = order[1:][order[1:] == order[:-1]]
+        if len(twice):  # word runs that recur in this document
+            cell |= np.where(np.isin(anchors, twice), RECURS, 0)
+        return anchors, cell, np.diff(np.append(np.searchsorted(at, first), len(at)))
+
+    def result(self, places: Iterable[dict]) -> tuple[int, int, str]:
+        """Words, removed words and the hash of the kept ones, given the places (at, span) of duplicate windows."""
         edge = np.zeros(len(self.words) + 1, np.int64)
-        at = np.flatnonzero(duplicate)
-        edge[at] += 1
-        np.subtract.at(edge, at + WINDOW, 1)
+        for p in places:
+            edge[p["at"]] += 1
+            edge[p["at"] + p["span"] + WINDOW - 1] -= 1
         kept = np.cumsum(edge[:-1]) == 0
         words = b" ".join([w for w, k in zip(self.words, kept.tolist()) if k])
         return len(self.words), int(len(kept) - kept.sum()), hashlib.sha256(words).hexdigest()
 
 
-def _pages(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, int, Page]]:
+def _rows(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple]:
     for batch in pieces(batches):
-        for place, row, text in zip(*(c.to_pylist() for c in batch.columns[:3])):
-            yield place, row, Page(text)
+        yield from zip(*(c.to_pylist() for c in batch.columns))
 
 
-def _anchor_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The anchors of windows with the stretches that they start in, each pair once for some documents of the task."""
-    held, parts = 0, []
-
-    def flush() -> pa.RecordBatch:
-        anchors, stretches = (np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-        both = combine(anchors, stretches.view(np.uint64))
-        order = np.argsort(both)
-        anchors, stretches = anchors[order], stretches[order]
-        first = np.append(True, (anchors[1:] != anchors[:-1]) | (stretches[1:] != stretches[:-1]))[: len(order)]
-        return pa.record_batch([pa.array(anchors[first].view(np.int64)), pa.array(stretches[first])], names=["anchor", "stretch"])
-
-    for _, _, page in _pages(batches):
-        if page.windows:
-            _, span, keys = page.stretch_keys()
-            anchors, stretch = page.anchors(), np.repeat(keys[0], span)
-            new = np.flatnonzero(np.append(True, (anchors[1:] != anchors[:-1]) | (stretch[1:] != stretch[:-1])))
-            parts.append((anchors[new], stretch[new]))
-            held += len(new)
-            if held > 1_000_000:
-                yield flush()
-                held, parts = 0, []
-    yield flush()
+_PLACES = "k1 long, k2 long, place long, doc long, at int, span int, again boolean, cells array<long>"
+_CELLS = pa.list_(pa.int64())
+_FIELDS = {"k1": pa.int64(), "k2": pa.int64(), "place": pa.int64(), "doc": pa.int64(), "at": pa.int32(), "span": pa.int32(), "again": pa.bool_(), "cells": _CELLS}
 
 
-_PLACES = "k1 long, k2 int, place long, row long, at int, span int, again boolean"
-_FIELDS = [("k1", pa.int64()), ("k2", pa.int32()), ("place", pa.int64()), ("row", pa.int64()), ("at", pa.int32()), ("span", pa.int32()), ("again", pa.bool_())]
+def _emit(parts: Iterable[tuple], most: int) -> Iterator[pa.RecordBatch]:
+    """Batches of ((k1, k2), place, doc, at, span[, cells, cells of each]).
 
-
-def _emit(parts: Iterable[tuple]) -> Iterator[pa.RecordBatch]:
-    """Batches of (keys, place, row, at, span); a place that repeats another of the task is marked, and its key given up."""
+    A place that repeats another of the same batch is marked, its key given up and its
+    cells left out; of rows alike in everything one is left.
+    """
     waiting: list[list] = []
     held = 0
 
     def flush() -> pa.RecordBatch:
-        k1, k2, place, row, at, span = (np.concatenate(x) for x in zip(*waiting)) if waiting else (np.zeros(0, np.int64),) * 6
-        order = np.lexsort((at, place, k2, k1))
-        k1, k2, place, row, at, span = (x[order] for x in (k1, k2, place, row, at, span))
-        twin = (k1[1:] == k1[:-1]) & (k2[1:] == k2[:-1])
-        head = np.maximum.accumulate(np.where(np.append(True, ~twin), np.arange(len(k1)), 0)) if len(k1) else order
+        if not waiting:
+            return pa.record_batch([pa.array([], k) for k in _FIELDS.values()], names=list(_FIELDS))
+        k1, k2, place, doc, at, span, cells, sizes = (np.concatenate(x) for x in zip(*waiting))
+        order = np.lexsort((doc, at, place, k2, k1))
+        k1, k2, place, doc, at, span = (x[order] for x in (k1, k2, place, doc, at, span))
+        twin = np.append(False, (k1[1:] == k1[:-1]) & (k2[1:] == k2[:-1]))
+        head = np.maximum.accumulate(np.where(twin, 0, np.arange(len(k1))))
         again = (place != place[head]) | (at != at[head])
+        alike = twin & np.append(False, (place[1:] == place[:-1]) & (at[1:] == at[:-1]) & (doc[1:] == doc[:-1]))
         # a repetition needs no key: its place deals it anywhere
         k1 = np.where(again, (combine(place.astype(np.uint64), 0) ^ at.astype(np.uint64)).view(np.int64), k1)
-        return pa.record_batch([pa.array(c.astype(k.to_pandas_dtype()), k) for c, (_, k) in zip((k1, k2, place, row, at, span, again), _FIELDS)], names=[n for n, _ in _FIELDS])
-
-    for (k1, k2), place, row, at, span in parts:
-        waiting.append([k1, k2, np.full(len(k1), place), np.full(len(k1), row), at, span])
-        held += len(k1)
-        if held > 300_000:
+        lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), pa.array(cells)).take(pa.array(np.where(again, -1, order), mask=again))
+        columns = [pa.array(c.astype(k.to_pandas_dtype()), k) for c, k in zip((k1, k2, place, doc, at, span, again), _FIELDS.values())]
+        return pa.record_batch([*columns, lists], names=list(_FIELDS)).filter(pa.array(~alike))
+
+    for (k1, k2), place, doc, at, span, *cells in parts:
+        waiting.append([k1, k2, np.full(len(k1), place), np.full(len(k1), doc), at, span, *(cells or (np.zeros(0, np.int64), np.zeros(len(k1), np.int64)))])
+        held += len(k1) + len(waiting[-1][6])
+        if held > most:
             yield flush()
             waiting, held = [], 0
     yield flush()
 
 
 def _stretch_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each stretch of several windows."""
+    """A row for each stretch, with its anchors and cells."""
 
     def parts() -> Iterator[tuple]:
-        for place, row, page in _pages(batches):
+        for place, doc, text in _rows(batches):
+            page = Page(text)
             if page.windows:
-                first, span, keys = page.stretch_keys()
-                wide = span > 1
-                yield (keys[0][wide], keys[1][wide]), place, row, first[wide], span[wide]
+                first = page.stretches()
+                span = np.diff(np.append(first, page.windows))
+                k1, k2 = page.keys(first, first + span + WINDOW - 2)
+                anchors, cells, sizes = page.cells(first)
+                both = np.empty(2 * len(cells), np.int64)
+                both[::2], both[1::2] = anchors.view(np.int64), cells
+                yield (k1 ^ STRETCH_MARK, k2), place, doc, first, span, both, 2 * sizes
+
+    return _emit(parts(), 1_500_000)
+
+
+def _cell_rows(every: bool):
+    """anchor, doc, cell, known: the cells of stretches; known are those that recur in the batch (all, if every)."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, held = [], 0
+
+        def flush() -> pa.RecordBatch:
+            anchor, doc, cell = (np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, np.int64),) * 3
+            order = np.argsort(anchor, kind="stable")
+            anchor, doc, cell = anchor[order], doc[order], cell[order]
+            twin = anchor[1:] == anchor[:-1]
+            again = np.append(False, twin)[: len(anchor)]
+            known = again | np.append(twin, False)[: len(anchor)] | (cell & RECURS > 0) | every
+            anchor = np.where(again, doc ^ cell, anchor)  # one is left to find those elsewhere by
+            return pa.record_batch([pa.array(anchor), pa.array(doc), pa.array(cell), pa.array(known)], names=["anchor", "doc", "cell", "known"])
+
+        for batch in batches:
+            flat = batch.column(1).flatten().to_numpy()
+            doc = np.repeat(batch.column(0).to_numpy(), pc.list_value_length(batch.column(1)).to_numpy() // 2)
+            parts.append((flat[::2], doc, flat[1::2]))
+            held += len(doc)
+            if held > 1_000_000:
+                yield flush()
+                parts, held = [], 0
+        yield flush()
+
+    return run
+
+
+def _recurring(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """doc, cell of the rows, sorted by anchor, that are known or share their anchor with another row."""
+    last: tuple | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        anchor, doc, cell, known = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+        same = anchor[1:] == anchor[:-1]
+        hit = known | np.append(False, same) | np.append(same, False)
+        if last and last[0] == anchor[0]:
+            hit[0] = True
+            if not last[3]:
+                yield pa.record_batch([pa.array([last[1]]), pa.array([last[2]])], names=["doc", "cell"])
+        last = anchor[-1], doc[-1], cell[-1], hit[-1]
+        yield pa.record_batch([pa.array(doc[hit]), pa.array(cell[hit])], names=["doc", "cell"])
 
-    return _emit(parts())
+
+def _window_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each window in the cells given for a document."""
+
+    def parts() -> Iterator[tuple]:
+        for place, doc, text, cells in _rows(batches):
+            page = Page(text)
+            wanted = np.zeros(page.windows + 1, np.int64)
+            cells = np.array(cells, np.int64)
+            low = np.minimum(cells >> CELL_BITS, page.windows)  # cells of another text of the same hash may lie outside
+            np.add.at(wanted, low, 1)
+            np.subtract.at(wanted, np.minimum(low + (cells & RECURS - 1), page.windows), 1)
+            at = np.flatnonzero(np.cumsum(wanted[:-1]))
+            for part in np.array_split(at, len(at) // 100_000 + 1):
+                yield page.keys(part, part + WINDOW - 1), place, doc, part, np.ones(len(part), np.int64)
+
+    return _emit(parts(), 300_000)
 
 
 def _marked(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted rows of runs (span 0) and of a batch: the batch's, marked where a key's first row is another place."""
+    """A batch's rows in the order of key and place: marked where a run has the key (old) or its first row is another place."""
     now: tuple | None = None  # key and place of the first row of the key met last
     for batch in batches:
         if not batch.num_rows:
             continue
-        k1, k2, place, row, at, span, again = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+        k1, k2, place, at, again, old = (batch.column(n).to_numpy(zero_copy_only=False) for n in ("k1", "k2", "place", "at", "again", "old"))
         new = np.append(now is None or (k1[0], k2[0]) != now[:2], (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1]))
         head = np.maximum.accumulate(np.where(new, np.arange(len(new)), -1))
         carried = head < 0
@@ -213,135 +265,150 @@ def _marked(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first_place, first_at = place[head], at[head]
         if carried.any():
             first_place, first_at = np.where(carried, now[2], first_place), np.where(carried, now[3], first_at)
-        again = again | (place != first_place) | (at != first_at)
         now = k1[-1], k2[-1], first_place[-1], first_at[-1]
-        own = span > 0
-        yield pa.record_batch([pa.array(c[own], k) for c, (_, k) in zip((k1, k2, place, row, at, span, again), _FIELDS)], names=[n for n, _ in _FIELDS])
-
-
-def place_hash(place: int, at: int) -> int:
-    """What Spark's xxhash64 gives for a long and an int."""
-    return xxhash.xxh64_intdigest(at.to_bytes(4, "little"), xxhash.xxh64_intdigest(place.to_bytes(8, "little", signed=True), 42))
-
-
-def _window_rows(recurs: Callable[[np.ndarray], np.ndarray] | None, is_first: Callable[[np.ndarray], np.ndarray]):
-    """A row for each single window that may recur elsewhere (for each, without recurs) and may be a first place."""
-
-    def parts(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple]:
-        for place, row, page in _pages(batches):
-            if page.windows:
-                first = page.stretches()
-                span = np.diff(np.append(first, page.windows))
-                new = is_first(np.array([place_hash(place, a) for a in first.tolist()], np.uint64))
-                wanted = np.repeat(new, span)
-                if recurs and wanted.any():
-                    wanted &= recurs(page.anchors())
-                wanted[first[span == 1]] = True  # a stretch of one window has no other row
-                at = np.flatnonzero(wanted)
-                yield page.keys(at, at + WINDOW - 1), place, row, at, np.ones(len(at), np.int64)
-
-    return lambda batches: _emit(parts(batches))
+        again = pa.array(again | old | (place != first_place) | (at != first_at))
+        cells = pc.if_else(again, pa.scalar(None, _CELLS), batch.column("cells").cast(_CELLS))
+        yield pa.record_batch([*batch.columns[:6], again, cells], names=list(_FIELDS))
 
 
 class FingerprintIndex:
-    """Immutable runs of places sorted by key, in one folder that all executors share."""
+    """Immutable runs of keys, bucketed and sorted, in one folder that all executors share.
+
+    A folder that holds an index is opened as it is; what was merged before counts as
+    earlier than all that is merged from then on.
+    """
 
-    def __init__(self, spark: SparkSession, folder: str, most_runs: int = MOST_RUNS):
-        self.spark, self.folder, self.most_runs, self.runs, self.made = spark, folder, most_runs, [], 0
+    def __init__(self, spark: SparkSession, folder: str, most_runs: int = MOST_RUNS, buckets: int | None = None):
+        self.spark, self.folder, self.most_runs = spark, folder, most_runs
+        self.name = f"wardline_{uuid.uuid4().hex}"
+        self.made, self.runs, self.every, self.buckets = 0, [], [], buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        if states := self._states():
+            state = max(states, key=lambda s: s["made"])
+            self.made, self.buckets = state["made"], state["buckets"]
+            self.runs = [self._known(number) for number in state["runs"]]
+
+    def _states(self) -> list:
+        from pyspark.errors import AnalysisException
+
+        try:
+            return self.spark.read.json(f"{self.folder}/state-*", schema="made long, buckets int, runs array<long>").collect()  # a row for each run made
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return []
+
+    def _known(self, number: int) -> str:
+        """The table of a run that lies in the folder."""
+        table = f"{self.name}_{number}"
+        self.spark.sql(f"CREATE TABLE {table} ({_PLACES}) USING parquet CLUSTERED BY (k1) SORTED BY (k1, k2) INTO {self.buckets} BUCKETS LOCATION '{self.folder}/run-{number}'")
+        self.every.append(table)
+        return table
 
     def _write(self, rows: DataFrame) -> str:
-        path, self.made = f"{self.folder}/run-{self.made}", self.made + 1
-        rows.write.parquet(path)
-        return path
+        """Write rows, dealt to the buckets and sorted, as a run."""
+        number, self.made = self.made, self.made + 1
+        rows.write.bucketBy(self.buckets, "k1").sortBy("k1", "k2").option("path", f"{self.folder}/run-{number}").saveAsTable(f"{self.name}_{number}")
+        self.every.append(f"{self.name}_{number}")
+        return self.every[-1]
+
+    def _save(self) -> None:
+        numbers = [int(run.rsplit("_", 1)[1]) for run in self.runs]
+        self.spark.createDataFrame([(self.made, self.buckets, numbers)], "made long, buckets int, runs array<long>").coalesce(1).write.json(f"{self.folder}/state-{self.made}")
 
     def history(self) -> DataFrame | None:
         """Keys of all runs; no key is in two of them."""
-        return self.spark.read.parquet(*self.runs).filter("NOT again").select("k1", "k2") if self.runs else None
+        keys = None
+        for run in self.runs:
+            part = self.spark.table(run).filter("NOT again").select("k1", "k2")
+            keys = part if keys is None else keys.union(part)
+        return keys
 
     def merge(self, places: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Merge a batch's places with the runs into a new run: the places that repeat an earlier one, and the first ones.
-
-        Without a column row, the rows of a place are one.
-        """
-        if "row" not in places.columns:
-            places = places.withColumn("row", F.lit(0).cast("long"))
-        rows, past = places.select([n for n, _ in _FIELDS]), self.history()
-        if past is not None:
-            known = past.select("k1", "k2", F.lit(-(1 << 63)).cast("long").alias("place"), F.lit(0).cast("long").alias("row"), F.lit(0).alias("at"), F.lit(0).alias("span"), F.lit(False).alias("again"))
-            rows = rows.union(known)
-        merged = rows.repartition("k1").sortWithinPartitions("k1", "k2", "place", "at").mapInArrow(_marked, _PLACES)
-        self.runs.append(self._write(merged))
-        run = self.spark.read.parquet(self.runs[-1])
+        """Merge a batch's places with the runs into a new run: the places that repeat an earlier one, and the first ones."""
+        order, key = "spark.sql.legacy.bucketedTableScan.outputOrdering", [F.col("k1"), F.col("k2")]
+        rows = places.select(*_FIELDS).repartition(self.buckets, "k1").withColumn("old", F.lit(False))
+        for run in self.runs:
+            past = self.spark.table(run).filter("NOT again").select(F.col("k1").alias("past"), F.col("k2").alias("past2"))
+            # on the first half, by which the buckets lie; the second half is looked at in each pair
+            both = (key[0] == F.col("past")) & (key[1].bitwiseXOR(F.col("past2")) == 0)
+            rows = rows.join(past.hint("merge"), both, "left").select(*_FIELDS, (F.col("old") | F.col("past2").isNotNull()).alias("old"))
+        before = self.spark.conf.get(order, None)
+        self.spark.conf.set(order, "true")  # while this plan is made and run: sorted files are not sorted again
+        try:
+            ordered = rows.sortWithinPartitions(*key, "place", "at")  # by the first key already, where there are runs
+            self.runs.append(self._write(ordered.mapInArrow(_marked, _PLACES)))
+        finally:
+            self.spark.conf.set(order, before) if before is not None else self.spark.conf.unset(order)
+        run = self.spark.table(self.runs[-1])
         self.compact()
-        return run.filter("again").select("place", "row", "at", "span"), run.filter("NOT again")
+        self._save()
+        return run.filter("again").select("place", "doc", "at", "span"), run.filter("NOT again").drop("again")
 
     def compact(self) -> None:
         """Merge the runs into one once there are more than most_runs."""
         if len(self.runs) > self.most_runs:
-            whole = self.spark.read.parquet(*self.runs).filter("NOT again")
-            self.runs = [self._write(whole.repartition("k1").sortWithinPartitions("k1", "k2"))]
-
-
-def _final(placed: bool):
-    """Results of documents, with the duplicate places found for them or without any."""
+            keys = self.history().repartition(self.buckets, "k1").sortWithinPartitions("k1", "k2")
+            self.runs = [self._write(keys.select(*[F.col(n) if n in ("k1", "k2") else F.lit(False).alias(n) if n == "again" else F.lit(None).cast(t).alias(n) for n, t in (f.split() for f in _PLACES.split(", "))]))]
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches):
-            out = []
-            extra = batch.column(4).to_pylist() if placed else [None] * batch.num_rows
-            for doc_id, text, places in zip(batch.column(3).to_pylist(), batch.column(2).to_pylist(), extra):
-                page = Page(text)
-                duplicate = np.zeros(page.windows, bool)
-                if page.windows:
-                    duplicate[page.repeats()] = True
-                for p in places or []:
-                    duplicate[p["at"] : p["at"] + p["span"]] = True
-                out.append((doc_id, *page.result(duplicate)))
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string()]
-            yield pa.record_batch([pa.array(list(c), k) for c, k in zip(zip(*out) if out else [[]] * 4, kinds)], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
-
-    return run
+    def close(self, empty: bool = False) -> None:
+        """Forget the tables of the runs, and let their files go too if empty."""
+        for table in self.every:
+            if empty:
+                self.spark.range(0).write.mode("overwrite").parquet(f"{self.folder}/run-{table.rsplit('_', 1)[1]}")
+            self.spark.sql(f"DROP TABLE {table}")
+        self.runs, self.every = [], []
 
 
-_RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
+def _final(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Results of documents, with the duplicate places found for them."""
+    for batch in pieces(batches):
+        out = [(doc_id, *Page(text).result(places or ())) for doc_id, text, places in zip(*(c.to_pylist() for c in batch.columns))]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string()]
+        yield pa.record_batch([pa.array(list(c), k) for c, k in zip(zip(*out) if out else [[]] * 4, kinds)], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
 
-def dedup(docs: DataFrame, batches: int = BATCHES, filtered: bool = True) -> DataFrame:
+def dedup(docs: DataFrame, batches: int = BATCHES, filtered: bool = True, index: FingerprintIndex | None = None) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256: one row per row of docs.
 
     Documents go through the index in batches by rising doc_id. A null text has no words;
     rows without doc_id come last. Of rows that share their doc_id or have none, none is
     earlier than another: a window is earlier by its place in its own row alone. Each row
-    loses only what was found in it, told by its doc_id and a hash of its text. Other columns are ignored; an empty table gives an
-    empty result. Without the filter every window is indexed, as when the batches to come
-    are not known yet.
+    loses only what was found in it, told by its doc_id and a hash of its text. Repeated
+    rows get the same result each. Other columns are ignored; an empty table gives an
+    empty result.
+
+    With an index of one's own the texts merged into it before are earlier ones, and it
+    stays for later calls; every window is then indexed, as without the filter. Without
+    one an index is made for the call and emptied after it.
     """
     spark = docs.sparkSession
     place = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))
-    read = docs.select(place.alias("place"), F.xxhash64(F.col("text").cast("binary")).alias("row"), F.col("text").cast("binary").alias("text"), F.col("doc_id").cast("long").alias("doc_id"))
-    recurs = None
-    if filtered:
-        pairs = read.mapInArrow(_anchor_rows, "anchor long, stretch long").repartition("anchor")
-        several = pairs.groupBy("anchor").agg(F.min("stretch").alias("low"), F.max("stretch").alias("high")).filter("low != high")
-        recurs = FixedFilter(several.select("anchor")).probe()
+    read = small_batches(docs).select(place.alias("place"), F.xxhash64(place, F.col("text").cast("binary")).alias("doc"), F.col("text").cast("binary").alias("text"), F.col("doc_id").cast("long").alias("doc_id"))
     low, high = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
     low, high = low or 0, high or 0
-    context = spark.sparkContext
-    settle(spark.range(0))  # the shared folder is known from here on
-    index = FingerprintIndex(spark, f"{context.getCheckpointDir()}/index-{uuid.uuid4().hex}")
-    found = None
-    for i in range(batches):
+    own = index or FingerprintIndex(spark, f"{shared_folder(spark)}/index-{uuid.uuid4().hex}")
+
+    def batch(i: int) -> DataFrame:
         begin, end = (low + (high - low + 1) * k // batches for k in (i, i + 1))
-        inside = F.lit(True) if batches == 1 else (F.col("place") >= begin if i else F.lit(True)) & (F.col("place") < end if i < batches - 1 else F.lit(True))
-        batch = read.filter(inside)
-        again, new = index.merge(batch.mapInArrow(_stretch_rows, _PLACES))
-        is_first = FixedFilter(new.select(F.xxhash64("place", "at").alias("place"))).probe()
-        single, _ = index.merge(batch.mapInArrow(_window_rows(recurs, is_first), _PLACES))
-        found = again.union(single) if found is None else found.union(again).union(single)
-    # copies under one place find the same: each of their places counts once
-    found = settle(found.distinct().groupBy("place", "row").agg(F.collect_list(F.struct("at", "span")).alias("places")))
-    touched = FixedFilter(found.select(F.xxhash64("place", "row").alias("place"))).column(F.xxhash64("place", "row"))
-    marked = read.withColumn("touched", touched)
-    apart = marked.filter("NOT touched").drop("touched").mapInArrow(_final(False), _RESULT)
-    joined = marked.filter("touched").drop("touched").join(found, ["place", "row"], "left").select("place", "row", "text", "doc_id", "places")
-    return apart.union(joined.mapInArrow(_final(True), _RESULT))
+        inside = [F.col("place") >= begin] * (i > 0) + [F.col("place") < end] * (i < batches - 1)
+        part = read.select("place", "doc", "text")
+        for condition in inside:
+            part = part.filter(condition)
+        return part
+
+    found, cells = None, None
+    for i in range(batches):
+        again, new = own.merge(batch(i).mapInArrow(_stretch_rows, _PLACES))
+        found, cells = (again, new) if i == 0 else (found.union(again), cells.union(new))
+    cells = cells.select("doc", "cells").mapInArrow(_cell_rows(index is not None or not filtered), "anchor long, doc long, cell long, known boolean")
+    cells = cells.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_recurring, "doc long, cell long")
+    cells = settle(cells.groupBy("doc").agg(F.collect_set("cell").alias("cells")))
+    for i in range(batches):
+        single, _ = own.merge(batch(i).join(cells, "doc").select("place", "doc", "text", "cells").mapInArrow(_window_rows, _PLACES))
+        found = found.union(single)
+    found = found.groupBy("doc", "place").agg(F.collect_set(F.struct("at", "span")).alias("places"))
+    result = read.join(found, ["doc", "place"], "left").select("doc_id", "text", "places").mapInArrow(_final, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    result = settle(result)
+    if index is None:
+        own.close(empty=True)
+    return result
