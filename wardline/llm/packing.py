@@ -8,6 +8,7 @@ smallest, then closes.
 
 from __future__ import annotations
 
+import json
 import unicodedata
 import zlib
 from collections.abc import Iterable, Iterator
@@ -30,6 +31,12 @@ GROUP_ROWS = 20_000
 MEMO_WORDS = 200_000
 #: Signs that the tokenizer parts from letters before them.
 SIGNS = b".,;:!?)\"%&*#$"
+# Fixed value: how a tokenizer must part texts, by its own description, for its words to be looked up apart.
+BY_WORDS = {
+    "normalizer": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}],
+    "splits": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+",
+}
+_loaded: dict[str, tuple[Tokenizer, Tokenizer | None]] = {}  # kept between the tasks of one Python worker
 
 
 def place(sizes: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, np.ndarray]:
@@ -57,29 +64,48 @@ def place(sizes: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, np.n
     return bins, offsets
 
 
+def parts_by_words(whole: Tokenizer) -> bool:
+    """Whether white space ends a token and texts are folded as BY_WORDS says; special tokens all begin with "<|"."""
+    said = json.loads(whole.to_str())
+    normalizer, splits = said["normalizer"] or {}, (said["pre_tokenizer"] or {}).get("pretokenizers") or [{}]
+    return (
+        normalizer.get("normalizers") == BY_WORDS["normalizer"]
+        and [x.get("type") for x in splits] == ["Split", "ByteLevel"]
+        and splits[0].get("pattern") == {"Regex": BY_WORDS["splits"]}
+        and not splits[1]["add_prefix_space"]
+        and all(x["content"].startswith("<|") for x in said["added_tokens"])
+    )
+
+
+def letters_alone(word: bytes) -> bool:
+    """Whether a word is of letters, also once it is normalised (the lower case of some letters holds a sign)."""
+    plain = word.decode()
+    return plain.isalpha() and (plain.isascii() or unicodedata.normalize("NFC", plain).lower().isalpha())
+
+
 class WordIds:
-    """Ids of texts, encoding each distinct word once.
+    """Ids of texts.
 
-    The vocabulary's tokens never cross white space, so words are looked up apart. Texts
-    that may hold special tokens are encoded whole.
+    Where the tokenizer parts texts as BY_WORDS says, its tokens never cross white space,
+    so each distinct word is encoded once. Texts that may hold special tokens, and all
+    texts for any other tokenizer, are encoded whole.
     """
 
     def __init__(self, path: str):
-        # kept between the tasks of one Python worker
-        loaded = vars(public_tokenizers).setdefault("_loaded", {})
-        if path not in loaded:
-            whole = Tokenizer.from_file(path)
-            # the same model for words of letters that normalising leaves as they are
-            bare = Tokenizer(whole.model)
-            bare.pre_tokenizer = Pieces([WhitespaceSplit(), ByteLevel(add_prefix_space=False, use_regex=False)])
-            loaded[path] = whole, bare
-        self.tokenizer, self.bare = loaded[path]
+        if path not in _loaded:
+            whole, bare = Tokenizer.from_file(path), None
+            if parts_by_words(whole):
+                # the same model for words of letters that normalising leaves as they are
+                bare = Tokenizer(whole.model)
+                bare.pre_tokenizer = Pieces([WhitespaceSplit(), ByteLevel(add_prefix_space=False, use_regex=False)])
+            _loaded[path] = whole, bare
+        self.tokenizer, self.bare = _loaded[path]
         self.memo: list[dict[bytes, bytes]] = [{}, {}]  # words met lately, and those before
 
     def __call__(self, text: bytes) -> bytes:
         """Little-endian unsigned 32-bit ids."""
-        if b"<|" in text:
-            return self._ids([text])[0]
+        if self.bare is None or b"<|" in text:
+            return np.array(self.tokenizer.encode(text.decode(), add_special_tokens=False).ids, "<u4").tobytes()
         words = text.lower().split()
         if len(self.memo[0]) > MEMO_WORDS:
             self.memo[:] = {}, self.memo[0]
@@ -87,7 +113,7 @@ class WordIds:
         if missing := set(words).difference(lately):
             lately.update({w: before[w] for w in missing if w in before})
             # a sign ends a word of letters for the tokenizer too, so what is before and after it is looked up apart
-            split = {w: (core, w[len(core) :]) for w in missing.difference(before) if len(core := w.rstrip(SIGNS)) < len(w) and core.decode().isalpha()}
+            split = {w: (core, w[len(core) :]) for w in missing.difference(before) if len(core := w.rstrip(SIGNS)) < len(w) and letters_alone(core)}
             parts = {p for pair in split.values() for p in pair}
             lately.update({w: before[w] for w in parts if w in before})
             new = [w for w in missing.difference(before, split) | parts if w not in lately]
@@ -155,12 +181,13 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY
 
     A document is its ids and the end id; a null text is the end id alone. Repeated rows
     are packed each for itself, as is a row without doc_id. Other columns are ignored; an
-    empty table gives an empty result. Groups are of about group_rows documents each, so
-    at most a few sequences of each group stay part empty.
+    empty table gives an empty result. Groups are of about group_rows documents, and
+    pieces of long ones, each, so at most a few sequences of each group stay part empty.
     """
     path = tokenizer or public_tokenizers.path("word_bpe_49k.json")
     read = small_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"))
-    groups = max(1, docs.count() // group_rows)
+    count, size = docs.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
+    groups = max(1, (count + (size or 0) // (4 * capacity)) // group_rows)  # of documents and the pieces of long ones
     cut = read.mapInArrow(_cut(path, capacity, end), "doc_id long, piece int, start long, length long, ids_crc32 long")
     dealt = cut.withColumn("pack", F.pmod(F.xxhash64("doc_id", "piece", F.monotonically_increasing_id()), F.lit(groups)).cast("int"))
     out = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
