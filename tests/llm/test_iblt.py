@@ -1,6 +1,7 @@
 """Sketches against plain sets."""
 
 import hashlib
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,6 +10,10 @@ from wardline.llm import iblt
 from .helpers import DATA, clashing, empty, odd, rows
 
 
+def paragraphs(text):
+    return {p for line in text.split("\n") for p in (re.split("(?<=[a-mA-M][.!?]) +", line) if len(line) > 300 else [line])}
+
+
 def brute(table):
     """doc_id, text rows, without rows alike."""
     order = sorted(table, key=lambda r: (r[0] is None, -(r[0] or 0)))
@@ -16,7 +21,7 @@ def brute(table):
         text, other = text or "", order[(i + 1) % len(order)][1] or ""
         cut = len(text) // 3
         edited = text[: len(text) - cut] + other[:cut]
-        own, new, far = (set(t.split("\n")) for t in (text, edited, other))
+        own, new, far = (paragraphs(t) for t in (text, edited, other))
         yield doc_id, len(text), hashlib.sha256(edited.encode()).hexdigest(), len(own & new) / len(own | new), len(own & far) / len(own | far)
 
 
@@ -50,4 +55,17 @@ def test_peeling_retries_until_it_recovers_all(spark, a, b):
     rows_ = spark.range(1).select(F.expr(f"transform(sequence(1, {a}), i -> xxhash64(i))").alias("a"), F.expr(f"transform(sequence(2, {b + 1}), i -> xxhash64(i))" if b else "array(1L)").alias("b"))
     rows_ = rows_.withColumns({"ca": F.expr(iblt._sketch("a", "0")), "cb": F.expr(iblt._sketch("b", "0"))})
     (r,) = rows_.select("a", "b", iblt.difference("a", "b", "ca", "cb").alias("d")).collect()
-    assert r.d == len(set(r.a) ^ set(r.b))
+    assert sorted(r.d.mine) == sorted(set(r.a) - set(r.b)) and sorted(r.d.others) == sorted(set(r.b) - set(r.a))
+
+
+def test_recovered_digests_are_those_that_differ(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").filter("doc_id IS NOT NULL")
+    got = {r.doc_id: (r.only_here, r.only_edited) for r in iblt.fingerprints(docs).collect()}
+    order = sorted(rows(docs), key=lambda r: -r[0])
+    pairs = []
+    for i, (doc_id, text) in enumerate(order):
+        text, other = text or "", order[(i + 1) % len(order)][1] or ""
+        pairs.append((doc_id, text, text[: len(text) - len(text) // 3] + other[: len(text) // 3]))
+    sets = spark.createDataFrame(pairs, "doc_id long, a string, b string").select("doc_id", iblt.digests("a").alias("a"), iblt.digests("b").alias("b")).collect()
+    for r in sets:
+        assert got[r.doc_id] == (sorted(set(r.a) - set(r.b)), sorted(set(r.b) - set(r.a)))

@@ -1,11 +1,13 @@
 """Document fingerprints: invertible Bloom lookup sketches of paragraph digests (DataFrame functions only).
 
-A text is the set of the digests of its paragraphs (lines; repeats count once). Each
-digest goes into three of a sketch's cells, which sum up counts, keys and check bits by
-plus and exclusive or. Subtracting the sketches of two versions leaves the paragraphs
-that differ; cells that hold one of them give it away and are peeled until all cells
-are empty. If they don't empty, both sets are sketched anew, larger: split by digest
-into four times as many blocks of cells.
+A text is the set of the digests of its paragraphs (lines, and of long lines parts that
+end with a sentence; repeats count once). Each digest goes into three of a sketch's
+cells, which sum up counts, keys and check bits by plus and exclusive or. Subtracting the
+sketches of two versions leaves the paragraphs that differ; cells that hold one of them
+give it away and are peeled until all cells are empty, which recovers the digests of
+either side. How many differ is first estimated by one stratum of the digests, and the
+sketches begin at the size for that; if they don't empty, both sets are sketched anew,
+larger: split by digest into four times as many blocks of cells.
 """
 
 from __future__ import annotations
@@ -17,8 +19,15 @@ from .common import settle
 
 SUBTABLES, WIDTH = 3, 8
 CELLS = SUBTABLES * WIDTH
-#: Blocks at the largest size: 4 to this power. Beyond it the digests are compared one by one.
+#: Blocks at the largest size: 4 to this power, for some 2.6 million digests that differ. Beyond it, texts of
+#: over 100 MB with nothing in common, the digests are compared one by one.
 MOST_LEVEL = 9
+#: Digests that differ which a block of cells is meant for, and the digests of which one is in the stratum.
+A_BLOCK, STRATUM = 10, 8
+#: Lines of more characters are cut after sentences that end with a letter of the alphabet's first half, so at
+#: places that depend on what is there.
+LONG_LINE = 300
+SENTENCE_END = "(?<=[a-mA-M][.!?]) +"
 
 _CELL = "named_struct('n', {n}, 'key', {key}, 'check', {check})"
 _ZERO = _CELL.format(n="0", key="0L", check="0L")
@@ -26,7 +35,8 @@ _ZERO = _CELL.format(n="0", key="0L", check="0L")
 
 def digests(text: str) -> Column:
     """Digests of the paragraphs of a text column."""
-    return F.expr(f"array_distinct(transform(split({text}, '\\n'), paragraph -> xxhash64(paragraph)))")
+    parts = f"transform(split({text}, '\\n'), line -> if(length(line) > {LONG_LINE}, split(line, '{SENTENCE_END}'), array(line)))"
+    return F.expr(f"array_distinct(transform(flatten({parts}), paragraph -> xxhash64(paragraph)))")
 
 
 def _place(h: str, cell: str) -> str:
@@ -45,13 +55,21 @@ def _sketch(keys: str, level: str) -> str:
     return f"element_at(transform(array({hashed}), hs -> transform(sequence(0, {CELLS - 1}), i -> {filled})), 1)"
 
 
+_NONE = "named_struct('mine', cast(array() AS array<bigint>), 'others', cast(array() AS array<bigint>))"
+
+
+def _side(named: str, n: int) -> str:
+    return f"transform(filter({named}, x -> x.n = {n}), x -> x.key)"
+
+
 def _peel(cells: str, level: str) -> str:
-    """Peel subtracted cells: struct(cells, d: keys recovered, done)."""
+    """Peel subtracted cells: struct(cells, found: the keys recovered of either side, done)."""
     pure = f"filter(s.cells, c -> abs(c.n) = 1 AND c.check = shiftrightunsigned(xxhash64(c.key, {level}), 32))"
     named = f"array_distinct(transform({pure}, c -> named_struct('n', c.n, 'key', c.key, 'h', xxhash64(c.key, {level}))))"
     rest = f"transform(s.cells, (c, i) -> aggregate(filter(p, x -> {_place('x.h', 'i')}), c, (c2, x) -> {_add('c2', '-x.n', 'x.key', 'x.h')}))"
-    step = f"element_at(transform(array({named}), p -> if(size(p) = 0, named_struct('cells', s.cells, 'd', s.d, 'done', true), named_struct('cells', {rest}, 'd', s.d + size(p), 'done', false))), 1)"
-    start = f"named_struct('cells', {cells}, 'd', 0, 'done', false)"
+    more = f"named_struct('mine', concat(s.found.mine, {_side('p', 1)}), 'others', concat(s.found.others, {_side('p', -1)}))"
+    step = f"element_at(transform(array({named}), p -> if(size(p) = 0, named_struct('cells', s.cells, 'found', s.found, 'done', true), named_struct('cells', {rest}, 'found', {more}, 'done', false))), 1)"
+    start = f"named_struct('cells', {cells}, 'found', {_NONE}, 'done', false)"
     return f"aggregate(sequence(1, {CELLS}), {start}, (s, turn) -> if(s.done, s, {step}))"
 
 
@@ -60,7 +78,8 @@ def _minus(a: str, b: str) -> str:
 
 
 def _emptied(peeled: str) -> str:
-    return f"element_at(transform(array({peeled}), r -> if(exists(r.cells, c -> c.n != 0 OR c.key != 0 OR c.check != 0), -1, r.d)), 1)"
+    """The keys recovered, null if cells are left."""
+    return f"element_at(transform(array({peeled}), r -> if(exists(r.cells, c -> c.n != 0 OR c.key != 0 OR c.check != 0), null, r.found)), 1)"
 
 
 def _blocks(keys: str, level: str) -> str:
@@ -69,14 +88,22 @@ def _blocks(keys: str, level: str) -> str:
     return f"if({level} = 0, array({keys}), aggregate(sequence(1, {level}), array({keys}), (parts, t) -> {deal}))"
 
 
+def level_for(a: str, b: str) -> str:
+    """The power of 4 of blocks to begin with, by how many digests of the stratum differ."""
+    stratum = [f"filter({x}, k -> shiftrightunsigned(k, 40) % {STRATUM} = 0)" for x in (a, b)]
+    apart = f"(size(array_except({stratum[0]}, {stratum[1]})) + size(array_except({stratum[1]}, {stratum[0]})))"
+    return f"cast(least({MOST_LEVEL}, ceil(log(4, greatest(1, {apart} * {STRATUM} / {A_BLOCK})))) AS int)"
+
+
 def difference(a: str, b: str, cells_a: str, cells_b: str) -> Column:
-    """How many digests of the array columns a and b are not in both, by peeling; cells_*: their smallest sketches."""
+    """mine, others: the digests of array column a alone and of b alone, by peeling; cells_*: their smallest sketches."""
     first = _emptied(_peel(_minus(cells_a, cells_b), "0"))
     block = _emptied(_peel(_minus(_sketch("z.a", "l"), _sketch("z.b", "l")), "l"))
-    whole = f"aggregate(zip_with({_blocks(a, 'l')}, {_blocks(b, 'l')}, (x, y) -> named_struct('a', x, 'b', y)), 0, (n, z) -> if(n < 0, n, element_at(transform(array({block}), m -> if(m < 0, m, n + m)), 1)))"
-    larger = f"aggregate(sequence(1, {MOST_LEVEL}), -1, (n, l) -> if(n >= 0, n, {whole}))"
-    by_one = f"size(array_except({a}, {b})) + size(array_except({b}, {a}))"
-    return F.expr(f"coalesce(nullif({first}, -1), nullif({larger}, -1), {by_one})")
+    both = "named_struct('mine', concat(n.mine, m.mine), 'others', concat(n.others, m.others))"
+    whole = f"aggregate(zip_with({_blocks(a, 'l')}, {_blocks(b, 'l')}, (x, y) -> named_struct('a', x, 'b', y)), {_NONE}, (n, z) -> if(n IS NULL, null, element_at(transform(array({block}), m -> if(m IS NULL, null, {both})), 1)))"
+    larger = f"element_at(transform(array({level_for(a, b)}), begin -> coalesce(if(begin = 0, {first}, null), aggregate(sequence(greatest(1, begin), {MOST_LEVEL}), cast(null AS struct<mine: array<bigint>, others: array<bigint>>), (n0, l) -> coalesce(n0, {whole})))), 1)"
+    by_one = f"named_struct('mine', array_except({a}, {b}), 'others', array_except({b}, {a}))"
+    return F.expr(f"coalesce({larger}, {by_one})")
 
 
 def likeness(differ: Column, a: Column, b: Column) -> Column:
@@ -111,7 +138,10 @@ def _followers(keys: DataFrame) -> DataFrame:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next: one row per row of docs.
+    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, only_here, only_edited: one row per row of docs.
+
+    The last two are the paragraph digests recovered by peeling: those of the text that
+    the edited text lacks, and those of the edited text alone.
 
     A null text is empty, which is one empty paragraph. Rows without doc_id come last.
     Rows alike in doc_id and text share one place in the order, so they have the same
@@ -134,13 +164,16 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     edited = joined.withColumn("n_chars", F.char_length("text").cast("long")).withColumn("edited", F.expr("concat(left(text, int(n_chars) - cut), begin)"))
     sets = edited.select(F.nullif("id", no_id).alias("doc_id"), "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), digests("text").alias("own"), digests("edited").alias("other"), "next")
     cells = sets.withColumns({c: F.expr(_sketch(k, "0")) for c, k in (("own_cells", "own"), ("other_cells", "other"), ("next_cells", "next"))})
-    far = cells.withColumns({"d_edited": difference("own", "other", "own_cells", "other_cells"), "d_next": difference("own", "next", "own_cells", "next_cells")})
-    return far.select(
+    apart = cells.withColumns({"apart_edited": difference("own", "other", "own_cells", "other_cells"), "apart_next": difference("own", "next", "own_cells", "next_cells")})
+    differ = lambda c: F.size(f"{c}.mine") + F.size(f"{c}.others")
+    return apart.select(
         "doc_id",
         "n_chars",
         "edited_sha256",
         written("own_cells").alias("fingerprint"),
         written("other_cells").alias("edited_fingerprint"),
-        likeness(F.col("d_edited"), F.size("own"), F.size("other")).alias("near_edited"),
-        likeness(F.col("d_next"), F.size("own"), F.size("next")).alias("near_next"),
+        likeness(differ("apart_edited"), F.size("own"), F.size("other")).alias("near_edited"),
+        likeness(differ("apart_next"), F.size("own"), F.size("next")).alias("near_next"),
+        F.array_sort("apart_edited.mine").alias("only_here"),
+        F.array_sort("apart_edited.others").alias("only_edited"),
     )
