@@ -1,10 +1,11 @@
 """Toxicity: a linear classifier over character n-grams scaled by naive Bayes log-count ratios.
 
-The n-grams of a text, of its bytes in lower case with white space as one blank, are
+The n-grams of a text, of its characters in lower case with white space as one blank, are
 hashed to a fixed number of features and count once for each text. A feature's value is
 the log ratio of its naive Bayes rates in toxic and clean training texts; a logistic
 regression with an L2 penalty weighs the values. It is fitted in one task on a sample of
-labelled rows whose size is a parameter; the weights that go to all tasks have a fixed size.
+labelled rows whose number and bytes are parameters; the weights that go to all tasks have
+a fixed size. The share of toxic texts that scores assume is that of all training labels.
 """
 
 from __future__ import annotations
@@ -14,18 +15,18 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import crc_of_id, fewer_files, fresh, small_batches
+from .common import crc_of_id, fresh, settle, small_batches
 
 ORDERS = (3, 4, 5)
 FEATURE_BITS = 19
 #: Labelled rows that the classifier is fitted on: at most so many, half of each class.
 FIT_ROWS = 8_000
+#: Bytes of their texts, at most: rows are taken in their order until the next one would go beyond.
+FIT_BYTES = 64_000_000
 THRESHOLD = 0.7
-#: The share of toxic texts that scores assume.
-PRIOR = 0.3
 #: Features are used that so many texts have, in numbers so many deviations off what chance would give.
 LEAST_TEXTS, SURPRISE = 3, 3.2
 SMOOTH, PENALTY, STEPS, RATE = 1.0, 1.0, 100, 0.05
@@ -33,7 +34,8 @@ SMOOTH, PENALTY, STEPS, RATE = 1.0, 1.0, 100, 0.05
 
 def features(text: bytes | None, seen: np.ndarray) -> np.ndarray:
     """The distinct hashed n-grams of a text; seen is a scratch array of False, left so."""
-    raw = np.frombuffer(b" " + b" ".join((text or b"").lower().split()) + b" ", np.uint8).astype(np.uint32)
+    plain = " ".join((text or b"").decode("utf-8", "replace").lower().split())
+    raw = np.frombuffer(f" {plain} ".encode("utf-32-le"), np.uint32)
     for n in ORDERS:
         if len(raw) >= n:
             code = raw[: len(raw) - n + 1].copy()
@@ -47,10 +49,10 @@ def features(text: bytes | None, seen: np.ndarray) -> np.ndarray:
     return out
 
 
-def fit(texts: list[bytes | None], labels: np.ndarray, prior: float = PRIOR) -> tuple[np.ndarray, float]:
+def fit(texts: list[bytes | None], labels: np.ndarray, prior: float) -> tuple[np.ndarray, float]:
     """Weight of each feature, and the bias, for texts with labels 0 and 1; prior: the share of 1 at large."""
     size, seen = 1 << FEATURE_BITS, np.zeros(1 << FEATURE_BITS, bool)
-    weights = np.zeros(size, np.float32)
+    weights, prior = np.zeros(size, np.float32), min(max(prior, 1e-6), 1 - 1e-6)
     if len(set(labels.tolist())) < 2:  # nothing to tell apart
         return weights, float(np.log(prior / (1 - prior)))
     often, toxic_often = np.zeros(size, np.int64), np.zeros(size, np.int64)
@@ -92,33 +94,42 @@ def fit(texts: list[bytes | None], labels: np.ndarray, prior: float = PRIOR) ->
     return weights, float(bias + np.log(prior / (1 - prior)) - np.log(here / (1 - here)))
 
 
-def _fit(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    texts, labels = [], []
-    for b in batches:
-        texts += b.column(0).to_pylist()
-        labels += b.column(1).to_pylist()
-    weights, bias = fit(texts, np.array(labels, float))
-    yield pa.record_batch([pa.array([weights.tobytes()], pa.binary()), pa.array([bias])], names=["weights", "bias"])
+def _fit(prior: float):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts, labels = [], []
+        for b in batches:
+            texts += b.column(0).to_pylist()
+            labels += b.column(1).to_pylist()
+        weights, bias = fit(texts, np.array(labels, float), prior)
+        yield pa.record_batch([pa.array([weights.tobytes()], pa.binary()), pa.array([bias])], names=["weights", "bias"])
 
+    return run
 
-def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> tuple[np.ndarray, float]:
+
+def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, fit_bytes: int = FIT_BYTES) -> tuple[np.ndarray, float]:
     """Fit on labelled rows of docs outside the held-out fold (crc32 of the id mod 3 is 1).
 
-    Of each class the fit_rows / 2 rows that come first by a hash of the id are used. Null
-    labels don't count; an id labelled both ways is toxic. With one class only, every text
-    gets the same score.
+    Of each class the fit_rows / 2 rows that come first by a hash of the id are used, in
+    that order, as long as their texts hold no more than fit_bytes. Null labels don't
+    count; an id labelled both ways is toxic. With one class only, every text gets the
+    same score.
     """
     marked = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     marked = marked.filter(crc_of_id(F.col("doc_id")) % 3 != 1)
     known = docs.select("doc_id").filter(F.col("doc_id").isNotNull()).join(marked, "doc_id", "left_semi").distinct()
-    known = known.join(marked, "doc_id")
+    known = settle(known.join(marked, "doc_id"))
+    prior = known.agg(F.avg("toxic")).first()[0] or 0.0
     half = fit_rows // 2
     order = [F.xxhash64(F.lit(3), F.col("doc_id")), F.col("doc_id")]
     picked = known.filter("toxic = 1").orderBy(*order).limit(half).union(known.filter("toxic = 0").orderBy(*order).limit(half))
     picked = F.broadcast(picked)  # fit_rows rows at most
-    sample = small_batches(docs).join(picked, "doc_id").select(F.col("text").cast("binary").alias("text"), "toxic", "doc_id")
-    sample = sample.orderBy(*order, F.xxhash64("text")).limit(fit_rows).select("text", "toxic").coalesce(1)
-    row = sample.mapInArrow(_fit, "weights binary, bias double").collect()
+    wanted = small_batches(docs).join(picked, "doc_id").select("doc_id", "toxic", F.xxhash64("text").alias("hash"), F.col("text").cast("binary").alias("text"))
+    # the lengths of so many rows, without the texts, show where the bytes run out
+    sizes = wanted.select("doc_id", "hash", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("size")).orderBy(*order, "hash").limit(fit_rows)
+    upto = F.sum("size").over(Window.orderBy(*order, "hash").rowsBetween(Window.unboundedPreceding, 0))
+    within = sizes.withColumn("upto", upto).filter(F.col("upto") <= fit_bytes).select("doc_id", "hash").distinct()
+    sample = wanted.join(F.broadcast(within), ["doc_id", "hash"]).orderBy(*order, "hash").limit(fit_rows).select("text", "toxic").coalesce(1)
+    row = sample.mapInArrow(_fit(prior), "weights binary, bias double").collect()
     if not row:
         return np.zeros(1 << FEATURE_BITS, np.float32), 0.0
     return np.frombuffer(row[0]["weights"], np.float32), row[0]["bias"]
@@ -143,7 +154,9 @@ def scores(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Data
     """doc_id, held_out, score, predicted: one row per row of docs.
 
     Null and empty texts get the score of a text of no words. A null doc_id is never
-    trained on and hashes as the empty string. Other columns are ignored.
+    trained on and hashes as the empty string. Repeated rows get the same score each, and
+    are trained on together; an empty table gives an empty result, and without labels
+    every text gets the same score. Other columns are ignored.
     """
     score = scorer(train(docs, labels, fit_rows), docs.sparkSession)
     rows = docs.select("doc_id", (crc_of_id(F.col("doc_id")) % 3 == 1).alias("held_out"), score.alias("score"))
@@ -151,7 +164,11 @@ def scores(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Data
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
-    """docs whose score stays under the threshold, columns unchanged."""
+    """docs whose score stays under the threshold, columns unchanged.
+
+    Rows are looked at one by one, so nulls, ties and repeated rows have the fate that
+    their scores() give them; an empty table stays empty.
+    """
     (name,) = fresh(docs, "score")
     scored = docs.withColumn(name, scorer(train(docs, labels, fit_rows), docs.sparkSession))
-    return fewer_files(scored.filter(F.col(name) < THRESHOLD).select(*docs.columns))
+    return scored.filter(F.col(name) < THRESHOLD).select(*docs.columns)
