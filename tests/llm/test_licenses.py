@@ -55,3 +55,40 @@ def test_repeats_and_odd_rows(spark):
     assert licenses.matches(odd(spark)).count() == licenses.matches(empty(spark)).count() == 0
     long = "lorem ipsum " * 50_000 + "Released under the MIT License. " * 300
     assert licenses.matches(spark.createDataFrame([(1, long)], "doc_id long, text string")).count() == 300
+
+
+def full_alignment(template, words):
+    """The same local alignment over the whole table, with the same choice among equals."""
+    m, n = len(template), len(words)
+    h = np.zeros((m + 1, n + 1), int)
+    for i in range(1, m + 1):
+        for j in range(1, n + 1):
+            h[i, j] = max(0, h[i - 1, j - 1] + (2 if template[i - 1] == words[j - 1] else -1), h[i - 1, j] - 1, h[i, j - 1] - 1)
+    best = h.max()
+    i, j = min(((i, j) for i, j in np.argwhere(h == best)), key=lambda p: (p[0], p[1]))
+    matched, first, last = 0, j - 1, j - 1
+    while h[i, j] > 0:
+        equal = template[i - 1] == words[j - 1]
+        if h[i, j] == h[i - 1, j - 1] + (2 if equal else -1):
+            matched, first, i, j = matched + equal, j - 1 if equal else first, i - 1, j - 1
+        elif h[i, j] == h[i, j - 1] - 1:
+            j -= 1
+        else:
+            i -= 1
+    return matched, first, last
+
+
+def test_coverage_and_spans_against_full_alignment():
+    draw = random.Random(6)
+    index = licenses.Index({"notice": " ".join(f"t{i}" for i in range(60))})
+    for _ in range(60):
+        words = [f"t{i}" for i in range(60)]
+        for _ in range(draw.randint(0, 5)):  # spread edits, each within the band
+            at = draw.randrange(len(words))
+            words[at : at + 1] = draw.choice([[], ["new"], [words[at], "more"]])
+        before, after = ([f"{c}{i}" for i in range(draw.randint(0, 20))] for c in "xy")
+        text = " ".join(before + words + after)
+        (hit,) = licenses.scan(text.encode(), index, 0.5)
+        matched, first, last = full_alignment([f"t{i}" for i in range(60)], before + words + after)
+        spans = np.cumsum([0, *(len(w) + 1 for w in before + words + after)])
+        assert hit == ("notice", matched, matched / 60, spans[first], spans[last + 1] - 1)

@@ -17,45 +17,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import combine, hash_words, pieces
+from .license_texts import TEMPLATES
 
 RUN, WINNOW, BAND, LEAST_COVERAGE = 3, 4, 8, 0.8
 #: All templates together; they go to every task.
 MOST_TEMPLATE_BYTES = 16_000_000
 _WORDS = bytes(32 if c < 128 and not chr(c).isalnum() else ord(chr(c).lower()) if c < 128 else c for c in range(256))
 
-# Public notices by which licenses are named.
-TEMPLATES = {
-    "mit": "Released under the MIT License.",
-    "mit-text": (
-        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
-        "documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation "
-        "the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to "
-        "permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright "
-        "notice and this permission notice shall be included in all copies or substantial portions of the Software."
-    ),
-    "apache-2.0": "Licensed under the Apache License, Version 2.0.",
-    "apache-2.0-notice": (
-        "you may not use this file except in compliance with the License. You may obtain a copy of the License at "
-        "http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software "
-        "distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, "
-        "either express or implied."
-    ),
-    "gpl-3.0": "This work is licensed under the GNU General Public License, version 3.",
-    "gpl-notice": (
-        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public "
-        "License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any "
-        "later version."
-    ),
-    "bsd": (
-        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the "
-        "following conditions are met: Redistributions of source code must retain the above copyright notice, this list of "
-        "conditions and the following disclaimer."
-    ),
-    "cc-by-nc-4.0": "Licensed under CC BY-NC 4.0.",
-    "cc-by-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
-    "all-rights-reserved": "All rights reserved.",
-}
-
 
 class Words(NamedTuple):
     starts: np.ndarray
@@ -196,7 +164,8 @@ def matches(docs: DataFrame, templates: dict[str, str] = TEMPLATES, least: float
 
     The span is in code points of the text. Places of one template don't overlap; of
     overlapping ones the first is returned. Null, empty and clean texts have no row;
-    repeated rows have theirs each; other columns are ignored.
+    repeated rows have theirs each, a null doc_id stays null; an empty table gives an
+    empty result; other columns are ignored.
     """
     read = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
     return read.mapInArrow(_scan(Index(templates), least), _MATCHES)
