@@ -12,6 +12,7 @@ them, and each stretch is then repaired and rendered by itself.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Iterator
 from itertools import groupby
 
@@ -34,6 +35,8 @@ STRETCH = 2_000
 #: Characters of a text that rows are dealt to ranges by.
 PREFIX = 200
 OPEN, CLOSE = "<|{role}|>\n", "<|end|>\n"
+#: What begins a mark; in texts it gets one bar more, so that no text makes a turn.
+MARK = re.compile(r"<(?=\|)")
 FAR = 1 << 60
 
 
@@ -78,6 +81,11 @@ def role_of(name: str | None) -> int:
     return ROLES.index(name) if name in ROLES else 0
 
 
+def shown_text(text: str | None) -> str:
+    """A text in a rendered turn: "<" before bars gets one bar more, which taking one away undoes."""
+    return MARK.sub("<|", text or "")
+
+
 def table_of(roles: Iterable[int]) -> list[list[tuple[int, int]]]:
     """For each state before and after the turns: the least cost, and how many turns that way makes."""
     table = [[(0, 0) if a == b else (FAR, 0) for b in range(4)] for a in range(4)]
@@ -189,9 +197,9 @@ def _render(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     pending = (conv_id, None, None, INSERT, ROLES[extra], number, head(extra), cost)
                 if action in (KEEP, RELABEL):
                     number += 1
-                    shown = head(new) + (text or "") + "\n"
+                    shown = head(new) + shown_text(text) + "\n"
                 else:
-                    shown = (text or "") + "\n"
+                    shown = shown_text(text) + "\n"
                 if pending:
                     yield pending
                 pending = (conv_id, turn, role, action, ROLES[new], number, shown, cost)
@@ -232,7 +240,8 @@ def repaired(turns: DataFrame, stretch: int = STRETCH) -> DataFrame:
     """conv_id, turn, role, action, new_role, new_turn, rendered, cost: a row for each source or inserted turn.
 
     rendered is the turn's part of the formatted conversation, whose parts follow each
-    other by new_turn and then in the order of turn, role, text; cost is the whole
+    other by new_turn and then in the order of turn, role, text; marks of turns inside
+    texts get one bar more ("<|end|>" is shown as "<||end|>"); cost is the whole
     conversation's. Rows without conv_id are one conversation; turns without a number
     come last, equal numbers in the order of role and text; unknown and null roles are
     relabelled, null texts empty, and repeated rows are turns of their own. Other columns
