@@ -19,7 +19,7 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import crc_of_id, settle
@@ -173,11 +173,29 @@ def _count_pairs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _model(pairs: Callable[[], np.ndarray]):
+    """Probabilities of strings that come in the order of their two-byte contexts, for some whole contexts at a time."""
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        columns = [[c.to_numpy() for c in b.columns[:2]] for b in batches]
-        if columns:
-            strings, counts = (np.concatenate(x) for x in zip(*columns))
-            yield pa.record_batch([pa.array(strings), pa.array(log_probs(strings, counts, pairs()))], names=["string", "value"])
+        parts, held = [], 0
+
+        def flush(parts: list) -> pa.RecordBatch:
+            strings, counts = (np.concatenate(x) for x in zip(*parts))
+            return pa.record_batch([pa.array(strings), pa.array(log_probs(strings, counts, pairs()))], names=["string", "value"])
+
+        for batch in batches:
+            strings, counts = (c.to_numpy() for c in batch.columns[:2])
+            parts.append((strings, counts))
+            held += len(strings)
+            if held > CHUNK:
+                # all but the last context, which may go on in the next batch
+                strings, counts = (np.concatenate(x) for x in zip(*parts))
+                context = strings >> 8 & 0xFFFF
+                cut = int(np.searchsorted(context, context[-1]))
+                if cut:
+                    yield flush([(strings[:cut], counts[:cut])])
+                parts, held = [(strings[cut:], counts[cut:])], len(strings) - cut
+        if parts:
+            yield flush(parts)
 
     return run
 
@@ -243,15 +261,17 @@ def scores(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     pairs = spark.sparkContext.broadcast(table)
     by_block = dealt.groupBy("block")
 
-    each = Window.partitionBy("word")
-    words = by_block.applyInArrow(_ask_words, "block int, word binary, n long")
-    words = words.withColumns({"all": F.sum("n").over(each), "least": F.min(F.when(F.col("n") > 0, F.col("block"))).over(each)})
-    words = words.filter("all != n").select("block", "word", F.lit(None).cast("long").alias("string"), F.col("all").cast("double").alias("value"), (F.col("least") == F.col("block")).alias("first"))
+    word_asked = by_block.applyInArrow(_ask_words, "block int, word binary, n long").filter("word IS NOT NULL").repartition("word")
+    # a common word has a row in each block: they are summed up and answered as a stream, never gathered
+    totals = word_asked.groupBy("word").agg(F.sum("n").alias("all"), F.min(F.when(F.col("n") > 0, F.col("block"))).alias("least"))
+    words = word_asked.join(totals, "word").filter("all != n")
+    words = words.select("block", "word", F.lit(None).cast("long").alias("string"), F.col("all").cast("double").alias("value"), (F.col("least") == F.col("block")).alias("first"))
 
     asked = by_block.applyInArrow(_ask_strings, "block int, string long, n long").filter("string IS NOT NULL").repartition("string")
     # both uses of asked take the same rows and columns, so that it is dealt once
     whole = asked.groupBy("string").agg(F.sum("n").alias("n"), F.min("block").alias("block"))
-    by_context = whole.repartition(F.expr("shiftright(string, 8) & 65535"))
+    context = F.expr("shiftright(string, 8) & 65535")
+    by_context = whole.repartition(context).sortWithinPartitions(context)
     known = by_context.mapInArrow(_model(lambda: pairs.value), "string long, value double")
     strings = asked.join(known, "string").select("block", F.lit(None).cast("binary").alias("word"), "string", "value", (F.col("n") < 0).alias("first"))
 
