@@ -1,10 +1,11 @@
 """Exact dedup, SimHash, toxicity, mixing and packing against brute force."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
@@ -15,6 +16,7 @@ from tokenizers import Tokenizer
 from wardline.llm import exact, mixing, packing, simhash, toxicity
 from .helpers import DATA, DOCS, ODD, clashing, empty, odd, rows
 
+OTHER_TOKENIZERS = ["byte_bpe_50k.json"]
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
@@ -153,6 +155,26 @@ def test_simhash_dedup(spark):
     assert simhash.dedup(empty(spark)).count() == 0
 
 
+def test_simhash_shards_by_vantage_points(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "SHARD_ROWS", 20)
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    items = [(r.doc_id, brute_simhash(r.text)) for r in docs.collect()]
+    assert sorted(map(str, brute_components(items))) == sorted(map(str, rows(simhash.clusters(docs))))
+
+
+def test_one_row_of_each_component_stays(spark):
+    a, b = (" ".join(f"{c}{i}" for i in range(60)) for c in "ab")
+    for table, ids in (
+        ([(1, a), (None, a), (None, b), (None, b)], [1, None]),
+        ([(1, a), (None, a), (None, b)], [1, None]),
+        ([(None, a), (None, b), (2, b), (2, b)], [None, 2]),
+        ([(3, a), (3, a + " "), (3, b), (None, None), (None, "")], [3, 3, None]),
+    ):
+        docs = spark.createDataFrame(table, "doc_id long, text string")
+        assert sorted(map(str, (r.doc_id for r in simhash.dedup(docs).collect()))) == sorted(map(str, ids))
+        assert sorted(map(str, (r.doc_id for r in exact.dedup(docs).collect()))) == sorted(map(str, ids))
+
+
 def test_components_of_a_long_path(spark):
     edges = spark.range(300).selectExpr("id + 1 AS a", "id AS b").union(spark.createDataFrame([(1000, 1001), (1001, 1002), (7, 7)], "a long, b long"))
     got = dict(rows(simhash.components(edges)))
@@ -187,6 +209,64 @@ def test_toxicity_odd_tables(spark):
     assert len({r[2] for r in one_class}) == 1
 
 
+def brute_grams(text):
+    plain, out = " " + " ".join((text or "").lower().split()) + " ", set()
+    for n in (3, 4, 5):
+        for i in range(len(plain) - n + 1):
+            code = ord(plain[i])
+            for c in plain[i + 1 : i + n]:
+                code = (code * 0x01000193 % 2**32) ^ ord(c)
+            out.add((code * 0x9E3779B1 % 2**32) >> (32 - toxicity.FEATURE_BITS))
+    return out
+
+
+def brute_fit(texts, labels, prior):
+    """The same classifier by dictionaries and loops."""
+    grams, n, here = [brute_grams(t) for t in texts], len(texts), sum(labels) / len(labels)
+    often, toxic = Counter(g for gs in grams for g in gs), Counter(g for gs, y in zip(grams, labels) if y for g in gs)
+    far = {g: abs(toxic[g] - k * here) / math.sqrt(k * here * (1 - here) * max(1 - k / n, 1e-3)) for g, k in often.items()}
+    kept = sorted(g for g, k in often.items() if k >= toxicity.LEAST_TEXTS and far[g] >= toxicity.SURPRISE)
+    in_toxic, in_clean = sum(toxic[g] + 1 for g in kept), sum(often[g] - toxic[g] + 1 for g in kept)
+    ratio = {g: math.log((toxic[g] + 1) / in_toxic) - math.log((often[g] - toxic[g] + 1) / in_clean) for g in kept}
+    w, bias = dict.fromkeys(kept, 0.0), 0.0
+    first, second = Counter(), Counter()
+    for step in range(1, toxicity.STEPS + 1):
+        error = [1 / (1 + math.exp(-bias - sum(ratio[g] * w[g] for g in gs if g in w))) - y for gs, y in zip(grams, labels)]
+        slope = {g: (w[g] + ratio[g] * sum(e for e, gs in zip(error, grams) if g in gs)) / n for g in kept} | {None: sum(error) / n}
+        for g, x in slope.items():
+            first[g] = 0.9 * first[g] + 0.1 * x
+            second[g] = 0.999 * second[g] + 0.001 * x * x
+            change = toxicity.RATE * (first[g] / (1 - 0.9**step)) / (math.sqrt(second[g] / (1 - 0.999**step)) + 1e-8)
+            if g is None:
+                bias -= change
+            else:
+                w[g] -= change
+    return {g: ratio[g] * w[g] for g in kept}, bias + math.log(prior / (1 - prior)) - math.log(here / (1 - here))
+
+
+def test_toxicity_against_brute_force(spark):
+    draw = random.Random(8)
+    good, bad = "дом лес река ÜBER stein tree cloud".split(), "ДУРАК idiot ☠☠☠ гад".split()
+    table = [(i, " ".join(draw.choices(good, k=8) + draw.choices(bad, k=2) * (i % 3 == 0))) for i in range(90)] + [(90, None), (91, "")]
+    labels = [(i, 1, int(i % 3 == 0)) for i, _ in table if i % 4]
+    docs = spark.createDataFrame(table, "doc_id long, text string")
+    got = {r.doc_id: r.score for r in toxicity.scores(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()}
+    known = {i: y for i, _, y in labels if zlib.crc32(str(i).encode()) % 3 != 1}
+    texts = dict(table)
+    weights, bias = brute_fit([texts[i] for i in known], list(known.values()), sum(known.values()) / len(known))
+    assert weights
+    for i, text in table:
+        margin = bias + sum(weights.get(g, 0.0) for g in brute_grams(text))
+        assert got[i] == pytest.approx(1 / (1 + math.exp(-margin)), abs=1e-5)
+
+
+def test_toxicity_fits_no_more_bytes_than_it_may(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    labels = spark.read.parquet(f"{DATA}/labels.parquet")
+    whole, less, none = (toxicity.train(docs, labels, fit_bytes=n) for n in (64_000_000, 20_000, 0))
+    assert (whole[0] != less[0]).any() and not none[0].any()
+
+
 def brute_targets(sizes, weights=(5, 2, 1), most=3):
     names = sorted(sizes, key=lambda s: (s is None, s or ""))
     w = {s: weights[i % len(weights)] for i, s in enumerate(names)}
@@ -267,3 +347,49 @@ def test_packing(spark):
     docs = odd(spark).select("doc_id", "text").union(spark.createDataFrame(extra, "doc_id long, text string"))
     check_packing(table, packing.pack(clashing(docs), capacity=64).collect(), 64, tokenizer)
     assert packing.pack(empty(spark)).count() == 0
+
+
+def test_ids_of_words_are_the_tokenizers():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    draw, whole, ids_of = random.Random(3), Tokenizer.from_file(path), packing.WordIds(path)
+    letters = list("abcdefgTIiSß") + ["İ", "ı", "Σ", "ς", "é", "e\u0301", "\u0307", "\u0323", "Å", "ﬁ", "ǅ", "я", "ё", "日", "😀", "\u200d", "K", "ΐ", "ᾳ", "ŉ", "ẞ"]
+    signs = list(".,;:!?)\"%&*#$'-_/(") + ["'s", "'ll", "'T", "<", "|", "<|", "12", "٣", "½", "…", "«"]
+    blanks = [" ", " ", " ", "\n", "\t", "\x0b", "\x0c", "\r", "\xa0", "\u2028", "\u3000", "\x85", "\x1c"]
+
+    def word():
+        return "".join(draw.choices(letters, k=draw.randint(0, 6))) + "".join(draw.choices(signs, k=draw.choice([0, 0, 1, 2]))) + "".join(draw.choices(letters, k=draw.choice([0, 0, 2])))
+
+    texts = ["".join(word() + draw.choice(blanks) for _ in range(draw.randint(1, 5))) for _ in range(100_000)] + ["TÜRKÇESİ, POLİTİKASİ.", "İ.", "Σ, ΑΣ. ΣΣ!"]
+    for text, e in zip(texts, whole.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert ids_of(text.encode()) == np.array(e.ids, "<u4").tobytes(), text
+
+
+@pytest.mark.parametrize("name", OTHER_TOKENIZERS)
+def test_ids_of_other_tokenizers(name):
+    whole, ids_of = Tokenizer.from_file(public_tokenizers.path(name)), packing.WordIds(public_tokenizers.path(name))
+    for text in ("Hello  THE World, it's\n\n a  test. <|endoftext|> ", " [CLS] Ünïcode ☃ 12,5", "", "İstanbul. ΑΣ,"):
+        assert ids_of(text.encode()) == np.array(whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+
+def test_sum_of_squares_rule():
+    draw = np.random.default_rng(4)
+    for capacity in (10, 37):
+        sizes = draw.integers(1, capacity + 1, 300)
+        bins, offsets = packing.place(sizes, capacity)
+        gaps: dict[int, int] = {}  # of every sequence so far
+        for i in np.argsort(-sizes, kind="stable"):
+            size, count = int(sizes[i]), np.bincount([g for g in gaps.values() if 0 < g < capacity], minlength=capacity + 1)
+            fits = {}
+            for gap in {g for g in gaps.values() if g >= size}:
+                after = count.copy()
+                after[gap] -= 1
+                if gap > size:
+                    after[gap - size] += 1
+                fits[gap] = int((after**2).sum())
+            b = int(bins[i])
+            if not fits:  # a new sequence where no open one has room
+                assert b not in gaps and offsets[i] == 0
+                gaps[b] = capacity - size
+            else:
+                assert fits[gaps[b]] == min(fits.values()) and offsets[i] == capacity - gaps[b]
+                gaps[b] -= size

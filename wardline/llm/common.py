@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,7 +13,6 @@ from pyspark.sql import functions as F
 #: ASCII white space, the only separators of words here.
 SPACE = rb" \t\n\x0b\x0c\r".decode("unicode_escape").encode()
 WORD = r"[^\x20\x09-\x0D]+"
-FILTER_BITS = 1 << 26
 TEXT_ROWS = 1_000
 
 
@@ -42,11 +40,6 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def fewer_files(df: DataFrame) -> DataFrame:
-    """df in no more tasks, and so files, than two for each core: what filters leave of many splits is small."""
-    return df.coalesce(2 * df.sparkSession.sparkContext.defaultParallelism)
-
-
 def small_batches(df: DataFrame) -> DataFrame:
     """df, after seeing to it that rows with whole texts go to Python in batches of at most TEXT_ROWS."""
     spark, key = df.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -110,33 +103,21 @@ def hash_words(text: bytes, starts: np.ndarray, lengths: np.ndarray) -> np.ndarr
     return out
 
 
-class FixedFilter:
-    """A Bloom filter of FILTER_BITS bits over 64-bit hashes, built by an aggregation; 8 MB at any input."""
-
-    SHIFTS = (0, 13, 26, 38)
-
-    def __init__(self, hashes: DataFrame):
-        (name,) = hashes.columns
-        spot = F.explode(F.array(*[F.shiftrightunsigned(F.col(name), s).bitwiseAND(F.lit(FILTER_BITS - 1)) for s in self.SHIFTS]))
-        words = hashes.select(spot.alias("spot")).groupBy(F.shiftright("spot", 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, int(spot & 63))")).alias("bits"))
-        table = words.toArrow()  # FILTER_BITS / 64 rows at most
-        bits = np.zeros(FILTER_BITS // 64, np.int64)
-        bits[table.column("at").to_numpy()] = table.column("bits").to_numpy()
-        self.shared = hashes.sparkSession.sparkContext.broadcast(bits.view(np.uint64))
+def kept_rows(docs: DataFrame, decided: DataFrame) -> DataFrame:
+    """docs without the rows let go, columns unchanged.
 
-    def probe(self) -> Callable[[np.ndarray], np.ndarray]:
-        shared, shifts = self.shared, self.SHIFTS
-
-        def held(hashes: np.ndarray) -> np.ndarray:
-            out = np.ones(len(hashes), bool)
-            for s in shifts:
-                spot = hashes >> np.uint64(s) & np.uint64(FILTER_BITS - 1)
-                out &= (shared.value[spot >> np.uint64(6)] >> (spot & np.uint64(63)) & np.uint64(1)).astype(bool)
-            return out
-
-        return held
-
-    def column(self, hashed: Column) -> Column:
-        """Whether a column of hashes may be among those of the filter: surely not, if false."""
-        held = self.probe()
-        return F.pandas_udf(lambda part: pd.Series(held(part.to_numpy(np.int64).view(np.uint64))), "boolean")(hashed)
+    decided: doc_id, text_hash (xxhash64 of the text), kept; a row for each row of docs. Of
+    rows alike in doc_id and text one stays where one or more of them are kept. Only keys of which
+    a row goes are joined with docs: sent to all tasks while they are few enough for
+    Spark to do so, by a shuffle beyond that.
+    """
+    key, hashed, any_kept = fresh(docs, "id", "text_hash", "any_kept")
+    by_key = decided.groupBy(F.col("doc_id").alias(key), F.col("text_hash").alias(hashed)).agg(F.max("kept").alias(any_kept), F.count("*").alias("n"))
+    changed = settle(by_key.filter(~F.col(any_kept) | (F.col("n") > 1)).drop("n"))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(key)) & (F.xxhash64("text") == F.col(hashed))
+    marked = docs.join(changed, same, "left")
+    out = marked.filter(F.col(any_kept).isNull()).select(*docs.columns)
+    if changed.filter(any_kept).isEmpty():
+        return out
+    alike = docs.join(changed.filter(any_kept), same).dropDuplicates([key, hashed])
+    return out.union(alike.select(*docs.columns))

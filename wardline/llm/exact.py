@@ -16,10 +16,10 @@ import tempfile
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, FixedFilter, fewer_files, fresh, pieces, settle, small_batches
+from .common import SPACE, kept_rows, pieces, settle, small_batches
 
 TRIE_BYTES = 32_000_000
 NODE_BYTES = 260
@@ -222,58 +222,51 @@ def _members(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in pieces(batches):
         keys = [normal(t) for t in batch.column(2).to_pylist()]
         yield pa.record_batch(
-            [batch.column(0), batch.column(1), pa.array(map(len, keys), pa.int64()), pa.array([hashlib.sha256(k).digest() for k in keys], pa.binary())],
-            names=["doc_id", "n", "length", "sha"],
+            [batch.column(0), batch.column(1), batch.column(3), pa.array(map(len, keys), pa.int64()), pa.array([hashlib.sha256(k).digest() for k in keys], pa.binary())],
+            names=["doc_id", "n", "text_hash", "length", "sha"],
         )
 
 
-def groups(docs: DataFrame) -> DataFrame:
-    """doc_id, keep_id, group_size, kept, text_sha256: one row per row of docs.
+def decisions(docs: DataFrame) -> DataFrame:
+    """The rows of groups(), with the xxhash64 of each row's text as text_hash.
 
-    Texts are equal when the same bytes remain without ASCII white space; null counts as
-    empty. The row with the most code points stays, then the smallest doc_id (null last,
-    given as keep_id null); of rows alike in that too, exactly one. An empty table gives
-    an empty result; other columns are ignored.
+    Of rows alike in all that decides, one is chosen by an aggregation, so that no task
+    holds a group of copies.
     """
     text = F.coalesce("text", F.lit(""))
-    read = small_batches(docs).select(F.col("doc_id").cast("long"), F.char_length(text).cast("long").alias("n"), text.cast("binary").alias("text"))
+    read = small_batches(docs).select(F.col("doc_id").cast("long"), F.char_length(text).cast("long").alias("n"), text.cast("binary").alias("text"), F.xxhash64("text").alias("text_hash"))
     owners = (
-        read.mapInArrow(_combine, _TEXTS)
+        read.select("doc_id", "n", "text")
+        .mapInArrow(_combine, _TEXTS)
         .repartition("length", "sha")
         .mapInArrow(_own, _TEXTS.replace("content binary, ", ""))
         .select("length", "sha", F.col("n").alias("most"), F.col("id").alias("owner"), "rows", "alike")
     )
-    members = read.mapInArrow(_members, "doc_id long, n long, length long, sha binary")
+    members = read.mapInArrow(_members, "doc_id long, n long, text_hash long, length long, sha binary")
     first = (F.col("n") == F.col("most")) & F.col("doc_id").eqNullSafe(F.col("owner"))
-    joined = members.join(owners, ["length", "sha"]).withColumn("first", first)
-    nth = F.row_number().over(Window.partitionBy("doc_id", "sha", "first").orderBy("n"))
-    return joined.withColumn("nth", F.when(F.col("first"), nth)).select(
-        "doc_id",
-        F.col("owner").alias("keep_id"),
-        F.col("rows").alias("group_size"),
-        (F.col("first") & (F.col("nth") == 1)).alias("kept"),
-        F.lower(F.hex("sha")).alias("text_sha256"),
-    )
+    joined = settle(members.join(owners, ["length", "sha"]).withColumns({"first": first, "row": F.monotonically_increasing_id()}))
+    shown = ["doc_id", F.col("owner").alias("keep_id"), F.col("rows").alias("group_size"), "kept", F.lower(F.hex("sha")).alias("text_sha256"), "text_hash"]
+    several = F.col("first") & (F.col("alike") > 1)
+    one = joined.filter(several).groupBy("length", "sha").agg(F.min("row").alias("row")).withColumn("chosen", F.lit(True))
+    chosen = joined.filter(several).join(one, ["length", "sha", "row"], "left").withColumn("kept", F.col("chosen").isNotNull())
+    return joined.filter(~several).withColumn("kept", F.col("first")).select(*shown).union(chosen.select(*shown))
+
+
+def groups(docs: DataFrame) -> DataFrame:
+    """doc_id, keep_id, group_size, kept, text_sha256: one row per row of docs.
+
+    Texts are equal when the same bytes remain without ASCII white space; null counts as
+    empty. The row with the most code points stays, then the smallest doc_id (null last,
+    given as keep_id null); of rows alike in that too, exactly one. An empty table gives
+    an empty result; other columns are ignored.
+    """
+    return decisions(docs).drop("text_hash")
 
 
 def dedup(docs: DataFrame) -> DataFrame:
     """docs without the copies: of equal texts one row stays, columns unchanged.
 
-    Only rows that share their doc_id with a dropped row, or may do so by a filter of
-    fixed size, are joined with the decisions; the others' texts are not moved.
+    Null texts count as empty ones; of the rows of equal texts the one that groups() keeps
+    stays, and of rows repeated in doc_id and text one. An empty table stays empty.
     """
-    sha, nth, touched = fresh(docs, "sha", "nth", "touched")
-    whole = F.sha2(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+", "").cast("binary"), 256)
-    decided = settle(groups(docs).select("doc_id", "kept", "text_sha256"))
-    dropped = FixedFilter(decided.filter("NOT kept").select(F.xxhash64("doc_id").alias("hash")))
-    marked = docs.withColumn(touched, dropped.column(F.xxhash64(F.col("doc_id").cast("long"))))
-    kept = decided.filter("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
-    longest = F.row_number().over(Window.partitionBy("doc_id", sha).orderBy(F.char_length("text").desc_nulls_last()))
-    looked = (
-        marked.filter(touched)
-        .withColumn(sha, whole)
-        .withColumn(nth, longest)
-        .filter(F.col(nth) == 1)
-        .join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col(sha) == F.col("_sha")), "left_semi")
-    )
-    return fewer_files(marked.filter(~F.col(touched)).select(*docs.columns).union(looked.select(*docs.columns)))
+    return kept_rows(docs, decisions(docs))

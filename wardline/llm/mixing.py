@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, fewer_files, fresh, settle
+from .common import WORD, fresh, settle
 
 WEIGHTS = (5, 2, 1)
 MAX_REPEAT = 3
@@ -114,7 +114,7 @@ def shares(docs: DataFrame, weights: Sequence[float] = WEIGHTS, max_repeat: int
     alike in doc_id and text are taken or left together. An empty table gives an empty
     result. Other columns of docs are ignored.
     """
-    rows = settle(fewer_files(sized(docs, seed)))
+    rows = settle(sized(docs, seed))
     per_source = thresholds(rows, weights, max_repeat)
     small = per_source.count() <= BROADCAST_SOURCES
     repeats = F.col("copies") + (F.col("hash") < F.col("cut")).cast("long")
@@ -125,11 +125,11 @@ def shares(docs: DataFrame, weights: Sequence[float] = WEIGHTS, max_repeat: int
 
 def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, max_repeat: int = MAX_REPEAT, seed: int = 17) -> DataFrame:
     """The rows of docs, each as often as the mix takes it (0 to max_repeat times), columns unchanged."""
-    per_source = thresholds(settle(fewer_files(sized(docs, seed).drop("doc_id"))), weights, max_repeat)
+    per_source = thresholds(settle(sized(docs, seed).drop("doc_id")), weights, max_repeat)
     small = per_source.count() <= BROADCAST_SOURCES
     key, copies, cut, nth = fresh(docs, "source", "copies", "cut", "nth")
     right = per_source.select(F.col("source").alias(key), F.col("copies").alias(copies), F.col("cut").alias(cut))
     repeats = F.col(copies) + (row_hash(F.col("doc_id"), F.col("text"), seed) < F.col(cut)).cast("long")
     taken = docs.join(F.broadcast(right) if small else right, F.col("source").eqNullSafe(F.col(key)))
     copies_of = F.explode(F.when(repeats > 0, F.sequence(F.lit(1).cast("long"), repeats)))
-    return fewer_files(taken.withColumn(nth, copies_of).select(*docs.columns))
+    return taken.withColumn(nth, copies_of).select(*docs.columns)

@@ -18,16 +18,18 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import FixedFilter, fewer_files, fresh, pieces, settle, small_batches
+from .common import kept_rows, pieces, settle, small_batches
 
 SHINGLE, SEED, RADIUS = 4, 42, 4
 BANDS, BAND_BITS = 4, 16
 #: Vantage points: each halves the bits anew, so their distances tell different things.
 VANTAGE = (0x5555, 0x3333, 0x0F0F, 0x00FF, 0x6666, 0x5A5A, 0x55AA, 0x3C3C)
 LEAF_PAIRS = 1 << 16
+#: Distinct fingerprints that a shard should hold at most, as far as the vantage points part them.
+SHARD_ROWS = 1_000_000
 
 
 def fingerprint(text: bytes | None) -> int:
@@ -50,7 +52,7 @@ def fingerprint(text: bytes | None) -> int:
 
 def _fingerprints(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in pieces(batches):
-        yield pa.record_batch([batch.column(0), pa.array([fingerprint(t) for t in batch.column(1).to_pylist()], pa.int64())], names=["doc_id", "fp"])
+        yield pa.record_batch([*batch.columns[:2], pa.array([fingerprint(t) for t in batch.column(2).to_pylist()], pa.int64())], names=["doc_id", "text_hash", "fp"])
 
 
 def near(values: np.ndarray, a: np.ndarray, b: np.ndarray, same: bool, radius: int, found: Callable, all_linked: Callable | None = None) -> None:
@@ -190,13 +192,12 @@ def shards(fps: DataFrame, levels: int) -> DataFrame:
     return rows.select("shard", "fp")
 
 
-def levels_for(spark: SparkSession) -> int:
-    """Vantage points to shard by, so that the largest shard is little more than a task's share.
+def levels_for(fps: DataFrame) -> int:
+    """Vantage points to shard by, so that the largest shard holds about SHARD_ROWS distinct fingerprints.
 
     Each vantage point halves the largest shard and makes the rows 1.5 times as many.
     """
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return min(len(VANTAGE), max(2, math.ceil(math.log(max(tasks, 8) / 8, 3))))
+    return min(len(VANTAGE), max(0, math.ceil(math.log2(max(fps.count(), 1) / SHARD_ROWS))))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -216,6 +217,19 @@ def components(edges: DataFrame) -> DataFrame:
         state = settle(small.filter("a != b").distinct())
 
 
+def linked(docs: DataFrame) -> DataFrame:
+    """doc_id, text_hash, fp, least: each row of docs with the first (no_id, doc_id, text_hash) of its component."""
+    read = small_batches(docs).select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
+    rows = settle(read.mapInArrow(_fingerprints, "doc_id long, text_hash long, fp long"))
+    first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
+    each = settle(rows.groupBy("fp").agg(F.min(first).alias("least")))
+    edges = shards(each, levels_for(each)).repartition("shard").mapInArrow(_linked, "a long, b long")
+    roots = components(edges)
+    whole = each.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    firsts = whole.groupBy("root").agg(F.min("least").alias("least"))
+    return rows.join(whole.drop("least").join(firsts, "root").select("fp", "least"), "fp")
+
+
 def clusters(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint, component_id: one row per row of docs.
 
@@ -223,28 +237,16 @@ def clusters(docs: DataFrame) -> DataFrame:
     equal fingerprints are always linked. A null doc_id gets its component's smallest id,
     null if there is none. An empty table gives an empty result.
     """
-    read = small_batches(docs).select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
-    rows = settle(fewer_files(read.mapInArrow(_fingerprints, "doc_id long, fp long")))
-    each = settle(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    edges = shards(each, levels_for(docs.sparkSession)).repartition("shard").mapInArrow(_linked, "a long, b long")
-    roots = components(edges)
-    whole = each.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    ids = whole.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = whole.join(ids, "root").select("fp", "component_id")
-    return rows.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return linked(docs).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("least.doc_id").alias("component_id"))
 
 
 def dedup(docs: DataFrame) -> DataFrame:
-    """docs with one document of each component, that of the smallest doc_id; columns unchanged.
+    """docs with one row of each component, columns unchanged.
 
-    Only rows that may be dropped, by a filter of fixed size, are joined with the
-    decisions; the others' texts are not moved. Rows that repeat a doc_id stay or go together; those without one stay only where
-    their component has no id at all.
+    It is that of the smallest doc_id; of rows that share it, and in components without
+    any id, that with the least hash of its text; of rows repeated in both, one. Null
+    texts count as empty ones. An empty table stays empty.
     """
-    key, touched = fresh(docs, "id", "touched")
-    decided = settle(clusters(docs).select("doc_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept")))
-    dropped = FixedFilter(decided.filter("NOT kept").select(F.xxhash64("doc_id").alias("hash")))
-    marked = docs.withColumn(touched, dropped.column(F.xxhash64(F.col("doc_id").cast("long"))))
-    kept = decided.filter("kept").select(F.col("doc_id").alias(key)).distinct()
-    looked = marked.filter(touched).join(kept, F.col("doc_id").eqNullSafe(F.col(key)), "left_semi")
-    return fewer_files(marked.filter(~F.col(touched)).select(*docs.columns).union(looked.select(*docs.columns)))
+    rows = linked(docs)
+    kept = F.col("doc_id").eqNullSafe(F.col("least.doc_id")) & (F.col("text_hash") == F.col("least.text_hash"))
+    return kept_rows(docs, settle(rows.select("doc_id", "text_hash", kept.alias("kept"))))
