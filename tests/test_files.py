@@ -6,6 +6,7 @@ import time
 
 from pyspark.sql import functions as F
 
+from wardline.functions import grades
 from wardline.plans import batch, wide
 from wardline.sources import readers, writers
 from wardline.streaming import stateful
@@ -19,6 +20,44 @@ def test_csv_and_points(spark, tmp_path):
     assert sorted((r.row_number, r.lat) for r in readers.points_csv(spark, str(tmp_path / "b.csv")).collect()) == [(2, 55.1), (5, -5.0)]
 
 
+def test_headers_of_debtor_lists(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("\ufeffID;Номер договора;ФИО;Адрес регистрации;Сумма долга;Тип дела\n7;Д-1; Иванов Иван ;г. Нижний Новгород, ул. Мира, д. 5;1 000,5;спор\n", encoding="utf-8")
+    (r,) = readers.debtors(spark, str(tmp_path / "a.csv")).collect()
+    assert (r.id, r.contract_number, r.fio, r.address, r.debt_amount, r.case_type) == ("7", "Д-1", "Иванов Иван", "г. Нижний Новгород, ул. Мира, д. 5", 1000.5, "спор")
+    names = {"ф.и.о": "fio", "адрес": "address", "сумма": "debt_amount", "сумма иска": "debt_amount", "claim_amount": "debt_amount", "дата": "contract_date", "дата договора": "contract_date", "паспорт": "passport", "id дела": "id", "широта": "lat", "долгота": "lng", "longitude": "lng"}
+    for header, name in names.items():
+        df = readers.canonical(spark.createDataFrame([("5",)], f"`{header.upper()}` string"))
+        assert df.columns == list(readers.DEBTOR) and df.first()[name] in ("5", 5.0)
+    assert readers.canonical(spark.createDataFrame([("x",)], "name string")).first().fio is None
+
+
+def test_row_numbers_of_several_files(spark, tmp_path):
+    (tmp_path / "d").mkdir()
+    for i, sep in enumerate(";,"):
+        lines = [f"lat{sep}lon{sep}сумма"] + [f'"{55 + j / 100}"{sep}37.5{sep}"{j}"' if j % 3 else f"x{sep}1{sep}2" for j in range(40)]
+        (tmp_path / "d" / f"{i}.csv").write_text("\ufeff" * i + "\n".join(lines) + "\n", encoding="utf-8")
+    got = readers.points_csv(spark, str(tmp_path / "d")).select("row_number", "lat", "debt_amount").collect()
+    assert sorted(tuple(r) for r in got) == sorted(2 * [(j + 2, 55 + j / 100, float(j)) for j in range(40) if j % 3])
+
+
+def test_positional_lists_and_seeds(spark, tmp_path):
+    (tmp_path / "p.csv").write_bytes('"Участок 5";"Мира, 1";831;111-22\r\nБ;;;\n'.encode("windows-1251"))
+    got = readers.positional_csv(spark, str(tmp_path / "p.csv"), {"name": 0, "address": 1, "phone": [2, 3], "none": 9}).collect()
+    assert [tuple(r) for r in got] == [("Участок 5", "Мира, 1", "831, 111-22", ""), ("Б", "", "", "")]
+    (tmp_path / "dump_1.json").write_text('[{"name": "old"}]')
+    time.sleep(1.1)
+    (tmp_path / "dump_2.json").write_text('[{"name": "new"}, {"name": " "}]')
+    catalogue, dumps = str(tmp_path / "catalogue.json"), str(tmp_path / "dump_*.json")
+    assert [r.name for r in readers.seed_priority(spark, catalogue, dumps, "name string").collect()] == ["new"]
+    (tmp_path / "catalogue.json").write_text('[{"name": "first"}]')
+    assert [r.name for r in readers.seed_priority(spark, catalogue, dumps, "name string").collect()] == ["first"]
+    assert readers.seed_priority(spark, str(tmp_path / "none.json"), str(tmp_path / "none_*.json"), "name string").count() == 0
+    assert readers.latest_file(spark, dumps).endswith("dump_2.json")
+    assert [r.x for r in readers.json_list(spark, str(tmp_path / "catalogue.json"), "name string").selectExpr("name AS x").collect()] == ["first"]
+    answers = spark.createDataFrame([('{"items": [1, 2]}',), ('[3]',), ("x",)], "r string")
+    assert [r.n for r in answers.select(F.size(readers.unwrapped(F.col("r"))).alias("n")).collect()] == [2, 1, 0]
+
+
 def test_geojson_and_kml(spark, tmp_path):
     point = lambda c, **p: {"type": "Feature", "geometry": {"type": "Point", "coordinates": c}, "properties": p}
     square = [[0, 0], [1, 0], [1, 1], [0, 1], [0, 0]]
@@ -28,7 +67,7 @@ def test_geojson_and_kml(spark, tmp_path):
         point([1, 2]),
     ]
     (tmp_path / "p.geojson").write_text(json.dumps({"type": "FeatureCollection", "features": [point([37.5, 55.5], name="n"), point([200, 5]), areas[0]]}))
-    assert [tuple(r) for r in readers.debtors(spark, str(tmp_path / "p.geojson")).collect()] == [("n", None, 55.5, 37.5)]
+    assert [tuple(r) for r in readers.debtors(spark, str(tmp_path / "p.geojson")).collect()] == [("n", None, 55.5, 37.5, "", None, 1)]
     (tmp_path / "a.json").write_text(json.dumps({"features": areas}))
     got = readers.geojson_areas(spark, str(tmp_path / "a.json"))
     assert sorted((r.name, r.section_num, len(r.ring)) for r in got.collect()) == [("b", 9, 5), ("Участок № 7", 7, 5)]
@@ -75,12 +114,29 @@ def test_files_in_windows_1251(spark, tmp_path):
 
 
 def test_writers(spark, tmp_path):
-    df = spark.createDataFrame([(1, "A", "Мира", None, "ERROR", "NO_ADDRESS", 1000.0, "c", "d")], "row_id int, fio string, address string, inn string, status string, error_code string, debt_amount double, court_name string, court_address string")
+    df = spark.createDataFrame([(1, "A", "Мира", None, "ERROR", "ERROR_NO_ADDRESS", 1000.0, "c", "d")], "row_id int, fio string, address string, inn string, status string, error_code string, debt_amount double, court_name string, court_address string")
     writers.result_csv(df, str(tmp_path / "out"), ["fio", "inn", "other"])
     assert spark.read.text(str(tmp_path / "out")).filter("value LIKE 'A;%'").first().value.startswith("A;")
-    assert writers.payment_rows(df).first().asDict()["KBK"] and writers.payment_rows(df).first().INN == ""
-    assert writers.error_rows(df).count() == 1
-    assert json.loads(writers.claims(df).first().claim)["amounts"] == {"debt": 1000.0, "duty": 32.0}
+    first = next((tmp_path / "out").glob("*.csv")).read_bytes()
+    assert first.startswith("\ufefffio;inn;other\n".encode())
+    paid = spark.createDataFrame([("7", None, "1", " "), (None, "Д-1", None, "99")], "id string, contract_number string, `ИНН` string, `КБК` string")
+    columns = ["№ Договора", "Банк получателя", "БИК", "ИНН", "КПП", "№ Счета", "Наименование получателя платежа", "КБК", "ОКТМО", "№ казначейского счета"]
+    assert writers.payment_rows(paid).columns == columns
+    assert [(r["№ Договора"], r["ИНН"], r["КБК"], r["Наименование получателя платежа"], r["БИК"]) for r in writers.payment_rows(paid).collect()] == [("7", "1", "18210803010011050110", "Казначейство России (ФНС России)", ""), ("Д-1", "", "99", "Казначейство России (ФНС России)", "")]
+    (e,) = writers.error_rows(df).collect()
+    assert (e.label, e.recommendation) == ("Адрес не указан", "Укажите адрес регистрации.")
+    claim = json.loads(writers.claims(df.withColumn("passport", F.lit("22 01 123456"))).first().claim)
+    assert list(claim) == ["court", "plaintiff", "defendant", "claim", "contract", "facts", "attachments"]
+    assert (claim["defendant"]["passport_series"], claim["defendant"]["passport_number"], claim["defendant"]["address_residence"]) == ("2201", "123456", "Мира")
+    assert (claim["claim"]["price"], claim["claim"]["state_duty"], claim["contract"]["way_of_conclusion"], len(claim["attachments"])) == (1000.0, 32.0, "дистанционно", 7)
+    colours = writers.coloured(spark.createDataFrame([("PERFECT",), ("POOR",), ("?",)], "g string"), "g").collect()
+    assert [r.color for r in colours] == ["C6EFCE", "FF9999", "FFE6CC"]
+
+
+def test_error_codes(spark):
+    said = {"Адрес не найден": "ERROR_ADDRESS_NOT_FOUND", "неоднозначный": "ERROR_AMBIGUOUS", "low_precision": "ERROR_LOW_PRECISION", "вне границы": "ERROR_COURT_NOT_FOUND", "Пустая строка": "ERROR_EMPTY_ROW", "адрес не указан": "ERROR_NO_ADDRESS", "Некорректная широта": "ERROR_INVALID_COORDS", "timeout": "ERROR_COURT_NOT_FOUND", None: "ERROR_COURT_NOT_FOUND"}
+    rows = spark.createDataFrame([(k,) for k in said], "m string").select("m", grades.error_class(F.col("m")).alias("code")).collect()
+    assert {r.m: r.code for r in rows} == said
 
 
 def test_batch_plan(spark):
@@ -99,7 +155,7 @@ def test_batch_plan(spark):
     candidates = batch.point_candidates(rows, areas, courts).union(batch.address_candidates(rows, districts, entries, rules))
     got = {r.row_id: r for r in batch.resolve_rows(rows, candidates).collect()}
     assert (got[1].status, got[1].selected_court_id, got[1].confidence_score) == ("OK", "3", 1.3)
-    assert [got[i].error_code for i in (2, 3, 4)] == ["COURT_NOT_FOUND", "EMPTY_ROW", "ADDRESS_NOT_FOUND"]
+    assert [got[i].error_code for i in (2, 3, 4)] == ["ERROR_COURT_NOT_FOUND", "ERROR_EMPTY_ROW", "ERROR_ADDRESS_NOT_FOUND"]
 
 
 def at(minute):
@@ -132,6 +188,12 @@ def test_streamed_windows_drop_late_rows(spark, tmp_path):
     assert (at(1), 2) in {(r.began, r.n) for r in sessions}
 
 
+def test_streamed_sliding_minute(spark, tmp_path):
+    rows = [[("a", "", at(0)), ("a", "", at(0.5))], [("a", "", at(30))], [("a", "", at(60))]]
+    got = run_stream(spark, tmp_path, rows, lambda s: stateful.sliding_counts(s, "key", "at", "60 seconds", "30 seconds"), "slid")
+    assert {(r.ended, r.n) for r in got} >= {(at(0.5), 1), (at(1), 2), (at(1.5), 1)}
+
+
 def test_positions(spark):
     messages = ['{"mmsi": 1, "lat": 0, "lon": 5}', '{"data": {"MMSI": "2", "latitude": 1.5, "longitude": 2.5}}', "nonsense", '{"mmsi": 3}']
     df = spark.createDataFrame([(m,) for m in messages], "value string")

@@ -5,7 +5,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from wardline.functions import address, geo, ranges, text
+from wardline.functions import address, documents, geo, ranges, text
 from wardline.operators import joins, quality
 
 RULES = "rule_order int, section_num string, region string, area_text string, street_pattern string, house_from int, house_to int, house_parity string, house_suffix string, house_step int"
@@ -40,6 +40,97 @@ def test_rule_parity_step_suffix_region_and_order(spark):
     assert match(spark, "ул. Октябрской, 5", lemma, lemmas=["улица", "октябрьский"]) == ("6", "law_rules_nlp_fuzzy")
 
 
+def brute_match(spark, addresses, rules):
+    """The first rule by comparing every address with every rule, without keys."""
+    probes = addresses.crossJoin(rules)
+    n, suffix = text.house_of(F.lower("address"))["num"], text.house_of(F.lower("address"))["suffix"]
+    fits = (
+        (n.isNull() | F.col("house_from").isNull() | (n >= F.col("house_from"))) & (n.isNull() | F.col("house_to").isNull() | (n <= F.col("house_to")))
+        & (n.isNull() | F.col("house_parity").isNull() | ((n % 2 == 0) == (F.col("house_parity") == "even")))
+    )
+    by_pattern = F.coalesce(F.regexp_like("address", F.concat(F.lit("(?iu)"), F.regexp_replace("street_pattern", r"^\(\?i\)", ""))), F.lit(False))
+    by_area = F.coalesce(F.contains(F.lower("address"), F.lower("area_text")), F.lit(False))
+    rank = F.when(by_pattern & F.coalesce(fits, F.lit(True)), 0).when(by_area, 1)
+    hits = probes.filter(text.region_fits(F.col("region"), F.col("address"))).withColumn("rank", rank).filter("rank IS NOT NULL")
+    return {r.row_id: r.hit for r in hits.groupBy("row_id").agg(F.min_by("section_num", F.struct("rank", "rule_order")).alias("hit")).collect()}
+
+
+def test_rules_by_keys_find_what_all_pairs_find(spark):
+    draw = random.Random(11)
+    streets = ["Ватутина", "Гагарина", "Большая Покровская", "Мира", "Ильича", "Октябрьская", "пр. Ленина", "ул Яр"]
+    patterns = [r"ул\.\s*ватутина", r"(?:гагарина|мира)", r"(?i)покровск", r"\bмира\b", r"октябрьск(ой|ая)?", r"яр", r"л[ео]нина", r"ильича.*д", r"ё?ватутин", None, r"(мира|яр)\s*,"]
+    regions = [None, "", "Нижегородская область", "Самарская область", "область"]
+    rules = [(i, str(i), draw.choice(regions), draw.choice([None, None, "Нижний Новгород", "Яр", "ул"]), draw.choice(patterns), draw.choice([None, 1, 5]), draw.choice([None, 9, 20]), draw.choice([None, "even", "odd"]), None, None) for i in range(120)]
+    heads = ["г. Нижний Новгород, ", "Самарская обл., ", "", "603950, НИЖЕГОРОДСКАЯ область, "]
+    rows = [(i, draw.choice(heads) + draw.choice(["ул. ", "улица ", ""]) + draw.choice(streets) + f", д. {draw.randint(1, 25)}", []) for i in range(150)]
+    addresses = spark.createDataFrame(rows, "row_id int, address string, lemmas array<string>")
+    table = spark.createDataFrame(rules, RULES)
+    got = {r.row_id: r.section_num for r in joins.rule_match(addresses, table).filter("section_num IS NOT NULL").collect()}
+    assert got == brute_match(spark, addresses, table) and len(got) > 100
+
+
+def test_no_nested_loops_in_plans(spark):
+    def plan(df):
+        return df._jdf.queryExecution().executedPlan().toString()
+
+    addresses = spark.createDataFrame([(1, "ул. Ватутина, д. 5", [])], "row_id int, address string, lemmas array<string>")
+    rules = spark.createDataFrame([ONE, (2, "2", None, None, "гагарина", 1, 9, None, None, None)], RULES)
+    needles = spark.createDataFrame([(0, "ват", "R")], "pos int, needle string, region string")
+    probes = spark.createDataFrame([(1, "ул. Мира, 5", None, "Мира", None, "5")], "row_id int, address string, region_code string, street string, district string, house string")
+    entries = spark.createDataFrame([(1, None, "С", "мира")], "entry_id int, region_code string, court_name string, jurisdiction_text string")
+    names = spark.createDataFrame([(1, "Суд")], "row_id int, name string")
+    catalogue = spark.createDataFrame([("Суд", 1)], "court_name string, section_num int")
+    for df in (joins.rule_match(addresses, rules), joins.needle_lookup(addresses, "address", needles), joins.text_top1(probes, entries), joins.known_names(names, catalogue)):
+        assert "NestedLoop" not in plan(df) and "Cartesian" not in plan(df)
+
+
+def test_text_score_and_tokens(spark):
+    blob = "судебный участок №5 проспект ильича, дома четные; дом 8"
+    lit = lambda x: F.lit(x).cast("string")
+    score = lambda house, b=blob: one(spark, text.text_score(F.lit(b), F.array().cast("array<string>"), lit(None), lit(None), F.lit(house)))
+    assert score("8") == 40 + 55 and score("7") == -52 and score("8", "ильича дома нечетные") == -52 and score("7", "ильича дома нечетные") == 55 and score("7", "мира") == 0
+    tokens = one(spark, text.address_tokens(F.lit("Гагарина"), F.lit("г. Пермь, пр-кт Гагарина, д. 5"), lit(None), F.lit("Гагарина")))
+    assert tokens == ["проспект", "гагарин", "пермь", "гагарина"]
+
+
+def test_texts_meet_inside_words(spark):
+    probes = spark.createDataFrame([(1, "ул. Гагарина, д. 5", None, "Гагарина", None, "5"), (2, "ул. Гагарина, д. 5", None, "Гагарина", None, "5")], "row_id int, address string, region_code string, street string, district string, house string")
+    entries = spark.createDataFrame([(1, None, "Участок 1", "по гагаринской улице"), (2, None, "Участок 2", "мира")], "entry_id int, region_code string, court_name string, jurisdiction_text string")
+    assert [(r.row_id, r.entry_id, r.score) for r in joins.text_top1(probes, entries).orderBy("row_id").collect()] == [(1, 1, 21), (2, 1, 21)]
+
+
+def test_names_link_to_the_likest(spark):
+    entries = spark.createDataFrame([(1, "Судебный участок № 5 Приокского района"), (2, "Судебный участок № 5 Советского района города"), (3, "Участок №7 А")], "entry_id int, court_name string")
+    names = spark.createDataFrame([(1, " судебный участок № 5 приокского РАЙОНА", None), (2, "участок № 5 советского района", 5), (3, "что-то", 7), (4, "что-то", 8), (5, None, 7)], "row_id int, name string, section_num int")
+    assert {r.row_id: r.entry_id for r in joins.name_link(names, entries).collect()} == {1: 1, 2: 2, 3: 3, 5: 3}
+
+
+def test_names_are_known_if_the_catalogue_is_empty(spark):
+    names = spark.createDataFrame([(1, "Суд"), (2, " ")], "row_id int, name string")
+    empty = spark.createDataFrame([], "court_name string, section_num int")
+    assert {r.row_id: r.known for r in joins.known_names(names, empty).collect()} == {1: True, 2: False}
+
+
+def test_nearest_across_the_180th_meridian(spark):
+    points = spark.createDataFrame([(1, 66.0, 179.99), (2, 66.0, -179.99), (3, 89.99, 10.0)], "point_id int, lat double, lon double")
+    places = spark.createDataFrame([(1, 66.0, -179.99), (2, 66.0, 179.97), (3, 89.99, -170.0)], "place_id int, plat double, plon double")
+    got = joins.nearest(points, places, top=None).collect()
+    assert sorted((r.point_id, r.place_id) for r in got) == [(1, 1), (1, 2), (2, 1), (2, 2), (3, 3)]
+
+
+def test_shared_area_of_concave_rings(spark):
+    notch = [(0.0, 0.0), (4.0, 0.0), (4.0, 4.0), (2.0, 1.0), (0.0, 4.0)]
+    assert joins.shared_area(notch, [(0.0, 0.0), (4.0, 0.0), (4.0, 1.0), (0.0, 1.0)]) == 4.0
+    assert joins.shared_area(notch, notch) == 10.0
+    assert joins.shared_area([(1.9, 2.0), (2.1, 2.0), (2.1, 3.0), (1.9, 3.0)], notch) == 0.0
+    draw = random.Random(5)
+    for _ in range(50):  # against convex clipping
+        box = [(x + draw.uniform(0, 0.5), y + draw.uniform(0, 0.5)) for x, y in ((0, 0), (3, 0), (3, 3), (0, 3))]
+        moved = [(x + draw.uniform(-2, 2), y + draw.uniform(-2, 2)) for x, y in notch[:3]]
+        assert math.isclose(joins.shared_area(notch, box), clip_area(notch, box), abs_tol=1e-9)
+        assert math.isclose(joins.shared_area(moved, notch), clip_area(notch, moved), abs_tol=1e-9)
+
+
 def test_nearest_finds_what_brute_force_finds(spark):
     draw = random.Random(8)
     for centre in (0.0, 59.9, -60.0, 84.0):
@@ -66,7 +157,27 @@ def test_rings(spark):
         geo.border_metres(F.col("ring"), F.lit(3.99), F.lit(1.0)).alias("m"),
     ).first()
     assert r.a and not r.b and r.area == 10.0 and abs(r.m - 1113.2) < 0.1
-    assert joins.clip_area(shape, [(0.0, 0.0), (0.0, 1.0), (4.0, 1.0), (4.0, 0.0)]) == 4.0
+    assert clip_area(shape, [(0.0, 0.0), (0.0, 1.0), (4.0, 1.0), (4.0, 0.0)]) == 4.0
+
+
+def clip_area(ring, convex):
+    """Area of a ring inside a convex ring, half plane by half plane."""
+    turn = lambda r: sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(r, r[1:] + r[:1])) / 2
+    convex = convex[::-1] if turn(convex) < 0 else convex
+    for (x1, y1), (x2, y2) in zip(convex, convex[1:] + convex[:1]):
+        side = [(x2 - x1) * (y - y1) - (y2 - y1) * (x - x1) for x, y in ring]
+        out = []
+        for i, (p, s) in enumerate(zip(ring, side)):
+            q, t = ring[i - 1], side[i - 1]
+            if (s >= 0) != (t >= 0):
+                k = t / (t - s)
+                out.append((q[0] + k * (p[0] - q[0]), q[1] + k * (p[1] - q[1])))
+            if s >= 0:
+                out.append(p)
+        ring = out
+        if len(ring) < 3:
+            return 0.0
+    return abs(turn(ring))
 
 
 def one(spark, column):
@@ -87,8 +198,9 @@ def test_text_functions(spark):
     assert one(spark, text.repaired_json(lit("so: {a: 'b', }"))) == '{"a": "b"}'
     assert one(spark, text.redact(lit("token=abc x Bearer q1"))) == "token=*** x Bearer ***"
     assert str(one(spark, text.date_of(lit("05.03.2024 10:00")))) == "2024-03-05"
-    doc = one(spark, text.document_fields(lit("Судебный участок № 7, дело № 2-15/2024, взыскать с Иванов Иван 1 500,50 руб.")))
-    assert (doc.section, doc.case_number, doc.debtor, doc.amount, doc.found) == (7, "2-15/2024", "Иванов Иван", 1500.5, 1.0)
+    doc = one(spark, documents.extracted(lit("Судебный участок № 7, дело № 2-15/2024, взыскать с Иванов Иван, 1 500 руб.")))
+    assert (doc.section, doc.case_number, doc.debtor, doc.amount, doc.confidence) == (7, "2-15/2024", "Иванов Иван", 1500.0, 0.85)
+    assert one(spark, text.light_normalize(lit("  ул. Мира., 5 "))) == "ул. Мира, 5" and one(spark, text.first_section(lit("x"), lit("участок 7"))) == 7
     assert one(spark, text.clean_lines(lit("ab\n§§ Дело № 5 §\n"))) == "Дело № 5"
     assert one(spark, text.url_parts(lit("https://h/courts/52/wc/one?x"))).asDict() == {"code": "52", "slug": "one"}
     assert one(spark, text.region_fits(lit("Нижегородская область"), lit("г. Нижний Новгород")))

@@ -63,6 +63,11 @@ REPUBLIC_NAMES = {"удмуртия": "Удмуртская Республика
 # Autonomous districts by the name before "АО".
 DISTRICT_NAMES = {"ханты-мансийский": "Ханты-Мансийский АО - Югра", "ямало-ненецкий": "Ямало-Ненецкий АО", "ненецкий": "Ненецкий АО", "чукотский": "Чукотский АО"}
 
+# Regions by their first word, written as they are called.
+REPUBLICS = ["Башкортостан", "Татарстан", "Мордовия", "Марий Эл", "Коми", "Карелия", "Дагестан", "Бурятия", "Алтай", "Тыва", "Хакасия", "Саха (Якутия)", "Крым"]
+LANDS = ["Хабаровский", "Краснодарский", "Красноярский", "Приморский", "Ставропольский", "Алтайский", "Пермский", "Камчатский", "Забайкальский"]
+AREAS = ["Московская", "Ленинградская", "Нижегородская", "Свердловская", "Самарская", "Ростовская", "Краснодарская", "Воронежская", "Волгоградская", "Оренбургская", "Челябинская", "Новосибирская"]
+
 NAME = r"[А-Яа-яёЁ\-]+"
 
 
@@ -81,6 +86,8 @@ def region_of(c: Column) -> Column:
     after_republic = part(rf"\bреспублика\s+({NAME})")
     land, district = part(rf"\b({NAME})\s+край\b"), part(rf"\b({NAME})(?:\s*\(?\s*югра\s*\)?)?\s+ао\b")
     area = part(rf"\b({NAME})\s+обл(?:асть|\.|\b)")
+    called = lambda c, names: _lookup(F.regexp_replace(c, r"\s+", " "), {n.lower(): n for n in names}, c)
+    before_republic, land, area = called(before_republic, REPUBLICS), called(land, LANDS), called(area, AREAS)
     return F.coalesce(
         F.when(has(r"\bмосква\b(?!\s+обл)"), "Москва"),
         F.when(has(r"\b(?:санкт-петербург|спб|петербург)\b(?!\s+обл)"), "Санкт-Петербург"),
@@ -151,3 +158,52 @@ def canonical_court(df_columns: list[str]) -> dict[str, Column]:
         "phone": F.coalesce(pick("phone", "phones"), F.lit("")),
         "email": F.coalesce(pick("email"), F.lit("")),
     }
+
+
+def region_of_court(name: Column, regions: list[str]) -> Column:
+    """The region that a court's name stands for, among regions written in full; null if it names none.
+
+    A region named outright, then "... Республики X", "X-ский областной", "X-ский краевой",
+    and the cities that are regions.
+    """
+    first = lambda test: F.coalesce(*[F.when(test(r), r) for r in regions])
+    low = F.lower(name)
+    outright = first(lambda r: F.contains(low, F.lit(r.lower())))
+    of_republic = text.first_group(name, r"(?iu)Республики\s+([^»]+?)(?:\s*-?\s*Алания)?(?:\s*$|,)")
+    short = F.replace(of_republic, F.lit(" (Якутия)"), F.lit(""))
+    alike = first(lambda r: F.contains(F.lit(r), of_republic) | F.contains(of_republic, F.lit(r)) | F.contains(F.lit(r), short))
+    republic = F.when(
+        of_republic.isNotNull(),
+        F.coalesce(
+            alike,
+            F.when(F.contains(name, F.lit("Алания")) | F.contains(of_republic, F.lit("Осетия")), "Республика Северная Осетия"),
+            F.when(F.contains(of_republic, F.lit("Якутия")), "Республика Саха (Якутия)"),
+            F.concat(F.lit("Республика "), of_republic),
+        ),
+    )
+    stem = lambda kind: text.first_group(name, rf"(?iuU)(\w+)(?:ский|кой)\s+{kind}")
+    of_stem = lambda kind, word: first(lambda r: F.startswith(F.lit(r), stem(kind)) & F.lit(word in r))
+    return F.coalesce(
+        outright,
+        republic,
+        of_stem("областной", "область"),
+        of_stem("краевой", "край"),
+        F.when(F.contains(name, F.lit("Москва")) & ~F.contains(low, F.lit("область")), "Москва"),
+        F.when(F.contains(name, F.lit("Петербург")), "Санкт-Петербург"),
+    )
+
+
+def region_of_list(c: Column) -> Column:
+    """The region of an address in a list of courts, by the first of some ways to write it; empty if none."""
+    part = lambda pattern: text.first_group(c, pattern)
+    has = lambda *words: F.greatest(*[F.contains(c, F.lit(w)) for w in words]) if len(words) > 1 else F.contains(c, F.lit(words[0]))
+    area = part(rf"({NAME}\s+обл\.?)")
+    return F.coalesce(
+        F.replace(F.regexp_replace(area, r"\.$", ""), F.lit(" обл"), F.lit(" область")),
+        F.when(has("г Москва", ", Москва,"), "Москва"),
+        F.when(has("Санкт-Петербург", "СПб"), "Санкт-Петербург"),
+        part(rf"({NAME}\s+край)"),
+        part(rf"(Республика {NAME})"),
+        part(rf"({NAME}\s+АО)"),
+        F.lit(""),
+    )

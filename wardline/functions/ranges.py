@@ -13,10 +13,14 @@ def parity(c: Column) -> Column:
 
 
 def boundary(c: Column) -> Column:
-    """struct(house_from, house_to, house_parity, house_step) over all numbers of a text."""
+    """struct(house_from, house_to, house_parity, house_step, house_suffix) over all numbers of a text.
+
+    The suffix is the letter that all numbers with one share.
+    """
     numbers = F.transform(F.regexp_extract_all(c, F.lit(r"(\d+)")), lambda x: x.try_cast("int"))
+    suffixes = F.array_distinct(F.filter(F.regexp_extract_all(F.lower(c), F.lit(r"(?U)\d+([а-яёa-z])(?!\w)"), F.lit(1)), lambda x: x != ""))
     p = parity(c)
-    return F.struct(F.array_min(numbers).alias("house_from"), F.array_max(numbers).alias("house_to"), p.alias("house_parity"), F.when(p.isNotNull(), 2).alias("house_step"))
+    return F.struct(F.array_min(numbers).alias("house_from"), F.array_max(numbers).alias("house_to"), p.alias("house_parity"), F.when(p.isNotNull(), 2).alias("house_step"), F.when(F.size(suffixes) == 1, F.get(suffixes, F.lit(0))).alias("house_suffix"))
 
 
 def house_ranges(c: Column) -> Column:

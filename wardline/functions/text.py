@@ -6,8 +6,6 @@ needs for Cyrillic.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -27,6 +25,24 @@ ABBREVIATIONS = [
     ("обл\\.?\\s*", "область "),
     ("респ\\b", "Республика "),
 ]
+# The same in the service's normaliser, whose rules for avenues and republics are older.
+SERVICE_ABBREVIATIONS = [
+    ("гор\\.\\s*", "г. "),
+    ("гор\\s+", "г. "),
+    ("г\\s+", "г. "),
+    ("ул\\.?\\s*", "улица "),
+    ("пр\\.?\\s*", "проспект "),
+    ("пер\\.?\\s*", "переулок "),
+    ("д\\.?\\s*", "д. "),
+    ("кв\\.?\\s*", "кв. "),
+    ("корп\\.?\\s*", "корп. "),
+    ("стр\\.?\\s*", "стр. "),
+    ("обл\\.?\\s*", "область "),
+    ("Респ\\.?\\s*", "Республика "),
+    ("респ\\.?\\s*", "республика "),
+]
+# What the service says of addresses that it refuses.
+NO_ADDRESS, SHORT_ADDRESS, SHORTEST_ADDRESS = "Адрес не указан", "Адрес слишком короткий", 5
 # Words that carry no weight in a search.
 STOP_WORDS = ["г", "дом", "д", "обл", "край", "респ", "город", "проспект", "улица", "переулок"]
 # Generic words in the names of regions.
@@ -110,17 +126,40 @@ def normalize_address(c: Column, mode: str = "fixed") -> Column:
     return F.trim(F.regexp_replace(s, r"(?U)\b([\p{IsCyrillic}])\s*\.\s*", "$1. "))
 
 
+def service_normalize(c: Column, mode: str = "fixed") -> Column:
+    """struct(address, error): an address as the service writes it, or why it is refused.
+
+    In mode 'compat' an abbreviation is also replaced at the start of a longer word; 'fixed'
+    wants the word to end there.
+    """
+    s = F.trim(c)
+    error = F.when(F.coalesce(c, F.lit("")) == "", NO_ADDRESS).when(F.length(s) < SHORTEST_ADDRESS, SHORT_ADDRESS)
+    s = F.regexp_replace(F.regexp_replace(F.regexp_replace(s, r",\s*,+", ","), r"\s*,\s*", ", "), r"\s{2,}", " ")
+    s = F.trim(F.regexp_replace(F.trim(s), "^,+|,+$", ""))
+    for pattern, word in SERVICE_ABBREVIATIONS:
+        body = pattern if mode == "compat" or not pattern.endswith("\\s*") else pattern.removesuffix("\\s*") + r"(?![\p{L}])\s*"
+        s = F.regexp_replace(s, rf"(?iuU)\b{body}", word)
+    return F.struct(F.when(error.isNull(), F.trim(s)).alias("address"), error.alias("error"))
+
+
+def sorted_matches(c: Column, pattern: str, group: int = 1) -> Column:
+    """The distinct matches of a pattern in the order of text."""
+    return F.array_sort(F.array_distinct(F.regexp_extract_all(c, F.lit(pattern), F.lit(group))))
+
+
 def light_normalize(c: Column) -> Column:
     return F.trim(F.replace(F.replace(F.trim(F.coalesce(c, F.lit(""))), F.lit(".,"), F.lit(",")), F.lit("  "), F.lit(" ")))
 
 
 def court_key(c: Column) -> Column:
     """The name by which sources are compared: lower case, generic words at the start and more than one blank dropped."""
+    # The generic words.
     start = r"(?iu)^\s*(судебный\s+участок|мировой\s+судебный\s+участок|мировой\s+судья|участок\s+мирового\s+судьи)\s*[№n]?\s*"
     return F.trim(F.regexp_replace(F.regexp_replace(ru_lower(c), start, ""), r"\s+", " "))
 
 
 def section_number(c: Column) -> Column:
+    # How a section's number is written.
     return F.coalesce(
         F.regexp_extract(c, r"(?iu)№\s*(\d+)", 1).try_cast("int"),
         F.regexp_extract(c, r"(?iu)(\d+)\s*[-–]?\s*участ", 1).try_cast("int"),
@@ -171,8 +210,30 @@ def search_tokens(*parts: Column, most: int = 16) -> Column:
     return F.slice(kept, 1, most)
 
 
+def address_tokens(street: Column, *parts: Column, most: int = 16) -> Column:
+    """search_tokens of the parts of an address, with the street's stems before them, and before those "проспект" where one is named."""
+    # How an avenue is written short.
+    avenue = F.regexp_like(ru_lower(F.concat_ws(" ", *parts)), F.lit(r"пр[-.\s]*кт|проспект"))
+    words = search_tokens(*parts, most=1 << 20)
+    every = F.array_distinct(F.split(ru_lower(F.concat_ws(" ", *parts)), r"(?U)[^\w]+"))
+    stems = F.reverse(F.filter(street_stems(street), lambda x: ~F.array_contains(every, x)))  # each goes to the front
+    front = F.when(avenue & ~F.array_contains(every, F.lit("проспект")), F.array(F.lit("проспект"))).otherwise(F.array().cast("array<string>"))
+    return F.slice(F.concat(front, stems, words), 1, most)
+
+
+def parity_points(house: Column, blob: Column) -> Column:
+    """Points for the one street whose even and odd houses belong to different sections."""
+    # The street, the words for even and odd houses after it, and the points.
+    after = lambda word: F.regexp_like(blob, F.lit(rf"(?U)ильича[^.;]{{0,48}}дома\s+{word}"))
+    n = F.regexp_extract(F.trim(house), r"^(\d+)", 1).try_cast("decimal(38,0)")
+    even, odd = after("чет"), after("нечет")
+    points = F.when(n % 2 == 1, F.when(odd, 55).when(even, -52)).otherwise(F.when(even, 55).when(odd, -52))
+    return F.when(n.isNotNull() & F.contains(blob, F.lit("ильич")), F.coalesce(points, F.lit(0))).otherwise(0)
+
+
 def street_stems(c: Column) -> Column:
     """A street's name and the name without its case ending."""
+    # The endings.
     s = ru_lower(F.trim(c))
     one = F.when((F.length(s) >= 5) & F.substring(s, -1, 1).isin(list("аяуюеоыи")), F.expr("1"))
     two = F.when((F.length(s) >= 6) & F.substring(s, -2, 2).isin("ого", "его", "ому", "ему"), F.expr("1"))
@@ -192,7 +253,7 @@ def text_score(blob: Column, tokens: Column, street: Column, district: Column, h
     by_part = F.aggregate(parts, F.lit(0), lambda n, x: n + F.when(held(x), 10).otherwise(0))
     marked = F.regexp_like(blob, F.concat(F.lit(r"(?U)(?:д\.?|дом|№)\s*\Q"), h, F.lit(r"\E\b")))
     by_house = F.when(not_blank(house) & marked, 40).when(not_blank(house) & (F.length(h) <= 5) & held(h), 18).otherwise(0)
-    return by_token + by_street + by_stem + by_district + by_part + by_house
+    return by_token + by_street + by_stem + by_district + by_part + by_house + parity_points(house, blob)
 
 
 def region_tokens(region: Column) -> Column:
@@ -228,16 +289,6 @@ def repaired_json(c: Column) -> Column:
     return F.coalesce(whole(c), whole(fence), whole(braces), whole(mended))
 
 
-def document_fields(c: Column) -> Column:
-    """Section, case number, debtor and amount named in a document's text, with the share of them found."""
-    section = F.regexp_extract(c, r"(?iu)участ(?:ок|ка|ке)\s*№?\s*(\d{1,3})", 1).try_cast("int")
-    case = first_group(c, r"(?iu)дел[оа]\s*№?\s*([\d\-]+/\d{4})")
-    debtor = first_group(c, r"(?iu)(?:должник|взыскать\s+с)\s*:?\s*([А-ЯЁ][а-яё]+\s+[А-ЯЁ][а-яё]+(?:\s+[А-ЯЁ][а-яё]+)?)")
-    amount = F.nullif(money(F.regexp_extract(c, r"(?iu)(\d[\d\s]*(?:[.,]\d{2})?)\s*(?:руб|₽)", 1)), F.lit(0.0))
-    found = reduce(lambda a, b: a + b, [x.isNotNull().cast("int") for x in (section, case, debtor, amount)])
-    return F.struct(section.alias("section"), case.alias("case_number"), debtor.alias("debtor"), amount.alias("amount"), (found * 0.25).alias("found"))
-
-
 def clean_lines(c: Column, shortest: int = 4) -> Column:
     """Lines of a scanned text without strange signs; lines that get too short are dropped."""
     kept = F.transform(F.split(c, "\n"), lambda x: F.trim(F.regexp_replace(x, r"(?U)[^\w\s.,:;№/()\-]", "")))

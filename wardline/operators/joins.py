@@ -1,7 +1,9 @@
 """Joins that find a court for an address or a point.
 
-Sides that are dimensions are broadcast only while they hold at most BROADCAST_ROWS rows;
-beyond that Spark joins by shuffle.
+Sides that are dimensions are broadcast only while they hold at most BROADCAST_ROWS rows
+and BROADCAST_BYTES of the optimizer's estimate; beyond that Spark joins by shuffle.
+What a text contains is found by short runs of letters, which both sides hold, so these
+are equi-joins too.
 """
 
 from __future__ import annotations
@@ -12,11 +14,41 @@ from pyspark.sql import functions as F
 from wardline.functions import geo, text
 
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 200_000_000
+#: Letters in the runs by which texts and what they contain meet.
+GRAM = 4
+# Words of street patterns that name no street.
+GENERIC_WORDS = ["улица", "проспект", "переулок", "шоссе", "бульвар", "набережная", "площадь", "проезд", "район", "участок", "город", "дома"]
 
 
 def dimension(df: DataFrame) -> DataFrame:
-    """df, to be broadcast if a look at no more than BROADCAST_ROWS rows of it shows that it is small."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+    """df, to be broadcast if a look at no more than BROADCAST_ROWS rows of it shows that it is small in rows and bytes."""
+    width = F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])))
+    n, size = df.limit(BROADCAST_ROWS + 1).agg(F.count("*"), F.sum(width)).first()
+    return F.broadcast(df) if n <= BROADCAST_ROWS and (size or 0) <= BROADCAST_BYTES else df
+
+
+def grams(c: Column, size: int = GRAM) -> Column:
+    """The distinct runs of size characters of a text."""
+    starts = F.sequence(F.lit(1), F.greatest(F.length(c) - (size - 1), F.lit(1)))
+    return F.array_distinct(F.filter(F.transform(starts, lambda i: F.substr(c, i, F.lit(size))), lambda g: F.length(g) == size))
+
+
+def letter_grams(c: Column, size: int = GRAM) -> Column:
+    """The distinct runs of size letters of a text in lower case."""
+    words = F.regexp_extract_all(F.lower(c), F.lit(r"(\p{L}+)"), 1)
+    return F.array_distinct(F.flatten(F.transform(F.filter(words, lambda w: F.length(w) >= size), lambda w: grams(w, size))))
+
+
+def contained(texts: DataFrame, parts: DataFrame) -> DataFrame:
+    """text, part: the distinct texts with the distinct parts that they contain; an empty part is in none.
+
+    Joined on the first characters of the parts, as many as the shortest has, three at most.
+    """
+    whole = parts.filter("length(part) > 0").select("part").distinct()
+    size = min(3, whole.agg(F.min(F.length("part"))).first()[0] or 1)
+    keyed = texts.filter("text IS NOT NULL").select("text").distinct().withColumn("gram", F.explode(grams(F.col("text"), size)))
+    return keyed.join(whole.withColumn("gram", F.left("part", F.lit(size))), "gram").filter(F.contains("text", F.col("part"))).select("text", "part")
 
 
 def best(df: DataFrame, by: str | list[str], *order: Column) -> DataFrame:
@@ -54,10 +86,41 @@ def composite_lookup(rows: DataFrame, details: DataFrame, keys: tuple[str, ...]
 
 
 def needle_lookup(rows: DataFrame, value: str, needles: DataFrame) -> DataFrame:
-    """The region of the first needle that a text holds; needles: pos, needle, region."""
-    pairs = rows.select("row_id", F.lower(F.col(value)).alias("_text")).join(dimension(needles), F.expr("contains(_text, needle)"))
-    first = pairs.groupBy("row_id").agg(F.min_by("region", "pos").alias("region"))
-    return rows.join(first, "row_id", "left")
+    """The region of the first needle that a text holds; needles: pos, needle, region.
+
+    Distinct texts meet the needles on short runs of characters, once however often they occur.
+    """
+    folded = F.lower(F.col(value))
+    pairs = contained(rows.select(folded.alias("text")), needles.select(F.col("needle").alias("part")))
+    first = pairs.join(needles, F.col("part") == F.col("needle")).groupBy("text").agg(F.min_by("region", "pos").alias("region"))
+    return rows.withColumn("_text", folded).join(first.withColumnRenamed("text", "_text"), "_text", "left").drop("_text")
+
+
+def known_names(names: DataFrame, catalogue: DataFrame) -> DataFrame:
+    """row_id, name -> also known: whether a catalogue (court_name, section_num) has the court.
+
+    By its name, its section's number, or one name inside the other; a blank name is not
+    known, and all others are if the catalogue is empty.
+    """
+    fold = lambda c: F.lower(F.trim(F.regexp_replace(c, r"\s+", " ")))
+    n = names.withColumns({"_text": fold(F.col("name")), "_section": F.regexp_extract("name", r"№\s*(\d{1,3})", 1).try_cast("int")})
+    filled = catalogue.filter(text.not_blank(F.col("court_name")))
+    folded = filled.select(fold(F.col("court_name")).alias("part"))
+    unnumbered = filled.select(fold(F.regexp_replace("court_name", r"\s*№\s*\d+", " №")).alias("part"))
+    both = folded.union(unnumbered).distinct()
+    sections = catalogue.select(F.col("section_num").cast("int").alias("_section")).filter("_section IS NOT NULL").distinct().withColumn("_by_section", F.lit(True))
+    inside = contained(n.select(F.col("_text").alias("text")), both).select("text")
+    around = contained(both.select(F.col("part").alias("text")), n.select(F.col("_text").alias("part"))).select(F.col("part").alias("text"))
+    alike = inside.union(around).distinct().select(F.col("text").alias("_text"), F.lit(True).alias("_by_name"))
+    joined = n.join(alike, "_text", "left").join(dimension(sections), "_section", "left")
+    any_known = F.coalesce("_by_name", "_by_section", F.lit(catalogue.isEmpty()))
+    return joined.select(*names.columns, (text.not_blank(F.col("name")) & any_known).alias("known"))
+
+
+def with_any(rows: DataFrame, columns: list[str], tokens: list[str]) -> DataFrame:
+    """rows with hit: whether one of the columns holds one of the tokens."""
+    blob = F.concat_ws("\x00", *columns)
+    return rows.withColumn("hit", F.exists(F.array(*map(F.lit, tokens)), lambda x: F.contains(blob, x)))
 
 
 def points_in_rings(points: DataFrame, areas: DataFrame, size: float = 0.25) -> DataFrame:
@@ -78,19 +141,23 @@ def nearest(points: DataFrame, places: DataFrame, radius_km: float = 5.0, top: i
     """point_id, lat, lon x place_id, plat, plon: places within the radius, the nearest first, with their km.
 
     Joined on a latitude band and longitude cell at least as wide as the radius, so that
-    a point looks at the 3 x 3 cells around its own; cells widen with latitude, by bands.
+    a point looks at the 3 x 3 cells around its own, also across the 180th meridian; cells
+    widen with latitude, by bands.
     """
     degree = 111.195
     size = radius_km / degree
     band = lambda c: F.floor(c / size).cast("long")
     # the widest needed at any latitude of the three bands
     width = lambda b: F.lit(size) / F.cos(F.radians(F.least(F.lit(89.0), (F.abs(b) + 2) * size)))
-    ring = lambda b, lon: F.floor(lon / width(b)).cast("long")
+    # whole cells around the parallel, so that the last one's neighbour is the first one
+    # and near a pole, where the radius may reach over it, a single one
+    rings = lambda b: F.when((F.abs(b) + 2) * size >= 89.0, 1).otherwise(F.greatest(F.floor(360 / width(b)), F.lit(1))).cast("long")
+    ring = lambda b, lon: F.least(F.floor((lon + 180) / 360 * rings(b)).cast("long"), rings(b) - 1)
     around = F.array(*[F.lit(i) for i in (-1, 0, 1)])
     left = (
         points.filter(geo.valid_point(F.col("lat"), F.col("lon")))
         .withColumn("gy", F.explode(F.transform(around, lambda i: band(F.col("lat")) + i)))
-        .withColumn("gx", F.explode(F.transform(around, lambda i: ring(F.col("gy"), F.col("lon")) + i)))
+        .withColumn("gx", F.explode(F.array_distinct(F.transform(around, lambda i: F.pmod(ring(F.col("gy"), F.col("lon")) + i, rings(F.col("gy")))))))
     )
     right = places.filter(geo.valid_point(F.col("plat"), F.col("plon"))).withColumn("gy", band(F.col("plat"))).withColumn("gx", ring(F.col("gy"), F.col("plon")))
     km = geo.haversine_km(F.col("lat"), F.col("lon"), F.col("plat"), F.col("plon"))
@@ -101,6 +168,22 @@ def nearest(points: DataFrame, places: DataFrame, radius_km: float = 5.0, top: i
     return close.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= top)
 
 
+def radius_list(points: DataFrame, places: DataFrame, radius_km: float = 5.0, word: str | None = "мировой") -> DataFrame:
+    """point_id, lat, lon, region (may be null) x place_id, plat, plon, name, place_region: places within the radius.
+
+    Only those with the word in their name; with km and confidence to two places. Where
+    any of a point's places lies in the point's region, only those count. The nearest is first by nth.
+    """
+    named = places.filter(F.contains(F.lower("name"), F.lit(word))) if word else places
+    found = nearest(points, named, radius_km, None)
+    home = text.not_blank(F.col("region")) & F.coalesce(F.contains(F.lower("place_region"), F.lower("region")), F.lit(False))
+    of_point = Window.partitionBy("point_id")
+    narrowed = found.withColumn("home", home).withColumn("any_home", F.max("home").over(of_point)).filter("home OR NOT any_home")
+    confidence = F.round(F.greatest(F.lit(0.5), 1 - F.col("km") / radius_km), 2)
+    nth = F.row_number().over(of_point.orderBy("km", "place_id"))
+    return narrowed.withColumns({"nth": nth, "confidence": confidence, "km": F.round("km", 2)}).drop("home", "any_home")
+
+
 def overlapping_boxes(areas: DataFrame, size: float = 0.25, least: float = 1e-7) -> DataFrame:
     """a_id, b_id, area: pairs of area_id whose boxes x1, y1, x2, y2 overlap by more than least.
 
@@ -116,54 +199,90 @@ def overlapping_boxes(areas: DataFrame, size: float = 0.25, least: float = 1e-7)
 
 
 def overlapping_rings(areas: DataFrame, size: float = 0.25, least: float = 1e-7) -> DataFrame:
-    """a_id, b_id, area for rings, clipped against each other; the other ring of a pair must be convex."""
+    """a_id, b_id, area of the part that two rings share; rings may be concave but must not cross themselves."""
     boxes = areas.withColumn("box", geo.bounds(F.col("ring")))
     pairs = overlapping_boxes(boxes.select("area_id", "box.*"), size, least).select("a_id", "b_id")
     rings = areas.select("area_id", "ring")
     both = pairs.join(rings.withColumnsRenamed({"area_id": "a_id", "ring": "a"}), "a_id").join(rings.withColumnsRenamed({"area_id": "b_id", "ring": "b"}), "b_id")
 
     @F.pandas_udf("double")
-    def clipped(a, b):
+    def shared(a, b):
         import pandas as pd
 
-        return pd.Series([clip_area([(p["x"], p["y"]) for p in x], [(p["x"], p["y"]) for p in y]) for x, y in zip(a, b)], dtype="float64")
-
-    return both.select("a_id", "b_id", clipped("a", "b").alias("area")).filter(F.col("area") > least)
+        return pd.Series([shared_area([(p["x"], p["y"]) for p in x], [(p["x"], p["y"]) for p in y]) for x, y in zip(a, b)], dtype="float64")
 
+    return both.select("a_id", "b_id", shared("a", "b").alias("area")).filter(F.col("area") > least)
 
-def signed_area(ring: list[tuple[float, float]]) -> float:
-    return sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(ring, ring[1:] + ring[:1])) / 2
 
+def shared_area(a: list[tuple[float, float]], b: list[tuple[float, float]]) -> float:
+    """Area that two rings share, by vertical strips.
 
-def clip_area(ring: list[tuple[float, float]], convex: list[tuple[float, float]]) -> float:
-    """Area of a ring inside a convex ring, half plane by half plane."""
-    if signed_area(convex) < 0:
-        convex = convex[::-1]
-    for (x1, y1), (x2, y2) in zip(convex, convex[1:] + convex[:1]):
-        side = [(x2 - x1) * (y - y1) - (y2 - y1) * (x - x1) for x, y in ring]
-        out = []
-        for i, (p, s) in enumerate(zip(ring, side)):
-            q, t = ring[i - 1], side[i - 1]
-            if (s >= 0) != (t >= 0):
-                k = t / (t - s)
-                out.append((q[0] + k * (p[0] - q[0]), q[1] + k * (p[1] - q[1])))
-            if s >= 0:
-                out.append(p)
-        ring = out
-        if len(ring) < 3:
-            return 0.0
-    return abs(signed_area(ring))
+    Strips end at the corners and at the crossings of edges, so inside one no two edges
+    cross and the shared parts are trapezoids: their heights at the strip's middle times
+    its width are exact.
+    """
+    edges = [[(min(p, q), max(p, q)) for p, q in zip(ring, ring[1:] + ring[:1]) if p[0] != q[0]] for ring in (a, b)]
+    cuts = {x for ring in (a, b) for x, _ in ring}
+    for (x1, y1), (x2, y2) in edges[0]:
+        for (x3, y3), (x4, y4) in edges[1]:
+            m, n = (y2 - y1) / (x2 - x1), (y4 - y3) / (x4 - x3)
+            if m != n:
+                x = (y3 - n * x3 - y1 + m * x1) / (m - n)
+                if max(x1, x3) < x < min(x2, x4):
+                    cuts.add(x)
+    low, high = (f(min(x for x, _ in ring) if f is max else max(x for x, _ in ring) for ring in (a, b)) for f in (max, min))
+    xs, total = sorted(x for x in cuts if low <= x <= high), 0.0
+    for left, right in zip(xs, xs[1:]):
+        x = (left + right) / 2
+        spans = []
+        for ring in edges:
+            ys = sorted(y1 + (y2 - y1) * (x - x1) / (x2 - x1) for (x1, y1), (x2, y2) in ring if x1 < x < x2)
+            spans.append(list(zip(ys[::2], ys[1::2])))
+        total += (right - left) * sum(max(0.0, min(q, t) - max(p, s)) for p, q in spans[0] for s, t in spans[1])
+    return total
+
+
+def rule_keys(lemmas: bool) -> Column:
+    """Keys of a rule, of which an address that fits holds one at least: runs of letters; null if there are none.
+
+    From the street pattern, of each alternative the longest word that is there as it
+    stands; from the area's name its longest word; for lemmas the first long word of the
+    pattern. A pattern that is too rich to be read so is found by its region's words.
+    """
+    pattern = F.lower(F.regexp_replace("street_pattern", r"^\(\?i\)", ""))
+    plain = F.regexp_replace(pattern, r"\\[bBsSdDwW.\-][*+?]?|\.[*+]?\??|\p{L}[*?]|\(\?:|[()]", " ")
+    rich = F.regexp_like(plain, F.lit(r"[\[\]{}?*^$\\]")) | F.regexp_like(pattern, F.lit(r"\)[?*{]|\(\?[^:]|\(.*\("))
+    words = lambda c: F.regexp_extract_all(c, F.lit(rf"(\p{{L}}{{{GRAM},}})"), 1)
+    rank = lambda w: F.struct(w.isin(GENERIC_WORDS).alias("generic"), F.negative(F.length(w)).alias("minus"), w.alias("word"))
+    longest = lambda c: F.left(F.array_min(F.transform(words(c), rank))["word"], F.lit(GRAM))
+    per_part = F.transform(F.split(plain, r"\|"), longest)
+    by_pattern = F.when(~rich & F.forall(per_part, lambda k: k.isNotNull()), per_part)
+    none = F.array().cast("array<string>")
+    have_pattern, have_area = text.not_blank(F.col("street_pattern")), text.not_blank(F.col("area_text"))
+    keys = [F.when(have_pattern, by_pattern).otherwise(none), F.when(have_area, F.when(longest(F.lower("area_text")).isNotNull(), F.array(longest(F.lower("area_text"))))).otherwise(none)]
+    if lemmas:
+        simple = F.filter(F.split(F.lower(F.regexp_replace("street_pattern", r"(?U)[^\w\-]+", " ")), " "), lambda w: F.length(w) >= 3)
+        long = F.filter(simple, lambda w: F.length(w) >= 4)
+        first = F.when(F.size(long) > 0, F.left(F.get(long, F.lit(0)), F.lit(4))).otherwise(F.get(simple, F.lit(0)))
+        keys.append(F.when(have_pattern & first.isNotNull(), F.array(first)).otherwise(none))
+    in_text = F.concat(*keys)
+    tokens = F.transform(text.region_tokens(F.col("region")), lambda w: F.left(w, F.lit(GRAM)))
+    city = F.when(F.contains(text.ru_lower(F.col("region")), F.lit("нижегородск")), F.array(F.lit("нижн"))).otherwise(none)
+    by_region = F.when(text.not_blank(F.col("region")) & (F.size(tokens) > 0), F.concat(tokens, city))
+    return F.array_distinct(F.coalesce(in_text, by_region))
 
 
 def rule_match(addresses: DataFrame, rules: DataFrame, house_mode: str = "fixed") -> DataFrame:
     """The first rule, by rule_order, for each address: street pattern and house range, then the area's name.
 
-    addresses: row_id, address, lemmas (array, may be empty); rules: rule_order,
+    addresses: row_id, address, lemmas (array, may be empty or null); rules: rule_order,
     section_num, region, area_text, street_pattern, house_from, house_to, house_parity,
-    house_suffix, house_step. Rules are a dimension and are broadcast behind a check; an
-    address is compared once however often it occurs.
+    house_suffix, house_step. An address is compared once however often it occurs, and
+    only with rules that share a run of letters with it; patterns are tried last. Rules
+    without any such run, if there are some, are compared with all.
     """
-    distinct = addresses.select("address", "lemmas").groupBy("address").agg(F.first("lemmas").alias("lemmas"))
+    none = F.array().cast("array<string>")
+    distinct = addresses.select("address", F.coalesce("lemmas", none).alias("lemmas")).groupBy("address", "lemmas").agg(F.first(F.lit(1)).alias("_one")).drop("_one")
     probes = distinct.withColumn("house", text.house_of(F.lower("address"), house_mode))
     n, suffix = F.col("house.num"), F.col("house.suffix")
     start = F.col("house_from")
@@ -182,46 +301,75 @@ def rule_match(addresses: DataFrame, rules: DataFrame, house_mode: str = "fixed"
     by_area = text.not_blank(F.col("area_text")) & F.contains(F.lower("address"), F.lower("area_text"))
     in_region = text.region_fits(F.col("region"), F.col("address"))
     source = F.when(by_pattern & fits, "law_rules").when(by_lemma & fits, "law_rules_nlp_fuzzy").when(by_area, "law_rules_area")
-    pairs = probes.join(dimension(rules), in_region)
+
+    own = F.concat(letter_grams(F.col("address")), letter_grams(text.ru_lower(F.col("address"))), F.transform("lemmas", lambda x: F.left(F.lower(x), F.lit(GRAM))))
+    keyed_rules = rules.withColumn("_key", rule_keys(True))
+    free = keyed_rules.filter("_key IS NULL").drop("_key")
+    keyed = keyed_rules.filter("_key IS NOT NULL").withColumn("_key", F.explode("_key"))
+    pairs = probes.withColumn("_key", F.explode(F.array_distinct(own))).join(dimension(keyed), "_key").filter(in_region).drop("_key")
+    if not free.isEmpty():
+        pairs = pairs.unionByName(probes.join(dimension(free), in_region))
     hit = pairs.withColumn("source", source).filter("source IS NOT NULL").withColumn("pass", (F.col("source") == "law_rules_area").cast("int"))
-    first = hit.groupBy("address").agg(F.min_by(F.struct("section_num", "region", "source"), F.struct("pass", "rule_order")).alias("hit"))
-    return addresses.join(first, "address", "left").select(*addresses.columns, "hit.*")
+    first = hit.groupBy("address", "lemmas").agg(F.min_by(F.struct("section_num", "region", "source"), F.struct("pass", "rule_order")).alias("hit"))
+    same = addresses.withColumn("_lemmas", F.coalesce("lemmas", none)).join(first.withColumnRenamed("lemmas", "_lemmas"), ["address", "_lemmas"], "left")
+    return same.select(*addresses.columns, "hit.*")
 
 
 def text_top1(probes: DataFrame, entries: DataFrame, least: int = 12, gap: int = 8, most: int = 8) -> DataFrame:
     """The best directory entry for each address by text score, marked ambiguous if the next is too near.
 
     probes: row_id, address, region_code, street, district, house; entries: entry_id,
-    region_code, court_name, jurisdiction_text. Candidates share one of the address's
-    longest tokens: the entries' words are an inverted index, first within the region,
-    then, for addresses without any candidate, everywhere.
+    region_code, court_name, jurisdiction_text. Candidates contain one of the address's
+    longest tokens, also inside a word: tokens meet the distinct words of all entries,
+    and the words lead to entries, first within the region, then, for addresses without
+    any candidate there, everywhere. Alike addresses are compared once.
     """
-    tokens = F.slice(F.array_sort(F.col("tokens"), lambda a, b: F.length(b) - F.length(a)), 1, most)
-    p = probes.withColumn("tokens", text.search_tokens(F.col("address"))).withColumn("token", F.explode(tokens))
+    parts = ["address", "region_code", "street", "district", "house"]
+    alike = probes.select(*parts).distinct().withColumn("_id", F.xxhash64(*parts)).withColumn("tokens", text.address_tokens(F.col("street"), F.col("address"), F.col("district"), F.col("street")))
+    longest = F.slice(F.array_sort(F.col("tokens"), lambda a, b: F.length(b) - F.length(a)), 1, most)
+    tokens = alike.select(*parts, "_id", F.explode(longest).alias("token"))
+    # a token of several words is found by its longest one
+    words_of = F.array_sort(F.split("token", r"(?U)[^\w]+"), lambda a, b: F.length(b) - F.length(a))
+    tokens = tokens.withColumn("probe", F.get(words_of, F.lit(0)))
     e = entries.withColumn("blob", text.ru_lower(F.concat_ws(" ", "court_name", "jurisdiction_text")))
-    words = e.select("entry_id", F.col("region_code").alias("entry_region"), F.explode(text.search_tokens(F.col("blob"), most=1 << 20)).alias("token"))
-    pairs = p.join(words, "token").select("row_id", "entry_id", (F.col("region_code") == F.col("entry_region")).alias("home")).distinct()
-    any_home = F.max(F.coalesce(F.col("home"), F.lit(False))).over(Window.partitionBy("row_id"))
-    pairs = pairs.withColumn("any_home", any_home).filter(F.coalesce(F.col("home"), F.lit(False)) | ~F.col("any_home"))
-    full = pairs.select("row_id", "entry_id").join(probes.withColumn("tokens", text.search_tokens(F.col("address"))), "row_id").join(e.select("entry_id", "court_name", "blob"), "entry_id")
+    words = e.select("entry_id", F.col("region_code").alias("entry_region"), F.explode(F.array_distinct(F.split("blob", r"(?U)[^\w]+"))).alias("word"))
+    met = contained(words.select(F.col("word").alias("text")), tokens.select(F.col("probe").alias("part"))).select(F.col("text").alias("word"), F.col("part").alias("probe"))
+    by_probe = words.join(met, "word").select("probe", "entry_id", "entry_region").distinct()
+    of_token = tokens.select("token", "probe").distinct().join(by_probe, "probe").join(e.select("entry_id", "blob"), "entry_id").filter(F.contains("blob", F.col("token"))).select("token", "entry_id", "entry_region")
+    pairs = tokens.drop("probe").join(of_token, "token").groupBy("_id", *parts, "entry_id").agg(F.max(F.coalesce(F.col("region_code") == F.col("entry_region"), F.lit(False))).alias("home"))
+    any_home = pairs.groupBy("_id").agg(F.max("home").alias("any_home"))
+    kept = pairs.join(any_home, "_id").filter("home OR NOT any_home").select("_id", *parts, "entry_id")
+    full = kept.join(e.select("entry_id", "court_name", "blob"), "entry_id").withColumn("tokens", text.address_tokens(F.col("street"), F.col("address"), F.col("district"), F.col("street")))
     score = text.text_score(F.col("blob"), F.col("tokens"), F.col("street"), F.col("district"), F.col("house"))
-    order = Window.partitionBy("row_id").orderBy(F.col("score").desc(), "entry_id")
-    ranked = full.withColumn("score", score).withColumn("next_score", F.lead("score").over(order)).withColumn("nth", F.row_number().over(order))
+    top = full.withColumn("score", score)
+    order = Window.partitionBy("_id").orderBy(F.col("score").desc(), "entry_id")
+    ranked = top.withColumn("next_score", F.lead("score").over(order)).withColumn("nth", F.row_number().over(order))
     review = F.coalesce((F.col("score") - F.col("next_score") < gap) & (F.col("next_score") >= least), F.lit(False))
-    return ranked.filter((F.col("nth") == 1) & (F.col("score") >= least)).select("row_id", "entry_id", "court_name", "score", review.alias("needs_review"))
+    best_of = ranked.filter((F.col("nth") == 1) & (F.col("score") >= least)).select("_id", *[F.col(c).alias(f"_{c}") for c in parts], "entry_id", "court_name", "score", review.alias("needs_review"))
+    same = F.col("_id") == F.xxhash64(*parts)
+    for c in parts:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    return probes.join(best_of, same).select("row_id", "entry_id", "court_name", "score", "needs_review")
 
 
 def name_link(names: DataFrame, entries: DataFrame) -> DataFrame:
-    """Entries for court names: by exact name, else by section number, else by shared words.
+    """Entries for court names: by exact name, else by section number, of several the likest.
 
-    names: row_id, name; entries: entry_id, court_name.
+    names: row_id, name, section_num (optional); entries: entry_id, court_name. By number
+    are found the entries that name it ("№ 5" before a blank, comma or point, "№5" before a
+    blank); the score is 10,000 for the same name, 5,000 and the shorter length for one inside the
+    other, else the number of words shared.
     """
     fold = lambda c: F.lower(F.trim(c))
-    n = names.withColumns({"key": fold(F.col("name")), "section": text.section_number(F.col("name")), "words": text.search_tokens(F.col("name"))})
-    e = entries.withColumns({"ekey": fold(F.col("court_name")), "esection": text.section_number(F.col("court_name")), "ewords": text.search_tokens(F.col("court_name"))})
-    exact = n.join(e, F.col("key") == F.col("ekey")).select("row_id", "entry_id", "court_name", F.lit(10000).alias("score"))
+    given = F.col("section_num").try_cast("int") if "section_num" in names.columns else F.lit(None).cast("int")
+    numbers = F.transform(F.regexp_extract_all("court_name", F.lit(r"№(?: \d+(?=[ ,.])|\d+(?= ))"), F.lit(0)), lambda x: F.trim(F.substring(x, 2, 20)).try_cast("int"))
+    n = names.withColumns({"key": fold(F.col("name")), "section": F.coalesce(given, text.section_number(F.col("name")))})
+    e = entries.withColumns({"ekey": fold(F.col("court_name")), "esection": F.explode_outer(F.array_distinct(numbers))})
+    exact = n.join(e.drop("esection").distinct(), (F.col("key") == F.col("ekey")) & (F.col("key") != "")).select("row_id", "entry_id", "court_name", F.lit(10000).alias("score"))
     rest = n.join(exact.select("row_id").distinct(), "row_id", "left_anti")
-    shared = F.size(F.array_intersect("words", "ewords"))
-    score = F.lit(5000) + F.least(F.length("court_name"), F.lit(999)) + shared
-    numbered = rest.join(e, F.col("section") == F.col("esection")).select("row_id", "entry_id", "court_name", score.alias("score"))
+    key, other = F.coalesce("key", F.lit("")), F.col("ekey")
+    words = lambda c: F.array_distinct(F.filter(F.split(c, r"\s+"), lambda w: w != ""))
+    inside = F.contains(other, key) | F.contains(key, other)
+    score = F.when(key == "", 0).when(inside, 5000 + F.least(F.length(key), F.length(other))).otherwise(F.size(F.array_intersect(words(key), words(other))))
+    numbered = rest.join(e, (F.col("section") == F.col("esection")) & (F.col("section") > 0)).select("row_id", "entry_id", "court_name", score.alias("score"))
     return best(exact.union(numbered), "row_id", F.col("score").desc(), F.col("entry_id"))

@@ -49,7 +49,3 @@ def first_int_histogram(df: DataFrame, value: str, top: int = 15) -> DataFrame:
     token = F.coalesce(F.nullif(F.regexp_extract(value, r"(\d+)", 1), F.lit("")), F.lit("none"))
     each = df.groupBy(token.alias("token")).agg(F.count("*").alias("n"))
     return each.orderBy(F.desc("n"), "token").limit(top)
-
-
-def weighted_mean(weight: Column, value: Column) -> Column:
-    return F.sum(weight * value) / F.sum(weight)

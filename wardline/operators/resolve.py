@@ -63,6 +63,21 @@ def merge_sparse(base: dict[str, Column], alternates: list[dict[str, Column]]) -
     return {name: text.first_filled(c, *[a[name] for a in alternates if name in a]) for name, c in base.items()}
 
 
+def overlay_card(courts: DataFrame, cards: DataFrame, key: str = "row_id") -> DataFrame:
+    """courts with what a directory's card says where it says something.
+
+    cards: key, name, address, phone, email, schedule, section_numbers (array of text) and
+    the blocks superior_court, state_fee_requisites, bailiffs (JSON text, empty if not
+    there). The section counts only where the card has exactly one.
+    """
+    one = F.when(F.size("section_numbers") == 1, F.get("section_numbers", F.lit(0)).try_cast("int"))
+    card = cards.select(key, *[F.col(c).alias(f"_{c}") for c in cards.columns if c != key and c != "section_numbers"], one.alias("_section_num"))
+    joined = courts.join(card, key, "left")
+    over = {"court_name": "_name", "section_num": "_section_num"} | {c: f"_{c}" for c in ("address", "phone", "email", "schedule", "superior_court", "state_fee_requisites", "bailiffs")}
+    filled = lambda c: F.col(c) if c == "_section_num" else F.nullif(F.col(c), F.lit(""))
+    return joined.select(*[F.coalesce(filled(over[c]), F.col(c)).alias(c) if c in over and over[c] in joined.columns else F.col(c) for c in courts.columns])
+
+
 def geocode_consensus(results: DataFrame, metres: float = 100.0) -> DataFrame:
     """row_id, source, pos, lat, lon, confidence to one point for each row.
 
@@ -94,8 +109,8 @@ def input_gate(rows: DataFrame) -> DataFrame:
     lat, lon = F.col("lat"), F.col("lng")
     has_point = lat.isNotNull() & lon.isNotNull()
     code = (
-        F.when(~text.not_blank(F.col("fio")) & ~text.not_blank(F.col("address")) & ~has_point, "EMPTY_ROW")
-        .when(has_point & ~geo.valid_point(lat, lon), "BAD_COORDINATES")
-        .when(~text.not_blank(F.col("address")) & ~has_point, "NO_ADDRESS")
+        F.when(~text.not_blank(F.col("fio")) & ~text.not_blank(F.col("address")) & ~has_point, "ERROR_EMPTY_ROW")
+        .when(has_point & ~geo.valid_point(lat, lon), "ERROR_INVALID_COORDS")
+        .when(~text.not_blank(F.col("address")) & ~has_point, "ERROR_NO_ADDRESS")
     )
     return rows.withColumn("error_code", code).withColumn("status", F.when(code.isNull(), "OK").otherwise("ERROR"))

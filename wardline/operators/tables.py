@@ -20,8 +20,8 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str], *order: Column) -> D
 
 def upsert_partial(old: DataFrame, new: DataFrame, key: str, kept: list[str]) -> DataFrame:
     """Upsert in which a null among the kept columns leaves the old value."""
-    o, n = old.alias("o"), new.alias("n")
-    present = F.col(f"n.{key}").isNotNull()
+    o, n = old.alias("o"), new.withColumn("_present", F.lit(True)).alias("n")  # also of a null key
+    present = F.coalesce("n._present", F.lit(False))
     columns = [F.coalesce(f"n.{key}", f"o.{key}").alias(key)]
     for c in old.columns:
         if c in kept:
@@ -102,3 +102,43 @@ def live_entries(cache: DataFrame, now: Column) -> DataFrame:
     """The newest entry of each key, if it has not expired."""
     newest = keep_first(cache, ["key"], F.col("stored_at").desc(), F.col("value").desc())
     return newest.filter(F.col("stored_at") + F.make_dt_interval(secs=F.col("ttl_s").cast("decimal(18,6)")) > now)
+
+
+def in_force(df: DataFrame, day: Column, begins: str, ends: str) -> DataFrame:
+    """Rows in force on a day: begun, and not ended before it; an open end counts as in force."""
+    return df.filter((F.col(begins) <= day) & (F.col(ends).isNull() | (F.col(ends) >= day)))
+
+
+def union_numbered(parts: list[DataFrame], name: str, *order: Column) -> DataFrame:
+    """The rows of several sources, numbered on from one to the next; each source's by its order.
+
+    Numbers are taken in one window over each source; sources are layers of a map, of some
+    thousands of rows.
+    """
+    out, before = None, 0
+    for part in parts:
+        numbered = part.withColumn(name, (F.row_number().over(Window.orderBy(*order)) + before).cast("long"))
+        out = numbered if out is None else out.unionByName(numbered)
+        before += part.count()
+    return out
+
+
+def dedup_courts(courts: DataFrame, *order: Column) -> DataFrame:
+    """Courts once for each name and address, with the region that the address names, if it names one."""
+    from wardline.functions import address
+
+    named = F.nullif(address.region_of_list(F.col("address")), F.lit(""))
+    return keep_first(courts.withColumn("region", F.coalesce(named, "region")), ["court_name", "address"], *order)
+
+
+def feedback_summary(feedback: DataFrame, column: str = "verdict") -> DataFrame:
+    """How often each verdict was given, in lower case; blank ones are unknown."""
+    from wardline.functions import text
+
+    verdict = F.coalesce(text.blank_to_null(F.lower(column)), F.lit("unknown"))
+    return feedback.groupBy(verdict.alias(column)).agg(F.count("*").alias("n"))
+
+
+def drop_prefix(cache: DataFrame, prefix: str) -> DataFrame:
+    """The cache without the entries whose keys begin with a prefix."""
+    return cache.filter(~F.startswith("key", F.lit(prefix)) | F.col("key").isNull())

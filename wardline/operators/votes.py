@@ -8,18 +8,27 @@ from pyspark.sql import functions as F
 MIN_SUM, DISAGREEMENT, CLOSE, STRONG = 1.5, 0.3, 0.5, 0.8
 POLYGON_SOURCES = ("polygon", "postgis")
 # Weights of the candidate sources, in the order in which they vote.
-WEIGHTS = {"polygon": 1.0, "coordinates_district": 0.95, "spatial": 0.45, "provider": 0.8, "directory": 0.5, "district_db": 0.3}
+WEIGHTS = {"polygon": 1.0, "coordinates_district": 0.95, "spatial": 0.45, "dadata": 0.8, "dagalin": 0.5, "district_db": 0.3}
 
 
 def round_half_even_1(c: Column) -> Column:
-    """One decimal, as the exact binary value rounds: through its full decimal expansion."""
-    exact = F.format_string("%.1f", c)  # rounds the shortest decimal half up
-    low = F.floor(c * 10) / 10
-    # 10 * c is exact enough to tell on which side of the tie the binary value lies
-    tie = F.abs(c * 10 - F.floor(c * 10) - 0.5) < 1e-9
-    # Sums of the weights above whose binary value lies at or under the tie.
-    under = F.round(c, 2).isin(0.95, 1.25, 1.45)
-    return F.when(tie, F.when(under, low).otherwise(low + 0.1)).otherwise(exact.cast("double")).cast("decimal(3,1)").cast("double")
+    """One decimal, as the exact binary value rounds; for values from 0 to 2.
+
+    Twenty times the value is split into an upper and a lower part by Veltkamp's constant,
+    whose products are exact, so the remainder against the tie has its true sign; a true
+    tie goes to the even digit.
+    """
+    down = F.floor(c * 10)
+    tie = (down.cast("double") + 0.5) / 10
+    # c is on one side of the decimal tie or the other: the tie's own binary value may be off by its last bit,
+    # so c is compared with it exactly, by what c * 20 leaves over an odd whole number
+    big = c * 134217729.0
+    high = big - (big - c)
+    low = c - high
+    over = (high * 20 - (down * 2 + 1)) + low * 20
+    near = F.abs(c - tie) < 1e-9
+    up = F.when(near, F.when(over > 0, 1).when(over < 0, 0).otherwise(down % 2)).otherwise(F.when(c * 10 - down > 0.5, 1).otherwise(0))
+    return ((down + up) / 10).cast("double")
 
 
 def resolve(votes: DataFrame, by: str = "probe", min_sum: float = MIN_SUM, disagreement: float = DISAGREEMENT) -> DataFrame:
@@ -87,8 +96,8 @@ def candidate_votes(candidates: DataFrame) -> DataFrame:
     s = F.col("source")
     tag = (
         F.when(F.col("stage") == "C", F.when((s == "court_districts") | F.contains(s, F.lit("postgis")), "polygon").when(s == "coordinates_district", "coordinates_district").otherwise("spatial"))
-        .when(F.col("stage") == "B", "provider")
-        .when(F.col("stage") == "D", "directory")
+        .when(F.col("stage") == "B", "dadata")
+        .when(F.col("stage") == "D", "dagalin")
         .otherwise("district_db")
     )
     weight = None

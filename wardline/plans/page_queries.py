@@ -9,7 +9,7 @@ from wardline.functions import ranges, text
 from wardline.sources import readers
 
 from . import batch
-from .registry import Tables, lat, lon, query
+from .registry import Tables, query
 
 # Words in a label and the field that it names.
 LABELS = [("адрес", "address"), ("address", "address"), ("тел", "phone"), ("phone", "phone"), ("mail", "email"), ("режим", "schedule"), ("hours", "schedule"), ("судья", "judge"), ("judge", "judge")]
@@ -29,7 +29,7 @@ def key_values(pages: DataFrame, key: str, html: str) -> DataFrame:
     return rows.select("key", "row", label_field(F.col("cells")[0]).alias("field"), F.col("cells")[1].alias("value"))
 
 
-def section_status(pages: DataFrame, key: str, html: str, heading: str = r"(?iu)территориальн\w+ подсудност|jurisdiction") -> DataFrame:
+def section_status(pages: DataFrame, key: str, html: str, heading: str = r"(?iuU)территориальн\w+ подсудност|jurisdiction") -> DataFrame:
     """key, status: ok, weak_snippet, likely_pdf_only, likely_image_only, not_found or error, by what follows the heading."""
     t = pages.select(F.col(key).alias("key"), F.col(html).alias("html"), readers.html_text(html).alias("text"))
     begin = F.regexp_instr("text", F.lit(heading))
@@ -54,53 +54,107 @@ def contacts(pages: DataFrame, key: str, html: str) -> DataFrame:
     return t.select("key", text.first_group(F.col("text"), r"([\w.+-]+@[\w-]+\.[\w.]+)").alias("email"), F.when(phone != "", F.concat(F.lit("+7"), F.right(phone, F.lit(10)))).alias("phone"), longest.alias("address"))
 
 
-@query()
-def q_html_kv(t: Tables) -> DataFrame:
-    """Labelled cells of pages; the pages' own links are laid out as a table first."""
-    body = F.regexp_replace(F.regexp_replace("html", "<li><a href=\"([^\"]*)\">", "<tr><td>phone $1</td><td>"), "</a></li>", "</td></tr>")
-    return key_values(t.pages.select("page_id", body.alias("html")), "page_id", "html")
-
-
-@query()
+@query(
+    "SELECT page_id, ['ok', 'likely_pdf_only', 'likely_image_only', 'weak_snippet', 'not_found', 'error'][page_id % 6 + 1] AS status FROM pages"
+)
 def q_html_status(t: Tables) -> DataFrame:
-    return section_status(t.pages, "page_id", "html", r"(?iu)\b(?:the|de|der)\b")
-
-
-@query()
+    """What pages hold after their heading, with a section of each kind put into them."""
+    k = F.col("page_id") % 6
+    heading = F.lit("<h2>Территориальная подсудность</h2>")
+    long = F.concat(F.lit("<p>"), F.repeat(F.lit("улица Мира, дома 1-9; "), 20), F.lit("</p>"))
+    section = F.when(k == 0, F.concat(heading, long)).when(k == 1, F.concat(heading, F.lit('<a href="list.pdf">список</a>'))).when(k == 2, F.concat(heading, F.lit('<img src="map.png">'))).when(k == 3, F.concat(heading, F.lit("<p>ул. Мира</p>"))).when(k == 4, "<p>Контакты</p>")
+    page = F.when(k != 5, F.concat(F.lit("<html><body>"), section, F.lit("</body></html>")))
+    return section_status(t.pages.select("page_id", page.alias("html")), "page_id", "html").withColumnRenamed("key", "page_id")
+
+
+@query(
+    """SELECT page_id, 'court' || page_id::VARCHAR || '@mail.example' AS email, CASE WHEN page_id % 3 <> 0 THEN '+7831' || lpad((page_id % 10000000)::VARCHAR, 7, '0') END AS phone,
+  CASE WHEN page_id % 2 = 0 THEN 'г. Город, улица Мира, дом ' || page_id::VARCHAR END AS address FROM pages"""
+)
 def q_html_contacts(t: Tables) -> DataFrame:
-    return contacts(t.pages, "page_id", "html")
+    """E-mail, phone and the longest address line of pages with a contact block put into them."""
+    k = F.col("page_id")
+    phone = F.lpad((k % 10000000).cast("string"), 7, "0")
+    block = F.concat(
+        F.lit("<div>court"), k.cast("string"), F.lit("@mail.example</div>"),
+        F.when(k % 3 != 0, F.concat(F.lit("<p>Тел. 8 (831) "), F.left(phone, F.lit(3)), F.lit("-"), F.substring(phone, 4, 2), F.lit("-"), F.right(phone, F.lit(2)), F.lit("</p>"))).otherwise(""),
+        F.when(k % 2 == 0, F.concat(F.lit("<p>ул. Мира</p><p>г. Город, улица Мира, дом "), k.cast("string"), F.lit("</p>"))).otherwise(""),
+    )
+    found = contacts(t.pages.select("page_id", block.alias("html")), "page_id", "html")
+    return found.select(F.col("key").alias("page_id"), "email", "phone", "address")
 
 
-@query()
+@query(
+    """SELECT page_id, unnest(['address', 'phone', 'schedule', 'other']) AS field, unnest(['ул. Мира, ' || page_id::VARCHAR, page_id::VARCHAR, '9-18', 'x']) AS value FROM pages"""
+)
+def q_html_kv(t: Tables) -> DataFrame:
+    """Labelled cells of tables put into pages."""
+    k = F.col("page_id").cast("string")
+    cells = lambda label, value: F.concat(F.lit(f"<tr><td>{label}</td><td>"), value, F.lit("</td><td>more</td></tr>"))
+    page = F.concat(F.lit("<table>"), cells("Адрес суда", F.concat(F.lit("ул. Мира, "), k)), cells("Телефон:", k), cells("Режим работы", F.lit("9-18")), cells("Прочее", F.lit("x")), F.lit("<tr><td>alone</td></tr></table>"))
+    return key_values(t.pages.select("page_id", page.alias("html")), "page_id", "html").select(F.col("key").alias("page_id"), "field", "value")
+
+
+@query(
+    """SELECT p_partkey, CASE WHEN k IN (0, 1) THEN p_size ELSE p_size END AS house_from, CASE k WHEN 0 THEN p_size + 10 WHEN 1 THEN p_size + 4 ELSE p_size END AS house_to,
+  CASE k WHEN 0 THEN 'odd' WHEN 1 THEN CASE WHEN p_size % 2 = 0 THEN 'even' ELSE 'odd' END END AS house_parity, CASE WHEN k < 2 THEN 2 END AS house_step
+FROM (SELECT *, p_partkey % 3 AS k FROM part)"""
+)
 def q_house_ranges(t: Tables) -> DataFrame:
-    """Cells of house numbers to ranges."""
+    """Cells of house numbers to ranges: a span with its parity, a list in steps of two, a single number."""
     k = F.col("p_partkey")
     cell = F.when(k % 3 == 0, F.concat(F.col("p_size").cast("string"), F.lit("-"), (F.col("p_size") + 10).cast("string"), F.lit(" нечет"))).when(k % 3 == 1, F.concat_ws(", ", F.col("p_size").cast("string"), (F.col("p_size") + 2).cast("string"), (F.col("p_size") + 4).cast("string"))).otherwise(F.col("p_size").cast("string"))
     return t.part.select("p_partkey", F.explode(ranges.house_ranges(cell)).alias("r")).select("p_partkey", "r.*")
 
 
-@query()
+@query(
+    """SELECT o_orderkey, unnest([1, 2]) - 1 AS pos, unnest(['Мира', 'Ленина']) AS street, unnest([k % 9 + 1, k % 50 + 2]) AS house_from, unnest([k % 9 + 21, k % 50 + 8]) AS house_to, unnest(['odd', 'even']) AS house_parity, 2 AS house_step,
+  unnest([CASE WHEN k % 2 = 0 THEN 'а' END, NULL]) AS house_suffix FROM (SELECT o_orderkey, (o_orderkey % 1000)::INTEGER AS k FROM orders)"""
+)
 def q_statute_rules(t: Tables) -> DataFrame:
-    """Sentences of texts to street rules."""
-    return t.benchmark.select("item_id", F.posexplode(ranges.statute_rules(F.col("text"))).alias("pos", "rule")).select("item_id", "pos", "rule.street", "rule.houses.*")
-
-
-@query()
+    """Sentences of a statute to street rules with houses, parity, step and suffix."""
+    k = (F.col("o_orderkey") % 1000).cast("int")
+    number = lambda c: c.cast("string")
+    suffix = F.when(k % 2 == 0, "а").otherwise("")
+    said = F.concat(F.lit("Улицы: Мира, дома "), number(k % 9 + 1), suffix, F.lit("-"), number(k % 9 + 21), suffix, F.lit(" нечетные; ул. Ленина, дома "), number(k % 50 + 2), F.lit("-"), number(k % 50 + 8), F.lit(" четные."))
+    return t.orders.select("o_orderkey", F.posexplode(ranges.statute_rules(said)).alias("pos", "rule")).select("o_orderkey", "pos", "rule.street", "rule.houses.*")
+
+
+@query(
+    """SELECT k AS row_id, CASE WHEN k % 6 = 5 THEN 'ERROR' ELSE 'OK' END AS status, CASE WHEN k % 12 = 5 THEN 'ERROR_ADDRESS_NOT_FOUND' WHEN k % 12 = 11 THEN 'ERROR_EMPTY_ROW' END AS error_code,
+  CASE WHEN k % 6 = 5 THEN NULL WHEN k % 30 = 0 THEN 'B' WHEN k % 6 < 2 THEN 'A' WHEN k % 6 = 2 THEN 'D' ELSE 'C' END AS stage,
+  CASE WHEN k % 6 = 5 THEN NULL WHEN k % 30 = 0 THEN 'unified_B_dadata' ELSE ['law_rules', 'unified_A_district', 'dagalin_address_match', 'court_districts', 'courts_nearest'][k % 6 + 1] END AS source,
+  CASE k % 6 WHEN 0 THEN k % 25 WHEN 1 THEN 100 + k % 5 WHEN 2 THEN 201 + k % 4 WHEN 3 THEN k % 25 WHEN 4 THEN k % 20 END::VARCHAR AS selected_court_id,
+  CASE WHEN k % 6 = 5 THEN NULL WHEN k % 30 = 0 THEN 1.1 ELSE [0.3, 0.3, 0.5, 1.0, 0.5][k % 6 + 1] END::DOUBLE AS confidence_score, CASE WHEN k % 6 <> 5 THEN true END AS needs_manual_review
+FROM (SELECT c_custkey AS k FROM customer)"""
+)
 def q_batch_pipeline(t: Tables) -> DataFrame:
-    """Gate, candidates, votes and selection for every customer."""
-    k = F.col("c_custkey")
-    none = F.lit(None).cast("string")
+    """Gate, candidates of every stage, votes and selection: each customer is found by another stage, or not at all."""
+    k, none = F.col("c_custkey"), F.lit(None)
+    case = lambda *values: F.when(k % 6 == 0, values[0]).when(k % 6 == 1, values[1]).when(k % 6 == 2, values[2]).when(k % 6 == 3, values[3]).when(k % 6 == 4, values[4]).otherwise(values[5])
+    pick = lambda words, by: F.element_at(F.array(*map(F.lit, words)), (k % by + 1).cast("int"))
+    named, streets = ("Приокский", "Советский", "Ленинский", "Кировский", "Заводской"), ("Лесная", "Садовая", "Речная", "Полевая")
+    n = k % 25
+    written = case(
+        F.concat(F.lit("Brand#"), n.cast("string"), F.lit(", д. "), (k % 40 + 1).cast("string")),
+        F.concat(F.lit("Самарская область, "), pick(named, 5), F.lit(" район, д. 5")),
+        F.concat(F.lit("ул. "), pick(streets, 4), F.lit(", д. 3")),
+        none, none, F.when(k % 12 == 5, "неведомо"),
+    )
     rows = t.customer.select(
-        k.alias("row_id"), F.col("c_name").alias("fio"), F.when(k % 3 != 0, F.concat(F.lit("Brand#"), (k % 25).cast("string"), F.lit(", д. "), (k % 50).cast("string"))).alias("address"), F.when(k % 4 != 1, lat("c_custkey")).alias("lat"), F.when(k % 4 != 1, lon("c_custkey")).alias("lng"), none.alias("region"), none.alias("district"), none.alias("street"), none.alias("house")
+        k.alias("row_id"), F.when(k % 12 != 11, F.col("c_name")).alias("fio"), written.alias("address"),
+        case(none, none, none, 55.0755 + F.floor(n / 5) * 0.2, 10.001 + (k % 20) * 0.5, none).alias("lat"), case(none, none, none, 37.0755 + (n % 5) * 0.2, F.lit(20.0), none).alias("lng"),
     )
-    courts = t.supplier.select(F.col("s_suppkey").alias("place_id"), lat("s_suppkey").alias("plat"), lon("s_suppkey").alias("plon"), F.concat(F.lit("Судебный участок №"), F.col("s_suppkey").cast("string")).alias("court_name"), F.col("s_suppkey").alias("section_num"))
-    n = F.col("n_nationkey")
-    x, y = 37.0005 + (n % 5) * 0.2, 55.0005 + F.floor(n / 5) * 0.2
+    section = lambda c: F.concat(F.lit("Судебный участок №"), c.cast("string"))
+    places = t.spark.range(20).select(F.col("id").alias("place_id"), (F.col("id") * 0.5 + 10).alias("plat"), F.lit(20.0).alias("plon"), section(F.col("id")).alias("court_name"), F.col("id").alias("section_num"))
+    m = F.col("n_nationkey")
+    x, y = 37.0005 + (m % 5) * 0.2, 55.0005 + F.floor(m / 5) * 0.2
     corner = lambda a, b: F.struct(a.alias("x"), b.alias("y"))
-    ring = F.array(corner(x, y), corner(x + 0.15, y), corner(x + 0.15, y + 0.15), corner(x, y + 0.15))
-    areas = t.nation.select(n.alias("area_id"), (n % 3).alias("kind"), F.concat(F.lit("Судебный участок №"), n.cast("string")).alias("court_name"), n.alias("section_num"), ring.alias("ring"))
-    districts = t.spark.createDataFrame([], "id long, region string, district string, court_name string")
-    entries = t.part.groupBy("p_brand").agg(F.min("p_partkey").alias("entry_id")).select("entry_id", none.alias("region_code"), F.concat(F.lit("Судебный участок №"), F.regexp_extract("p_brand", r"(\d+)", 1)).alias("court_name"), F.lower("p_brand").alias("jurisdiction_text"))
-    rules = t.nation.select(n.alias("rule_order"), n.cast("string").alias("section_num"), F.lit("").alias("region"), none.alias("area_text"), F.concat(F.lit(r"brand#"), n.cast("string"), F.lit(r"\b")).alias("street_pattern"), F.lit(1).alias("house_from"), F.lit(40).alias("house_to"), none.alias("house_parity"), none.alias("house_suffix"), F.lit(None).cast("int").alias("house_step"))
-    candidates = batch.point_candidates(rows, areas, courts).union(batch.address_candidates(rows, districts, entries, rules))
-    return batch.resolve_rows(rows, candidates).drop("region", "district", "street", "house")
+    areas = t.nation.select(m.alias("area_id"), (m % 3).alias("kind"), section(m).alias("court_name"), m.alias("section_num"), F.array(corner(x, y), corner(x + 0.15, y), corner(x + 0.15, y + 0.15), corner(x, y + 0.15)).alias("ring"))
+    districts = t.spark.createDataFrame([(i, "Самарская область", d, f"Судебный участок №{100 + i}") for i, d in enumerate(named)], "id long, region string, district string, court_name string")
+    entries = t.spark.createDataFrame([(i, None, f"Судебный участок №{201 + i}", f"{s} улица, дома 1-9") for i, s in enumerate(streets)], "entry_id long, region_code string, court_name string, jurisdiction_text string")
+    text_, number = F.lit(None).cast("string"), F.lit(None).cast("int")
+    rules = t.nation.select(m.alias("rule_order"), m.cast("string").alias("section_num"), F.lit("").alias("region"), text_.alias("area_text"), F.concat(F.lit(r"brand#"), m.cast("string"), F.lit(r"\b")).alias("street_pattern"), F.lit(1).alias("house_from"), F.lit(40).alias("house_to"), text_.alias("house_parity"), text_.alias("house_suffix"), number.alias("house_step"))
+    provider = t.customer.filter(k % 30 == 0).select(k.alias("row_id"), section(n).alias("court_name"), n.alias("section_num"))
+    candidates = batch.point_candidates(rows, areas, places).union(batch.address_candidates(rows, districts, entries, rules, provider))
+    return batch.resolve_rows(rows, candidates).select("row_id", "status", "error_code", "stage", "source", "selected_court_id", "confidence_score", "needs_manual_review")

@@ -17,7 +17,7 @@ WITH ranked AS (
   FROM events WHERE event_type <> 'error' AND value IS NOT NULL),
 v AS (
   SELECT probe, pos, court_key, 'Court ' || court_key || repeat('*', CAST(pos % 4 AS INTEGER)) AS court_name,
-    CASE event_type WHEN 'purchase' THEN 'polygon' WHEN 'signup' THEN 'provider' WHEN 'view' THEN 'directory' ELSE 'district_db' END AS source,
+    CASE event_type WHEN 'purchase' THEN 'polygon' WHEN 'signup' THEN 'dadata' WHEN 'view' THEN 'dagalin' ELSE 'district_db' END AS source,
     CASE event_type WHEN 'purchase' THEN 10 WHEN 'signup' THEN 8 WHEN 'view' THEN 5 ELSE 3 END AS w
   FROM ranked WHERE nth = 1)
 """
@@ -32,7 +32,7 @@ def event_votes(t: Tables) -> DataFrame:
     return first.select(
         F.col("user_id").alias("probe"),
         F.col("event_id").alias("pos"),
-        F.when(kind == "purchase", "polygon").when(kind == "signup", "provider").when(kind == "view", "directory").otherwise("district_db").alias("source"),
+        F.when(kind == "purchase", "polygon").when(kind == "signup", "dadata").when(kind == "view", "dagalin").otherwise("district_db").alias("source"),
         F.concat(F.lit("Court "), key, F.repeat(F.lit("*"), (F.col("event_id") % 4).cast("int"))).alias("court_name"),
         key.alias("court_key"),
         F.when(kind == "purchase", 1.0).when(kind == "signup", 0.8).when(kind == "view", 0.5).otherwise(0.3).alias("weight"),
@@ -151,20 +151,6 @@ def q_needle_region(t: Tables) -> DataFrame:
     return joins.needle_lookup(t.part.select(F.col("p_partkey").alias("row_id"), "p_name"), "p_name", needles).select("row_id", "region")
 
 
-@query(
-    """SELECT c_custkey, EXISTS (SELECT 1 FROM supplier WHERE s_nationkey = c_nationkey) AS known,
-  EXISTS (SELECT 1 FROM nation WHERE contains(n_name, c_nationkey::VARCHAR) OR contains(c_nationkey::VARCHAR, n_name)) AS alike FROM customer"""
-)
-def q_membership(t: Tables) -> DataFrame:
-    """Membership in a set of keys, and containment either way among names."""
-    known = t.supplier.select(F.col("s_nationkey").alias("c_nationkey")).distinct().withColumn("in_set", F.lit(True))
-    names = t.customer.select("c_nationkey").distinct()
-    key = F.col("c_nationkey").cast("string")
-    alike = names.join(joins.dimension(t.nation), F.contains(F.col("n_name"), key) | F.contains(key, F.col("n_name")), "left_semi").withColumn("in_names", F.lit(True))
-    joined = t.customer.join(known, "c_nationkey", "left").join(alike, "c_nationkey", "left")
-    return joined.select("c_custkey", F.coalesce("in_set", F.lit(False)).alias("known"), F.coalesce("in_names", F.lit(False)).alias("alike"))
-
-
 def _courts(t: Tables) -> DataFrame:
     return t.supplier.select(F.col("s_suppkey").alias("entry_id"), F.concat(F.lit("Судебный участок №"), F.col("s_suppkey").cast("string"), F.lit(" "), F.col("s_name")).alias("court_name"))
 
@@ -201,17 +187,17 @@ def q_geocode_consensus(t: Tables) -> DataFrame:
     """Two geocoders' results averaged where they agree, else the surer one."""
     k = F.col("o_orderkey")
     level = lambda c: F.when(c == 4, "exact").when(c == 3, "street").when(c == 2, "city").otherwise("low")
-    first = t.orders.select(k.alias("row_id"), F.lit("first").alias("source"), F.lit(1).alias("pos"), lat("o_orderkey").alias("lat"), lon("o_orderkey").alias("lon"), level(4 - k % 4).alias("confidence"))
-    second = t.orders.select(k.alias("row_id"), F.lit("second").alias("source"), F.lit(2).alias("pos"), (lat("o_orderkey") + (k % 7 - 3) * 0.0004).alias("lat"), lon("o_orderkey").alias("lon"), level(4 - k % 3).alias("confidence"))
+    first = t.orders.select(k.alias("row_id"), F.lit("yandex").alias("source"), F.lit(1).alias("pos"), lat("o_orderkey").alias("lat"), lon("o_orderkey").alias("lon"), level(4 - k % 4).alias("confidence"))
+    second = t.orders.select(k.alias("row_id"), F.lit("dadata").alias("source"), F.lit(2).alias("pos"), (lat("o_orderkey") + (k % 7 - 3) * 0.0004).alias("lat"), lon("o_orderkey").alias("lon"), level(4 - k % 3).alias("confidence"))
     out = resolve.geocode_consensus(first.union(second))
     return out.select("row_id", reports.rounded(F.col("lat"), 6).alias("lat"), "agree", grades.geocode_rank(F.col("confidence")).alias("confidence_rank"), "level")
 
 
 CANDIDATES_SQL = """
 WITH c AS (
-  SELECT o_orderkey AS row_id, 'D' AS stage, 'directory' AS source, 'K' || (o_orderkey % 3)::VARCHAR AS court_name, 5 AS w, 3 AS pos FROM orders WHERE o_orderkey % 5 <> 0
+  SELECT o_orderkey AS row_id, 'D' AS stage, 'dagalin' AS source, 'K' || (o_orderkey % 3)::VARCHAR AS court_name, 5 AS w, 3 AS pos FROM orders WHERE o_orderkey % 5 <> 0
   UNION ALL SELECT o_orderkey, 'A', 'district_table', 'K' || (o_orderkey % 4)::VARCHAR, 3, 4 FROM orders WHERE o_orderkey % 3 <> 0
-  UNION ALL SELECT o_orderkey, 'B', 'provider', 'K' || (o_orderkey % 2)::VARCHAR, 8, 2 FROM orders WHERE o_orderkey % 7 < 3),
+  UNION ALL SELECT o_orderkey, 'B', 'dadata', 'K' || (o_orderkey % 2)::VARCHAR, 8, 2 FROM orders WHERE o_orderkey % 7 < 3),
 s AS (SELECT row_id, court_name, sum(w) AS s, min(pos) AS first FROM c GROUP BY ALL),
 w AS (SELECT row_id, arg_min(court_name, -s * 10 + first) AS winner, max(s) AS top FROM s GROUP BY row_id),
 r AS (SELECT c.*, row_number() OVER (PARTITION BY c.row_id ORDER BY CASE stage WHEN 'D' THEN 1 WHEN 'B' THEN 2 ELSE 4 END) AS nth FROM c JOIN w ON c.row_id = w.row_id AND c.court_name = w.winner)
@@ -223,7 +209,7 @@ def q_staged_resolution(t: Tables) -> DataFrame:
     """Candidates of several sources voted on, and the winner's candidate taken by order."""
     k = F.col("o_orderkey")
     part = lambda keep, stage, source, n: t.orders.filter(keep).select(k.alias("row_id"), F.lit(stage).alias("stage"), F.lit(source).alias("source"), F.concat(F.lit("K"), (k % n).cast("string")).alias("court_name"), (k % n).cast("string").alias("section_num"))
-    candidates = part(k % 5 != 0, "D", "directory", 3).union(part(k % 3 != 0, "A", "district_table", 4)).union(part(k % 7 < 3, "B", "provider", 2))
+    candidates = part(k % 5 != 0, "D", "dagalin", 3).union(part(k % 3 != 0, "A", "district_table", 4)).union(part(k % 7 < 3, "B", "dadata", 2))
     return resolve.resolve_addresses(candidates).select("row_id", "stage", F.upper("court_name").alias("court_name"), "source")
 
 
@@ -265,20 +251,20 @@ def q_rule_range_join(t: Tables) -> DataFrame:
 
 
 @query(
-    """WITH e AS (SELECT p_brand AS entry_id, lower(p_brand || ' ' || string_agg(DISTINCT p_name, ' ' ORDER BY p_name)) AS blob FROM part WHERE p_size % 7 = 0 GROUP BY p_brand),
+    """WITH e AS (SELECT p_brand AS entry_id, lower(p_brand || ' ' || string_agg(DISTINCT p_name, ' ' ORDER BY p_name)) AS blob FROM part GROUP BY p_brand),
 p AS (SELECT DISTINCT p_name, p_type FROM part),
-tok AS (SELECT p_name, p_type, list_distinct(list_filter(string_split(lower(p_name || ' ' || p_type), ' '), lambda x: length(x) >= 3)) AS ts FROM p),
+tok AS (SELECT p_name, p_type, list_distinct(list_filter(list_concat(string_split(lower(p_name || ' ' || p_type), ' '), [lower(p_name)]), lambda x: length(x) >= 3)) AS ts FROM p),
 s AS (SELECT p_name, p_type, entry_id,
   list_sum(list_transform(ts, lambda x: CASE WHEN contains(blob, x) THEN least(length(x), 12) ELSE 0 END)) +
   CASE WHEN contains(blob, lower(p_name)) THEN 28 ELSE 0 END + CASE WHEN contains(blob, lower(p_type)) THEN 22 ELSE 0 END +
-  CASE WHEN length(p_type) >= 4 AND contains(blob, lower(p_type)) THEN 10 ELSE 0 END AS score
-  FROM tok, e WHERE list_has_any(ts, list_filter(regexp_split_to_array(blob, '[^a-z0-9_]+'), lambda x: length(x) >= 3))),
+  coalesce(list_sum(list_transform(list_filter(string_split(lower(p_type), ' '), lambda x: length(x) >= 4), lambda x: CASE WHEN contains(blob, x) THEN 10 ELSE 0 END)), 0) AS score
+  FROM tok, e WHERE len(list_filter(ts, lambda x: contains(blob, x))) > 0),
 r AS (SELECT *, row_number() OVER w AS nth, lead(score) OVER w AS next_score FROM s WINDOW w AS (PARTITION BY p_name, p_type ORDER BY score DESC, entry_id))
 SELECT p_name, p_type, entry_id, score::INTEGER AS score, coalesce(score - next_score < 8 AND next_score >= 12, false) AS needs_review FROM r WHERE nth = 1 AND score >= 12"""
 )
 def q_text_score_top1(t: Tables) -> DataFrame:
     """The best directory entry by text score."""
-    parts = t.part.filter("p_size % 7 = 0").groupBy("p_brand").agg(F.array_join(F.array_sort(F.collect_set("p_name")), " ").alias("jurisdiction_text"))
+    parts = t.part.groupBy("p_brand").agg(F.array_join(F.array_sort(F.collect_set("p_name")), " ").alias("jurisdiction_text"))
     entries = parts.select(F.col("p_brand").alias("entry_id"), F.lit(None).cast("string").alias("region_code"), F.col("p_brand").alias("court_name"), "jurisdiction_text")
     probes = t.part.select("p_name", "p_type").distinct().select(
         F.concat_ws("|", "p_name", "p_type").alias("row_id"), F.concat_ws(" ", "p_name", "p_type").alias("address"), F.lit(None).cast("string").alias("region_code"), F.col("p_name").alias("street"), F.col("p_type").alias("district"), F.lit(None).cast("string").alias("house")

@@ -28,10 +28,18 @@ def q_nearest_radius(t: Tables) -> DataFrame:
     return joins.nearest(*_points(t)).select("point_id", "place_id", reports.rounded(F.col("km"), 4).alias("km"))
 
 
-@query(NEAR_SQL + f"SELECT point_id, place_id, {sql_round('greatest(0.5::DOUBLE, 1 - km / 5.0)', 4)} AS confidence FROM near")
+@query(
+    NEAR_SQL
+    + """, named AS (SELECT near.*, c_custkey % 3 = 0 AND s_nationkey % 2 = c_nationkey % 2 AS home FROM near JOIN customer ON c_custkey = point_id JOIN supplier ON s_suppkey = place_id WHERE place_id % 4 <> 0),
+kept AS (SELECT * FROM (SELECT *, max(home) OVER (PARTITION BY point_id) AS any_home FROM named) WHERE home OR NOT any_home)
+SELECT point_id, place_id, row_number() OVER (PARTITION BY point_id ORDER BY km, place_id) AS nth, round(greatest(0.5::DOUBLE, 1 - km / 5.0), 2) AS confidence FROM kept"""
+)
 def q_radius_list(t: Tables) -> DataFrame:
-    close = joins.nearest(*_points(t), top=None)
-    return close.select("point_id", "place_id", reports.rounded(F.greatest(F.lit(0.5), 1 - F.col("km") / 5.0), 4).alias("confidence"))
+    """Courts of the peace within the radius, those of the point's region where there are any."""
+    points, places = _points(t)
+    regions = t.customer.select(F.col("c_custkey").alias("point_id"), F.when(F.col("c_custkey") % 3 == 0, F.concat(F.lit("R"), (F.col("c_nationkey") % 2).cast("string"))).alias("region"))
+    s = t.supplier.select(F.col("s_suppkey").alias("place_id"), F.when(F.col("s_suppkey") % 4 != 0, "Мировой суд").otherwise("суд").alias("name"), F.concat(F.lit("край r"), (F.col("s_nationkey") % 2).cast("string")).alias("place_region"))
+    return joins.radius_list(points.join(regions, "point_id"), places.join(s, "place_id")).select("point_id", "place_id", "nth", "confidence")
 
 
 BOX_SQL = """

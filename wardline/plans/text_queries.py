@@ -5,21 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wardline.functions import address, geo, grades, text
-from wardline.operators import joins, quality, reports, resolve
+from wardline.functions import address, documents, geo, grades, text
+from wardline.operators import joins, quality, resolve, tables
 
+from . import wide
 from .registry import Tables, query, sql_round
 
 
-@query(f"SELECT o_orderkey, CASE WHEN o_totalprice > 0 THEN {sql_round('least(4000.0::DOUBLE, o_totalprice * 0.032::DOUBLE)', 1)} ELSE 0 END AS duty FROM orders")
+@query("SELECT o_orderkey, CASE WHEN d > 0 THEN round(least(4000.0::DOUBLE, d * 0.032::DOUBLE), 2) ELSE 0 END AS duty FROM (SELECT o_orderkey, o_totalprice - 50000 AS d FROM orders)")
 def q_state_duty(t: Tables) -> DataFrame:
-    return t.orders.select("o_orderkey", reports.rounded(F.least(F.lit(4000.0), F.col("o_totalprice") * 0.032), 1).alias("duty"))
+    return t.orders.select("o_orderkey", grades.state_duty(F.col("o_totalprice") - 50000).alias("duty"))
 
 
 @query(
-    """SELECT c_custkey, CASE WHEN v >= 0.98 THEN 'EXCELLENT' WHEN v >= 0.85 THEN 'GOOD' WHEN v >= 0.70 THEN 'FAIR' ELSE 'POOR' END AS quality,
-CASE WHEN v >= 0.98 THEN 'EXCELLENT' WHEN v >= 0.90 THEN 'GOOD' WHEN v >= 0.80 THEN 'FAIR' WHEN v >= 0 THEN 'POOR' ELSE 'MANUAL' END AS document,
-CASE WHEN v >= 0.98 AND c_custkey % 2 = 0 THEN 'EXCELLENT' WHEN v >= 0.92 THEN 'GOOD' WHEN v >= 0.85 THEN 'FAIR' ELSE 'MANUAL' END AS checked
+    """SELECT c_custkey, CASE WHEN v >= 0.98 THEN 'PERFECT' WHEN v >= 0.85 THEN 'GOOD' WHEN v >= 0.70 THEN 'WARNING' ELSE 'ERROR' END AS quality,
+CASE WHEN v >= 0.98 THEN 'PERFECT' WHEN v >= 0.90 THEN 'GOOD' WHEN v >= 0.80 THEN 'WARNING' WHEN v >= 0 THEN 'POOR' ELSE 'MANUAL' END AS document,
+CASE WHEN v >= 0.98 AND c_custkey % 2 = 0 THEN 'PERFECT' WHEN v >= 0.92 THEN 'GOOD' WHEN v >= 0.85 THEN 'WARNING' ELSE 'MANUAL' END AS checked
 FROM (SELECT *, c_acctbal / 10000 AS v FROM customer)"""
 )
 def q_grade_ladder(t: Tables) -> DataFrame:
@@ -27,25 +28,36 @@ def q_grade_ladder(t: Tables) -> DataFrame:
     return t.customer.select("c_custkey", grades.quality_grade(v).alias("quality"), grades.document_grade(v).alias("document"), grades.checked_grade(v, F.col("c_custkey") % 2).alias("checked"))
 
 
-@query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
+@query("SELECT event_id, CASE WHEN event_id % 6 < 5 THEN CAST(json_extract_string(props, '$.k') AS BIGINT) END AS k FROM events")
 def q_json_probe(t: Tables) -> DataFrame:
-    """A number under one of several names in JSON."""
-    v = F.try_parse_json("props")
+    """A number under one of several names in JSON that is whole, fenced, among words, badly quoted, or none."""
+    k, p = F.col("event_id") % 6, F.col("props")
+    broken = (
+        F.when(k == 0, p)
+        .when(k == 1, F.concat(F.lit("```json\n"), p, F.lit("\n```")))
+        .when(k == 2, F.concat(F.lit("answer: "), p, F.lit(" - done")))
+        .when(k == 3, F.concat(F.lit("so "), F.translate(p, '"', "'")))
+        .when(k == 4, F.regexp_replace(F.replace(p, F.lit('"'), F.lit("")), r"\}", ",}"))
+        .otherwise("none of it")
+    )
+    v = F.try_parse_json(text.repaired_json(broken))
     return t.events.select("event_id", F.coalesce(F.try_variant_get(v, "$.k", "long"), F.try_variant_get(v, "$.key", "long")).alias("k"))
 
 
 @query(
-    """SELECT event_id, CASE WHEN m IS NULL THEN NULL WHEN contains(m, 'timeout') THEN 'TIMEOUT' WHEN contains(m, 'coordinate') THEN 'BAD_COORDINATES' WHEN contains(m, 'address') THEN 'ADDRESS_NOT_FOUND' WHEN contains(m, 'court') THEN 'COURT_NOT_FOUND' ELSE 'UNKNOWN' END AS code
-FROM (SELECT event_id, CASE event_type WHEN 'error' THEN 'read timeout on address' WHEN 'view' THEN 'address of court not found' WHEN 'click' THEN 'no court' WHEN 'signup' THEN 'other' END AS m FROM events)"""
+    """SELECT event_id, CASE WHEN m LIKE '%адрес не найден%' THEN 'ERROR_ADDRESS_NOT_FOUND' WHEN m LIKE '%ambiguous%' THEN 'ERROR_AMBIGUOUS' WHEN m LIKE '%координат%' THEN 'ERROR_INVALID_COORDS' ELSE 'ERROR_COURT_NOT_FOUND' END AS code,
+  CASE WHEN m LIKE '%адрес не найден%' THEN 'Адрес не найден' WHEN m LIKE '%ambiguous%' THEN 'Неоднозначный адрес' WHEN m LIKE '%координат%' THEN 'Некорректные координаты' ELSE 'Суд не найден' END AS label
+FROM (SELECT event_id, CASE event_type WHEN 'error' THEN 'адрес не найден, ambiguous' WHEN 'view' THEN 'ambiguous координаты' WHEN 'click' THEN 'координат нет' WHEN 'signup' THEN 'timeout' END AS m FROM events)"""
 )
 def q_first_error_class(t: Tables) -> DataFrame:
     kind = F.col("event_type")
-    message = F.when(kind == "error", "Read TIMEOUT on address").when(kind == "view", "address of court not found").when(kind == "click", "No court").when(kind == "signup", "other")
-    return t.events.select("event_id", grades.error_class(message).alias("code"))
+    message = F.when(kind == "error", "Адрес не найден, ambiguous").when(kind == "view", "AMBIGUOUS координаты").when(kind == "click", "Координат нет").when(kind == "signup", "timeout")
+    code = grades.error_class(message)
+    return t.events.select("event_id", code.alias("code"), grades.error_label(code).alias("label"))
 
 
 @query(
-    """SELECT row_id, CASE WHEN fio IS NULL AND address IS NULL AND lat IS NULL THEN 'EMPTY_ROW' WHEN lat IS NOT NULL AND NOT (lat BETWEEN -90 AND 90) THEN 'BAD_COORDINATES' WHEN address IS NULL AND lat IS NULL THEN 'NO_ADDRESS' END AS error_code
+    """SELECT row_id, CASE WHEN fio IS NULL AND address IS NULL AND lat IS NULL THEN 'ERROR_EMPTY_ROW' WHEN lat IS NOT NULL AND NOT (lat BETWEEN -90 AND 90) THEN 'ERROR_INVALID_COORDS' WHEN address IS NULL AND lat IS NULL THEN 'ERROR_NO_ADDRESS' END AS error_code
 FROM (SELECT c_custkey AS row_id, CASE WHEN c_custkey % 3 <> 0 THEN c_name END AS fio, CASE WHEN c_custkey % 2 <> 0 THEN c_mktsegment END AS address, CASE WHEN c_custkey % 5 < 2 THEN c_acctbal / 100 END AS lat FROM customer)"""
 )
 def q_input_gate(t: Tables) -> DataFrame:
@@ -57,9 +69,34 @@ def q_input_gate(t: Tables) -> DataFrame:
     return resolve.input_gate(rows).select("row_id", "error_code")
 
 
-@query("SELECT doc_id, nullif(regexp_extract(text, '([A-Za-z0-9._]+@[A-Za-z0-9]+\\.[a-z]+)', 1), '') AS email, length(regexp_replace(text, '[^0-9]', '', 'g')) AS n_digits FROM documents")
+@query(
+    """SELECT o_orderkey, CASE WHEN k % 3 <> 0 THEN k % 500 + 1 END::INTEGER AS section, CASE WHEN k % 4 <> 0 THEN '2-' || (k % 9000 + 1)::VARCHAR || '/' || year(o_orderdate)::VARCHAR END AS case_number,
+  CASE WHEN k % 5 <> 0 THEN 'Иванов Иван' END AS debtor, CASE WHEN k % 2 = 0 THEN (k % 900 + 1) * 1000 END::DOUBLE AS amount, 0.85::DOUBLE AS confidence
+FROM (SELECT *, o_orderkey AS k FROM orders)"""
+)
 def q_regex_extract_doc(t: Tables) -> DataFrame:
-    return t.documents.select("doc_id", text.first_group(F.col("text"), r"([A-Za-z0-9._]+@[A-Za-z0-9]+\.[a-z]+)").alias("email"), F.length(F.regexp_replace("text", "[^0-9]", "")).cast("long").alias("n_digits"))
+    """Fields of documents: section, case number, debtor and amount, some of them missing."""
+    k = F.col("o_orderkey")
+    said = F.concat_ws(
+        " ",
+        F.when(k % 3 != 0, F.concat(F.lit("Судебный участок № "), (k % 500 + 1).cast("string"), F.lit(","))),
+        F.when(k % 4 != 0, F.concat(F.lit("Дело № 2 - "), (k % 9000 + 1).cast("string"), F.lit("/"), F.year("o_orderdate").cast("string"), F.lit("."))),
+        F.when(k % 5 != 0, F.lit("взыскать с Иванов Иван, паспорт")),
+        F.when(k % 2 == 0, F.concat((k % 900 + 1).cast("string"), F.lit(" 000 руб."))),
+    )
+    return t.orders.select("o_orderkey", documents.extracted(said).alias("d")).select("o_orderkey", "d.*")
+
+
+@query(
+    """SELECT o_orderkey, 0.25 * ((k % 3 <> 0)::INTEGER + (k % 4 <> 0)::INTEGER + 1 + (k % 7 < 3)::INTEGER)::DOUBLE AS consistency FROM (SELECT o_orderkey, o_orderkey AS k FROM orders)"""
+)
+def q_consistency(t: Tables) -> DataFrame:
+    """Fields of a reading held against a document's patterns; amounts agree within 5 %."""
+    k = F.col("o_orderkey")
+    number = (k % 300 + 1).cast("string")
+    said = F.concat(F.lit("Участок № "), number, F.lit(", дело № 2-"), number, F.lit("/2024, Петров П.П., 10 000,00 руб."))
+    read = (F.when(k % 3 != 0, number).otherwise("x"), F.when(k % 4 != 0, F.concat(F.lit("2 - "), number, F.lit("/2024"))), F.when(k % 5 != 0, "Петров Пётр"), F.when(k % 7 < 3, 9600.0).otherwise(9000.0))
+    return t.orders.select("o_orderkey", documents.consistency(said, *read).alias("consistency"))
 
 
 @query("SELECT o_orderkey, coalesce(TRY_CAST(replace(replace(v, ' ', ''), ',', '.') AS DOUBLE), 0.0) AS amount FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN '' ELSE replace(o_orderkey::VARCHAR || ' ' || (o_orderkey % 1000)::VARCHAR || ',5', ' ', ' ') END AS v FROM orders)")
@@ -100,9 +137,13 @@ def q_redact(t: Tables) -> DataFrame:
     return t.events.select("event_id", text.redact(line).alias("line"))
 
 
-@query("SELECT page_id, nullif(regexp_extract(url, '^https?://([^/?#]+)', 1), '') AS host, nullif(regexp_extract(url, '^https?://[^/]+/([^/?#]+)/', 1), '') AS code FROM pages")
+@query("SELECT page_id, CASE WHEN page_id % 3 <> 0 THEN (page_id % 90)::VARCHAR END AS code, CASE WHEN page_id % 3 <> 0 THEN 'court-' || page_id::VARCHAR END AS slug FROM pages")
 def q_url_parts(t: Tables) -> DataFrame:
-    return t.pages.select("page_id", F.nullif(F.regexp_extract("url", r"^https?://([^/?#]+)", 1), F.lit("")).alias("host"), F.nullif(F.regexp_extract("url", r"^https?://[^/]+/([^/?#]+)/", 1), F.lit("")).alias("code"))
+    """Region code and slug of directory pages' addresses; other addresses have none."""
+    k = F.col("page_id")
+    url = F.when(k % 3 != 0, F.concat(F.lit("https://host.example/courts/"), (k % 90).cast("string"), F.lit("/wc/court-"), k.cast("string"), F.lit("?x=1"))).otherwise(F.col("url"))
+    parts = text.url_parts(url)
+    return t.pages.select("page_id", parts["code"].alias("code"), parts["slug"].alias("slug"))
 
 
 @query("SELECT s_suppkey, lower(s_name) AS key, s_suppkey::INTEGER AS section FROM supplier")
@@ -124,42 +165,57 @@ def q_search_tokens(t: Tables) -> DataFrame:
 @query("SELECT event_id, CASE WHEN value > 300 AND event_type <> 'view' THEN 30 WHEN event_type = 'click' THEN 30 ELSE 28 END AS article FROM events")
 def q_law_article(t: Tables) -> DataFrame:
     exclusive = (F.col("value") > 300) & (F.col("event_type") != "view")
-    kind = F.when(F.col("event_type") == "click", "спор о недвижимости").otherwise("взыскание")
+    kind = F.when(F.col("event_type") == "click", "Наследование недвижимости").when(F.col("event_type") == "view", "арест, спор о недвижимости").otherwise("взыскание")
     return t.events.select("event_id", grades.law_article(exclusive, kind).alias("article"))
 
 
-@query("SELECT event_id, CASE event_type WHEN 'error' THEN 'retry' WHEN 'purchase' THEN 'close' WHEN 'view' THEN 'error' ELSE 'none' END AS action FROM events")
+@query(
+    """SELECT event_id, CASE event_type WHEN 'error' THEN '🔥 АВТО-ЗВОНОК: имущество на аукционе!' WHEN 'purchase' THEN '✅ Дело закрыто — снимаем с контроля' WHEN 'view' THEN '⚠️ Требуется ручная проверка'
+  WHEN 'click' THEN '🔥 АВТО-ЗВОНОК: имущество на аукционе!' ELSE '📋 На контроле, ждём исполнения' END AS action FROM events"""
+)
 def q_status_action(t: Tables) -> DataFrame:
-    status = F.when(F.col("event_type") == "view", " ").otherwise(F.concat(F.lit("state: "), "event_type"))
-    return t.events.select("event_id", grades.action_of(status, [("error", "retry"), ("purchase", "close")]).alias("action"))
+    """What to do by a case's status: the first word that it holds or is part of."""
+    kind = F.col("event_type")
+    status = F.when(kind == "error", "Наложен Арест_имущества").when(kind == "purchase", "производство исполнено").when(kind == "click", " арест ").when(kind == "signup", "неизвестно")
+    return t.events.select("event_id", grades.action_of(status).alias("action"))
 
 
-@query(f"SELECT event_id, {sql_round('CASE WHEN event_id % 2 = 0 THEN 0.7::DOUBLE ELSE 1 END * CASE WHEN event_id % 3 = 0 THEN 0.6::DOUBLE ELSE 1 END * CASE WHEN event_id % 5 = 0 THEN 0.75::DOUBLE ELSE 1 END', 4)} AS confidence FROM events")
+@query(
+    f"""SELECT event_id, {sql_round('CASE WHEN k % 2 = 0 THEN 0.7::DOUBLE ELSE 1 END * CASE WHEN k % 3 = 0 THEN 0.6::DOUBLE ELSE 1 END * CASE WHEN k % 5 = 0 THEN 0.75::DOUBLE ELSE 1 END * CASE WHEN k % 7 = 0 THEN 0.5::DOUBLE ELSE 1 END * CASE WHEN k % 11 = 0 THEN 0.8::DOUBLE ELSE 1 END * CASE WHEN k % 13 = 0 THEN 0.8::DOUBLE ELSE 1 END * CASE WHEN k % 17 = 0 THEN 0.7::DOUBLE ELSE 1 END', 4)} AS confidence,
+  (k % 2 = 0)::INTEGER + (k % 3 = 0)::INTEGER + (k % 5 = 0)::INTEGER + (k % 7 = 0)::INTEGER + (k % 11 = 0)::INTEGER + (k % 13 = 0)::INTEGER + (k % 17 = 0)::INTEGER AS failed
+FROM (SELECT event_id, event_id AS k FROM events)"""
+)
 def q_penalised_confidence(t: Tables) -> DataFrame:
-    k = F.col("event_id")
-    return t.events.select("event_id", grades.penalised(k % 2 == 0, k % 3 == 0, k % 5 == 0).alias("confidence"))
+    """The checks of a reading: each that fails lowers its confidence."""
+    k, null = F.col("event_id"), F.lit(None)
+    case = F.when(k % 5 == 0, "7-1/20").otherwise("2-15/2024")
+    name = F.when(k % 13 == 0, "Test Testov").otherwise("Иванов Иван")
+    amount = F.when(k % 11 == 0, 5.0).otherwise(1000.0)
+    out = documents.checked(null.cast("string"), null.cast("int"), case, name, amount, F.lit("Суд"), k % 2 != 0, k % 3 != 0, F.when(k % 7 == 0, F.lit(False)), F.when(k % 17 == 0, 0.5).otherwise(0.9))
+    return t.events.select("event_id", out["confidence"].alias("confidence"), F.size(out["failed"]).alias("failed"))
 
 
-@query("SELECT p_partkey, p_size BETWEEN 1 AND 40 AND p_retailprice BETWEEN 950 AND 1050 AND regexp_matches(p_brand, '^Brand#\\d+$') AS valid FROM part")
+@query("SELECT o_orderkey, o_totalprice - 100000 BETWEEN 100 AND 50000000 AS amount_ok, o_orderkey % 3 <> 0 AS case_ok, o_orderkey % 4 <> 0 AND o_totalprice >= 100000 AS valid FROM orders")
 def q_document_validation(t: Tables) -> DataFrame:
-    ok = F.col("p_size").between(1, 40) & F.col("p_retailprice").between(950, 1050) & F.regexp_like("p_brand", F.lit(r"^Brand#\d+$"))
-    return t.part.select("p_partkey", ok.alias("valid"))
+    """Amounts, case numbers and required fields of results."""
+    k, amount = F.col("o_orderkey"), F.col("o_totalprice") - 100000
+    case = F.when(k % 3 != 0, F.concat(F.lit("А - "), (k % 9999 + 1).cast("string"), F.lit("/2024"))).otherwise(F.concat(F.lit("3-"), k.cast("string")))
+    court = F.when(k % 4 != 0, "Суд").otherwise(" ")
+    valid = documents.valid_result(court, F.lit("Иванов Иван"), amount, F.lit(0.5), F.lit(None).cast("string"))
+    return t.orders.select("o_orderkey", documents.valid_amount(amount).alias("amount_ok"), documents.valid_case_number(case).alias("case_ok"), valid.alias("valid"))
 
 
 @query("SELECT o_orderkey FROM orders WHERE o_orderdate <= TIMESTAMP '1997-06-30' AND (o_orderkey % 3 = 0 OR o_orderdate + INTERVAL 90 DAYS >= TIMESTAMP '1997-06-30')")
 def q_valid_on_date(t: Tables) -> DataFrame:
     """Rows in force on a given day; an open end counts as in force."""
-    day = F.lit("1997-06-30").cast("timestamp")
     ends = F.when(F.col("o_orderkey") % 3 != 0, F.col("o_orderdate") + F.expr("INTERVAL 90 DAYS"))
-    return t.orders.filter((F.col("o_orderdate") <= day) & (ends.isNull() | (ends >= day))).select("o_orderkey")
+    return tables.in_force(t.orders.withColumn("ends", ends), F.lit("1997-06-30").cast("timestamp"), "o_orderdate", "ends").select("o_orderkey")
 
 
 @query("SELECT p_partkey, contains(p_name || ' ' || p_type, 'ring') OR contains(p_name || ' ' || p_type, 'bolt') AS hit FROM part")
 def q_or_of_like(t: Tables) -> DataFrame:
     """Any of several tokens in two columns."""
-    blob = F.concat_ws(" ", "p_name", "p_type")
-    tokens = F.array(F.lit("ring"), F.lit("bolt"))
-    return t.part.select("p_partkey", F.exists(tokens, lambda x: F.contains(blob, x)).alias("hit"))
+    return joins.with_any(t.part, ["p_name", "p_type"], ["ring", "bolt"]).select("p_partkey", "hit")
 
 
 @query("SELECT c_custkey, n_nationkey % 7 = 0 OR contains(lower(c_name || ' nation_' || (c_custkey % 30)::VARCHAR), regexp_extract(lower(n_name), '([a-z]+)', 1)) AS fits FROM customer JOIN nation ON c_nationkey = n_nationkey")
@@ -170,15 +226,27 @@ def q_region_fits(t: Tables) -> DataFrame:
 
 
 @query(
-    """SELECT c_custkey, n_regionkey::VARCHAR || CASE WHEN n_nationkey <> 0 THEN n_nationkey::VARCHAR ELSE '' END AS court_code, CASE WHEN c_custkey % 2 = 0 THEN 'Да' ELSE '' END AS flag, coalesce(CASE c_mktsegment WHEN 'BUILDING' THEN 'b' WHEN 'MACHINERY' THEN 'm' END, 'other') AS source_label FROM customer JOIN nation ON c_nationkey = n_nationkey"""
+    """SELECT c_custkey AS row_id, CASE WHEN c_custkey % 2 = 0 THEN 'Да' ELSE '' END AS review, n_regionkey::VARCHAR || CASE WHEN n_nationkey <> 0 THEN n_nationkey::VARCHAR ELSE '' END AS court_code,
+  CASE WHEN n_nationkey % 5 <> 0 THEN 'ACC' || n_nationkey::VARCHAR ELSE '' END AS account, CASE c_custkey % 3 WHEN 0 THEN 'DaData API' WHEN 1 THEN 'PostGIS [unified]' ELSE '' END AS source,
+  CASE WHEN c_acctbal > 0 THEN printf('%.2f', round(least(4000.0::DOUBLE, c_acctbal * 0.032::DOUBLE), 2)) ELSE '' END AS duty,
+  'Гражданское (ст. ' || CASE WHEN c_mktsegment = 'BUILDING' THEN '30' ELSE '28' END || ' ГПК РФ)' AS kind, '18210803010011050110' AS kbk
+FROM customer JOIN nation ON c_nationkey = n_nationkey"""
 )
 def q_wide_projection(t: Tables) -> DataFrame:
-    """Codes, flags and labels of the result row."""
-    labels = F.create_map(F.lit("BUILDING"), F.lit("b"), F.lit("MACHINERY"), F.lit("m"))
-    code = F.concat(F.col("n_regionkey").cast("string"), F.when(F.col("n_nationkey") != 0, F.col("n_nationkey").cast("string")).otherwise(""))
-    return t.customer.join(joins.dimension(t.nation), F.col("c_nationkey") == F.col("n_nationkey")).select(
-        "c_custkey", code.alias("court_code"), F.when(F.col("c_custkey") % 2 == 0, "Да").otherwise("").alias("flag"), F.coalesce(F.try_element_at(labels, F.col("c_mktsegment")), F.lit("other")).alias("source_label")
+    """Codes, flags, fees, payment details and labels of the wide result row."""
+    k, none = F.col("c_custkey"), F.lit(None).cast("string")
+    resolved = t.customer.join(joins.dimension(t.nation), F.col("c_nationkey") == F.col("n_nationkey")).select(
+        k.alias("row_id"), none.alias("normalized_address"), F.lit(0.9).alias("confidence"), (k % 2 == 0).alias("needs_manual_review"), none.alias("level"),
+        F.when(F.col("c_mktsegment") == "BUILDING", "Права на недвижимость").alias("case_type"), F.lit(False).alias("exclusive"), F.col("c_name").alias("court_name"),
+        F.concat(F.lit("R"), F.col("n_regionkey").cast("string")).alias("region"), F.col("n_nationkey").cast("string").alias("section_num"), none.alias("address"), none.alias("email"), none.alias("phone"),
+        F.when(k % 3 == 0, "dadata").when(k % 3 == 1, "unified_C_postgis").otherwise("other").alias("source"), F.col("c_acctbal").alias("debt_amount"),
     )
+    key = F.concat(F.lit("R"), F.col("r_regionkey").cast("string")).alias("region")
+    regions = t.region.select(key, F.col("r_regionkey").cast("string").alias("region_code"), none.alias("site"))
+    account = F.concat(F.lit("ACC"), F.col("n_nationkey").cast("string"))
+    details = t.nation.filter("n_nationkey % 5 <> 0").select(F.concat(F.lit("R"), F.col("n_regionkey").cast("string")).alias("region"), F.col("n_nationkey").alias("section_num"), *[(account if c == "Счет" else none).alias(c) for c in wide.DETAILS])
+    shown = {"Требует проверки": "review", "Код суда": "court_code", "Счет": "account", "Источник данных": "source", "Госпошлина, руб.": "duty", "Тип производства": "kind", "КБК": "kbk"}
+    return wide.wide_rows(resolved, regions, details).select("row_id", *[F.col(f"`{c}`").alias(n) for c, n in shown.items()])
 
 
 @query("SELECT event_id, CASE WHEN c IN ('0', '1', 'exact') THEN 'exact' WHEN c IN ('2', 'near') THEN 'street' WHEN c IN ('3', '4') THEN 'city' ELSE 'low' END AS level FROM (SELECT event_id, (user_id % 6)::VARCHAR AS c FROM events)")
@@ -186,18 +254,25 @@ def q_precision_level(t: Tables) -> DataFrame:
     return t.events.select("event_id", geo.precision_level(F.lit("p"), (F.col("user_id") % 6).cast("string")).alias("level"))
 
 
-@query("SELECT event_id, CASE event_type WHEN 'view' THEN 0.97 WHEN 'click' THEN 0.9 WHEN 'error' THEN 0.65 ELSE 0.8 END::DOUBLE AS confidence FROM events")
+@query("SELECT event_id, CASE event_type WHEN 'view' THEN 0.97 WHEN 'click' THEN 0.9 WHEN 'error' THEN 0.65 WHEN 'signup' THEN 0.86 ELSE 0.8 END::DOUBLE AS confidence FROM events")
 def q_source_grades(t: Tables) -> DataFrame:
     kind = F.col("event_type")
-    source = F.when(kind == "view", "the provider").when(kind == "click", "court_districts").when(kind == "error", "courts_geo").otherwise("x")
+    source = F.when(kind == "view", "unified_B_dadata").when(kind == "click", "court_districts").when(kind == "error", "courts_geo").when(kind == "signup", "dagalin_address_match").otherwise("x")
     return t.events.select("event_id", grades.source_confidence(source, F.lit(1), F.lit(False)).alias("confidence"))
 
 
-@query("SELECT c_custkey, CASE c_custkey % 6 WHEN 0 THEN 'Омская область' WHEN 1 THEN 'Томская область' WHEN 2 THEN 'Республика Татарстан' WHEN 3 THEN 'Пермский край' WHEN 4 THEN 'Республика Коми' END AS region FROM customer")
+REGION_FORMS = [
+    ("644000, г Омск, ул Мира", "Омская область"), ("г. Томск", "Томская область"), ("город Казань, д. 5", "Республика Татарстан"), ("614000, Пермский край, Пермь", "Пермский край"), ("Коми Респ, г Ухта", "Республика Коми"),
+    ("Kazan", None), ("МОСКОВСКАЯ ОБЛ., г. Химки", "Московская область"), ("г. Москва, ул. Мира", "Москва"), ("СПб, Невский пр-кт", "Санкт-Петербург"), ("марий эл респ.", "Республика Марий Эл"), ("САХА (ЯКУТИЯ) РЕСП", "Республика Саха (Якутия)"),
+    ("Чувашия респ., Чебоксары", "Чувашская Республика"), ("Республика Дагестан", "Республика Дагестан"), ("забайкальский край", "Забайкальский край"), ("Чукотский АО", "Чукотский АО"), ("Ханты-Мансийский Югра АО", "Ханты-Мансийский АО - Югра"), ("Тверская область", "Тверская область"),
+]
+_FORMS_SQL = ", ".join("NULL" if region is None else f"'{region}'" for _, region in REGION_FORMS)
+
+
+@query(f"SELECT c_custkey, [{_FORMS_SQL}][c_custkey % {len(REGION_FORMS)} + 1] AS region FROM customer")
 def q_address_region(t: Tables) -> DataFrame:
-    """Regions named in addresses, or of the city that they name."""
-    k = F.col("c_custkey")
-    written = F.element_at(F.array(*[F.lit(x) for x in ("644000, г Омск, ул Мира", "г. Томск", "город Казань, д. 5", "614000, Пермский край, Пермь", "Коми Респ, г Ухта", "Kazan")]), (k % 6 + 1).cast("int"))
+    """Regions named in addresses in their many forms, or of the city that they name."""
+    written = F.element_at(F.array(*[F.lit(x) for x, _ in REGION_FORMS]), (F.col("c_custkey") % len(REGION_FORMS) + 1).cast("int"))
     parsed = address.parse(F.concat(written, F.lit(", "), "c_name"))
     return t.customer.select("c_custkey", parsed["region"].alias("region"))
 

@@ -68,6 +68,10 @@ SOURCE_LABELS = {
     "courts_nearest": "Ближайший суд (courts)",
     "courts_geo": "Ближайший суд (courts_geo)",
     "address_district": "Парсинг адреса (регион, район)",
+    "dadata": "DaData API",
+    "unified_A_district": "Парсинг адреса (регион, район) [unified]",
+    "unified_B_dadata": "DaData API [unified]",
+    "unified_C_postgis": "PostGIS [unified]",
 }
 # Fixed value: the budget code of court fees.
 FEE_CODE = "18210803010011050110"

@@ -12,26 +12,26 @@ from wardline.functions import geo, text
 # Column names met in input files, and ours.
 ALIASES = {
     "фио": "fio",
-    "fio": "fio",
-    "должник": "fio",
-    "name": "fio",
+    "ф.и.о": "fio",
     "адрес": "address",
-    "address": "address",
+    "адрес регистрации": "address",
     "паспорт": "passport",
-    "passport": "passport",
+    "сумма": "debt_amount",
     "сумма долга": "debt_amount",
-    "debt_amount": "debt_amount",
+    "сумма иска": "debt_amount",
+    "claim_amount": "debt_amount",
+    "дата": "contract_date",
     "дата договора": "contract_date",
-    "contract_date": "contract_date",
     "широта": "lat",
-    "lat": "lat",
     "latitude": "lat",
     "долгота": "lng",
-    "lng": "lng",
     "lon": "lng",
     "longitude": "lng",
+    "тип дела": "case_type",
+    "id дела": "id",
+    "номер договора": "contract_number",
 }
-DEBTOR = ("fio", "address", "passport", "debt_amount", "contract_date", "lat", "lng")
+DEBTOR = ("id", "contract_number", "fio", "address", "passport", "debt_amount", "contract_date", "case_type", "lat", "lng")
 NUMBERS = ("debt_amount", "lat", "lng")
 #: Encodings of text files in the order in which they are tried.
 ENCODINGS = ("utf-8", "windows-1251", "iso-8859-1")
@@ -41,8 +41,8 @@ def canonical(df: DataFrame) -> DataFrame:
     """Columns under their canonical names; of several aliases of one the first filled value counts."""
     by_name: dict[str, list[Column]] = {}
     for c in df.columns:
-        if name := ALIASES.get(c.strip().lower().lstrip("﻿")):
-            by_name.setdefault(name, []).append(F.col(f"`{c}`").cast("string"))
+        name = c.lstrip("\ufeff").strip().lower()
+        by_name.setdefault(ALIASES.get(name, name), []).append(F.col(f"`{c}`").cast("string"))
     values = {n: text.first_filled(*by_name[n]) if n in by_name else F.lit(None).cast("string") for n in DEBTOR}
     return df.select(*[(text.number(v) if n in NUMBERS else v).alias(n) for n, v in values.items()])
 
@@ -54,27 +54,45 @@ def debtors_csv(spark: SparkSession, path: str, sep: str = ";", encoding: str =
 
 
 def points_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Rows with valid coordinates and their row number in the file, the header's being 1; the separator is the first line's."""
-    first = spark.read.text(path).limit(1).collect()
-    sep = ";" if first and ";" in first[0][0] else ","
-    raw = spark.read.csv(path, header=True, sep=sep)
-    numbered = canonical(raw).withColumn("_id", F.monotonically_increasing_id())
-    # ids grow with the file; within a file read in one go they are its row numbers
-    part = F.shiftright("_id", 33)
-    sizes = numbered.groupBy(part.alias("p")).agg(F.count("*").alias("n"))
-    before = sizes.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    rows = numbered.join(F.broadcast(before), part == F.col("p"))
-    number = F.col("_id").bitwiseAND((1 << 33) - 1) + F.col("before") + 2
-    return rows.withColumn("row_number", number).filter(geo.valid_point(F.col("lat"), F.col("lng"))).drop("_id", "p", "n", "before")
+    """Rows with valid coordinates and their row number in their own file, the header's being 1.
+
+    Each file is one task's, whose lines are numbered as they come and then parsed by
+    Spark; the separator is that of a file's first line.
+    """
+    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), "value")
+    lines = F.split(F.regexp_replace("value", "^\ufeff", ""), "\r?\n")
+    head = lines[0]
+    numbered = files.select("path", head.alias("head"), F.posexplode(lines).alias("pos", "line")).filter("pos > 0 AND trim(line) <> ''")
+    # separators inside quotes part nothing
+    apart = lambda sep: f'{sep}(?=(?:[^"]*"[^"]*")*[^"]*$)'
+    parts = lambda c: F.when(F.contains("head", F.lit(";")), F.split(c, apart(";"))).otherwise(F.split(c, apart(",")))
+    cells = lambda c: F.transform(parts(c), lambda x: F.trim(F.regexp_replace(x, '^\\s*"|"\\s*$', "")))
+    keyed = numbered.select("path", (F.col("pos") + 1).cast("long").alias("row_number"), F.transform(cells(F.col("head")), F.lower).alias("names"), cells(F.col("line")).alias("cells"))
+    named = {}
+    for name in DEBTOR:
+        known = [k for k, v in ALIASES.items() if v == name] + [name]
+        pairs = F.filter(F.arrays_zip("names", "cells"), lambda p: p["names"].isin(known) & text.not_blank(p["cells"]))  # noqa: B023
+        value = F.get(pairs, F.lit(0))["cells"]
+        named[name] = (text.number(value) if name in NUMBERS else value).alias(name)
+    rows = keyed.select(*named.values(), "row_number")
+    return rows.filter(geo.valid_point(F.col("lat"), F.col("lng")))
 
 
 def geojson_points(spark: SparkSession, path: str) -> DataFrame:
-    """name, address, lat, lng of the Point features of a collection."""
+    """fio, address, lat, lng, case_type, debt_amount and row_number (from 1) of the Point features of a collection."""
     schema = "features array<struct<geometry:struct<type:string,coordinates:variant>,properties:variant>>"
-    f = spark.read.json(path, schema=schema, multiLine=True).select(F.explode("features").alias("f"))
+    f = spark.read.json(path, schema=schema, multiLine=True).select(F.posexplode("features").alias("pos", "f"))
     at = lambda i: F.try_variant_get("f.geometry.coordinates", f"$[{i}]", "double")
     prop = lambda *names: F.coalesce(*[F.try_variant_get("f.properties", f"$.{n}", "string") for n in names])
-    points = f.filter("f.geometry.type = 'Point'").select(prop("fio", "name").alias("fio"), prop("address").alias("address"), at(1).alias("lat"), at(0).alias("lng"))
+    points = f.filter("f.geometry.type = 'Point'").select(
+        prop("fio", "name").alias("fio"),
+        prop("address").alias("address"),
+        at(1).alias("lat"),
+        at(0).alias("lng"),
+        F.coalesce(prop("case_type", "тип_дела"), F.lit("")).alias("case_type"),
+        prop("debt_amount", "сумма").try_cast("double").alias("debt_amount"),
+        (F.col("pos") + 1).cast("long").alias("row_number"),
+    )
     return points.filter(geo.valid_point(F.col("lat"), F.col("lng")))
 
 
@@ -201,12 +219,17 @@ def courts_csv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def law_rules_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Rules in file order; blank rows are dropped, and so are rules whose pattern is no regular expression."""
+    """Rules in the order of files and lines; blank rows are dropped, and so are rules whose pattern is no regular expression.
+
+    rule_order is the file's place by name and then the row's place in its file.
+    """
     schema = "section_num string, region string, area_text string, street_pattern string, house_from string, house_to string, house_parity string, house_suffix string, house_step string, law_reference string"
-    raw = spark.read.csv(path, header=True, sep=";", schema=schema)
+    raw = spark.read.csv(path, header=True, sep=";", schema=schema).withColumns({"file": F.col("_metadata.file_path"), "block": F.col("_metadata.file_block_start"), "nth": F.monotonically_increasing_id()})
     rules = raw.withColumns({c: text.whole_number(F.col(c)) for c in ("house_from", "house_to", "house_step")})
     filled = rules.filter(text.not_blank(F.col("street_pattern")) | text.not_blank(F.col("area_text")))
-    return valid_patterns(filled).withColumn("rule_order", F.monotonically_increasing_id())
+    # rules are a dimension of some thousands of rows, so one window over their order will do
+    order = F.row_number().over(Window.orderBy("file", "block", "nth"))
+    return valid_patterns(filled).withColumn("rule_order", (order - 1).cast("long")).drop("file", "block", "nth")
 
 
 def valid_patterns(rules: DataFrame) -> DataFrame:
@@ -226,11 +249,17 @@ def valid_patterns(rules: DataFrame) -> DataFrame:
     return rules.filter(compiles(F.coalesce("street_pattern", F.lit(""))))
 
 
-def positional_csv(spark: SparkSession, path: str, columns: dict[str, int], sep: str = ";") -> DataFrame:
-    """Columns by their place, without quotes and blanks around."""
-    lines = spark.read.text(path)
+def positional_csv(spark: SparkSession, path: str, columns: dict[str, int | list[int]], sep: str = ";") -> DataFrame:
+    """Columns by their place, without quotes and blanks around; of several places the filled ones, with a comma between (phones).
+
+    Files are decoded whole, by the first of ENCODINGS that fits.
+    """
+    content = spark.read.format("binaryFile").load(path).select(F.explode(F.split(decoded(F.col("content")), "\r?\n")).alias("value"))
+    lines = content.filter(text.not_blank(F.col("value")))
     parts = F.split("value", sep)
-    return lines.select(*[F.trim(F.replace(F.try_element_at(parts, F.lit(i + 1)), F.lit('"'), F.lit(""))).alias(n) for n, i in columns.items()])
+    at = lambda i: text.blank_to_null(F.replace(F.try_element_at(parts, F.lit(i + 1)), F.lit('"'), F.lit("")))
+    joined = {n: F.array_join(F.array_compact(F.array(*map(at, i))), ", ") if isinstance(i, list) else F.coalesce(at(i), F.lit("")) for n, i in columns.items()}
+    return lines.select(*[c.alias(n) for n, c in joined.items()])
 
 
 def contact_files(spark: SparkSession, path: str) -> DataFrame:
@@ -247,15 +276,39 @@ def contact_files(spark: SparkSession, path: str) -> DataFrame:
 
 def resource_tree(spark: SparkSession, nodes: DataFrame, root: int, deepest: int = 100) -> DataFrame:
     """id, parent, depth of all nodes under a root; nodes: id, parent."""
-    nodes.createOrReplaceTempView("_nodes")
     return spark.sql(
         f"""WITH RECURSIVE tree(id, parent, depth) AS (
-          SELECT id, parent, 0 FROM _nodes WHERE id = {int(root)}
-          UNION ALL SELECT n.id, n.parent, t.depth + 1 FROM _nodes n JOIN tree t ON n.parent = t.id WHERE t.depth < {int(deepest)})
-        SELECT * FROM tree"""
+          SELECT id, parent, 0 FROM {{nodes}} WHERE id = {int(root)}
+          UNION ALL SELECT n.id, n.parent, t.depth + 1 FROM {{nodes}} n JOIN tree t ON n.parent = t.id WHERE t.depth < {int(deepest)})
+        SELECT * FROM tree""",
+        nodes=nodes,
     )
 
 
+def seed_priority(spark: SparkSession, catalogue: str, dumps: str, schema: str, newest: int = 3) -> DataFrame:
+    """The named objects of a catalogue's file, else of the first that has any among the newest files under a pattern.
+
+    Files that are missing, unreadable or without named objects count as empty.
+    """
+    from pyspark.errors import AnalysisException
+
+    def files() -> list[str]:
+        try:
+            found = spark.read.format("binaryFile").load(dumps).select("path", "modificationTime")
+            return [catalogue, *(r.path for r in found.orderBy(F.desc("modificationTime"), "path").limit(newest).collect())]
+        except AnalysisException:
+            return [catalogue]
+
+    for path in files():
+        try:
+            named = json_list(spark, path, schema).filter(text.not_blank(F.col("name")))
+            if not named.isEmpty():
+                return named
+        except AnalysisException:
+            continue
+    return spark.createDataFrame([], schema)
+
+
 def unwrapped(response: Column) -> Column:
     """The items of an API's answer: a list, or what is under features, data, items or results."""
     v = F.try_parse_json(response)

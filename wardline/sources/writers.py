@@ -5,42 +5,59 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wardline.functions import grades
+from wardline.functions import grades, text
 
-# Columns of the payment format, and the columns that fill them.
+# Columns of the payment format, the columns that fill them, and what stands where nothing is known.
 PAYMENT = {
-    "Recipient": "recipient",
-    "INN": "inn",
-    "KPP": "kpp",
-    "BIK": "bik",
-    "Account": "account",
-    "TreasuryAccount": "treasury_account",
-    "KBK": "kbk",
-    "OKTMO": "oktmo",
-    "Amount": "amount",
-    "Payer": "fio",
+    "№ Договора": ("id", "contract_number"),
+    "Банк получателя": ("УФК",),
+    "БИК": ("БИК",),
+    "ИНН": ("ИНН",),
+    "КПП": ("КПП",),
+    "№ Счета": ("Счет",),
+    "Наименование получателя платежа": (),
+    "КБК": ("КБК",),
+    "ОКТМО": ("ОКТМО",),
+    "№ казначейского счета": ("treasury_account",),
 }
-DEFAULTS = {"kbk": "18210803010011050110", "recipient": "УФК"}
+PAYMENT_DEFAULTS = {"Наименование получателя платежа": "Казначейство России (ФНС России)", "КБК": "18210803010011050110"}
+# The kind of claim and what is enclosed with it.
+CLAIM_KIND = "взыскание задолженности по договору микрозайма"
+ATTACHMENTS = (
+    "Копия договора микрозайма",
+    "Расчёт задолженности",
+    "Копия требования (претензии) о погашении задолженности",
+    "Доказательства направления требования ответчику",
+    "Квитанция об оплате государственной пошлины",
+    "Доверенность представителя",
+    "Копия искового заявления для ответчика",
+)
+#: What marks a file as UTF-8 to spreadsheet programs.
+BYTE_ORDER_MARK = "\ufeff"
 SHEET_ROWS = 1_048_575
 
 
 def result_csv(df: DataFrame, path: str, columns: list[str]) -> None:
-    """The columns in order, missing ones and nulls empty."""
+    """The columns in order, missing ones and nulls empty; each file begins with a byte order mark and the header."""
     picked = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) if c in df.columns else F.lit("").alias(c) for c in columns]
-    df.select(*picked).write.mode("overwrite").csv(path, sep=";", header=True, emptyValue="")
+    marked = [picked[0].alias(BYTE_ORDER_MARK + columns[0]), *picked[1:]]
+    df.select(*marked).write.mode("overwrite").csv(path, sep=";", header=True, emptyValue="")
 
 
 def payment_rows(df: DataFrame) -> DataFrame:
-    def value(c):
-        have = F.col(c).cast("string") if c in df.columns else F.lit(None).cast("string")
-        return F.coalesce(have, F.lit(DEFAULTS.get(c, "")))
+    """The payment format's columns of result rows; the first filled of id and contract_number is the contract's number."""
 
-    return df.select(*[value(c).alias(name) for name, c in PAYMENT.items()])
+    def value(name: str, sources: tuple[str, ...]):
+        have = [text.blank_to_null(F.col(c).cast("string")) for c in sources if c in df.columns]
+        return F.coalesce(*have, F.lit(PAYMENT_DEFAULTS.get(name, "")))
+
+    return df.select(*[value(name, sources).alias(name) for name, sources in PAYMENT.items()])
 
 
 def error_rows(df: DataFrame) -> DataFrame:
     """Row number, address, label and advice of the rows with an error."""
-    return df.filter("status = 'ERROR'").select("row_id", "address", F.col("error_code").alias("label"), grades.advice(F.col("error_code")).alias("recommendation"))
+    code = F.col("error_code")
+    return df.filter("status = 'ERROR'").select("row_id", "address", grades.error_label(code).alias("label"), grades.advice(code).alias("recommendation"))
 
 
 def statistics(df: DataFrame) -> DataFrame:
@@ -48,8 +65,11 @@ def statistics(df: DataFrame) -> DataFrame:
 
 
 def coloured(df: DataFrame, grade: str) -> DataFrame:
-    g = F.col(grade)
-    return df.withColumn("color", F.when(g == "EXCELLENT", "C6EFCE").when(g == "GOOD", "E2EFDA").when(g == "FAIR", "FFEB9C").otherwise("FFC7CE"))
+    """df with the colour of each row's grade, that of the last one for any other."""
+    # Grades and their colours.
+    colours = {"PERFECT": "C6EFCE", "GOOD": "FFF2CC", "WARNING": "F4B084", "POOR": "FF9999", "MANUAL": "FFE6CC"}
+    named = F.create_map(*[F.lit(x) for pair in colours.items() for x in pair])
+    return df.withColumn("color", F.coalesce(F.try_element_at(named, F.col(grade)), F.lit(colours["MANUAL"])))
 
 
 def geojson_features(areas: DataFrame) -> DataFrame:
@@ -61,11 +81,53 @@ def geojson_features(areas: DataFrame) -> DataFrame:
 
 
 def claims(df: DataFrame) -> DataFrame:
-    """A claim's document as nested JSON for each row."""
-    who = F.struct(F.col("fio").alias("name"), "address")
-    court = F.struct(F.col("court_name").alias("name"), F.col("court_address").alias("address"))
-    money = F.struct(F.col("debt_amount").alias("debt"), grades.state_duty(F.col("debt_amount")).alias("duty"))
-    return df.select("row_id", F.to_json(F.struct(court.alias("court"), who.alias("debtor"), money.alias("amounts"))).alias("claim"))
+    """row_id and a claim's document as nested JSON; columns that are not there count as empty."""
+
+    def have(name: str, other=""):
+        return F.coalesce(F.col(name), F.lit(other).cast(dict(df.dtypes)[name])) if name in df.columns else F.lit(other)
+
+    amount = have("debt_amount", 0.0)
+    number = text.digits(have("passport"))
+    part = lambda **fields: F.struct(*[c.alias(n) for n, c in fields.items()])
+    claim = part(
+        court=part(name=have("court_name"), address=have("court_address"), index=have("court_index"), jurisdiction_type=have("jurisdiction_type"), gpk_article=have("gpk_article")),
+        plaintiff=part(name=have("plaintiff_name"), inn=have("plaintiff_inn"), address=have("plaintiff_address")),
+        defendant=part(
+            fio=have("fio"),
+            birth_date=have("birth_date"),
+            passport_series=F.when(F.length(number) >= 4, F.left(number, F.lit(4))).otherwise(""),
+            passport_number=F.when(F.length(number) >= 10, F.substring(number, 5, 6)).otherwise(""),
+            passport_issued_by=have("issued_by"),
+            passport_issue_date=have("passport_issue_date"),
+            address_registration=have("address"),
+            address_residence=F.coalesce(F.col("address_residence"), have("address")) if "address_residence" in df.columns else have("address"),
+        ),
+        claim=part(
+            claim_type=F.lit(CLAIM_KIND),
+            price=F.coalesce(F.col("price"), amount) if "price" in df.columns else amount,
+            principal_debt=F.coalesce(F.col("principal_debt"), amount) if "principal_debt" in df.columns else amount,
+            interest=have("interest", 0.0),
+            penalty=have("penalty", 0.0),
+            state_duty=F.col("state_duty") if "state_duty" in df.columns else grades.state_duty(amount),
+        ),
+        contract=part(
+            number=have("contract_number"),
+            date=have("contract_date"),
+            amount=amount,
+            term_to=have("contract_term_to"),
+            interest_rate=have("interest_rate", 0.0),
+            payment_schedule=have("payment_schedule"),
+            way_of_conclusion=have("way_of_conclusion", "дистанционно"),
+        ),
+        facts=part(
+            pretrial_order=part(is_required=have("pretrial_required", False), demand_sent=have("demand_sent", True), demand_date=have("demand_date"), demand_delivery_proof=have("demand_delivery_proof")),
+            default_date=have("default_date"),
+            calculation_period_from=have("calc_from"),
+            calculation_period_to=have("calc_to"),
+        ),
+        attachments=F.array(*map(F.lit, ATTACHMENTS)),
+    )
+    return df.select("row_id", F.to_json(claim).alias("claim"))
 
 
 def xlsx(sheets: dict[str, DataFrame], path: str) -> None:
