@@ -146,15 +146,57 @@ def test_near_finds_all_pairs_and_inner_balls():
     assert [int(x) for x in forest.settle()] == [w[2] for w in brute_components([(i, int(v)) for i, v in enumerate(values)], 2)]
 
 
-def test_simhash_dedup(spark):
+def brute_copies(items):
+    """Component of each (key, text): texts whose fingerprints lie within the radius and the bits."""
+    prints = [[f % (1 << 64) for f in simhash.fingerprints((t or "").encode(), simhash.COPY_SHINGLE, len(simhash.FURTHER))] for _, t in items]
+    root = list(range(len(items)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, a in enumerate(prints):
+        for j in range(i):
+            apart = [(x ^ y).bit_count() for x, y in zip(a, prints[j])]
+            if apart[0] == 0 or apart[0] <= simhash.COPY_RADIUS and sum(apart) <= simhash.COPY_BITS:
+                x, y = sorted((find(i), find(j)))
+                root[y] = x
+    return [find(i) for i in range(len(items))]
+
+
+@pytest.mark.parametrize("shard_rows", [1_000_000, 30])
+def test_simhash_dedup(spark, monkeypatch, shard_rows):
+    monkeypatch.setattr(simhash, "SHARD_ROWS", shard_rows)
     docs = clashing(spark.read.parquet(f"{DATA}/documents.parquet"))
-    ids = {r.component_id for r in simhash.clusters(docs).collect()}
+    items = sorted((r.doc_id, r.text) for r in docs.select("doc_id", "text").collect())
+    groups = defaultdict(list)
+    for (doc_id, _), root in zip(items, brute_copies(items)):
+        groups[root].append(doc_id)
     out = simhash.dedup(docs)
     assert out.columns == docs.columns
-    assert sorted(r.doc_id for r in out.collect()) == sorted(ids)
+    assert sorted(r.doc_id for r in out.collect()) == sorted(min(g) for g in groups.values())
     assert simhash.dedup(empty(spark)).count() == 0
 
 
+def test_near_copies_go_and_other_texts_stay(spark):
+    draw = random.Random(12)
+    words = [f"{a}{b}" for a in ("ka", "lo", "mi", "ne", "ru", "sa", "ti", "vo") for b in ("ban", "der", "fel", "gor", "hin", "jat", "kul", "lem", "mos", "nip")]
+    texts = [[draw.choice(words) for _ in range(draw.randint(80, 400))] for _ in range(120)]
+    table, close = [(i, " ".join(t)) for i, t in enumerate(texts)], []
+    for i, t in enumerate(texts):
+        copy = list(t)
+        for _ in range(max(1, len(copy) // 80)):
+            copy[draw.randrange(len(copy))] = draw.choice(words)
+        a, b = ({tuple(x[k : k + 5]) for k in range(len(x) - 4)} for x in (t, copy))
+        if len(a & b) / len(a | b) >= 0.85:
+            close.append(1000 + i)
+            table.append((1000 + i, " ".join(copy)))
+    left = {r.doc_id for r in simhash.dedup(spark.createDataFrame(table, "doc_id long, text string")).collect()}
+    assert set(range(120)) <= left and len(close) > 60
+    assert len(left & set(close)) <= 0.1 * len(close)
+
+
 def test_simhash_shards_by_vantage_points(spark, monkeypatch):
     monkeypatch.setattr(simhash, "SHARD_ROWS", 20)
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
