@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 #: ASCII white space, the only separators of words here.
 SPACE = rb" \t\n\x0b\x0c\r".decode("unicode_escape").encode()
 WORD = r"[^\x20\x09-\x0D]+"
-TEXT_ROWS = 1_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,14 +39,6 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def small_batches(df: DataFrame) -> DataFrame:
-    """df, after seeing to it that rows with whole texts go to Python in batches of at most TEXT_ROWS."""
-    spark, key = df.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= TEXT_ROWS:
-        spark.conf.set(key, str(TEXT_ROWS))
-    return df
-
-
 def pieces(batches: Iterable[pa.RecordBatch], rows: int = 400) -> Iterator[pa.RecordBatch]:
     """Batches in parts of few rows, so that whole texts are not all held as Python objects at once."""
     for batch in batches:

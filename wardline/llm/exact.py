@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, kept_rows, pieces, settle, small_batches
+from .common import SPACE, kept_rows, pieces, settle
 
 TRIE_BYTES = 32_000_000
 NODE_BYTES = 260
@@ -234,7 +234,7 @@ def decisions(docs: DataFrame) -> DataFrame:
     holds a group of copies.
     """
     text = F.coalesce("text", F.lit(""))
-    read = small_batches(docs).select(F.col("doc_id").cast("long"), F.char_length(text).cast("long").alias("n"), text.cast("binary").alias("text"), F.xxhash64("text").alias("text_hash"))
+    read = docs.select(F.col("doc_id").cast("long"), F.char_length(text).cast("long").alias("n"), text.cast("binary").alias("text"), F.xxhash64("text").alias("text_hash"))
     owners = (
         read.select("doc_id", "n", "text")
         .mapInArrow(_combine, _TEXTS)

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import combine, kept_rows, pieces, settle, small_batches
+from .common import combine, kept_rows, pieces, settle
 
 SHINGLE, SEED, RADIUS = 4, 42, 4
 #: For deduplication: words of a shingle, bits of 64 that candidates differ in, and bits of 256 that copies differ in.
@@ -287,7 +287,7 @@ def linked(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, bits:
     With bits, links are confirmed by all fingerprints.
     """
     more = [f"fp{i + 1}" for i in range(len(FURTHER))] if bits else []
-    read = small_batches(docs).select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
+    read = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
     rows = settle(read.mapInArrow(_fingerprints(shingle, len(more)), ", ".join(f"{c} long" for c in ("doc_id", "text_hash", "fp", *more))))
     first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
     each = settle(rows.groupBy("fp").agg(F.min(first).alias("least"), *([F.min(F.struct(*more)).alias("more")] if more else [])))

@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import combine, hash_words, pieces, settle, shared_folder, small_batches
+from .common import combine, hash_words, pieces, settle, shared_folder
 
 WINDOW, ANCHOR = 20, 12
 #: One word run in so many ends a stretch.
@@ -383,7 +383,7 @@ def dedup(docs: DataFrame, batches: int = BATCHES, filtered: bool = True, index:
     """
     spark = docs.sparkSession
     place = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))
-    read = small_batches(docs).select(place.alias("place"), F.xxhash64(place, F.col("text").cast("binary")).alias("doc"), F.col("text").cast("binary").alias("text"), F.col("doc_id").cast("long").alias("doc_id"))
+    read = docs.select(place.alias("place"), F.xxhash64(place, F.col("text").cast("binary")).alias("doc"), F.col("text").cast("binary").alias("text"), F.col("doc_id").cast("long").alias("doc_id"))
     low, high = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
     low, high = low or 0, high or 0
     own = index or FingerprintIndex(spark, f"{shared_folder(spark)}/index-{uuid.uuid4().hex}")

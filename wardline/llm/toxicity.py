@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import crc_of_id, fresh, settle, small_batches
+from .common import crc_of_id, fresh, settle
 
 ORDERS = (3, 4, 5)
 FEATURE_BITS = 19
@@ -123,7 +123,7 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, fit_byte
     order = [F.xxhash64(F.lit(3), F.col("doc_id")), F.col("doc_id")]
     picked = known.filter("toxic = 1").orderBy(*order).limit(half).union(known.filter("toxic = 0").orderBy(*order).limit(half))
     picked = F.broadcast(picked)  # fit_rows rows at most
-    wanted = small_batches(docs).join(picked, "doc_id").select("doc_id", "toxic", F.xxhash64("text").alias("hash"), F.col("text").cast("binary").alias("text"))
+    wanted = docs.join(picked, "doc_id").select("doc_id", "toxic", F.xxhash64("text").alias("hash"), F.col("text").cast("binary").alias("text"))
     # the lengths of so many rows, without the texts, show where the bytes run out
     sizes = wanted.select("doc_id", "hash", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("size")).orderBy(*order, "hash").limit(fit_rows)
     upto = F.sum("size").over(Window.orderBy(*order, "hash").rowsBetween(Window.unboundedPreceding, 0))
