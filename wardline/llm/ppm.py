@@ -261,8 +261,8 @@ def scores(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     pairs = spark.sparkContext.broadcast(table)
     by_block = dealt.groupBy("block")
 
-    word_asked = by_block.applyInArrow(_ask_words, "block int, word binary, n long").filter("word IS NOT NULL").repartition("word")
-    # a common word has a row in each block: they are summed up and answered as a stream, never gathered
+    word_asked = by_block.applyInArrow(_ask_words, "block int, word binary, n long").filter("word IS NOT NULL AND n IS NOT NULL").repartition("word")
+    # a common word has a row in each block: they are summed up and answered as a stream, never gathered, and dealt once
     totals = word_asked.groupBy("word").agg(F.sum("n").alias("all"), F.min(F.when(F.col("n") > 0, F.col("block"))).alias("least"))
     words = word_asked.join(totals, "word").filter("all != n")
     words = words.select("block", "word", F.lit(None).cast("long").alias("string"), F.col("all").cast("double").alias("value"), (F.col("least") == F.col("block")).alias("first"))
