@@ -39,9 +39,10 @@ def digests(text: str) -> Column:
     return F.expr(f"array_distinct(transform(flatten({parts}), paragraph -> xxhash64(paragraph)))")
 
 
-def _place(h: str, cell: str) -> str:
-    """Whether a key of hash h is in the cell."""
-    return f"(shiftrightunsigned({h}, int({cell} / {WIDTH}) * 8) & {WIDTH - 1}) = {cell} % {WIDTH}"
+def _hashed(key: str, level: str, more: str = "") -> str:
+    """struct(key, h, and its cell in each subtable c0, c1, c2)."""
+    cells = ", ".join(f"'c{i}', int(shiftrightunsigned(h, {8 * i}) & {WIDTH - 1}) + {WIDTH * i}" for i in range(SUBTABLES))
+    return f"element_at(transform(array(xxhash64({key}, {level})), h -> named_struct({more}'key', {key}, 'h', h, {cells})), 1)"
 
 
 def _add(cell: str, n: str, key: str, h: str) -> str:
@@ -50,9 +51,9 @@ def _add(cell: str, n: str, key: str, h: str) -> str:
 
 def _sketch(keys: str, level: str) -> str:
     """Cells of an array of keys; hashes differ by level."""
-    hashed = f"transform({keys}, k -> named_struct('k', k, 'h', xxhash64(k, {level})))"
-    filled = f"aggregate(filter(hs, x -> {_place('x.h', 'i')}), {_ZERO}, (c, x) -> {_add('c', '1', 'x.k', 'x.h')})"
-    return f"element_at(transform(array({hashed}), hs -> transform(sequence(0, {CELLS - 1}), i -> {filled})), 1)"
+    hashed = f"transform({keys}, k -> {_hashed('k', level)})"
+    table = lambda t: f"transform(sequence({WIDTH * t}, {WIDTH * t + WIDTH - 1}), i -> aggregate(filter(hs, x -> x.c{t} = i), {_ZERO}, (c, x) -> {_add('c', '1', 'x.key', 'x.h')}))"
+    return f"element_at(transform(array({hashed}), hs -> concat({', '.join(table(t) for t in range(SUBTABLES))})), 1)"
 
 
 _NONE = "named_struct('mine', cast(array() AS array<bigint>), 'others', cast(array() AS array<bigint>))"
@@ -65,8 +66,8 @@ def _side(named: str, n: int) -> str:
 def _peel(cells: str, level: str) -> str:
     """Peel subtracted cells: struct(cells, found: the keys recovered of either side, done)."""
     pure = f"filter(s.cells, c -> abs(c.n) = 1 AND c.check = shiftrightunsigned(xxhash64(c.key, {level}), 32))"
-    named = f"array_distinct(transform({pure}, c -> named_struct('n', c.n, 'key', c.key, 'h', xxhash64(c.key, {level}))))"
-    rest = f"transform(s.cells, (c, i) -> aggregate(filter(p, x -> {_place('x.h', 'i')}), c, (c2, x) -> {_add('c2', '-x.n', 'x.key', 'x.h')}))"
+    named = "array_distinct(transform({}, c -> {}))".format(pure, _hashed("c.key", level, "'n', c.n, "))
+    rest = f"transform(s.cells, (c, i) -> aggregate(filter(p, x -> x.c0 = i OR x.c1 = i OR x.c2 = i), c, (c2, x) -> {_add('c2', '-x.n', 'x.key', 'x.h')}))"
     more = f"named_struct('mine', concat(s.found.mine, {_side('p', 1)}), 'others', concat(s.found.others, {_side('p', -1)}))"
     step = f"element_at(transform(array({named}), p -> if(size(p) = 0, named_struct('cells', s.cells, 'found', s.found, 'done', true), named_struct('cells', {rest}, 'found', {more}, 'done', false))), 1)"
     start = f"named_struct('cells', {cells}, 'found', {_NONE}, 'done', false)"
@@ -163,8 +164,9 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     joined = texts.join(sent, ["id", "th"])
     edited = joined.withColumn("n_chars", F.char_length("text").cast("long")).withColumn("edited", F.expr("concat(left(text, int(n_chars) - cut), begin)"))
     sets = edited.select(F.nullif("id", no_id).alias("doc_id"), "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), digests("text").alias("own"), digests("edited").alias("other"), "next")
-    cells = sets.withColumns({c: F.expr(_sketch(k, "0")) for c, k in (("own_cells", "own"), ("other_cells", "other"), ("next_cells", "next"))})
-    apart = cells.withColumns({"apart_edited": difference("own", "other", "own_cells", "other_cells"), "apart_next": difference("own", "next", "own_cells", "next_cells")})
+    cells = sets.withColumns({c: F.expr(_sketch(k, "0")) for c, k in (("own_cells", "own"), ("other_cells", "other"))})
+    # the next document's smallest sketch is made only where so small a difference is expected
+    apart = cells.withColumns({"apart_edited": difference("own", "other", "own_cells", "other_cells"), "apart_next": difference("own", "next", "own_cells", _sketch("next", "0"))})
     differ = lambda c: F.size(f"{c}.mine") + F.size(f"{c}.others")
     return apart.select(
         "doc_id",
