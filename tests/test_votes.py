@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from wardline.operators import resolve, votes
+from wardline.operators import resolve, tables, votes
 
 N1, N2, N3 = (f"Мировой судебный участок №{i}" for i in (1, 2, 3))
 CASES = [
@@ -73,3 +73,12 @@ def test_geocoders_weigh_as_they_are_marked(spark):
     table = spark.createDataFrame([(1, "Yandex", 1, 55.0, 37.0, "city"), (1, "nominatim", 2, 55.0005, 37.0, "exact")], "row_id int, source string, pos int, lat double, lon double, confidence string")
     r = resolve.geocode_consensus(table).first()
     assert r.agree and abs(r.lat - (55.0 * 1.0 + 55.0005 * 0.7) / 1.7) < 1e-12
+
+
+def test_cache_prefixes_and_null_keys(spark):
+    cache = spark.createDataFrame([("a:1",), ("b:1",), (None,)], "key string")
+    assert sorted(str(r.key) for r in tables.drop_prefix(cache, "a:").collect()) == ["None", "b:1"]
+    old = spark.createDataFrame([(1, 5, "x"), (None, 6, "y")], "k int, bal int, seg string")
+    new = spark.createDataFrame([(None, None, "z"), (1, None, None)], "k int, bal int, seg string")
+    got = sorted(map(str, map(tuple, tables.upsert_partial(old, new, "k", ["bal"]).collect())))
+    assert got == sorted(map(str, [(1, 5, None), (None, 6, "y"), (None, None, "z")]))

@@ -71,31 +71,29 @@ AREAS = ["Московская", "Ленинградская", "Нижегоро
 NAME = r"[А-Яа-яёЁ\-]+"
 
 
-def _lookup(c: Column, names: dict[str, str], other: Column) -> Column:
-    out = None
-    for key, name in names.items():
-        out = F.when(F.lower(c) == key, name) if out is None else out.when(F.lower(c) == key, name)
-    return out.otherwise(other)
+def _named(c: Column, names: dict[str, str], other: Column) -> Column:
+    """The full name under a word in any case, else other."""
+    if not names:
+        return other
+    known = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
+    return F.coalesce(F.try_element_at(known, F.lower(F.regexp_replace(c, r"\s+", " "))), other)
 
 
 def region_of(c: Column) -> Column:
     """The region that an address names, in its full form; null if it names none."""
     has = lambda pattern: F.regexp_like(c, F.lit(f"(?iuU){pattern}"))
     part = lambda pattern: text.first_group(c, f"(?iuU){pattern}")
-    before_republic = part(rf"\b({NAME}(?:\s*эл|\s*\(якутия\))?)\s+респ(?:ублика)?\b")
-    after_republic = part(rf"\bреспублика\s+({NAME})")
-    land, district = part(rf"\b({NAME})\s+край\b"), part(rf"\b({NAME})(?:\s*\(?\s*югра\s*\)?)?\s+ао\b")
-    area = part(rf"\b({NAME})\s+обл(?:асть|\.|\b)")
-    called = lambda c, names: _lookup(F.regexp_replace(c, r"\s+", " "), {n.lower(): n for n in names}, c)
-    before_republic, land, area = called(before_republic, REPUBLICS), called(land, LANDS), called(area, AREAS)
+    republics = {n.lower(): f"Республика {n}" for n in REPUBLICS} | REPUBLIC_NAMES
+    lands, areas = {n.lower(): f"{n} край" for n in LANDS}, {n.lower(): f"{n} область" for n in AREAS}
+    full = lambda pattern, names, before, after: text.let(part(pattern), lambda x: _named(x, names, F.concat(F.lit(before), x, F.lit(after))))
     return F.coalesce(
         F.when(has(r"\bмосква\b(?!\s+обл)"), "Москва"),
         F.when(has(r"\b(?:санкт-петербург|спб|петербург)\b(?!\s+обл)"), "Санкт-Петербург"),
-        F.when(before_republic.isNotNull(), _lookup(before_republic, REPUBLIC_NAMES, F.concat(F.lit("Республика "), before_republic))),
-        F.when(after_republic.isNotNull(), F.concat(F.lit("Республика "), after_republic)),
-        F.when(land.isNotNull(), F.concat(land, F.lit(" край"))),
-        F.when(district.isNotNull(), _lookup(district, DISTRICT_NAMES, F.concat(district, F.lit(" АО")))),
-        F.when(area.isNotNull(), F.concat(area, F.lit(" область"))),
+        full(rf"\b({NAME}(?:\s*эл|\s*\(якутия\))?)\s+респ(?:ублика)?\b", republics, "Республика ", ""),
+        full(rf"\bреспублика\s+({NAME})", {}, "Республика ", ""),
+        full(rf"\b({NAME})\s+край\b", lands, "", " край"),
+        full(rf"\b({NAME})(?:\s*\(?\s*югра\s*\)?)?\s+ао\b", DISTRICT_NAMES, "", " АО"),
+        full(rf"\b({NAME})\s+обл(?:асть|\.|\b)", areas, "", " область"),
     )
 
 
@@ -105,11 +103,9 @@ def region_of_city(c: Column, mode: str = "fixed") -> Column:
     In mode 'compat' a city's name also counts inside another word, so Томск is found as
     Омск; 'fixed' wants it to begin there.
     """
-    out, low = None, F.lower(c)
-    for city, region in CITY_REGIONS.items():
-        found = F.contains(low, F.lit(city)) if mode == "compat" else F.regexp_like(low, F.lit(rf"(?<![а-яё]){city}"))
-        out = F.when(found, region) if out is None else out.when(found, region)
-    return out
+    cities = F.array(*[F.struct(F.lit(city).alias("city"), F.lit(region).alias("region")) for city, region in CITY_REGIONS.items()])
+    found = lambda low, x: F.contains(low, x["city"]) if mode == "compat" else F.regexp_like(low, F.concat(F.lit("(?<![а-яё])"), x["city"]))
+    return text.let(F.lower(c), lambda low: F.get(F.filter(cities, lambda x: found(low, x)), F.lit(0))["region"])
 
 
 def district_of(c: Column) -> Column:
@@ -130,14 +126,11 @@ def district_of(c: Column) -> Column:
 
 def parse(c: Column, mode: str = "fixed") -> Column:
     """struct(raw, normalized, region, district, street, house)."""
-    normal = text.normalize_address(c, mode)
-    return F.struct(
-        c.alias("raw"),
-        normal.alias("normalized"),
-        F.coalesce(region_of(c), region_of_city(c, mode)).alias("region"),
-        district_of(c).alias("district"),
-        text.street_of(normal).alias("street"),
-        text.house_of(normal, mode)["num"].cast("string").alias("house"),
+    region = F.coalesce(region_of(c), region_of_city(c, mode))
+    both = lambda normal: F.struct(normal.alias("normalized"), text.street_of(normal).alias("street"), text.house_of(normal, mode)["num"].cast("string").alias("house"))
+    return text.let(
+        text.let(text.normalize_address(c, mode), both),
+        lambda n: F.struct(c.alias("raw"), n["normalized"].alias("normalized"), region.alias("region"), district_of(c).alias("district"), n["street"].alias("street"), n["house"].alias("house")),
     )
 
 

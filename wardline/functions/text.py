@@ -49,6 +49,11 @@ STOP_WORDS = ["г", "дом", "д", "обл", "край", "респ", "горо
 REGION_WORDS = ["область", "республика", "автономная", "округ", "федерации", "край", "края", "округа"]
 
 
+def let(c: Column, f) -> Column:
+    """f of a column that is worked out once, however often f uses it."""
+    return F.get(F.transform(F.array(c), f), F.lit(0))
+
+
 def blank_to_null(c: Column) -> Column:
     return F.nullif(F.trim(c), F.lit(""))
 
@@ -197,10 +202,10 @@ def house_of(c: Column, mode: str = "fixed") -> Column:
     alone = r"(?iuU)(?<!\d)(\d{1,4})(?!\d)([а-яa-z\-]*)"
     patterns = [any_] if mode == "compat" else [marked, alone]
 
-    def pick(group: int) -> Column:
-        return F.coalesce(*[F.when(F.regexp_like(c, F.lit(p)), F.regexp_extract(c, p, group)) for p in patterns])
-
-    return F.struct(pick(1).try_cast("int").alias("num"), F.nullif(F.lower(F.trim(pick(2))), F.lit("")).alias("suffix"))
+    # the first pattern that is met, and its match taken apart
+    found = lambda x: F.coalesce(*[F.nullif(F.regexp_extract(x, p, 0), F.lit("")) for p in patterns])
+    number = r"(?iuU)(\d{1,4})([а-яa-z\-]*)$"
+    return let(let(c, found), lambda m: F.struct(F.regexp_extract(m, number, 1).try_cast("int").alias("num"), F.nullif(F.lower(F.trim(F.regexp_extract(m, number, 2))), F.lit("")).alias("suffix")))
 
 
 def search_tokens(*parts: Column, most: int = 16) -> Column:

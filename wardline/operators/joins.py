@@ -126,15 +126,17 @@ def with_any(rows: DataFrame, columns: list[str], tokens: list[str]) -> DataFram
 def points_in_rings(points: DataFrame, areas: DataFrame, size: float = 0.25) -> DataFrame:
     """point_id, lat, lon x area_id, ring -> point_id, area_id, border_m: areas that hold a point.
 
-    Both sides are dealt to grid cells of size degrees, an area to all cells of its
-    bounding box, and joined on the cell; the box and the ring then decide.
+    Both sides are dealt to grid cells of size degrees, an area's box to all cells that it
+    meets, and joined on the cell; points in the box then meet the ring itself, which is
+    not copied into the cells.
     """
-    boxed = areas.withColumn("box", geo.bounds(F.col("ring")))
+    boxed = areas.withColumn("box", geo.bounds(F.col("ring"))).select("area_id", "box")
     tiled = boxed.withColumn("cx", F.explode(geo.cells_between(F.col("box.x1"), F.col("box.x2"), size))).withColumn("cy", F.explode(geo.cells_between(F.col("box.y1"), F.col("box.y2"), size)))
     dealt = points.filter(geo.valid_point(F.col("lat"), F.col("lon"))).withColumns({"cx": geo.cell(F.col("lon"), size), "cy": geo.cell(F.col("lat"), size)})
     inside = F.col("lon").between(F.col("box.x1"), F.col("box.x2")) & F.col("lat").between(F.col("box.y1"), F.col("box.y2"))
-    hits = dealt.join(tiled, ["cx", "cy"]).filter(inside).filter(geo.in_ring(F.col("ring"), F.col("lon"), F.col("lat")))
-    return hits.withColumn("border_m", geo.border_metres(F.col("ring"), F.col("lon"), F.col("lat"))).drop("cx", "cy", "box", "ring")
+    close = dealt.join(tiled, ["cx", "cy"]).filter(inside).drop("cx", "cy", "box")
+    hits = close.join(areas, "area_id").filter(geo.in_ring(F.col("ring"), F.col("lon"), F.col("lat")))
+    return hits.withColumn("border_m", geo.border_metres(F.col("ring"), F.col("lon"), F.col("lat"))).drop("ring")
 
 
 def nearest(points: DataFrame, places: DataFrame, radius_km: float = 5.0, top: int | None = 1) -> DataFrame:

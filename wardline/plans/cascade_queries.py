@@ -183,3 +183,15 @@ def q_membership(t: Tables) -> DataFrame:
     said = F.when(k % 5 == 0, F.upper(name)).when(k % 5 == 1, F.concat(F.lit("x № "), (k % 40).cast("string"))).when(k % 5 == 2, F.left(name, F.lit(4))).when(k % 5 == 3, F.concat(F.lit("the  "), name, F.lit(" court"))).otherwise(" ")
     names = t.customer.join(joins.dimension(t.nation), F.col("c_nationkey") == F.col("n_nationkey")).select(k.alias("row_id"), said.alias("name"))
     return joins.known_names(names, t.nation.filter("n_nationkey < 20").select(F.col("n_name").alias("court_name"), F.col("n_nationkey").alias("section_num"))).select("row_id", "known")
+
+
+@query("SELECT c_custkey AS row_id, [1, 2, 3, 4, NULL, NULL][c_custkey % 6 + 1]::VARCHAR AS section_num, CASE WHEN c_custkey % 6 < 4 THEN 'law_rules_nlp_fuzzy' END AS source FROM customer")
+def q_rule_lemmas(t: Tables) -> DataFrame:
+    """Rules met by the lemmas of an address where no pattern is: equal words, or four letters that words begin with."""
+    k = F.col("c_custkey") % 6
+    lemmas = F.element_at(F.array(*[F.array(*map(F.lit, x)) for x in (["улица", "октябрьский"], ["садовый", "большой"], ["мир"], ["лесной"], ["река"], [])]), (k + 1).cast("int"))
+    addresses = t.customer.select(F.col("c_custkey").alias("row_id"), F.lit("без улицы").alias("address"), lemmas.alias("lemmas"))
+    none, patterns = None, ["Октябрьская", "Большая Садовая", "Мир", "Лесная|x", "лесн"]
+    rules = [(i, str(i + 1 if i < 3 else 4), "", none, p, none, none, none, none, none) for i, p in enumerate(patterns)]
+    table = t.spark.createDataFrame(rules, "rule_order int, section_num string, region string, area_text string, street_pattern string, house_from int, house_to int, house_parity string, house_suffix string, house_step int")
+    return joins.rule_match(addresses, table).select("row_id", "section_num", "source")

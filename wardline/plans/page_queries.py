@@ -11,22 +11,51 @@ from wardline.sources import readers
 from . import batch
 from .registry import Tables, query
 
-# Words in a label and the field that it names.
-LABELS = [("адрес", "address"), ("address", "address"), ("тел", "phone"), ("phone", "phone"), ("mail", "email"), ("режим", "schedule"), ("hours", "schedule"), ("судья", "judge"), ("judge", "judge")]
+# Words in a label, by which its row belongs to the payment details, the court above or the bailiffs.
+REQUISITES = ("инн", "кпп", "октмо", "бик", "уфк", "кбк", "р/с", "р/c", "рс ", "расчётный", "расчетный", "получатель", "госпошлин", "реквизит для оплаты", "реквизиты для оплаты")
+SUPERIOR = ("вышестоящ", "районный суд", "городской суд")
+BAILIFFS = ("отдел судебных пристав", "отдела судебных пристав", "фссп", "приставов по")
+# Words in a label and the field that it names, the first that is found.
+PAYMENT_FIELDS = [("инн", "inn"), ("кпп", "kpp"), ("октмо", "oktmo"), ("бик", "bik"), ("кбк", "kbk"), ("уфк", "ufk_name"), ("р/с", "bank_account"), ("р/c", "bank_account"), ("расчет", "bank_account"), ("получатель", "recipient"), ("банк", "bank_name"), ("госпошлин", "state_fee_note")]
+FIELDS = [("наименование", "name"), ("адрес", "address"), ("телефон", "phone"), ("тел.", "phone"), ("e-mail", "email"), ("email", "email"), ("эл.", "email"), ("сайт", "website"), ("режим", "schedule"), ("график", "schedule"), ("судья", "judge")]
+# What marks lines of a page as an address or opening hours, and the text on a section's borders.
+ADDRESS_HINTS = ("г.", "ул.", "улица", "пр.", "просп", "д.", "дом", "стр", "корп", "пл.", "площадь", "ш.", "шоссе", "пер.")
+SCHEDULE_HINTS = ("график", "прием", "приём", "часы", "режим", "время работы")
+BORDER_HINT, BEFORE, AFTER = "границ", 80, 200
 
 
-def label_field(c):
-    out = None
-    for word, name in LABELS:
-        found = F.contains(F.lower(c), F.lit(word))
-        out = F.when(found, name) if out is None else out.when(found, name)
-    return out.otherwise("other")
+def _any_of(c, words):
+    return F.regexp_like(c, F.lit("|".join(w.replace(".", r"\.").replace("/", r"\/") for w in words)))
+
+
+def label_category(c):
+    """court, superior, fssp or requisites, and superior_req or fssp_req for the payment details of these."""
+    low = F.lower(c)
+    above, bailiffs = _any_of(low, ("вышестоящ", "вышест")), _any_of(low, ("пристав", "осп", "фссп"))
+    details = F.when(above, "superior_req").when(bailiffs, "fssp_req").otherwise("requisites")
+    return F.when(_any_of(low, REQUISITES), details).when(_any_of(low, SUPERIOR), "superior").when(_any_of(low, BAILIFFS) | F.regexp_like(low, F.lit("^осп[ ,]")), "fssp").otherwise("court")
+
+
+def label_field(c, category):
+    low = F.translate(F.lower(c), "ё", "е")
+
+    def first(fields, other):
+        out = None
+        for word, name in fields:
+            found = F.contains(low, F.lit(word))
+            out = F.when(found, name) if out is None else out.when(found, name)
+        return out.otherwise(other)
+
+    extra = F.concat(F.lit("extra_"), F.regexp_replace(F.regexp_replace(F.left(low, F.lit(40)), r"(?U)\W+", "_"), "^_+|_+$", ""))
+    return F.when(F.endswith(category, F.lit("req")) | (category == "requisites"), first(PAYMENT_FIELDS, extra)).otherwise(first(FIELDS, F.lit("notes")))
 
 
 def key_values(pages: DataFrame, key: str, html: str) -> DataFrame:
-    """key, field, value of the first two cells of each table row."""
+    """key, category, field, value of the first two cells of each table row that has both."""
     rows = readers.html_rows(pages, key, html).filter("size(cells) >= 2")
-    return rows.select("key", "row", label_field(F.col("cells")[0]).alias("field"), F.col("cells")[1].alias("value"))
+    filled = rows.select("key", "row", F.col("cells")[0].alias("label"), F.col("cells")[1].alias("value")).filter("label <> '' AND value <> ''")
+    sorted_out = filled.withColumn("category", label_category(F.col("label")))
+    return sorted_out.select("key", "row", "category", label_field(F.col("label"), F.col("category")).alias("field"), "value")
 
 
 def section_status(pages: DataFrame, key: str, html: str, heading: str = r"(?iuU)территориальн\w+ подсудност|jurisdiction") -> DataFrame:
@@ -46,12 +75,32 @@ def section_status(pages: DataFrame, key: str, html: str, heading: str = r"(?iuU
 
 
 def contacts(pages: DataFrame, key: str, html: str) -> DataFrame:
-    """key, email, phone, address (the longest line that looks like one) of a page's text."""
+    """key, email, phone, address, schedule, section_numbers, snippet of a page's text.
+
+    The address is the longest line that says so, else the longest that looks like one;
+    the snippet is the text around the first word on borders.
+    """
     t = pages.select(F.col(key).alias("key"), readers.html_text(html).alias("text"))
-    phone = F.regexp_replace(F.regexp_extract("text", r"(?:\+7|8)[\s(\-]*\d{3,5}[\s)\-]*\d{1,3}[\s\-]*\d{2}[\s\-]*\d{2}", 0), r"\D", "")
-    lines = F.filter(F.split("text", "\n"), lambda x: F.regexp_like(x, F.lit(r"(?iu)\b(?:ул\.|улица|пр-кт|проспект|street)\b")))
-    longest = F.array_max(F.transform(lines, lambda x, i: F.struct(F.length(x).alias("n"), F.negative(i).alias("i"), x.alias("line"))))["line"]
-    return t.select("key", text.first_group(F.col("text"), r"([\w.+-]+@[\w-]+\.[\w.]+)").alias("email"), F.when(phone != "", F.concat(F.lit("+7"), F.right(phone, F.lit(10)))).alias("phone"), longest.alias("address"))
+    flat = F.regexp_replace("text", r"\s+", " ")
+    phone = r"(?:\+7|8)[^\d]{0,3}(\d{3})[^\d]{0,3}(\d{3})[^\d]{0,3}(\d{2})[^\d]{0,3}(\d{2})"
+    digits = F.regexp_replace(F.regexp_extract(flat, phone, 0), r"\D", "")
+    lines = F.split("text", "\n")
+    longest = lambda those: F.array_max(F.transform(those, lambda x, i: F.struct(F.length(x).alias("n"), F.negative(i).alias("i"), x.alias("line"))))["line"]
+    named = F.filter(lines, lambda x: F.contains(F.lower(x), F.lit("адрес")) & (F.length(x) > 15))
+    alike = F.filter(lines, lambda x: _any_of(F.lower(x), ADDRESS_HINTS) & (F.length(x) > 15))
+    hours = F.filter(lines, lambda x: _any_of(F.lower(x), SCHEDULE_HINTS))
+    at = F.instr(F.lower(flat), BORDER_HINT)
+    begin = F.greatest(F.lit(1), at - BEFORE)
+    snippet = F.when(at > 0, F.trim(F.substr(flat, begin, at + AFTER - begin)))
+    return t.select(
+        "key",
+        F.nullif(F.regexp_extract(flat, r"(?i)[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}", 0), F.lit("")).alias("email"),
+        F.when(digits != "", F.concat(F.lit("+7"), F.right(digits, F.lit(10)))).alias("phone"),
+        F.coalesce(longest(named), longest(alike)).alias("address"),
+        longest(hours).alias("schedule"),
+        text.sorted_matches(flat, r"(?iu)(?:участк[а-я]*|миров[а-я\s]+суд[а-я]*).*?(\d{1,3})").alias("section_numbers"),
+        snippet.alias("snippet"),
+    )
 
 
 @query(
@@ -69,7 +118,7 @@ def q_html_status(t: Tables) -> DataFrame:
 
 @query(
     """SELECT page_id, 'court' || page_id::VARCHAR || '@mail.example' AS email, CASE WHEN page_id % 3 <> 0 THEN '+7831' || lpad((page_id % 10000000)::VARCHAR, 7, '0') END AS phone,
-  CASE WHEN page_id % 2 = 0 THEN 'г. Город, улица Мира, дом ' || page_id::VARCHAR END AS address FROM pages"""
+  CASE WHEN page_id % 2 = 0 THEN 'г. Город, улица Мира, дом ' || page_id::VARCHAR END AS address, 'Режим: 9-18' AS schedule, '12' AS section_numbers, CASE WHEN page_id % 5 = 0 THEN 'В границах улиц' END AS snippet FROM pages"""
 )
 def q_html_contacts(t: Tables) -> DataFrame:
     """E-mail, phone and the longest address line of pages with a contact block put into them."""
@@ -79,20 +128,24 @@ def q_html_contacts(t: Tables) -> DataFrame:
         F.lit("<div>court"), k.cast("string"), F.lit("@mail.example</div>"),
         F.when(k % 3 != 0, F.concat(F.lit("<p>Тел. 8 (831) "), F.left(phone, F.lit(3)), F.lit("-"), F.substring(phone, 4, 2), F.lit("-"), F.right(phone, F.lit(2)), F.lit("</p>"))).otherwise(""),
         F.when(k % 2 == 0, F.concat(F.lit("<p>ул. Мира</p><p>г. Город, улица Мира, дом "), k.cast("string"), F.lit("</p>"))).otherwise(""),
+        F.lit("<p>Режим: 9-18</p><p>участка 12</p>"), F.repeat(F.lit("<p>xxxxxxxxx</p>"), 9), F.when(k % 5 == 0, "<p>В границах улиц</p>").otherwise(""),
     )
     found = contacts(t.pages.select("page_id", block.alias("html")), "page_id", "html")
-    return found.select(F.col("key").alias("page_id"), "email", "phone", "address")
+    short = F.right("snippet", F.length(F.lit("В границах улиц")))  # after 80 characters of what stands before
+    return found.select(F.col("key").alias("page_id"), "email", "phone", "address", "schedule", F.array_join("section_numbers", ",").alias("section_numbers"), short.alias("snippet"))
 
 
 @query(
-    """SELECT page_id, unnest(['address', 'phone', 'schedule', 'other']) AS field, unnest(['ул. Мира, ' || page_id::VARCHAR, page_id::VARCHAR, '9-18', 'x']) AS value FROM pages"""
+    """SELECT page_id, unnest(['court', 'court', 'court', 'requisites', 'superior', 'fssp', 'superior_req', 'requisites', 'court']) AS category, unnest(['address', 'phone', 'schedule', 'inn', 'address', 'name', 'bik', 'bank_account', 'notes']) AS field,
+  unnest(['ул. Мира, ' || page_id::VARCHAR, page_id::VARCHAR, '9-18', '52', 'A', 'B', '04', '40', 'x']) AS value FROM pages"""
 )
 def q_html_kv(t: Tables) -> DataFrame:
-    """Labelled cells of tables put into pages."""
+    """Labelled cells of tables put into pages, by what they belong to."""
     k = F.col("page_id").cast("string")
     cells = lambda label, value: F.concat(F.lit(f"<tr><td>{label}</td><td>"), value, F.lit("</td><td>more</td></tr>"))
-    page = F.concat(F.lit("<table>"), cells("Адрес суда", F.concat(F.lit("ул. Мира, "), k)), cells("Телефон:", k), cells("Режим работы", F.lit("9-18")), cells("Прочее", F.lit("x")), F.lit("<tr><td>alone</td></tr></table>"))
-    return key_values(t.pages.select("page_id", page.alias("html")), "page_id", "html").select(F.col("key").alias("page_id"), "field", "value")
+    labels = [("Адрес суда", F.concat(F.lit("ул. Мира, "), k)), ("Телефон:", k), ("Режим работы", "9-18"), ("ИНН", "52"), ("Адрес вышестоящего суда", "A"), ("Наименование отдела судебных приставов", "B"), ("БИК вышестоящего суда", "04"), ("Расчётный счёт", "40"), ("Прочее", "x"), ("Пусто", " ")]
+    page = F.concat(F.lit("<table>"), *[cells(n, v if not isinstance(v, str) else F.lit(v)) for n, v in labels], F.lit("<tr><td>alone</td></tr></table>"))
+    return key_values(t.pages.select("page_id", page.alias("html")), "page_id", "html").select(F.col("key").alias("page_id"), "category", "field", "value")
 
 
 @query(
