@@ -114,8 +114,9 @@ def log_probs(strings: np.ndarray, counts: np.ndarray, pairs: np.ndarray) -> np.
 
 
 def _texts(part: pa.Table) -> Iterator[tuple[int | None, bool, list[bytes]]]:
-    for doc_id, held_out, text in zip(*(part.column(c).to_pylist() for c in ("doc_id", "held_out", "text"))):
-        yield doc_id, held_out, words_of(text)
+    for some in part.select(["doc_id", "held_out", "text"]).to_batches(max_chunksize=500):
+        for doc_id, held_out, text in zip(*(c.to_pylist() for c in some.columns)):
+            yield doc_id, held_out, words_of(text)
 
 
 def _count_words(part: pa.Table) -> tuple[Counter, set[bytes]]:
@@ -133,8 +134,10 @@ def _count_words(part: pa.Table) -> tuple[Counter, set[bytes]]:
 def _ask_words(part: pa.Table) -> pa.Table:
     trained, others = _count_words(part)
     keys = sorted([*trained, *others])
+    del others
     block = part.column("block")[0].as_py()
-    return pa.table({"block": pa.array([block] * len(keys), pa.int32()), "word": pa.array(keys, pa.binary()), "n": pa.array([trained[k] for k in keys], pa.int64())})
+    pa.default_memory_pool().release_unused()
+    return pa.table({"block": pa.array(np.full(len(keys), block, np.int32)), "word": pa.array(keys, pa.binary()), "n": pa.array(np.fromiter(map(trained.__getitem__, keys), np.int64, len(keys)))})
 
 
 def tally(codes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -207,14 +210,17 @@ def _score(part: pa.Table, answers: pa.Table) -> pa.Table:
     trained, others = _count_words(part)
     total, mine, logs = sum(trained.values()), len(trained), dict.fromkeys(others)
     del others
-    words = answers.filter(answers.column("word").is_valid())
-    for word, n, first in zip(words.column("word").to_pylist(), words.column("value").to_pylist(), words.column("first").to_pylist()):
-        mine -= trained.pop(word, 0) > 0 and not first
-        logs[word] = math.log10(n + 1)
+    pa.default_memory_pool().release_unused()
+    words = answers.select(["word", "value", "first"]).filter(answers.column("word").is_valid())
+    for some in words.to_batches(max_chunksize=20_000):  # so that few are Python objects at once
+        for word, n, first in zip(*(c.to_pylist() for c in some.columns)):
+            mine -= trained.pop(word, 0) > 0 and not first
+            logs[word] = math.log10(n + 1)
     logs.update((k, math.log10(n + 1)) for k, n in trained.items())
     del trained, words
-    known = answers.filter(answers.column("string").is_valid())
+    known = answers.select(["string", "value"]).filter(answers.column("string").is_valid())
     place, values = pd.Index(known.column("string").to_numpy()), known.column("value").to_numpy()
+    del known
     rows = [(None, None, None, None, None, None, total, mine)]
     waiting: list[tuple] = []
     codes, held = [], 0
