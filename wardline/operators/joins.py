@@ -23,8 +23,16 @@ GENERIC_WORDS = ["улица", "проспект", "переулок", "шосс
 
 def dimension(df: DataFrame) -> DataFrame:
     """df, to be broadcast if a look at no more than BROADCAST_ROWS rows of it shows that it is small in rows and bytes."""
-    width = F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])))
-    n, size = df.limit(BROADCAST_ROWS + 1).agg(F.count("*"), F.sum(width)).first()
+    def width(name: str, kind: str) -> Column:
+        if kind in ("string", "binary"):
+            return F.octet_length(f"`{name}`")
+        nested = kind.startswith(("array", "struct", "map"))
+        return F.octet_length(F.to_json(F.struct(f"`{name}`"))) if nested else F.lit(8)
+
+    of_row = F.lit(0)
+    for name, kind in df.dtypes:
+        of_row = of_row + F.coalesce(width(name, kind), F.lit(0))
+    n, size = df.limit(BROADCAST_ROWS + 1).agg(F.count("*"), F.sum(of_row.cast("long"))).first()
     return F.broadcast(df) if n <= BROADCAST_ROWS and (size or 0) <= BROADCAST_BYTES else df
 
 
