@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wardline.functions import address, documents, geo, grades, text
-from wardline.operators import joins, quality, resolve, tables
+from wardline.operators import joins, quality, reports, resolve, tables
 
 from . import wide
 from .registry import Tables, query, sql_round
