@@ -20,7 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .vectors import ROWS, Folder, matrix, whole_rows
+from .common import Folder
+from .vectors import ROWS, matrix, whole_rows
 
 SCALE, PARTS, ENTRIES, ROUNDS = 1024, 4, 256, 4
 #: Neighbours looked at between two looks at the radius.

@@ -18,7 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .vectors import ROWS, Folder, matrix, whole_rows
+from .common import Folder
+from .vectors import ROWS, matrix, whole_rows
 
 SCALE, ANCHOR_EVERY, NEAREST = 256, 100, 5
 #: The least score of a negative: 4 fifths (80 / 100) of the positive's.

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
-from . import chat, codes, exact, iblt, licenses, mixing, negatives, packing, ppm, simhash, substring, toxicity
+from . import chat, codes, exact, iblt, licenses, mixing, negatives, outliers, packing, ppm, simhash, substring, toxicity
 from .common import table
 
 
@@ -58,6 +58,10 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return negatives.mine(table(spark, sf_dir, "embeddings"))
 
 
+def op13_quality_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return outliers.judged(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {
         "op1_license_scan": op1_license_scan,
@@ -72,6 +76,7 @@ def queries() -> dict:
         "op10_chat_format": op10_chat_format,
         "op11_vector_codes": op11_vector_codes,
         "op12_hard_negatives": op12_hard_negatives,
+        "op13_quality_outliers": op13_quality_outliers,
         "pipeline": corpus_pipeline.run,
     }
 
