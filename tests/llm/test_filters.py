@@ -165,9 +165,9 @@ def brute_copies(items):
     return [find(i) for i in range(len(items))]
 
 
-@pytest.mark.parametrize("shard_rows", [1_000_000, 30])
-def test_simhash_dedup(spark, monkeypatch, shard_rows):
-    monkeypatch.setattr(simhash, "SHARD_ROWS", shard_rows)
+@pytest.mark.parametrize("block_rows", [250_000, 30])
+def test_simhash_dedup(spark, monkeypatch, block_rows):
+    monkeypatch.setattr(simhash, "BLOCK_ROWS", block_rows)
     docs = clashing(spark.read.parquet(f"{DATA}/documents.parquet"))
     items = sorted((r.doc_id, r.text) for r in docs.select("doc_id", "text").collect())
     groups = defaultdict(list)
@@ -197,8 +197,29 @@ def test_near_copies_go_and_other_texts_stay(spark):
     assert len(left & set(close)) <= 0.1 * len(close)
 
 
+def test_near_copies_by_bands_of_similarity():
+    """Recall of the pair test (radius and bits) by the exact similarity of five-word shingles."""
+    draw, caught = random.Random(31), defaultdict(list)
+    words = [f"w{i}" for i in range(3000)]
+    for _ in range(1500):
+        a = [draw.choice(words) for _ in range(draw.randint(150, 500))]
+        b = list(a)
+        for _ in range(draw.randint(1, len(b) // 40)):
+            b[draw.randrange(len(b))] = draw.choice(words)
+        x, y = ({tuple(t[k : k + 5]) for k in range(len(t) - 4)} for t in (a, b))
+        similar = len(x & y) / len(x | y)
+        prints = [[f % (1 << 64) for f in simhash.fingerprints(" ".join(t).encode(), simhash.COPY_SHINGLE, len(simhash.FURTHER))] for t in (a, b)]
+        apart = [(p ^ q).bit_count() for p, q in zip(*prints)]
+        band = next((low for low in (0.85, 0.82, 0.8) if similar >= low), 0.7 if similar < 0.75 else 0)
+        caught[band].append(apart[0] <= simhash.COPY_RADIUS and sum(apart) <= simhash.COPY_BITS)
+    share = {band: sum(c) / len(c) for band, c in caught.items()}
+    print({band: (len(caught[band]), round(s, 3)) for band, s in share.items()})
+    assert len(caught[0.8]) > 50 and share[0.8] >= 0.9 and share[0.82] >= 0.95 and share[0.85] >= 0.98
+
+
 def test_simhash_shards_by_vantage_points(spark, monkeypatch):
     monkeypatch.setattr(simhash, "SHARD_ROWS", 20)
+    monkeypatch.setattr(simhash, "BLOCK_ROWS", 15)
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     items = [(r.doc_id, brute_simhash(r.text)) for r in docs.collect()]
     assert sorted(map(str, brute_components(items))) == sorted(map(str, rows(simhash.clusters(docs))))
@@ -240,6 +261,23 @@ def test_toxicity_never_reads_held_out_labels(spark):
     assert sorted(rows(toxicity.scores(docs, labels))) == sorted(rows(toxicity.scores(docs, turned)))
 
 
+@pytest.mark.parametrize("where", ["first", "middle", "all of a class"])
+def test_long_texts_do_not_switch_the_classifier_off(spark, where):
+    draw = random.Random(9)
+    nice, foul = (["".join(draw.choices(letters, k=6)) for _ in range(40)] for letters in ("abcdefg", "qrstuvw"))
+    table = [(i, " ".join(draw.choices(nice + foul * (i % 2), k=40))) for i in range(400)]
+    order = sorted((i for i, _ in table if zlib.crc32(str(i).encode()) % 3 != 1), key=lambda i: xxhash.xxh64_intdigest(int(i).to_bytes(8, "little"), 42))
+    long = {"first": [i for i in order if i % 2][:30], "middle": order[len(order) // 2 : len(order) // 2 + 2], "all of a class": [i for i, _ in table if i % 2]}[where]
+    table = [(i, t + (" " + t) * 400 if i in long else t) for i, t in table]
+    labels = spark.createDataFrame([(i, 1, i % 2) for i, _ in table], "doc_id long, quality int, toxic int")
+    weights, _ = toxicity.train(spark.createDataFrame(table, "doc_id long, text string"), labels, fit_bytes=100_000)
+    assert (weights != 0).sum() > (0 if where == "all of a class" else 50) - 1
+    docs = spark.createDataFrame([(1, " ".join(nice)), (2, " ".join(foul))], "doc_id long, text string")
+    if where != "all of a class":
+        got = {r.doc_id: r.s for r in docs.select("doc_id", toxicity.scorer((weights, 0.0), spark).alias("s")).collect()}
+        assert got[2] > got[1] + 0.2
+
+
 def test_toxicity_odd_tables(spark):
     labels = spark.createDataFrame([(1, 1, 1), (2, 0, None), (4, 1, 0), (None, 1, 1), (8, 1, 0), (9, 1, 1)], "doc_id long, quality int, toxic int")
     docs = clashing(odd(spark))

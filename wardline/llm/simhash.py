@@ -4,8 +4,8 @@ Two fingerprints within 4 of 64 bits agree, to 1 bit, in at least one of four ba
 16 bits. So each band is searched for neighbours within 1, which keeps the triangle
 bounds tight: a band's values are partitioned by their Hamming distance to vantage
 points into shells two wide, a value at a shell's lower border also goes to the shell
-below, and any two values within 1 then meet in the shard of their lower shells. Inside
-a shard a vantage-point tree over the band's values prunes by the same bounds, and the
+below, and any two values within 1 then meet in the shard of their lower shells. A
+shard's pairs are dealt to tasks by blocks of its rows, and inside a block a vantage-point tree over the band's values prunes by the same bounds, and the
 full fingerprints of what is left are compared. A shard returns a spanning forest of
 its links, never all pairs of a group.
 
@@ -30,16 +30,18 @@ from .common import combine, kept_rows, pieces, settle
 
 SHINGLE, SEED, RADIUS = 4, 42, 4
 #: For deduplication: words of a shingle, bits of 64 that candidates differ in, and bits of 256 that copies differ in.
-#: At a similarity (Jaccard) of 0.8 texts differ in 39 of 256 bits on average, within 6 more or fewer; at 0.77 in 42.
-COPY_SHINGLE, COPY_RADIUS, COPY_BITS = 5, 15, 44
+#: At a similarity (Jaccard) of 0.8 texts differ in 39 of 256 bits on average, with a deviation of 6; at 0.75 in 44, at 0.7 in 49.
+COPY_SHINGLE, COPY_RADIUS, COPY_BITS = 5, 15, 48
 #: By these the further fingerprints' hashes differ from the first one's.
 FURTHER = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 BANDS, BAND_BITS = 4, 16
 #: Vantage points: each halves the bits anew, so their distances tell different things.
 VANTAGE = (0x5555, 0x3333, 0x0F0F, 0x00FF, 0x6666, 0x5A5A, 0x55AA, 0x3C3C)
 LEAF_PAIRS = 1 << 16
-#: Distinct fingerprints that a shard should hold at most, as far as the vantage points part them.
-SHARD_ROWS = 1_000_000
+#: Distinct fingerprints that a shard should hold at most, as far as the vantage points part them, and its blocks.
+SHARD_ROWS, BLOCK_ROWS = 1_000_000, 250_000
+#: Vantage points and blocks of a shard where there are few fingerprints, so that there are many tasks then too.
+LEAST_LEVELS, LEAST_BLOCKS = 2, 4
 
 
 def _majority(hashes: np.ndarray) -> int:
@@ -159,19 +161,20 @@ class Forest:
         return self.root
 
 
-def links(fps: np.ndarray, band: int, radius: int = RADIUS, further: np.ndarray | None = None, bits: int = 0) -> tuple[np.ndarray, np.ndarray]:
+def links(fps: np.ndarray, band: int, radius: int = RADIUS, further: np.ndarray | None = None, bits: int = 0, side: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Spanning links (fp, other fp) of the pairs within radius whose values in the band lie within radius // BANDS.
 
-    With further fingerprints, a row for each fp, only pairs count that differ in no more
-    than so many bits of all of them. Candidates are looked at some at a time.
+    fps: each once. With further fingerprints, a row for each fp, only pairs count that
+    differ in no more than so many bits of all of them; with side (0 or 1), only pairs of
+    both sides. Candidates are looked at some at a time.
     """
-    fps, at = np.unique(fps, return_index=True)
     if len(fps) < 2:
         return fps[:0], fps[:0]
     part = (fps >> np.uint64(band * BAND_BITS)) & np.uint64((1 << BAND_BITS) - 1)
-    order = np.argsort(part, kind="stable")
-    fps, part = fps[order], part[order]
-    further = None if further is None else further[at[order]]
+    sides = np.zeros(len(fps), np.uint64) if side is None else side.astype(np.uint64)
+    order = np.lexsort((fps, part, sides))
+    fps, part = fps[order], part[order] | sides[order] << np.uint64(BAND_BITS)
+    further = None if further is None else further[order]
     values, start, count = np.unique(part, return_index=True, return_counts=True)
     forest, every = Forest(len(fps)), np.arange(len(fps))
     waiting: list[tuple[np.ndarray, np.ndarray]] = []
@@ -213,8 +216,12 @@ def links(fps: np.ndarray, band: int, radius: int = RADIUS, further: np.ndarray
             compare()
 
     alone = np.arange(len(values))
-    wait(alone, alone)
-    near(values, alone, alone, True, radius // BANDS, wait)
+    if side is None:
+        wait(alone, alone)
+        near(values, alone, alone, True, radius // BANDS, wait)
+    else:
+        first = np.searchsorted(values, 1 << BAND_BITS)
+        near(values & np.uint64((1 << BAND_BITS) - 1), alone[:first], alone[first:], False, radius // BANDS, wait)
     compare()
     root = forest.settle()
     moved = root != every
@@ -226,42 +233,52 @@ def _linked(radius: int, bits: int):
         columns = [[c.to_numpy(zero_copy_only=False) for c in b.columns] for b in batches]
         if not columns:
             return
-        shard, *fps = (np.concatenate(x) for x in zip(*columns))
+        shard, band, side, *fps = (np.concatenate(x) for x in zip(*columns))
         order = np.argsort(shard, kind="stable")
-        shard, fps = shard[order], [f[order].view(np.uint64) for f in fps]
+        shard, band, side, fps = shard[order], band[order], side[order], [f[order].view(np.uint64) for f in fps]
         further = np.stack(fps[1:], axis=1) if len(fps) > 1 else None
         cuts = [0, *(np.flatnonzero(np.diff(shard)) + 1), len(shard)]
         for low, high in zip(cuts, cuts[1:]):
             if high - low > 1:
-                a, b = links(fps[0][low:high], int(shard[low]) % BANDS, radius, None if further is None else further[low:high], bits)
+                two = None if side[low] < 0 else side[low:high]
+                a, b = links(fps[0][low:high], int(band[low]), radius, None if further is None else further[low:high], bits, two)
                 if len(a):
                     yield pa.record_batch([pa.array(x.view(np.int64)) for x in (a, b)], names=["a", "b"])
 
     return run
 
 
-def shards(fps: DataFrame, levels: int, radius: int = RADIUS) -> DataFrame:
-    """shard and the columns of fps: each fingerprint in each band's shards, near a shell's lower border in two.
+def shards(fps: DataFrame, levels: int, blocks: int, radius: int = RADIUS) -> DataFrame:
+    """shard, band, side and the columns of fps: each fingerprint in each band's shards, near a shell's lower border in two.
 
-    Shells are one wider than the band's radius.
+    Shells are one wider than the band's radius. A shard is cut into blocks by a hash, and
+    its pairs into those of each block (side -1) and of each two blocks (sides 0 and 1).
     """
     near_by = radius // BANDS
     rows = fps.withColumn("band", F.explode(F.array(*[F.lit(b) for b in range(BANDS)])))
-    rows = rows.withColumn("value", F.expr(f"shiftrightunsigned(fp, band * {BAND_BITS}) & {(1 << BAND_BITS) - 1}")).withColumn("shard", F.col("band").cast("long"))
+    rows = rows.withColumn("value", F.expr(f"shiftrightunsigned(fp, band * {BAND_BITS}) & {(1 << BAND_BITS) - 1}")).withColumn("shells", F.lit(0).cast("long"))
     for level in range(levels):
         away = F.bit_count(F.col("value").bitwiseXOR(F.lit(VANTAGE[level])))
         shell = F.floor(away / (near_by + 1)).cast("int")
         rows = rows.withColumn("shell", F.explode(F.when(away % (near_by + 1) < near_by, F.array(shell, shell - 1)).otherwise(F.array(shell))))
-        rows = rows.withColumn("shard", F.col("shard") + (F.col("shell") + 1).cast("long") * (BANDS * 16**level))
-    return rows.select("shard", *fps.columns)
+        rows = rows.withColumn("shells", F.col("shells") + (F.col("shell") + 1).cast("long") * 16**level)
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("fp"), F.lit(blocks))).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    mine, other = F.col("block"), F.col("other")
+    side = F.when(mine == other, -1).when(mine < other, 0).otherwise(1)
+    return rows.select(F.xxhash64("band", "shells", F.least(mine, other), F.greatest(mine, other)).alias("shard"), "band", side.alias("side"), *fps.columns)
 
 
-def levels_for(fps: DataFrame) -> int:
-    """Vantage points to shard by, so that the largest shard holds about SHARD_ROWS distinct fingerprints.
+def dealt_by(n: int, radius: int) -> tuple[int, int]:
+    """Vantage points and blocks for n distinct fingerprints.
 
-    Each vantage point halves the largest shard and makes the rows 1.5 times as many.
+    Each vantage point halves the largest shard and makes the rows 1.5 times as many where
+    shells are two wide; wider shells overlap so much that they would make more pairs, not
+    fewer, so there blocks alone part the work, as many as hold about BLOCK_ROWS each.
     """
-    return min(len(VANTAGE), max(0, math.ceil(math.log2(max(fps.count(), 1) / SHARD_ROWS))))
+    levels = 0
+    if radius // BANDS <= 1:
+        levels = min(len(VANTAGE), max(LEAST_LEVELS, math.ceil(math.log2(max(n, 1) / SHARD_ROWS))))
+    return levels, max(LEAST_BLOCKS, math.ceil(n / 2**levels / BLOCK_ROWS))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -292,7 +309,7 @@ def linked(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, bits:
     first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
     each = settle(rows.groupBy("fp").agg(F.min(first).alias("least"), *([F.min(F.struct(*more)).alias("more")] if more else [])))
     nodes = each.select("fp", *[F.col(f"more.{c}").alias(c) for c in more])
-    edges = shards(nodes, levels_for(each), radius).repartition("shard").mapInArrow(_linked(radius, bits), "a long, b long")
+    edges = shards(nodes, *dealt_by(each.count(), radius), radius).repartition("shard").mapInArrow(_linked(radius, bits), "a long, b long")
     roots = components(edges)
     whole = each.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     firsts = whole.groupBy("root").agg(F.min("least").alias("least"))

@@ -24,8 +24,8 @@ ORDERS = (3, 4, 5)
 FEATURE_BITS = 19
 #: Labelled rows that the classifier is fitted on: at most so many, half of each class.
 FIT_ROWS = 8_000
-#: Bytes of their texts, at most: rows are taken in their order until the next one would go beyond.
-FIT_BYTES = 64_000_000
+#: Bytes of their texts, at most, half of them for each class: texts over a 64th of them come last in their class.
+FIT_BYTES, LONG_SHARE = 64_000_000, 64
 THRESHOLD = 0.7
 #: Features are used that so many texts have, in numbers so many deviations off what chance would give.
 LEAST_TEXTS, SURPRISE = 3, 3.2
@@ -109,10 +109,11 @@ def _fit(prior: float):
 def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, fit_bytes: int = FIT_BYTES) -> tuple[np.ndarray, float]:
     """Fit on labelled rows of docs outside the held-out fold (crc32 of the id mod 3 is 1).
 
-    Of each class the fit_rows / 2 rows that come first by a hash of the id are used, in
-    that order, as long as their texts hold no more than fit_bytes. Null labels don't
-    count; an id labelled both ways is toxic. With one class only, every text gets the
-    same score.
+    Of each class the fit_rows / 2 rows that come first by a hash of the id are used, as
+    far as their texts hold no more than half of fit_bytes. Texts longer than a 64th of
+    fit_bytes come after all others, so they keep none out; one row of each class is
+    used in any case. Null labels don't count; an id labelled both ways is toxic. With one class
+    only, every text gets the same score.
     """
     marked = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     marked = marked.filter(crc_of_id(F.col("doc_id")) % 3 != 1)
@@ -125,9 +126,10 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, fit_byte
     picked = F.broadcast(picked)  # fit_rows rows at most
     wanted = docs.join(picked, "doc_id").select("doc_id", "toxic", F.xxhash64("text").alias("hash"), F.col("text").cast("binary").alias("text"))
     # the lengths of so many rows, without the texts, show where the bytes run out
-    sizes = wanted.select("doc_id", "hash", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("size")).orderBy(*order, "hash").limit(fit_rows)
-    upto = F.sum("size").over(Window.orderBy(*order, "hash").rowsBetween(Window.unboundedPreceding, 0))
-    within = sizes.withColumn("upto", upto).filter(F.col("upto") <= fit_bytes).select("doc_id", "hash").distinct()
+    sizes = wanted.select("doc_id", "toxic", "hash", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("size")).orderBy(*order, "hash").limit(fit_rows)
+    shortest_first = Window.partitionBy("toxic").orderBy((F.col("size") > fit_bytes // LONG_SHARE).cast("int"), *order, "hash")
+    marked_sizes = sizes.withColumns({"upto": F.sum("size").over(shortest_first.rowsBetween(Window.unboundedPreceding, 0)), "nth": F.row_number().over(shortest_first)})
+    within = marked_sizes.filter((F.col("upto") <= fit_bytes // 2) | (F.col("nth") == 1)).select("doc_id", "hash").distinct()
     sample = wanted.join(F.broadcast(within), ["doc_id", "hash"]).orderBy(*order, "hash").limit(fit_rows).select("text", "toxic").coalesce(1)
     row = sample.mapInArrow(_fit(prior), "weights binary, bias double").collect()
     if not row:
