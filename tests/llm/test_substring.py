@@ -12,18 +12,21 @@ from .helpers import DATA, clashing, empty, odd, rows
 
 
 def brute(table, size=20):
+    """A window goes if a smaller doc_id has it (none comes last), or the same text at an earlier start."""
     pages = [(i if i is not None else substring.LAST, i, re.findall(r"[^\x20\x09-\x0D]+", t or "")) for i, t in table]
     first = {}
     for place, _, words in pages:
         for s in range(len(words) - size + 1):
             key = tuple(words[s : s + size])
-            first[key] = min(first.get(key, (place, s)), (place, s))
+            first[key] = min(first.get(key, place), place)
     out = []
     for place, doc_id, words in pages:
-        gone = set()
+        gone, own = set(), set()
         for s in range(len(words) - size + 1):
-            if first[tuple(words[s : s + size])] < (place, s):
+            key = tuple(words[s : s + size])
+            if first[key] < place or key in own:
                 gone.update(range(s, s + size))
+            own.add(key)
         kept = " ".join(w for i, w in enumerate(words) if i not in gone)
         out.append((doc_id, len(words), len(gone), hashlib.sha256(kept.encode()).hexdigest()))
     return out
@@ -72,6 +75,25 @@ def test_rows_that_share_their_place(spark):
         assert sorted(map(str, rows(substring.dedup(docs, batches)))) == sorted(map(str, brute(table)))
 
 
+def test_texts_of_one_id_take_nothing_from_each_other(spark):
+    a, b, x = ([f"{c}{i}" for i in range(n)] for c, n in (("a", 40), ("b", 50), ("x", 7)))
+    twice = a + x + a  # repeats itself
+    table = [(1, " ".join(t)) for t in (a, x + a, a + x, twice, b + a[:30], b)] + [(None, " ".join(t)) for t in (b, x + b, b + b)] + [(1, " ".join(twice))]
+    docs = spark.createDataFrame(table, "doc_id long, text string")
+    want = sorted(map(str, brute(table)))
+    assert [r for r in brute(table) if r[0] == 1][1][2] == 0
+    for batches, filtered in ((1, True), (2, True), (2, False)):
+        assert sorted(map(str, rows(substring.dedup(docs, batches, filtered)))) == want
+
+
+def test_a_failed_call_leaves_no_tables(spark, monkeypatch):
+    before = {t.name for t in spark.catalog.listTables()}
+    monkeypatch.setattr(substring, "_recurring", lambda batches: 1 / 0)
+    with pytest.raises(Exception, match="division|ZeroDivision"):
+        substring.dedup(spark.createDataFrame(made(2), "doc_id long, text string"))
+    assert {t.name for t in spark.catalog.listTables()} == before
+
+
 def test_index_compacts_and_keeps_its_keys(spark, tmp_path):
     index = substring.FingerprintIndex(spark, str(tmp_path / "index"), most_runs=2)
     found = []

@@ -148,12 +148,13 @@ def _emit(parts: Iterable[tuple], most: int) -> Iterator[pa.RecordBatch]:
         if not waiting:
             return pa.record_batch([pa.array([], k) for k in _FIELDS.values()], names=list(_FIELDS))
         k1, k2, place, doc, at, span, cells, sizes = (np.concatenate(x) for x in zip(*waiting))
-        order = np.lexsort((doc, at, place, k2, k1))
+        order = np.lexsort((at, doc, place, k2, k1))
         k1, k2, place, doc, at, span = (x[order] for x in (k1, k2, place, doc, at, span))
         twin = np.append(False, (k1[1:] == k1[:-1]) & (k2[1:] == k2[:-1]))
-        head = np.maximum.accumulate(np.where(twin, 0, np.arange(len(k1))))
-        again = (place != place[head]) | (at != at[head])
-        alike = twin & np.append(False, (place[1:] == place[:-1]) & (at[1:] == at[:-1]) & (doc[1:] == doc[:-1]))
+        own = twin & np.append(False, (place[1:] == place[:-1]) & (doc[1:] == doc[:-1]))
+        head, own_head = (np.maximum.accumulate(np.where(x, 0, np.arange(len(k1)))) for x in (twin, own))
+        again = (place != place[head]) | (at != at[own_head])
+        alike = own & np.append(False, at[1:] == at[:-1])
         # a repetition needs no key: its place deals it anywhere
         k1 = np.where(again, (combine(place.astype(np.uint64), 0) ^ at.astype(np.uint64)).view(np.int64), k1)
         lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), pa.array(cells)).take(pa.array(np.where(again, -1, order), mask=again))
@@ -252,23 +253,29 @@ def _window_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _marked(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A batch's rows in the order of key and place: marked where a run has the key (old) or its first row is another place."""
-    now: tuple | None = None  # key and place of the first row of the key met last
+    """A batch's rows by key, place, doc and at: marked where a run has the key (old), a smaller place or the row's own text before it.
+
+    Of unmarked rows of a key (texts that share their place) the first keeps the key, so
+    that a run has each key once.
+    """
+    now: tuple | None = None  # key, place and doc of the row met last; the first place of its key, the first at of its doc there
     for batch in batches:
         if not batch.num_rows:
             continue
-        k1, k2, place, at, again, old = (batch.column(n).to_numpy(zero_copy_only=False) for n in ("k1", "k2", "place", "at", "again", "old"))
+        k1, k2, place, doc, at, again, old = (batch.column(n).to_numpy(zero_copy_only=False) for n in ("k1", "k2", "place", "doc", "at", "again", "old"))
+        rows = np.arange(len(k1))
         new = np.append(now is None or (k1[0], k2[0]) != now[:2], (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1]))
-        head = np.maximum.accumulate(np.where(new, np.arange(len(new)), -1))
-        carried = head < 0
-        head = np.maximum(head, 0)
-        first_place, first_at = place[head], at[head]
-        if carried.any():
-            first_place, first_at = np.where(carried, now[2], first_place), np.where(carried, now[3], first_at)
-        now = k1[-1], k2[-1], first_place[-1], first_at[-1]
-        again = pa.array(again | old | (place != first_place) | (at != first_at))
-        cells = pc.if_else(again, pa.scalar(None, _CELLS), batch.column("cells").cast(_CELLS))
-        yield pa.record_batch([*batch.columns[:6], again, cells], names=list(_FIELDS))
+        new_doc = new | np.append(now is None or (place[0], doc[0]) != now[2:4], (place[1:] != place[:-1]) | (doc[1:] != doc[:-1]))
+        head, own = (np.maximum.accumulate(np.where(x, rows, -1)) for x in (new, new_doc))
+        first_place, first_at = place[np.maximum(head, 0)], at[np.maximum(own, 0)]
+        if now is not None:
+            first_place, first_at = np.where(head < 0, now[4], first_place), np.where(own < 0, now[5], first_at)
+        now = k1[-1], k2[-1], place[-1], doc[-1], first_place[-1], first_at[-1]
+        again = again | old | (place != first_place) | (at != first_at)
+        k2 = np.where(new | again, k2, (k2.astype(np.uint64) ^ combine(doc.astype(np.uint64), 1)).view(np.int64))
+        marks = pa.array(again)
+        cells = pc.if_else(marks, pa.scalar(None, _CELLS), batch.column("cells").cast(_CELLS))
+        yield pa.record_batch([batch.column("k1"), pa.array(k2), *batch.columns[2:6], marks, cells], names=list(_FIELDS))
 
 
 class FingerprintIndex:
@@ -307,8 +314,8 @@ class FingerprintIndex:
     def _write(self, rows: DataFrame) -> str:
         """Write rows, dealt to the buckets and sorted, as a run."""
         number, self.made = self.made, self.made + 1
-        rows.write.bucketBy(self.buckets, "k1").sortBy("k1", "k2").option("path", f"{self.folder}/run-{number}").saveAsTable(f"{self.name}_{number}")
         self.every.append(f"{self.name}_{number}")
+        rows.write.bucketBy(self.buckets, "k1").sortBy("k1", "k2").option("path", f"{self.folder}/run-{number}").saveAsTable(self.every[-1])
         return self.every[-1]
 
     def _save(self) -> None:
@@ -335,7 +342,7 @@ class FingerprintIndex:
         before = self.spark.conf.get(order, None)
         self.spark.conf.set(order, "true")  # while this plan is made and run: sorted files are not sorted again
         try:
-            ordered = rows.sortWithinPartitions(*key, "place", "at")  # by the first key already, where there are runs
+            ordered = rows.sortWithinPartitions(*key, "place", "doc", "at")  # by the first key already, where there are runs
             self.runs.append(self._write(ordered.mapInArrow(_marked, _PLACES)))
         finally:
             self.spark.conf.set(order, before) if before is not None else self.spark.conf.unset(order)
@@ -355,7 +362,7 @@ class FingerprintIndex:
         for table in self.every:
             if empty:
                 self.spark.range(0).write.mode("overwrite").parquet(f"{self.folder}/run-{table.rsplit('_', 1)[1]}")
-            self.spark.sql(f"DROP TABLE {table}")
+            self.spark.sql(f"DROP TABLE IF EXISTS {table}")
         self.runs, self.every = [], []
 
 
@@ -371,11 +378,12 @@ def dedup(docs: DataFrame, batches: int = BATCHES, filtered: bool = True, index:
     """doc_id, n_words, n_removed, kept_sha256: one row per row of docs.
 
     Documents go through the index in batches by rising doc_id. A null text has no words;
-    rows without doc_id come last. Of rows that share their doc_id or have none, none is
-    earlier than another: a window is earlier by its place in its own row alone. Each row
-    loses only what was found in it, told by its doc_id and a hash of its text. Repeated
-    rows get the same result each. Other columns are ignored; an empty table gives an
-    empty result.
+    rows without doc_id come last, with one of doc_id 2^63 - 1. Of rows that share their doc_id
+    or have none, none is earlier than another: a window of theirs is a duplicate if a
+    smaller doc_id has it, or the same text earlier on. Each row loses only what was found in
+    it, told by its doc_id and a hash of its text. Repeated rows get the same result each.
+    Texts of any length are read whole, one at a time; other columns are ignored; an empty table
+    gives an empty result.
 
     With an index of one's own the texts merged into it before are earlier ones, and it
     stays for later calls; every window is then indexed, as without the filter. Without
@@ -396,19 +404,20 @@ def dedup(docs: DataFrame, batches: int = BATCHES, filtered: bool = True, index:
             part = part.filter(condition)
         return part
 
-    found, cells = None, None
-    for i in range(batches):
-        again, new = own.merge(batch(i).mapInArrow(_stretch_rows, _PLACES))
-        found, cells = (again, new) if i == 0 else (found.union(again), cells.union(new))
-    cells = cells.select("doc", "cells").mapInArrow(_cell_rows(index is not None or not filtered), "anchor long, doc long, cell long, known boolean")
-    cells = cells.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_recurring, "doc long, cell long")
-    cells = settle(cells.groupBy("doc").agg(F.collect_set("cell").alias("cells")))
-    for i in range(batches):
-        single, _ = own.merge(batch(i).join(cells, "doc").select("place", "doc", "text", "cells").mapInArrow(_window_rows, _PLACES))
-        found = found.union(single)
-    found = found.groupBy("doc", "place").agg(F.collect_set(F.struct("at", "span")).alias("places"))
-    result = read.join(found, ["doc", "place"], "left").select("doc_id", "text", "places").mapInArrow(_final, "doc_id long, n_words long, n_removed long, kept_sha256 string")
-    result = settle(result)
-    if index is None:
-        own.close(empty=True)
-    return result
+    try:
+        found, cells = None, None
+        for i in range(batches):
+            again, new = own.merge(batch(i).mapInArrow(_stretch_rows, _PLACES))
+            found, cells = (again, new) if i == 0 else (found.union(again), cells.union(new))
+        cells = cells.select("doc", "cells").mapInArrow(_cell_rows(index is not None or not filtered), "anchor long, doc long, cell long, known boolean")
+        cells = cells.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_recurring, "doc long, cell long")
+        cells = settle(cells.groupBy("doc").agg(F.collect_set("cell").alias("cells")))
+        for i in range(batches):
+            single, _ = own.merge(batch(i).join(cells, "doc").select("place", "doc", "text", "cells").mapInArrow(_window_rows, _PLACES))
+            found = found.union(single)
+        found = found.groupBy("doc", "place").agg(F.collect_set(F.struct("at", "span")).alias("places"))
+        result = read.join(found, ["doc", "place"], "left").select("doc_id", "text", "places").mapInArrow(_final, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+        return settle(result)
+    finally:  # tables and files of a call that failed go too
+        if index is None:
+            own.close(empty=True)
