@@ -185,28 +185,29 @@ def moments(near: DataFrame) -> DataFrame:
     return summed.select("key", "start", F.array(*[F.col("old")[i] + mean[i] for i in range(N)]).alias("centre"), F.array(*cov).alias("covariance"))
 
 
-def refined(fits: DataFrame, model: DataFrame) -> DataFrame:
+def refined(fits: DataFrame, model: DataFrame, folder: Folder, name: str) -> DataFrame:
     """The estimate from the SHARE of each group nearest by the model, whole steps of the histogram at a time."""
     step = F.ceil(F.log2(distance() + 2.0**-20) * DOUBLINGS).cast("long")
-    placed = _with(fits.withColumn("start", F.explode(F.array(F.lit(0), F.lit(1)))), model.drop("covariance", "log_det"), "key", "start").withColumn("step", step)
-    counts = placed.groupBy("key", "start", "step").agg(F.count("*").alias("n"))
+    model = model.select("key", "start", "centre", "inverse")
+    starts = fits.withColumn("start", F.explode(F.array(F.lit(0), F.lit(1))))
+    counts = _with(starts, model, "key", "start").groupBy("key", "start", step.alias("step")).agg(F.count("*").alias("n"))
     group = Window.partitionBy("key", "start")
     upto = counts.withColumn("upto", F.sum("n").over(group.orderBy("step"))).withColumn("all", F.sum("n").over(group))
     limits = upto.filter(F.col("upto") >= SHARE * F.col("all")).groupBy("key", "start").agg(F.min("step").alias("limit"))
-    near = _with(placed, limits, "key", "start").filter(F.col("step") <= F.col("limit"))
-    return inverted(moments(near))
+    limited = folder.write(_with(model, limits, "key", "start"), f"{name}-limits")  # a small table of its own, so that rows needn't be dealt by group
+    return inverted(moments(_with(starts, limited, "key", "start").filter(step <= F.col("limit"))))
 
 
 def estimates(fits: DataFrame, folder: Folder, steps: int = STEPS) -> DataFrame:
     """key, centre, inverse: the minimum-covariance-determinant estimate of each group."""
-    robust = medians(fits, folder)
+    robust = folder.write(medians(fits, folder), "medians")
     diagonal = F.array(*[F.pow(F.col("spread")[i], 2) if i == j else F.lit(0.0) for i, j in PAIRS])
     first = robust.select("key", F.lit(0).alias("start"), "centre", diagonal.alias("covariance"))
     whole = moments(_with(fits, robust, "key").withColumn("start", F.lit(1)))
     spread = F.transform("covariance", lambda c, at: F.when(at.isin([PAIRS.index((i, i)) for i in range(N)]), c).otherwise(0.0))
     model = folder.write(inverted(first.union(whole.withColumn("covariance", spread))), "model0")
     for i in range(steps):
-        model = folder.write(refined(fits, model), f"model{i + 1}")
+        model = folder.write(refined(fits, model, folder, f"model{i + 1}"), f"model{i + 1}")
     best = model.groupBy("key").agg(F.min_by(F.struct("centre", "inverse"), F.struct("log_det", "start")).alias("best"))
     return best.select("key", "best.centre", F.transform("best.inverse", lambda x: x / CONSISTENCY).alias("inverse"))
 
