@@ -246,6 +246,21 @@ def street_stems(c: Column) -> Column:
     return F.when(not_blank(c), F.array_distinct(F.filter(stems, lambda x: F.length(x) >= 3))).otherwise(F.array().cast("array<string>"))
 
 
+# Endings of Russian adjectives and nouns.
+ENDINGS = ["ыми", "ими", "ого", "его", "ому", "ему", "ая", "яя", "ое", "ее", "ый", "ий", "ой", "ые", "ие", "ых", "их", "ым", "им", "ую", "юю", "ом", "ем", "ей", "иями", "ями", "ами", "иях", "ях", "ах", "ием", "ям", "ам", "ов", "ев", "ия", "ию", "ья", "ью", "ье", "а", "е", "и", "й", "о", "у", "ы", "ь", "ю", "я"]
+
+
+def stem(word: Column) -> Column:
+    """A Russian word in lower case without its longest ending, of which three letters at least are left."""
+    return F.regexp_replace(ru_lower(word), rf"^(\p{{L}}{{3,}}?)(?:{'|'.join(ENDINGS)})$", "$1")
+
+
+def stems(c: Column) -> Column:
+    """The distinct stems of a text's words of three letters or more, in order of first sight."""
+    words = F.regexp_extract_all(ru_lower(c), F.lit(r"(\p{L}{3,})"), 1)
+    return F.array_distinct(F.transform(words, stem))
+
+
 def text_score(blob: Column, tokens: Column, street: Column, district: Column, house: Column) -> Column:
     """How well a directory entry's text fits an address; the parts of the address may be null."""
     held = lambda word: F.coalesce(F.contains(blob, word), F.lit(False))

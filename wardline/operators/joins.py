@@ -2,8 +2,8 @@
 
 Sides that are dimensions are broadcast only while they hold at most BROADCAST_ROWS rows
 and BROADCAST_BYTES of the optimizer's estimate; beyond that Spark joins by shuffle.
-What a text contains is found by short runs of letters, which both sides hold, so these
-are equi-joins too.
+What a text contains is found by an automaton over all that is looked for (contain.py), so
+no pair is tried that doesn't hold.
 """
 
 from __future__ import annotations
@@ -13,10 +13,12 @@ from pyspark.sql import functions as F
 
 from wardline.functions import geo, text
 
+from . import contain, intervals, search
+
 BROADCAST_ROWS = 200_000
 BROADCAST_BYTES = 200_000_000
-#: Letters in the runs by which texts and what they contain meet.
-GRAM = 4
+#: House numbers lie below this power of two.
+HOUSE_LEVELS = 14
 # Words of street patterns that name no street.
 GENERIC_WORDS = ["улица", "проспект", "переулок", "шоссе", "бульвар", "набережная", "площадь", "проезд", "район", "участок", "город", "дома"]
 
@@ -36,27 +38,9 @@ def dimension(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if n <= BROADCAST_ROWS and (size or 0) <= BROADCAST_BYTES else df
 
 
-def grams(c: Column, size: int = GRAM) -> Column:
-    """The distinct runs of size characters of a text."""
-    starts = F.sequence(F.lit(1), F.greatest(F.length(c) - (size - 1), F.lit(1)))
-    return F.array_distinct(F.filter(F.transform(starts, lambda i: F.substr(c, i, F.lit(size))), lambda g: F.length(g) == size))
-
-
-def letter_grams(c: Column, size: int = GRAM) -> Column:
-    """The distinct runs of size letters of a text in lower case."""
-    words = F.regexp_extract_all(F.lower(c), F.lit(r"(\p{L}+)"), 1)
-    return F.array_distinct(F.flatten(F.transform(F.filter(words, lambda w: F.length(w) >= size), lambda w: grams(w, size))))
-
-
 def contained(texts: DataFrame, parts: DataFrame) -> DataFrame:
-    """text, part: the distinct texts with the distinct parts that they contain; an empty part is in none.
-
-    Joined on the first characters of the parts, as many as the shortest has, three at most.
-    """
-    whole = parts.filter("length(part) > 0").select("part").distinct()
-    size = min(3, whole.agg(F.min(F.length("part"))).first()[0] or 1)
-    keyed = texts.filter("text IS NOT NULL").select("text").distinct().withColumn("gram", F.explode(grams(F.col("text"), size)))
-    return keyed.join(whole.withColumn("gram", F.left("part", F.lit(size))), "gram").filter(F.contains("text", F.col("part"))).select("text", "part")
+    """text, part: the distinct texts with the distinct parts that they contain; an empty part is in none."""
+    return contain.found(texts.select(F.col("text").alias("id"), "text").distinct(), parts).select(F.col("id").alias("text"), "part")
 
 
 def best(df: DataFrame, by: str | list[str], *order: Column) -> DataFrame:
@@ -96,12 +80,13 @@ def composite_lookup(rows: DataFrame, details: DataFrame, keys: tuple[str, ...]
 def needle_lookup(rows: DataFrame, value: str, needles: DataFrame) -> DataFrame:
     """The region of the first needle that a text holds; needles: pos, needle, region.
 
-    Distinct texts meet the needles on short runs of characters, once however often they occur.
+    A text is scanned once however often it occurs, whatever the number of needles.
     """
     folded = F.lower(F.col(value))
-    pairs = contained(rows.select(folded.alias("text")), needles.select(F.col("needle").alias("part")))
-    first = pairs.join(needles, F.col("part") == F.col("needle")).groupBy("text").agg(F.min_by("region", "pos").alias("region"))
-    return rows.withColumn("_text", folded).join(first.withColumnRenamed("text", "_text"), "_text", "left").drop("_text")
+    first = contain.found(rows.select(folded.alias("id"), folded.alias("text")).distinct(), needles.select(F.col("needle").alias("part"), "pos"), "first")
+    by_pos = needles.groupBy("pos").agg(F.first("region").alias("region"))
+    hits = first.join(dimension(by_pos), "pos").select(F.col("id").alias("_text"), "region")
+    return rows.withColumn("_text", folded).join(hits, "_text", "left").drop("_text")
 
 
 def known_names(names: DataFrame, catalogue: DataFrame) -> DataFrame:
@@ -117,9 +102,9 @@ def known_names(names: DataFrame, catalogue: DataFrame) -> DataFrame:
     unnumbered = filled.select(fold(F.regexp_replace("court_name", r"\s*№\s*\d+", " №")).alias("part"))
     both = folded.union(unnumbered).distinct()
     sections = catalogue.select(F.col("section_num").cast("int").alias("_section")).filter("_section IS NOT NULL").distinct().withColumn("_by_section", F.lit(True))
-    inside = contained(n.select(F.col("_text").alias("text")), both).select("text")
-    around = contained(both.select(F.col("part").alias("text")), n.select(F.col("_text").alias("part"))).select(F.col("part").alias("text"))
-    alike = inside.union(around).distinct().select(F.col("text").alias("_text"), F.lit(True).alias("_by_name"))
+    inside = contain.found(n.select(F.col("_text").alias("id"), F.col("_text").alias("text")).distinct(), both, "any")
+    around = contain.found(both.select(F.col("part").alias("id"), F.col("part").alias("text")), n.select(F.col("_text").alias("part")), "parts")
+    alike = inside.union(around).distinct().select(F.col("id").alias("_text"), F.lit(True).alias("_by_name"))
     joined = n.join(alike, "_text", "left").join(dimension(sections), "_section", "left")
     any_known = F.coalesce("_by_name", "_by_section", F.lit(catalogue.isEmpty()))
     return joined.select(*names.columns, (text.not_blank(F.col("name")) & any_known).alias("known"))
@@ -252,48 +237,91 @@ def shared_area(a: list[tuple[float, float]], b: list[tuple[float, float]]) -> f
     return total
 
 
-def rule_keys(lemmas: bool) -> Column:
-    """Keys of a rule, of which an address that fits holds one at least: runs of letters; null if there are none.
+def rule_factors() -> Column:
+    """Texts of which an address that a rule's street pattern fits holds one at least; empty if none is known.
 
-    From the street pattern, of each alternative the longest word that is there as it
-    stands; from the area's name its longest word; for lemmas the first long word of the
-    pattern. A pattern that is too rich to be read so is found by its region's words.
+    Of each alternative of the pattern the longest word that is there as it stands, and for
+    lemmas, which are given one a line, the beginning of the pattern's first long word. A
+    pattern that is too rich to be read so has the empty text, which all addresses hold.
     """
     pattern = F.lower(F.regexp_replace("street_pattern", r"^\(\?i\)", ""))
     plain = F.regexp_replace(pattern, r"\\[bBsSdDwW.\-][*+?]?|\.[*+]?\??|\p{L}[*?]|\(\?:|[()]", " ")
     rich = F.regexp_like(plain, F.lit(r"[\[\]{}?*^$\\]")) | F.regexp_like(pattern, F.lit(r"\)[?*{]|\(\?[^:]|\(.*\("))
-    words = lambda c: F.regexp_extract_all(c, F.lit(rf"(\p{{L}}{{{GRAM},}})"), 1)
+    words = lambda c: F.regexp_extract_all(c, F.lit(r"(\p{L}{2,})"), 1)
     rank = lambda w: F.struct(w.isin(GENERIC_WORDS).alias("generic"), F.negative(F.length(w)).alias("minus"), w.alias("word"))
-    longest = lambda c: F.left(F.array_min(F.transform(words(c), rank))["word"], F.lit(GRAM))
-    per_part = F.transform(F.split(plain, r"\|"), longest)
-    by_pattern = F.when(~rich & F.forall(per_part, lambda k: k.isNotNull()), per_part)
+    per_part = F.transform(F.split(plain, r"\|"), lambda c: F.array_min(F.transform(words(c), rank))["word"])
+    by_pattern = F.when(~rich & F.forall(per_part, lambda k: k.isNotNull()), per_part).otherwise(F.array(F.lit("")))
+    simple = F.filter(F.split(F.lower(F.regexp_replace("street_pattern", r"(?U)[^\w\-]+", " ")), " "), lambda w: F.length(w) >= 3)
+    long = F.filter(simple, lambda w: F.length(w) >= 4)
+    first = F.when(F.size(long) > 0, F.left(F.get(long, F.lit(0)), F.lit(4))).otherwise(F.get(simple, F.lit(0)))
+    by_lemma = F.when(first.isNotNull(), F.array(F.concat(F.lit("\n"), first))).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.concat(by_pattern, by_lemma))
+
+
+def region_keys() -> Column:
+    """Texts of which an address in a rule's region holds one at least; the empty one for a blank region, none if no address fits."""
+    region = text.ru_lower(F.trim(F.col("region")))
     none = F.array().cast("array<string>")
-    have_pattern, have_area = text.not_blank(F.col("street_pattern")), text.not_blank(F.col("area_text"))
-    keys = [F.when(have_pattern, by_pattern).otherwise(none), F.when(have_area, F.when(longest(F.lower("area_text")).isNotNull(), F.array(longest(F.lower("area_text"))))).otherwise(none)]
-    if lemmas:
-        simple = F.filter(F.split(F.lower(F.regexp_replace("street_pattern", r"(?U)[^\w\-]+", " ")), " "), lambda w: F.length(w) >= 3)
-        long = F.filter(simple, lambda w: F.length(w) >= 4)
-        first = F.when(F.size(long) > 0, F.left(F.get(long, F.lit(0)), F.lit(4))).otherwise(F.get(simple, F.lit(0)))
-        keys.append(F.when(have_pattern & first.isNotNull(), F.array(first)).otherwise(none))
-    in_text = F.concat(*keys)
-    tokens = F.transform(text.region_tokens(F.col("region")), lambda w: F.left(w, F.lit(GRAM)))
-    city = F.when(F.contains(text.ru_lower(F.col("region")), F.lit("нижегородск")), F.array(F.lit("нижн"))).otherwise(none)
-    by_region = F.when(text.not_blank(F.col("region")) & (F.size(tokens) > 0), F.concat(tokens, city))
-    return F.array_distinct(F.coalesce(in_text, by_region))
+    tokens = text.region_tokens(F.col("region"))
+    city = F.when(F.contains(region, F.lit("нижегородск")), F.array(F.lit("нижний"))).otherwise(none)
+    whole = F.when((F.size(tokens) == 0) & (F.length(region) >= 10), F.array(region)).otherwise(none)
+    return F.when(text.not_blank(F.col("region")), F.array_distinct(F.concat(tokens, city, whole))).otherwise(F.array(F.lit("")))
+
+
+def keyed_rules(rules: DataFrame) -> DataFrame:
+    """Rules once for each region key, factor and bin (level, bin) of house numbers that leads to them.
+
+    Bins of rules for streets are those of powers of two that cover the houses, and one (-1) for
+    addresses without house; those for areas (-2) hold whatever the house.
+    """
+    last = (1 << HOUSE_LEVELS) - 1
+    low = F.greatest(F.coalesce("house_from", F.lit(0)), F.lit(0))
+    high = F.when(F.coalesce("house_to", F.lit(0)) == 0, last).otherwise(F.least("house_to", F.lit(last)))
+    place = lambda level: F.array(F.struct(F.lit(level).alias("level"), F.lit(0).cast("long").alias("bin")))
+    key = lambda factors, bins: F.struct(factors.alias("factors"), bins.alias("bins"))
+    none = key(F.array().cast("array<string>"), place(-1))
+    by_street = F.when(text.not_blank(F.col("street_pattern")), key(rule_factors(), F.concat(place(-1), intervals.covers(low, high, HOUSE_LEVELS)))).otherwise(none)
+    by_area = F.when(text.not_blank(F.col("area_text")), key(F.array(F.lower("area_text")), place(-2))).otherwise(none)
+    keyed = rules.withColumn("_key", F.explode(F.array(by_street, by_area))).withColumn("_region", F.explode(region_keys()))
+    return keyed.withColumn("_factor", F.explode("_key.factors")).withColumn("_bin", F.explode("_key.bins")).select(*rules.columns, "_region", "_factor", F.col("_bin.level").alias("_level"), F.col("_bin.bin").alias("_bin"))
+
+
+def rule_pairs(probes: DataFrame, rules: DataFrame) -> DataFrame:
+    """probes (address, lemmas, house) x the rules that one of their factors, region keys and bins leads to.
+
+    All factors and region keys are looked for in one scan of each address; equal keys then meet.
+    """
+    keyed = keyed_rules(rules)
+    one_line = F.concat_ws("\n", F.lower("address"), text.ru_lower(F.col("address")), F.array_join(F.transform("lemmas", F.lower), "\n"))
+    marked = probes.withColumn("_id", F.sha2(F.to_json(F.struct("address", "lemmas")), 256)).withColumn("_text", one_line)
+    wanted = keyed.select(F.explode(F.array("_region", "_factor")).alias("part")).distinct()
+    parts = contain.found(marked.select(F.col("_id").alias("id"), F.col("_text").alias("text")), wanted)
+    held = parts.groupBy(F.col("id").alias("_id")).agg(F.collect_set("part").alias("_parts"))
+    empty = F.array(F.lit(""))
+    probes_of = marked.drop("_text").join(held, "_id", "left").withColumn("_parts", F.concat(empty, F.coalesce("_parts", F.array().cast("array<string>"))))
+    # of a factor, where its rules are: regions and levels of bins
+    places = keyed.groupBy("_factor").agg(F.collect_set(F.struct("_region", "_level")).alias("_places"))
+    n = F.col("house.num")
+    met = probes_of.withColumn("_factor", F.explode("_parts")).join(dimension(places), "_factor").withColumn("_place", F.explode("_places"))
+    level = F.col("_place._level")
+    fits = F.array_contains("_parts", F.col("_place._region")) & ((level == -2) | F.when(n.isNull(), level == -1).otherwise(level >= 0))
+    keys = met.filter(fits).select("address", "lemmas", "house", F.col("_place._region").alias("_region"), "_factor", level.alias("_level"), F.when(level < 0, 0).otherwise(intervals.bin_of(n, F.greatest(level, F.lit(0)))).cast("long").alias("_bin"))
+    return keys.join(dimension(keyed), ["_region", "_factor", "_level", "_bin"]).drop("_region", "_factor", "_level", "_bin")
 
 
 def rule_match(addresses: DataFrame, rules: DataFrame, house_mode: str = "fixed") -> DataFrame:
     """The first rule, by rule_order, for each address: street pattern and house range, then the area's name.
 
-    addresses: row_id, address, lemmas (array, may be empty or null); rules: rule_order,
-    section_num, region, area_text, street_pattern, house_from, house_to, house_parity,
-    house_suffix, house_step. An address is compared once however often it occurs, and
-    only with rules that share a run of letters with it; patterns are tried last. Rules
-    without any such run, if there are some, are compared with all.
+    addresses: row_id, address, lemmas (array, may be empty or null; without that column the
+    stems of the address's words); rules: rule_order, section_num, region, area_text,
+    street_pattern, house_from, house_to, house_parity, house_suffix, house_step. An address is
+    compared once however often it occurs, and only with rules whose texts it holds and
+    whose houses hold its own; patterns are tried last.
     """
     none = F.array().cast("array<string>")
-    distinct = addresses.select("address", F.coalesce("lemmas", none).alias("lemmas")).groupBy("address", "lemmas").agg(F.first(F.lit(1)).alias("_one")).drop("_one")
-    probes = distinct.withColumn("house", text.house_of(F.lower("address"), house_mode))
+    given = addresses if "lemmas" in addresses.columns else addresses.withColumn("lemmas", text.stems(F.col("address")))
+    distinct = given.select("address", F.coalesce("lemmas", none).alias("lemmas")).groupBy("address", "lemmas").agg(F.first(F.lit(1)).alias("_one")).drop("_one")
+    probes = distinct.filter("address IS NOT NULL").withColumn("house", text.house_of(F.lower("address"), house_mode))
     n, suffix = F.col("house.num"), F.col("house.suffix")
     start = F.col("house_from")
     fits = (
@@ -309,19 +337,12 @@ def rule_match(addresses: DataFrame, rules: DataFrame, house_mode: str = "fixed"
     near = lambda w: F.exists("lemmas", lambda x: (x == w) | F.startswith(x, F.left(w, F.lit(4))) & (F.length(w) >= 4) | F.startswith(w, F.left(x, F.lit(4))) & (F.length(x) >= 4))
     by_lemma = simple & (F.size(words) > 0) & (F.size("lemmas") > 0) & F.forall(words, near)
     by_area = text.not_blank(F.col("area_text")) & F.contains(F.lower("address"), F.lower("area_text"))
-    in_region = text.region_fits(F.col("region"), F.col("address"))
     source = F.when(by_pattern & fits, "law_rules").when(by_lemma & fits, "law_rules_nlp_fuzzy").when(by_area, "law_rules_area")
 
-    own = F.concat(letter_grams(F.col("address")), letter_grams(text.ru_lower(F.col("address"))), F.transform("lemmas", lambda x: F.left(F.lower(x), F.lit(GRAM))))
-    keyed_rules = rules.withColumn("_key", rule_keys(True))
-    free = keyed_rules.filter("_key IS NULL").drop("_key")
-    keyed = keyed_rules.filter("_key IS NOT NULL").withColumn("_key", F.explode("_key"))
-    pairs = probes.withColumn("_key", F.explode(F.array_distinct(own))).join(dimension(keyed), "_key").filter(in_region).drop("_key")
-    if not free.isEmpty():
-        pairs = pairs.unionByName(probes.join(dimension(free), in_region))
+    pairs = rule_pairs(probes, rules).filter(text.region_fits(F.col("region"), F.col("address")))
     hit = pairs.withColumn("source", source).filter("source IS NOT NULL").withColumn("pass", (F.col("source") == "law_rules_area").cast("int"))
     first = hit.groupBy("address", "lemmas").agg(F.min_by(F.struct("section_num", "region", "source"), F.struct("pass", "rule_order")).alias("hit"))
-    same = addresses.withColumn("_lemmas", F.coalesce("lemmas", none)).join(first.withColumnRenamed("lemmas", "_lemmas"), ["address", "_lemmas"], "left")
+    same = given.withColumn("_lemmas", F.coalesce("lemmas", none)).join(first.withColumnRenamed("lemmas", "_lemmas"), ["address", "_lemmas"], "left")
     return same.select(*addresses.columns, "hit.*")
 
 
@@ -330,32 +351,22 @@ def text_top1(probes: DataFrame, entries: DataFrame, least: int = 12, gap: int =
 
     probes: row_id, address, region_code, street, district, house; entries: entry_id,
     region_code, court_name, jurisdiction_text. Candidates contain one of the address's
-    longest tokens, also inside a word: tokens meet the distinct words of all entries,
-    and the words lead to entries, first within the region, then, for addresses without
-    any candidate there, everywhere. Alike addresses are compared once.
+    longest tokens, also inside a word: those of the address's region, or, where it has
+    none, all. Alike addresses are looked up once, by search.candidates.
     """
-    parts = ["address", "region_code", "street", "district", "house"]
-    alike = probes.select(*parts).distinct().withColumn("_id", F.xxhash64(*parts)).withColumn("tokens", text.address_tokens(F.col("street"), F.col("address"), F.col("district"), F.col("street")))
-    longest = F.slice(F.array_sort(F.col("tokens"), lambda a, b: F.length(b) - F.length(a)), 1, most)
-    tokens = alike.select(*parts, "_id", F.explode(longest).alias("token"))
-    # a token of several words is found by its longest one
-    words_of = F.array_sort(F.split("token", r"(?U)[^\w]+"), lambda a, b: F.length(b) - F.length(a))
-    tokens = tokens.withColumn("probe", F.get(words_of, F.lit(0)))
-    e = entries.withColumn("blob", text.ru_lower(F.concat_ws(" ", "court_name", "jurisdiction_text")))
-    words = e.select("entry_id", F.col("region_code").alias("entry_region"), F.explode(F.array_distinct(F.split("blob", r"(?U)[^\w]+"))).alias("word"))
-    met = contained(words.select(F.col("word").alias("text")), tokens.select(F.col("probe").alias("part"))).select(F.col("text").alias("word"), F.col("part").alias("probe"))
-    by_probe = words.join(met, "word").select("probe", "entry_id", "entry_region").distinct()
-    of_token = tokens.select("token", "probe").distinct().join(by_probe, "probe").join(e.select("entry_id", "blob"), "entry_id").filter(F.contains("blob", F.col("token"))).select("token", "entry_id", "entry_region")
-    pairs = tokens.drop("probe").join(of_token, "token").groupBy("_id", *parts, "entry_id").agg(F.max(F.coalesce(F.col("region_code") == F.col("entry_region"), F.lit(False))).alias("home"))
-    any_home = pairs.groupBy("_id").agg(F.max("home").alias("any_home"))
-    kept = pairs.join(any_home, "_id").filter("home OR NOT any_home").select("_id", *parts, "entry_id")
-    full = kept.join(e.select("entry_id", "court_name", "blob"), "entry_id").withColumn("tokens", text.address_tokens(F.col("street"), F.col("address"), F.col("district"), F.col("street")))
-    score = text.text_score(F.col("blob"), F.col("tokens"), F.col("street"), F.col("district"), F.col("house"))
-    top = full.withColumn("score", score)
-    order = Window.partitionBy("_id").orderBy(F.col("score").desc(), "entry_id")
-    ranked = top.withColumn("next_score", F.lead("score").over(order)).withColumn("nth", F.row_number().over(order))
+    parts = search.PARTS
+    alike = probes.select(*parts).distinct().withColumn("_id", F.xxhash64(*parts))
+    e = entries.groupBy("entry_id").agg(F.first(F.struct("region_code", "court_name", "jurisdiction_text")).alias("e")).select("entry_id", "e.*")
+    texts = e.select("entry_id", "region_code", text.ru_lower(F.concat_ws(" ", "court_name", "jurisdiction_text")).alias("blob"))
+    found = search.candidates(alike, texts, least, most)
+    of_probe = Window.partitionBy("probe")
+    kept = found.withColumn("any_home", F.max("home").over(of_probe)).filter(F.col("home") == F.col("any_home"))
+    order = of_probe.orderBy(F.col("score").desc(), "entry_id")
+    ranked = kept.withColumn("next_score", F.lead("score").over(order)).withColumn("nth", F.row_number().over(order))
     review = F.coalesce((F.col("score") - F.col("next_score") < gap) & (F.col("next_score") >= least), F.lit(False))
-    best_of = ranked.filter((F.col("nth") == 1) & (F.col("score") >= least)).select("_id", *[F.col(c).alias(f"_{c}") for c in parts], "entry_id", "court_name", "score", review.alias("needs_review"))
+    top = ranked.filter((F.col("nth") == 1) & (F.col("score") >= least)).select("probe", "entry_id", "score", review.alias("needs_review"))
+    named = top.join(e.select("entry_id", "court_name"), "entry_id")
+    best_of = alike.join(named, F.col("_id") == F.col("probe")).select("_id", *[F.col(c).alias(f"_{c}") for c in parts], "entry_id", "court_name", "score", "needs_review")
     same = F.col("_id") == F.xxhash64(*parts)
     for c in parts:
         same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
