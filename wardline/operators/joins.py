@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from wardline.functions import geo, text
 
-from . import contain, intervals, search
+from . import contain, intervals, rings, search
 
 BROADCAST_ROWS = 200_000
 BROADCAST_BYTES = 200_000_000
@@ -116,20 +116,32 @@ def with_any(rows: DataFrame, columns: list[str], tokens: list[str]) -> DataFram
     return rows.withColumn("hit", F.exists(F.array(*map(F.lit, tokens)), lambda x: F.contains(blob, x)))
 
 
-def points_in_rings(points: DataFrame, areas: DataFrame, size: float = 0.25) -> DataFrame:
-    """point_id, lat, lon x area_id, ring -> point_id, area_id, border_m: areas that hold a point.
+def points_in_rings(points: DataFrame, areas: DataFrame, border: bool = True) -> DataFrame:
+    """point_id, lat, lon x area_id, ring -> both without the ring, border_m: areas that hold a point.
 
-    Both sides are dealt to grid cells of size degrees, an area's box to all cells that it
-    meets, and joined on the cell; points in the box then meet the ring itself, which is
-    not copied into the cells.
+    Each ring has a quadtree of its own, cut where it has many edges; a leaf holds few edges
+    and whether its corner is inside, so a point meets one leaf of an area, by an equal key
+    for each level that occurs, and looks at those edges alone. With border, the distance to
+    the border, as far as it counts, comes from the edges of a cell around the point.
     """
-    boxed = areas.withColumn("box", geo.bounds(F.col("ring"))).select("area_id", "box")
-    tiled = boxed.withColumn("cx", F.explode(geo.cells_between(F.col("box.x1"), F.col("box.x2"), size))).withColumn("cy", F.explode(geo.cells_between(F.col("box.y1"), F.col("box.y2"), size)))
-    dealt = points.filter(geo.valid_point(F.col("lat"), F.col("lon"))).withColumns({"cx": geo.cell(F.col("lon"), size), "cy": geo.cell(F.col("lat"), size)})
-    inside = F.col("lon").between(F.col("box.x1"), F.col("box.x2")) & F.col("lat").between(F.col("box.y1"), F.col("box.y2"))
-    close = dealt.join(tiled, ["cx", "cy"]).filter(inside).drop("cx", "cy", "box")
-    hits = close.join(areas, "area_id").filter(geo.in_ring(F.col("ring"), F.col("lon"), F.col("lat")))
-    return hits.withColumn("border_m", geo.border_metres(F.col("ring"), F.col("lon"), F.col("lat"))).drop("ring")
+    leaves = rings.quadtrees(areas)
+    levels = [r.level for r in leaves.select("level").distinct().collect()]  # 31 at most
+    x, y = F.col("lon"), F.col("lat")
+    good = points.filter(geo.valid_point(y, x))
+    dealt = good.withColumn("level", F.explode(F.array(*map(F.lit, levels)).cast("array<int>")))
+    dealt = dealt.withColumns({"cx": rings.cell_of(x, F.col("level"), rings.WEST), "cy": rings.cell_of(y, F.col("level"), rings.SOUTH)})
+    hits = dealt.join(dimension(leaves), ["level", "cx", "cy"]).filter(rings.inside(x, y)).drop("level", "cx", "cy", "odd", "edges")
+    if border:
+        cells = hits.withColumns({"bx": F.floor(x / rings.NEAR).cast("long"), "by": F.floor(y / rings.NEAR).cast("long")})
+        near = cells.join(dimension(rings.borders(areas)), ["area_id", "bx", "by"], "left")
+        hits = near.withColumn("border_m", rings.distance(x, y) * geo.METRES_A_DEGREE).drop("bx", "by", "near")
+    return hits.join(dimension(areas.drop("ring")), "area_id")
+
+
+def smallest_zone(points: DataFrame, zones: DataFrame) -> DataFrame:
+    """points with the zone (area_id, ring and more) that holds them: of several the smallest, then the least area_id."""
+    sized = zones.withColumn("zone_area", geo.ring_area(F.col("ring")))
+    return best(points_in_rings(points, sized, border=False), "point_id", F.col("zone_area").asc_nulls_last(), F.col("area_id"))
 
 
 def nearest(points: DataFrame, places: DataFrame, radius_km: float = 5.0, top: int | None = 1) -> DataFrame:
@@ -194,49 +206,21 @@ def overlapping_boxes(areas: DataFrame, size: float = 0.25, least: float = 1e-7)
 
 
 def overlapping_rings(areas: DataFrame, size: float = 0.25, least: float = 1e-7) -> DataFrame:
-    """a_id, b_id, area of the part that two rings share; rings may be concave but must not cross themselves."""
+    """a_id, b_id, area of the part that two rings share; rings may be concave, and what is inside is told by an even-odd count."""
     boxes = areas.withColumn("box", geo.bounds(F.col("ring")))
     pairs = overlapping_boxes(boxes.select("area_id", "box.*"), size, least).select("a_id", "b_id")
-    rings = areas.select("area_id", "ring")
-    both = pairs.join(rings.withColumnsRenamed({"area_id": "a_id", "ring": "a"}), "a_id").join(rings.withColumnsRenamed({"area_id": "b_id", "ring": "b"}), "b_id")
+    of = areas.select("area_id", "ring")
+    both = pairs.join(of.withColumnsRenamed({"area_id": "a_id", "ring": "a"}), "a_id").join(of.withColumnsRenamed({"area_id": "b_id", "ring": "b"}), "b_id")
 
     @F.pandas_udf("double")
     def shared(a, b):
         import pandas as pd
 
-        return pd.Series([shared_area([(p["x"], p["y"]) for p in x], [(p["x"], p["y"]) for p in y]) for x, y in zip(a, b)], dtype="float64")
+        return pd.Series([rings.shared_area(rings.edges_of(x), rings.edges_of(y)) for x, y in zip(a, b)], dtype="float64")
 
     return both.select("a_id", "b_id", shared("a", "b").alias("area")).filter(F.col("area") > least)
 
 
-def shared_area(a: list[tuple[float, float]], b: list[tuple[float, float]]) -> float:
-    """Area that two rings share, by vertical strips.
-
-    Strips end at the corners and at the crossings of edges, so inside one no two edges
-    cross and the shared parts are trapezoids: their heights at the strip's middle times
-    its width are exact.
-    """
-    edges = [[(min(p, q), max(p, q)) for p, q in zip(ring, ring[1:] + ring[:1]) if p[0] != q[0]] for ring in (a, b)]
-    cuts = {x for ring in (a, b) for x, _ in ring}
-    for (x1, y1), (x2, y2) in edges[0]:
-        for (x3, y3), (x4, y4) in edges[1]:
-            m, n = (y2 - y1) / (x2 - x1), (y4 - y3) / (x4 - x3)
-            if m != n:
-                x = (y3 - n * x3 - y1 + m * x1) / (m - n)
-                if max(x1, x3) < x < min(x2, x4):
-                    cuts.add(x)
-    low, high = (f(min(x for x, _ in ring) if f is max else max(x for x, _ in ring) for ring in (a, b)) for f in (max, min))
-    xs, total = sorted(x for x in cuts if low <= x <= high), 0.0
-    for left, right in zip(xs, xs[1:]):
-        x = (left + right) / 2
-        spans = []
-        for ring in edges:
-            ys = sorted(y1 + (y2 - y1) * (x - x1) / (x2 - x1) for (x1, y1), (x2, y2) in ring if x1 < x < x2)
-            spans.append(list(zip(ys[::2], ys[1::2])))
-        total += (right - left) * sum(max(0.0, min(q, t) - max(p, s)) for p, q in spans[0] for s, t in spans[1])
-    return total
-
-
 def rule_factors() -> Column:
     """Texts of which an address that a rule's street pattern fits holds one at least; empty if none is known.
 

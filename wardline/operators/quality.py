@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardline.functions import text
-from wardline.operators import joins
+from wardline.operators import joins, rings
 from wardline.operators.reports import share
 
 
@@ -14,24 +14,34 @@ def ring_faults(areas: DataFrame) -> DataFrame:
     """area_id, fault: rings that are missing, have fewer than three corners, or cross themselves."""
 
     @F.pandas_udf("boolean")
-    def crosses(rings):
-        def side(a, b, c):
-            return (b["x"] - a["x"]) * (c["y"] - a["y"]) - (b["y"] - a["y"]) * (c["x"] - a["x"])
+    def crosses(column):
+        return column.map(lambda ring: ring is not None and len(ring) > 3 and rings.crosses_itself(rings.edges_of(ring)))
 
+    fault = F.when(F.col("ring").isNull(), "missing").when(F.size("ring") < 3, "too few corners").when(crosses("ring"), "crosses itself")
+    return areas.select("area_id", fault.alias("fault")).filter("fault IS NOT NULL")
+
+
+def repaired(areas: DataFrame) -> DataFrame:
+    """area_id, rings, area, changed: each area as rings that don't cross themselves.
+
+    They bound the points that an even-odd count of the sides finds inside: outer rings turn
+    left, holes right, and area is the sum of both. A ring that is valid as it is stays one ring,
+    with repeated corners left out; changed tells whether there were crossings. Null rings
+    and those of no area have no rings.
+    """
+
+    @F.pandas_udf("array<array<struct<x:double,y:double>>>")
+    def rebuilt(column):
         def one(ring):
-            if ring is None or len(ring) < 4:
-                return False
-            edges = [(ring[i - 1], ring[i]) for i in range(len(ring))]
-            for i, (a, b) in enumerate(edges):
-                for c, d in edges[i + 2 : len(edges) - (i == 0)]:
-                    if side(a, b, c) * side(a, b, d) < 0 and side(c, d, a) * side(c, d, b) < 0:
-                        return True
-            return False
+            made = rings.repaired(rings.edges_of(ring)) if ring is not None and len(ring) > 2 else []
+            return [[{"x": x, "y": y} for x, y in r] for r in made]
 
-        return rings.map(one)
+        return column.map(one)
 
-    fault = F.when(F.col("ring").isNull(), "missing").when(F.size("ring") < 3, "too few corners").when(crosses("ring"), "crosses itself")
-    return areas.select("area_id", fault.alias("fault")).filter("fault IS NOT NULL")
+    signed = lambda r: F.aggregate(F.sequence(F.lit(0), F.size(r) - 1), F.lit(0.0), lambda s, i: s + r[i]["x"] * r[(i + 1) % F.size(r)]["y"] - r[(i + 1) % F.size(r)]["x"] * r[i]["y"]) / 2
+    out = areas.select("area_id", rebuilt("ring").alias("rings")).withColumn("area", F.aggregate("rings", F.lit(0.0), lambda s, r: s + signed(r)))
+    crossed = ring_faults(areas).filter("fault = 'crosses itself'").select("area_id", F.lit(True).alias("changed"))
+    return out.join(crossed, "area_id", "left").withColumn("changed", F.coalesce("changed", F.lit(False)))
 
 
 def verification(areas: DataFrame) -> DataFrame:
