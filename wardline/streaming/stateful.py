@@ -1,4 +1,4 @@
-"""Streaming forms of the change detector, the rate windows and the cache.
+"""Streaming forms of the change detector and the rate windows; the cache is in cache.py, a source in feed.py.
 
 The first keeps a key's last status in state. The windows are event-time windows with a
 watermark, which is how Spark says what the counters with a processing-time clock meant.
