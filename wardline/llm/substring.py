@@ -41,7 +41,7 @@ from .common import combine, hash_words, pieces, settle, shared_folder
 WINDOW, ANCHOR = 20, 12
 #: One word run in so many ends a stretch.
 STRETCH = 64
-BATCHES, MOST_RUNS = 2, 2
+BATCHES, MOST_RUNS = 3, 2
 LAST = (1 << 63) - 1  # place of documents without id
 #: Keys of stretches differ from those of windows in this.
 STRETCH_MARK = 0x5DEECE66D
