@@ -195,3 +195,19 @@ def q_rule_lemmas(t: Tables) -> DataFrame:
     rules = [(i, str(i + 1 if i < 3 else 4), "", none, p, none, none, none, none, none) for i, p in enumerate(patterns)]
     table = t.spark.createDataFrame(rules, "rule_order int, section_num string, region string, area_text string, street_pattern string, house_from int, house_to int, house_parity string, house_suffix string, house_step int")
     return joins.rule_match(addresses, table).select("row_id", "section_num", "source")
+
+
+@query(
+    """SELECT c_custkey AS row_id, CASE WHEN c_custkey % 6 = 0 THEN '1' WHEN c_custkey % 6 = 1 AND c_custkey % 30 BETWEEN 1 AND 15 THEN '2' WHEN c_custkey % 6 = 2 THEN '3' WHEN c_custkey % 6 = 3 THEN '4' END AS section_num,
+  CASE WHEN c_custkey % 6 = 0 OR c_custkey % 6 = 1 AND c_custkey % 30 BETWEEN 1 AND 15 OR c_custkey % 6 = 3 THEN 'law_rules_nlp_fuzzy' WHEN c_custkey % 6 = 2 THEN 'law_rules' END AS source FROM customer"""
+)
+def q_rule_stems(t: Tables) -> DataFrame:
+    """Streets in any case meet their rules by the stems of the address's own words."""
+    k = F.col("c_custkey")
+    street = _pick(["по Октябрьской", "на Садовых", "ул. Мира", "за Гоголем", "у реки", "Невского"], k % 6)
+    address = F.concat(F.lit("г. Самара, "), street, F.lit(", д. "), (k % 30).cast("string"))
+    none = None
+    patterns = [("Октябрьская", none, none), ("Садовая", 1, 15), (r"\bмира\b", none, none), ("Гоголь", none, none), ("Лесная", 1, 9)]
+    rules = [(i, str(i + 1), "", none, p, a, b, none, none, none) for i, (p, a, b) in enumerate(patterns)]
+    table = t.spark.createDataFrame(rules, "rule_order int, section_num string, region string, area_text string, street_pattern string, house_from int, house_to int, house_parity string, house_suffix string, house_step int")
+    return joins.rule_match(t.customer.select(k.alias("row_id"), address.alias("address")), table).select("row_id", "section_num", "source")

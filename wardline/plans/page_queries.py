@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wardline.functions import ranges, text
+from wardline.functions import ranges, sql, text
 from wardline.sources import readers
 
 from . import batch
@@ -211,3 +211,37 @@ def q_batch_pipeline(t: Tables) -> DataFrame:
     provider = t.customer.filter(k % 30 == 0).select(k.alias("row_id"), section(n).alias("court_name"), n.alias("section_num"))
     candidates = batch.point_candidates(rows, areas, places).union(batch.address_candidates(rows, districts, entries, rules, provider))
     return batch.resolve_rows(rows, candidates).select("row_id", "status", "error_code", "stage", "source", "selected_court_id", "confidence_score", "needs_manual_review")
+
+
+@query(
+    """WITH c AS (SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN [[p_size, p_size + 4]] WHEN 1 THEN [[p_size, p_size], [p_size + 7, p_size + 7]] ELSE [[p_size, p_size + 6]] END AS r FROM part)
+SELECT p_partkey, x[1]::INTEGER AS house_from, x[2]::INTEGER AS house_to, CASE p_partkey % 3 WHEN 0 THEN 'odd' WHEN 2 THEN CASE WHEN x[1] % 2 = 0 THEN 'even' ELSE 'odd' END END AS house_parity,
+  CASE WHEN p_partkey % 3 <> 1 THEN 2 END::INTEGER AS house_step FROM (SELECT p_partkey, unnest(r) AS x FROM c)"""
+)
+def q_sql_house_ranges(t: Tables) -> DataFrame:
+    """House ranges of cells by a row-maker in SQL."""
+    sql.register(t.spark)
+    return t.spark.sql(
+        """SELECT p_partkey, r.* FROM (
+  SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN concat(p_size, '-', p_size + 4, ' нечет') WHEN 1 THEN concat(p_size, ' и ', p_size + 7) ELSE concat_ws(', ', p_size, p_size + 2, p_size + 4, p_size + 6) END AS cell FROM {part}
+), LATERAL house_ranges(cell) r""",
+        part=t.part,
+    )
+
+
+@query(
+    """SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, regexp_extract(url, '^https?://([^/?#]+)', 1) AS host, len(regexp_extract_all(html, '<a href=')) AS n_links,
+  len(regexp_extract_all(html, '<p[ >]')) AS n_paragraphs, sha256(trim(regexp_replace(regexp_replace(regexp_replace(html, '(?s)<(script|style)[^>]*>.*?</(script|style)>', ' ', 'g'), '(?s)<!--.*?-->|<[^>]*>', ' ', 'g'), '[ \t\r\n]+', ' ', 'g'))) AS text_sha256 FROM pages"""
+)
+def q_page_texts(t: Tables) -> DataFrame:
+    """Title, host, links, paragraphs and plain text of whole pages as they were crawled."""
+    html = F.col("html")
+    plain = F.regexp_replace(F.regexp_replace(html, r"(?s)<(script|style)[^>]*>.*?</(script|style)>", " "), r"(?s)<!--.*?-->|<[^>]*>", " ")
+    return t.pages.select(
+        "page_id",
+        F.regexp_extract(html, r"<title>([^<]*)</title>", 1).alias("title"),
+        F.regexp_extract("url", r"^https?://([^/?#]+)", 1).alias("host"),
+        F.regexp_count(html, F.lit("<a href=")).cast("long").alias("n_links"),
+        F.regexp_count(html, F.lit("<p[ >]")).cast("long").alias("n_paragraphs"),
+        F.sha2(F.trim(F.regexp_replace(plain, r"[ \t\r\n]+", " ")), 256).alias("text_sha256"),
+    )

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wardline.functions import geo
-from wardline.operators import joins, reports
+from wardline.operators import intervals, joins, quality, reports
 
 from .registry import SQL_KM, Tables, lat, lon, query, sql_point, sql_round
 
@@ -111,3 +111,49 @@ def q_ring_area(t: Tables) -> DataFrame:
 def q_coordinate_validity(t: Tables) -> DataFrame:
     point = F.concat((F.col("value") - 20).cast("string"), F.lit(" , "), (F.col("value") * 2 - 40).cast("string"))
     return t.events.select(F.col("event_id").alias("e_id"), geo.parse_point(point).isNotNull().alias("valid"))
+
+
+@query(
+    f"""WITH z AS (SELECT n_nationkey AS area_id, n_name AS zone, 37.0005 + (n_nationkey % 5) * 0.2 AS x1, 55.0005 + (n_nationkey // 5) * 0.2 AS y1, 0.2 + n_nationkey * 0.01 AS wide FROM nation),
+p AS (SELECT c_custkey AS point_id, {sql_point('c_custkey')} FROM customer),
+hits AS (SELECT point_id, area_id, zone, row_number() OVER (PARTITION BY point_id ORDER BY wide, area_id) AS nth FROM p JOIN z ON lon > x1 AND lon < x1 + wide AND lat > y1 AND lat < y1 + wide),
+c AS (SELECT s_nationkey, min(s_suppkey) AS court FROM supplier GROUP BY 1)
+SELECT point_id, area_id, zone, court FROM hits LEFT JOIN c ON s_nationkey = area_id WHERE nth = 1"""
+)
+def q_zone_contains(t: Tables) -> DataFrame:
+    """The smallest zone that contains a point, and its court."""
+    n = F.col("n_nationkey")
+    x, y, wide = 37.0005 + (n % 5) * 0.2, 55.0005 + F.floor(n / 5) * 0.2, 0.2 + n * 0.01
+    corner = lambda a, b: F.struct(a.cast("double").alias("x"), b.cast("double").alias("y"))
+    zones = t.nation.select(n.alias("area_id"), F.col("n_name").alias("zone"), F.array(corner(x, y), corner(x + wide, y), corner(x + wide, y + wide), corner(x, y + wide)).alias("ring"))
+    courts = t.supplier.groupBy(F.col("s_nationkey").alias("area_id")).agg(F.min("s_suppkey").alias("court"))
+    return joins.smallest_zone(_points(t)[0], zones).join(courts, "area_id", "left").select("point_id", "area_id", "zone", "court")
+
+
+@query(
+    """WITH k AS (SELECT c_custkey AS area_id, c_custkey % 4 AS shape, 1 + c_custkey % 9 AS s FROM customer)
+SELECT area_id, CASE shape WHEN 0 THEN 2 WHEN 1 THEN 1 WHEN 2 THEN 2 ELSE 0 END::INTEGER AS n_rings, CASE shape WHEN 0 THEN s * s / 2.0::DOUBLE WHEN 1 THEN (s * s)::DOUBLE WHEN 2 THEN (12 * s * s)::DOUBLE ELSE 0.0::DOUBLE END AS area, shape = 0 AS changed FROM k"""
+)
+def q_ring_repair(t: Tables) -> DataFrame:
+    """Rings that cross themselves, squares, squares with a hole by a bridge, and flat ones, as valid rings."""
+    k = F.col("c_custkey")
+    s, x = (1 + k % 9).cast("double"), (k % 360 - 180).cast("double")
+    ring = lambda *at: F.array(*[F.struct((x + s * a).alias("x"), (s * b).alias("y")) for a, b in at])
+    bow, square, flat = ring((0, 0), (1, 1), (1, 0), (0, 1)), ring((0, 0), (0, 1), (1, 1), (1, 0)), ring((0, 0), (1, 1), (2, 2))
+    holed = ring((0, 0), (4, 0), (4, 4), (0, 4), (0, 0), (1, 1), (3, 1), (3, 3), (1, 3), (1, 1))
+    shapes = F.when(k % 4 == 0, bow).when(k % 4 == 1, square).when(k % 4 == 2, holed).otherwise(flat)
+    made = quality.repaired(t.customer.select(k.alias("area_id"), shapes.alias("ring")))
+    return made.select("area_id", F.size("rings").alias("n_rings"), reports.rounded(F.col("area"), 6).alias("area"), "changed")
+
+
+@query(
+    """WITH i AS (SELECT c_nationkey AS street, c_custkey * 7 % 500 AS low, c_custkey * 7 % 500 + c_custkey % 40 AS high, c_custkey FROM customer),
+h AS (SELECT o_orderkey, o_custkey % 25 AS street, o_orderkey % 540 AS house FROM orders)
+SELECT o_orderkey, count(*) AS n_ranges, min(c_custkey) AS first FROM h JOIN i ON h.street = i.street AND house BETWEEN low AND high GROUP BY 1"""
+)
+def q_interval_join(t: Tables) -> DataFrame:
+    """Houses with the ranges of their street that hold them."""
+    k = F.col("c_custkey")
+    ranges = t.customer.select(F.col("c_nationkey").cast("long").alias("street"), (k * 7 % 500).alias("low"), (k * 7 % 500 + k % 40).alias("high"), k)
+    houses = t.orders.select("o_orderkey", (F.col("o_custkey") % 25).cast("long").alias("street"), (F.col("o_orderkey") % 540).alias("house"))
+    return intervals.interval_join(houses, ranges, ["street"], "house").groupBy("o_orderkey").agg(F.count("*").alias("n_ranges"), F.min("c_custkey").alias("first"))
