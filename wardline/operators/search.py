@@ -24,6 +24,7 @@ from pyspark.sql.types import BooleanType, IntegerType, StringType, StructField,
 from wardline.functions import text
 
 from . import contain
+from .shared import settle
 
 #: Entries of a shard, and of a list that counts as short, at most.
 SHARD_ENTRIES, SHORT = 50_000, 500
@@ -165,7 +166,7 @@ def candidates(probes: DataFrame, entries: DataFrame, least: int, most: int) ->
     """
     spark, kind = entries.sparkSession, entries.schema["entry_id"].dataType
     tall = probes.select("_id", "region_code", F.explode(features(most)).alias("f")).select("_id", "region_code", "f.*")
-    summed = tall.groupBy("_id", "region_code", "term", "kind").agg(F.sum("weight").cast("int").alias("weight"), F.max("opens").alias("opens"))
+    summed = settle(tall.groupBy("_id", "region_code", "term", "kind").agg(F.sum("weight").cast("int").alias("weight"), F.max("opens").alias("opens")))
     asked = summed.groupBy("_id", "region_code").agg(F.collect_list(F.struct("term", "kind", "weight", "opens")).alias("features"))
     n = entries.count()
     shards = max(1, -(-n // SHARD_ENTRIES))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from wardline.functions import address, text
 from wardline.operators import joins, resolve
+from wardline.operators.shared import settle
 
 
 def point_candidates(rows: DataFrame, areas: DataFrame, courts: DataFrame) -> DataFrame:
@@ -35,7 +36,7 @@ def address_candidates(rows: DataFrame, districts: DataFrame, entries: DataFrame
     provider: row_id, court_name, section_num. Rows may bring region, district, street,
     house and lemmas; what they lack is read from the address.
     """
-    filled = parsed_rows(rows.filter(text.not_blank(F.col("address"))))
+    filled = settle(parsed_rows(rows.filter(text.not_blank(F.col("address")))))  # addresses are parsed once for all stages
     lemmas = F.col("lemmas") if "lemmas" in rows.columns else F.array().cast("array<string>")
     by_rule = joins.rule_match(filled.select("row_id", "address", lemmas.alias("lemmas")), rules).filter("section_num IS NOT NULL")
     ruled = by_rule.select("row_id", F.concat(F.lit("Судебный участок №"), "section_num").alias("court_name"), "section_num", "source")
@@ -58,7 +59,7 @@ def resolve_rows(rows: DataFrame, candidates: DataFrame, details: DataFrame | No
     error too: ERROR_COURT_NOT_FOUND if it has a point, else ERROR_ADDRESS_NOT_FOUND.
     """
     gated = resolve.input_gate(rows)
-    good = candidates.join(gated.filter("status = 'OK'").select("row_id"), "row_id", "left_semi")
+    good = settle(candidates.join(gated.filter("status = 'OK'").select("row_id"), "row_id", "left_semi"))  # votes and selection read them
     out = gated.join(resolve.resolve_addresses(good), "row_id", "left")
     missing = F.when(F.col("lat").isNotNull() & F.col("lng").isNotNull(), "ERROR_COURT_NOT_FOUND").otherwise("ERROR_ADDRESS_NOT_FOUND")
     code = F.coalesce("error_code", F.when(F.col("court_name").isNull(), missing))
