@@ -130,8 +130,8 @@ def claims(df: DataFrame) -> DataFrame:
     return df.select("row_id", F.to_json(claim).alias("claim"))
 
 
-def xlsx(sheets: dict[str, DataFrame], path: str) -> None:
-    """A workbook of the sheets; a sheet that has more rows than the format holds is refused.
+def xlsx(sheets: dict[str, DataFrame], path) -> None:
+    """A workbook of the sheets, to a path or an open file; a sheet that has more rows than the format holds is refused.
 
     Rows pass through the driver one partition at a time and go to the file as they come.
     """
