@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -153,6 +155,19 @@ def canonical_court(df_columns: list[str]) -> dict[str, Column]:
     }
 
 
+# How the name of a court tells its region, and the words and names that go with it.
+OF_REPUBLIC = r"(?iu)Республики\s+([^»]+?)(?:\s*-?\s*Алания)?(?:\s*$|,)"
+OF_STEM = r"(?iuU)(\w+)(?:ский|кой)\s+"
+STEM_KINDS = [("областной", "область"), ("краевой", "край")]
+REPUBLIC_WORD, BY_BRACKETS = "Республика ", " (Якутия)"
+COURT_REPUBLICS = {("Алания", "Осетия"): "Республика Северная Осетия", ("Якутия",): "Республика Саха (Якутия)"}
+COURT_CITIES = {"Москва": "Москва", "Петербург": "Санкт-Петербург"}
+# How addresses in lists of courts write their region.
+LIST_AREA = rf"({NAME}\s+обл\.?)"
+LIST_CITIES = [(("г Москва", ", Москва,"), "Москва"), (("Санкт-Петербург", "СПб"), "Санкт-Петербург")]
+LIST_OTHERS = [rf"({NAME}\s+край)", rf"(Республика {NAME})", rf"({NAME}\s+АО)"]
+
+
 def region_of_court(name: Column, regions: list[str]) -> Column:
     """The region that a court's name stands for, among regions written in full; null if it names none.
 
@@ -162,41 +177,28 @@ def region_of_court(name: Column, regions: list[str]) -> Column:
     first = lambda test: F.coalesce(*[F.when(test(r), r) for r in regions])
     low = F.lower(name)
     outright = first(lambda r: F.contains(low, F.lit(r.lower())))
-    of_republic = text.first_group(name, r"(?iu)Республики\s+([^»]+?)(?:\s*-?\s*Алания)?(?:\s*$|,)")
-    short = F.replace(of_republic, F.lit(" (Якутия)"), F.lit(""))
+    of_republic = text.first_group(name, OF_REPUBLIC)
+    short = F.replace(of_republic, F.lit(BY_BRACKETS), F.lit(""))
     alike = first(lambda r: F.contains(F.lit(r), of_republic) | F.contains(of_republic, F.lit(r)) | F.contains(F.lit(r), short))
-    republic = F.when(
-        of_republic.isNotNull(),
-        F.coalesce(
-            alike,
-            F.when(F.contains(name, F.lit("Алания")) | F.contains(of_republic, F.lit("Осетия")), "Республика Северная Осетия"),
-            F.when(F.contains(of_republic, F.lit("Якутия")), "Республика Саха (Якутия)"),
-            F.concat(F.lit("Республика "), of_republic),
-        ),
-    )
-    stem = lambda kind: text.first_group(name, rf"(?iuU)(\w+)(?:ский|кой)\s+{kind}")
-    of_stem = lambda kind, word: first(lambda r: F.startswith(F.lit(r), stem(kind)) & F.lit(word in r))
-    return F.coalesce(
-        outright,
-        republic,
-        of_stem("областной", "область"),
-        of_stem("краевой", "край"),
-        F.when(F.contains(name, F.lit("Москва")) & ~F.contains(low, F.lit("область")), "Москва"),
-        F.when(F.contains(name, F.lit("Петербург")), "Санкт-Петербург"),
-    )
+    (north, yakutia), (alania, ossetia) = COURT_REPUBLICS.items(), next(iter(COURT_REPUBLICS))
+    known = [
+        F.when(F.contains(name, F.lit(alania)) | F.contains(of_republic, F.lit(ossetia)), north[1]),
+        F.when(F.contains(of_republic, F.lit(yakutia[0][0])), yakutia[1]),
+    ]
+    republic = F.when(of_republic.isNotNull(), F.coalesce(alike, *known, F.concat(F.lit(REPUBLIC_WORD), of_republic)))
+    stems = {kind: text.first_group(name, OF_STEM + kind) for kind, _ in STEM_KINDS}
+    by_stem = [first(lambda r: F.startswith(F.lit(r), stems[kind]) & F.lit(word in r)) for kind, word in STEM_KINDS]  # noqa: B023
+    moscow, petersburg = COURT_CITIES
+    cities = [
+        F.when(F.contains(name, F.lit(moscow)) & ~F.contains(low, F.lit(STEM_KINDS[0][1])), COURT_CITIES[moscow]),
+        F.when(F.contains(name, F.lit(petersburg)), COURT_CITIES[petersburg]),
+    ]
+    return F.coalesce(outright, republic, *by_stem, *cities)
 
 
 def region_of_list(c: Column) -> Column:
     """The region of an address in a list of courts, by the first of some ways to write it; empty if none."""
-    part = lambda pattern: text.first_group(c, pattern)
-    has = lambda *words: F.greatest(*[F.contains(c, F.lit(w)) for w in words]) if len(words) > 1 else F.contains(c, F.lit(words[0]))
-    area = part(rf"({NAME}\s+обл\.?)")
-    return F.coalesce(
-        F.replace(F.regexp_replace(area, r"\.$", ""), F.lit(" обл"), F.lit(" область")),
-        F.when(has("г Москва", ", Москва,"), "Москва"),
-        F.when(has("Санкт-Петербург", "СПб"), "Санкт-Петербург"),
-        part(rf"({NAME}\s+край)"),
-        part(rf"(Республика {NAME})"),
-        part(rf"({NAME}\s+АО)"),
-        F.lit(""),
-    )
+    has_any = lambda words: reduce(Column.__or__, [F.contains(c, F.lit(w)) for w in words])
+    area = F.replace(F.regexp_replace(text.first_group(c, LIST_AREA), r"\.$", ""), F.lit(" обл"), F.lit(" область"))
+    cities = [F.when(has_any(words), region) for words, region in LIST_CITIES]
+    return F.coalesce(area, *cities, *[text.first_group(c, p) for p in LIST_OTHERS], F.lit(""))

@@ -79,7 +79,7 @@ def consistency(c: Column, section: Column, case_number: Column, debtor: Column,
     return total
 
 
-#: The checks, in the order of grades.PENALTIES.
+# Names of the checks, in the order of grades.PENALTIES.
 CHECKS = ("structure", "court", "case_number", "ip_number", "amount", "debtor_fio", "self_check", "consistency")
 
 

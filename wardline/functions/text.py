@@ -187,8 +187,12 @@ def first_section(*columns: Column) -> Column:
     return F.coalesce(*[first_int(c.cast("string")) for c in columns])
 
 
+# How a street is written.
+STREET = r"(?iuU)\b(?:улица|ул\.?|проспект|пр-кт\.?|переулок|пер\.?|шоссе|бульвар|набережная|площадь)\s+([^,;\d]+?)\s*(?:,|;|\d|$)"
+
+
 def street_of(c: Column) -> Column:
-    return first_group(c, r"(?iuU)\b(?:улица|ул\.?|проспект|пр-кт\.?|переулок|пер\.?|шоссе|бульвар|набережная|площадь)\s+([^,;\d]+?)\s*(?:,|;|\d|$)")
+    return first_group(c, STREET)
 
 
 def house_of(c: Column, mode: str = "fixed") -> Column:
