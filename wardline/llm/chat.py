@@ -245,7 +245,7 @@ def repaired(turns: DataFrame, stretch: int = STRETCH) -> DataFrame:
     conversation's. Rows without conv_id are one conversation; turns without a number
     come last, equal numbers in the order of role and text; unknown and null roles are
     relabelled, null texts empty, and repeated rows are turns of their own. Other columns
-    are ignored; an empty table gives an empty result.
+    are ignored; texts of any length are rendered whole; an empty table gives an empty result.
 
     Rows alike in all but a text of more than PREFIX characters, and in so many of its
     first ones, are ordered in one task; they are still cut into stretches.

@@ -257,7 +257,8 @@ def groups(docs: DataFrame) -> DataFrame:
 
     Texts are equal when the same bytes remain without ASCII white space; null counts as
     empty. The row with the most code points stays, then the smallest doc_id (null last,
-    given as keep_id null); of rows alike in that too, exactly one. An empty table gives
+    given as keep_id null); of rows alike in that too, exactly one. Texts of any length are
+    compared whole; a trie that outgrows its budget spills by subtree. An empty table gives
     an empty result; other columns are ignored.
     """
     return decisions(docs).drop("text_hash")

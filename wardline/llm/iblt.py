@@ -146,8 +146,9 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
     A null text is empty, which is one empty paragraph. Rows without doc_id come last.
     Rows alike in doc_id and text share one place in the order, so they have the same
-    next document, which is a different one unless there is no other. Other columns are
-    ignored; an empty table gives an empty result.
+    next document, which is a different one unless there is no other. Texts of any length
+    are sketched whole, a paragraph that repeats once. Other columns are ignored; an empty
+    table gives an empty result.
     """
     text = F.coalesce("text", F.lit(""))
     no_id = F.lit(-(1 << 63)).cast("long")

@@ -111,8 +111,10 @@ def shares(docs: DataFrame, weights: Sequence[float] = WEIGHTS, max_repeat: int
     """doc_id, source, size, source_size, target, repeats, taken: one row per row of docs.
 
     A null text has size 0; a null source is a source of its own, last in order. Rows
-    alike in doc_id and text are taken or left together. An empty table gives an empty
-    result. Other columns of docs are ignored.
+    alike in doc_id and text are taken or left together, and so are rows whose hashes tie.
+    Words of whole texts are counted, however long; a text larger than its source's budget
+    is taken or not by its hash like any other. An empty table gives an empty result. Other
+    columns of docs are ignored.
     """
     rows = settle(sized(docs, seed))
     per_source = thresholds(rows, weights, max_repeat)

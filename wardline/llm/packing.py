@@ -181,7 +181,9 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY
 
     A document is its ids and the end id; a null text is the end id alone. Repeated rows
     are packed each for itself, as is a row without doc_id. Other columns are ignored; an
-    empty table gives an empty result. Groups are of about group_rows documents, and
+    empty table gives an empty result. Texts of any length are encoded whole, one at a time;
+    pieces of a group that are equally long go in the order of doc_id, piece and ids_crc32.
+    Groups are of about group_rows documents, and
     pieces of long ones, each, so at most a few sequences of each group stay part empty.
     """
     path = tokenizer or public_tokenizers.path("word_bpe_49k.json")

@@ -251,8 +251,9 @@ def scores(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     Null texts are empty: the end alone. Training takes the rows whose crc32 of the id as
     text mod 7 is not 2 (a null id counts as the empty string). score is of the text the
     tokens stand for: words in lower case, one blank between, an end. With no training
-    rows every byte has probability 1/256. Repeated rows count each; other columns are
-    ignored; an empty table gives an empty result.
+    rows every byte has probability 1/256. Repeated rows count each, equal texts score
+    alike; texts of any length are scored whole, a block holding one at least; other columns
+    are ignored; an empty table gives an empty result.
     """
     spark = docs.sparkSession
     text = F.coalesce("text", F.lit("")).cast("binary")

@@ -321,7 +321,8 @@ def clusters(docs: DataFrame) -> DataFrame:
 
     Null and wordless texts have fingerprint zero and link like any other. Rows with
     equal fingerprints are always linked. A null doc_id gets its component's smallest id,
-    null if there is none. An empty table gives an empty result.
+    null if there is none. A bit set in exactly half of the shingles is 0. Texts of any length
+    are read whole, one at a time. An empty table gives an empty result.
     """
     return linked(docs).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("least.doc_id").alias("component_id"))
 
@@ -334,7 +335,7 @@ def dedup(docs: DataFrame, shingle: int = COPY_SHINGLE, radius: int = COPY_RADIU
 
     It is that of the smallest doc_id; of rows that share it, and in components without
     any id, that with the least hash of its text; of rows repeated in both, one. Null
-    texts count as empty ones. An empty table stays empty.
+    texts count as empty ones. Texts of any length are read whole. An empty table stays empty.
     """
     rows = linked(docs, shingle, radius, bits)
     kept = F.col("doc_id").eqNullSafe(F.col("least.doc_id")) & (F.col("text_hash") == F.col("least.text_hash"))

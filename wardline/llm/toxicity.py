@@ -157,7 +157,7 @@ def scores(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Data
 
     Null and empty texts get the score of a text of no words. A null doc_id is never
     trained on and hashes as the empty string. Repeated rows get the same score each, and
-    are trained on together; an empty table gives an empty result, and without labels
+    are trained on together; texts of any length are scored whole; an empty table gives an empty result, and without labels
     every text gets the same score. Other columns are ignored.
     """
     score = scorer(train(docs, labels, fit_rows), docs.sparkSession)
