@@ -40,6 +40,20 @@ def test_row_numbers_of_several_files(spark, tmp_path):
     assert sorted(tuple(r) for r in got) == sorted(2 * [(j + 2, 55 + j / 100, float(j)) for j in range(40) if j % 3])
 
 
+def test_row_numbers_of_a_file_in_blocks(spark, tmp_path):
+    """A file that is read by several tasks is numbered like one that isn't."""
+    (tmp_path / "big.csv").write_text("lat,lon,сумма\n" + "".join("\n" if i % 50 == 7 else f"{10 + i % 70},{i % 100},{i}\n" for i in range(4000)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        df = readers.points_csv(spark, str(tmp_path / "big.csv"))
+        assert spark.read.text(str(tmp_path / "big.csv")).rdd.getNumPartitions() > 5
+        got = sorted((r.row_number, int(r.debt_amount)) for r in df.collect())
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert got == [(i + 2, i) for i in range(4000) if i % 50 != 7]
+
+
 def test_positional_lists_and_seeds(spark, tmp_path):
     (tmp_path / "p.csv").write_bytes('"Участок 5";"Мира, 1";831;111-22\r\nБ;;;\n'.encode("windows-1251"))
     got = readers.positional_csv(spark, str(tmp_path / "p.csv"), {"name": 0, "address": 1, "phone": [2, 3], "none": 9}).collect()

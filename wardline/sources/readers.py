@@ -56,13 +56,17 @@ def debtors_csv(spark: SparkSession, path: str, sep: str = ";", encoding: str =
 def points_csv(spark: SparkSession, path: str) -> DataFrame:
     """Rows with valid coordinates and their row number in their own file, the header's being 1.
 
-    Each file is one task's, whose lines are numbered as they come and then parsed by
-    Spark; the separator is that of a file's first line.
+    Files are read in blocks, as large ones are split; a line's number is its place in the
+    block after the lines of the blocks before it, which are counted first. The separator
+    is that of a file's first line.
     """
-    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), "value")
-    lines = F.split(F.regexp_replace("value", "^\ufeff", ""), "\r?\n")
-    head = lines[0]
-    numbered = files.select("path", head.alias("head"), F.posexplode(lines).alias("pos", "line")).filter("pos > 0 AND trim(line) <> ''")
+    at = {"path": F.col("_metadata.file_path"), "block": F.col("_metadata.file_block_start")}
+    lines = spark.read.text(path).select("value", *[c.alias(n) for n, c in at.items()]).withColumn("id", F.monotonically_increasing_id())
+    before = F.sum("n").over(Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
+    blocks = lines.groupBy("path", "block").agg(F.min("id").alias("first"), F.count("*").alias("n")).select("path", "block", (F.coalesce(before, F.lit(0)) - F.col("first")).alias("shift"))
+    placed = lines.join(blocks, ["path", "block"]).select("path", (F.col("id") + F.col("shift")).alias("pos"), F.col("value").alias("line"))
+    heads = placed.filter("pos = 0").select("path", F.regexp_replace("line", "^\ufeff", "").alias("head"))
+    numbered = placed.filter("pos > 0 AND trim(line) <> ''").join(heads, "path")
     # separators inside quotes part nothing
     apart = lambda sep: f'{sep}(?=(?:[^"]*"[^"]*")*[^"]*$)'
     parts = lambda c: F.when(F.contains("head", F.lit(";")), F.split(c, apart(";"))).otherwise(F.split(c, apart(",")))
