@@ -386,15 +386,18 @@ def dedup(docs: DataFrame, batches: int = BATCHES, filtered: bool = True, index:
     gives an empty result.
 
     With an index of one's own the texts merged into it before are earlier ones, and it
-    stays for later calls; every window is then indexed, as without the filter. Without
-    one an index is made for the call and emptied after it.
+    stays for later calls: runs of stretches in its folder, of single windows in one below.
+    Every window is then indexed, as without the filter. Without one an index is made for
+    the call and emptied after it.
     """
     spark = docs.sparkSession
     place = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))
     read = docs.select(place.alias("place"), F.xxhash64(place, F.col("text").cast("binary")).alias("doc"), F.col("text").cast("binary").alias("text"), F.col("doc_id").cast("long").alias("doc_id"))
     low, high = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
     low, high = low or 0, high or 0
-    own = index or FingerprintIndex(spark, f"{shared_folder(spark)}/index-{uuid.uuid4().hex}")
+    stretches = index or FingerprintIndex(spark, f"{shared_folder(spark)}/index-{uuid.uuid4().hex}")
+    # keys of windows are never those of stretches, so they have runs of their own
+    singles = FingerprintIndex(spark, f"{stretches.folder}/windows", stretches.most_runs, stretches.buckets)
 
     def batch(i: int) -> DataFrame:
         begin, end = (low + (high - low + 1) * k // batches for k in (i, i + 1))
@@ -407,17 +410,21 @@ def dedup(docs: DataFrame, batches: int = BATCHES, filtered: bool = True, index:
     try:
         found, cells = None, None
         for i in range(batches):
-            again, new = own.merge(batch(i).mapInArrow(_stretch_rows, _PLACES))
+            again, new = stretches.merge(batch(i).mapInArrow(_stretch_rows, _PLACES))
             found, cells = (again, new) if i == 0 else (found.union(again), cells.union(new))
         cells = cells.select("doc", "cells").mapInArrow(_cell_rows(index is not None or not filtered), "anchor long, doc long, cell long, known boolean")
         cells = cells.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_recurring, "doc long, cell long")
         cells = settle(cells.groupBy("doc").agg(F.collect_set("cell").alias("cells")))
+        if index is None:  # what the runs of stretches told is kept, they can go
+            found = settle(found)
+            stretches.close(empty=True)
         for i in range(batches):
-            single, _ = own.merge(batch(i).join(cells, "doc").select("place", "doc", "text", "cells").mapInArrow(_window_rows, _PLACES))
+            single, _ = singles.merge(batch(i).join(cells, "doc").select("place", "doc", "text", "cells").mapInArrow(_window_rows, _PLACES))
             found = found.union(single)
         found = found.groupBy("doc", "place").agg(F.collect_set(F.struct("at", "span")).alias("places"))
         result = read.join(found, ["doc", "place"], "left").select("doc_id", "text", "places").mapInArrow(_final, "doc_id long, n_words long, n_removed long, kept_sha256 string")
         return settle(result)
     finally:  # tables and files of a call that failed go too
+        singles.close(empty=index is None)
         if index is None:
-            own.close(empty=True)
+            stretches.close(empty=True)
