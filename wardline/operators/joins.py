@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from wardline.functions import geo, text
 
 from . import contain, intervals, rings, search
+from .shared import settle
 
 BROADCAST_ROWS = 200_000
 BROADCAST_BYTES = 200_000_000
@@ -124,7 +125,7 @@ def points_in_rings(points: DataFrame, areas: DataFrame, border: bool = True) ->
     for each level that occurs, and looks at those edges alone. With border, the distance to
     the border, as far as it counts, comes from the edges of a cell around the point.
     """
-    leaves = rings.quadtrees(areas)
+    leaves = settle(rings.quadtrees(areas))
     levels = [r.level for r in leaves.select("level").distinct().collect()]  # 31 at most
     x, y = F.col("lon"), F.col("lat")
     good = points.filter(geo.valid_point(y, x))
@@ -133,7 +134,7 @@ def points_in_rings(points: DataFrame, areas: DataFrame, border: bool = True) ->
     hits = dealt.join(dimension(leaves), ["level", "cx", "cy"]).filter(rings.inside(x, y)).drop("level", "cx", "cy", "odd", "edges")
     if border:
         cells = hits.withColumns({"bx": F.floor(x / rings.NEAR).cast("long"), "by": F.floor(y / rings.NEAR).cast("long")})
-        near = cells.join(dimension(rings.borders(areas)), ["area_id", "bx", "by"], "left")
+        near = cells.join(dimension(settle(rings.borders(areas))), ["area_id", "bx", "by"], "left")
         hits = near.withColumn("border_m", rings.distance(x, y) * geo.METRES_A_DEGREE).drop("bx", "by", "near")
     return hits.join(dimension(areas.drop("ring")), "area_id")
 
@@ -275,7 +276,7 @@ def rule_pairs(probes: DataFrame, rules: DataFrame) -> DataFrame:
 
     All factors and region keys are looked for in one scan of each address; equal keys then meet.
     """
-    keyed = keyed_rules(rules)
+    keyed = settle(keyed_rules(rules))
     one_line = F.concat_ws("\n", F.lower("address"), text.ru_lower(F.col("address")), F.array_join(F.transform("lemmas", F.lower), "\n"))
     marked = probes.withColumn("_id", F.sha2(F.to_json(F.struct("address", "lemmas")), 256)).withColumn("_text", one_line)
     wanted = keyed.select(F.explode(F.array("_region", "_factor")).alias("part")).distinct()
