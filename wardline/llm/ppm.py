@@ -12,17 +12,17 @@ strings it holds, and the answers return to it.
 
 from __future__ import annotations
 
-import math
 from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_of_id, settle
+from .common import crc_of_id, pieces, settle
 
 #: Bytes of context.
 ORDER = 5
@@ -148,29 +148,40 @@ def tally(codes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _ask_strings(part: pa.Table) -> pa.Table:
-    known, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    parts: list[tuple[np.ndarray, np.ndarray]] = []  # distinct strings and counts of some texts each
     codes: tuple[list, list] = [], []  # of training and of held-out texts
-    held = 0
+    held = waiting = 0
 
-    def merged() -> tuple[np.ndarray, np.ndarray]:
+    def tallied() -> int:
         (keys, n), (others, _) = tally(codes[0]), tally(codes[1])
-        return sums(np.concatenate([known, keys, others]), np.concatenate([counts, n, np.zeros(len(others), np.int64)]))
+        parts.append((np.concatenate([keys, others]), np.concatenate([n, np.zeros(len(others), np.int64)])))
+        return len(parts[-1][0])
 
     for _, held_out, words in _texts(part):
         codes[held_out].append(strings_of(words))
         held += len(codes[held_out][-1])
         if held > CHUNK:
-            (known, counts), codes, held = merged(), ([], []), 0
-    known, counts = merged()
+            waiting, codes, held = waiting + tallied(), ([], []), 0
+            if waiting > 2 * CHUNK:
+                parts, waiting = [sums(*map(np.concatenate, zip(*parts)))], 0
+    tallied()
+    known, counts = sums(*map(np.concatenate, zip(*parts)))
     block = part.column("block")[0].as_py()
     return pa.table({"block": pa.array(np.full(len(known), block, np.int32)), "string": pa.array(known), "n": pa.array(counts)})
 
 
 def _count_pairs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     pairs = np.zeros(1 << 16, np.int64)
-    for batch in batches:
+    for batch in pieces(batches):
+        codes, held = [], 0
         for words in map(words_of, batch.column(0).to_pylist()):
-            pairs += np.bincount(strings_of(words) & 0xFFFF, minlength=1 << 16)
+            codes.append(strings_of(words))
+            held += len(codes[-1])
+            if held > CHUNK:
+                pairs += np.bincount(np.concatenate(codes) & 0xFFFF, minlength=1 << 16)
+                codes, held = [], 0
+        if codes:
+            pairs += np.bincount(np.concatenate(codes) & 0xFFFF, minlength=1 << 16)
     at = np.flatnonzero(pairs)
     yield pa.record_batch([pa.array(at), pa.array(pairs[at])], names=["pair", "n"])
 
@@ -208,15 +219,16 @@ _SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, log_count
 
 def _score(part: pa.Table, answers: pa.Table) -> pa.Table:
     trained, others = _count_words(part)
-    total, mine, logs = sum(trained.values()), len(trained), dict.fromkeys(others)
+    total, mine = sum(trained.values()), len(trained)
+    logs = dict.fromkeys(others, 0.0)  # of a word never trained on; all others are above 0
+    logs.update(zip(trained, np.log10(np.fromiter(trained.values(), float, mine) + 1).tolist()))
     del others
     pa.default_memory_pool().release_unused()
     words = answers.select(["word", "value", "first"]).filter(answers.column("word").is_valid())
     for some in words.to_batches(max_chunksize=20_000):  # so that few are Python objects at once
-        for word, n, first in zip(*(c.to_pylist() for c in some.columns)):
-            mine -= trained.pop(word, 0) > 0 and not first
-            logs[word] = math.log10(n + 1)
-    logs.update((k, math.log10(n + 1)) for k, n in trained.items())
+        named, value, first = some.columns
+        logs.update(zip(named.to_pylist(), np.log10(value.to_numpy() + 1).tolist()))
+        mine -= sum(map(trained.__contains__, named.filter(pc.invert(first.fill_null(False))).to_pylist()))
     del trained, words
     known = answers.select(["string", "value"]).filter(answers.column("string").is_valid())
     place, values = pd.Index(known.column("string").to_numpy()), known.column("value").to_numpy()
@@ -232,8 +244,8 @@ def _score(part: pa.Table, answers: pa.Table) -> pa.Table:
             rows.extend((*row, score, None, None) for row, score in zip(waiting, np.add.reduceat(each, starts).tolist()))
 
     for doc_id, held_out, tokens in _texts(part):
-        found = [x for x in map(logs.get, [*tokens, b""]) if x is not None]
-        waiting.append((doc_id, held_out, len(tokens) + 1, len(found), sum(found)))
+        found = [*map(logs.__getitem__, tokens), logs[b""]]
+        waiting.append((doc_id, held_out, len(found), len(found) - found.count(0.0), sum(found)))
         codes.append(strings_of(tokens))
         held += len(codes[-1])
         if held > CHUNK:
