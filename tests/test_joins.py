@@ -243,3 +243,25 @@ def test_ring_faults_and_verification(spark):
     areas = spark.createDataFrame([(i, r and [{"x": x, "y": y} for x, y in r]) for i, r in rings], "area_id int, ring array<struct<x:double,y:double>>")
     got = {r.area_id: (r.fault, r.overlaps, r.status) for r in quality.verification(areas).collect()}
     assert got == {1: (None, 1, "warning"), 2: (None, 1, "warning"), 3: ("crosses itself", 0, "error"), 4: ("missing", 0, "error"), 5: ("too few corners", 0, "error"), 6: (None, 0, "ok")}
+
+
+def counted(spark, monkeypatch, module, name, value):
+    """How often a column function of a module is worked out, in place of which value stands."""
+    times = spark.sparkContext.accumulator(0)
+
+    @F.udf(type(value).__name__.replace("float", "double").replace("bool", "boolean"))
+    def one(*_):
+        times.add(1)
+        return value
+
+    monkeypatch.setattr(module, name, lambda *columns: one.asNondeterministic()(*columns))
+    return times
+
+
+def test_radius_list_of_points_at_one_position(spark, monkeypatch):
+    points = spark.range(200).select(F.col("id").alias("point_id"), F.lit(55.0).alias("lat"), F.lit(37.0).alias("lon"), F.when(F.col("id") < 2, "R").alias("region"))
+    places = spark.range(3).select(F.col("id").alias("place_id"), F.lit(55.0).alias("plat"), (37 + F.col("id") / 100).alias("plon"), F.lit("Мировой суд").alias("name"), F.when(F.col("id") == 2, "край r").alias("place_region"))
+    got = joins.radius_list(points, places).collect()
+    assert sorted((r.point_id, r.nth, r.place_id) for r in got) == [(0, 1, 2), (1, 1, 2)] + [(i, n + 1, n) for i in range(2, 200) for n in range(3)]
+    times = counted(spark, monkeypatch, geo, "haversine_km", 1.0)
+    assert joins.radius_list(points, places).count() == 2 + 198 * 3 and times.value <= 20  # 600 pairs of points and places

@@ -22,3 +22,8 @@ def settle(df: DataFrame) -> DataFrame:
     """df, worked out once into the shared folder, without its lineage."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """df over all cores, by keys if any, before costly work: a table of few row groups is else read and worked on by few tasks."""
+    return df.repartition(4 * df.sparkSession.sparkContext.defaultParallelism, *keys)
