@@ -138,3 +138,11 @@ def test_repaired_areas(spark):
     df = spark.createDataFrame([(i, corners(s)) for i, s in enumerate(shapes)] + [(9, None)], RING)
     got = {r.area_id: (len(r.rings or []), r.area, r.changed) for r in quality.repaired(df).collect()}
     assert got == {0: (2, 2.0, True), 1: (1, 4.0, False), 2: (2, 12.0, False), 3: (0, 0.0, False), 9: (0, 0.0, False)}
+
+
+def test_rings_of_one_file_are_repaired_by_many_tasks(spark):
+    square = [{"x": x, "y": y} for x, y in ((0.0, 0.0), (0.0, 2.0), (2.0, 2.0), (2.0, 0.0))]
+    rows = [(i, square) for i in range(200)] + [(900, [*square, None]), (901, [*square, {"x": None, "y": 1.0}])]
+    made = quality.repaired(spark.createDataFrame(rows, RING).coalesce(1)).withColumn("task", F.spark_partition_id()).collect()
+    assert len({r.task for r in made}) > 1
+    assert {(r.area_id >= 900, len(r.rings), r.area, r.changed) for r in made} == {(False, 1, 4.0, False), (True, 0, 0.0, False)}

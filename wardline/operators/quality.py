@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from wardline.functions import text
 from wardline.operators import joins, rings
 from wardline.operators.reports import share
+from wardline.operators.shared import dealt
 
 
 def ring_faults(areas: DataFrame) -> DataFrame:
@@ -27,21 +28,11 @@ def repaired(areas: DataFrame) -> DataFrame:
     They bound the points that an even-odd count of the sides finds inside: outer rings turn
     left, holes right, and area is the sum of both. A ring that is valid as it is stays one ring,
     with repeated corners left out; changed tells whether there were crossings. Null rings
-    and those of no area have no rings.
+    and those of no area, or with null corners, have no rings.
     """
 
-    @F.pandas_udf("array<array<struct<x:double,y:double>>>")
-    def rebuilt(column):
-        def one(ring):
-            made = rings.repaired(rings.edges_of(ring)) if ring is not None and len(ring) > 2 else []
-            return [[{"x": x, "y": y} for x, y in r] for r in made]
-
-        return column.map(one)
-
     signed = lambda r: F.aggregate(F.sequence(F.lit(0), F.size(r) - 1), F.lit(0.0), lambda s, i: s + r[i]["x"] * r[(i + 1) % F.size(r)]["y"] - r[(i + 1) % F.size(r)]["x"] * r[i]["y"]) / 2
-    out = areas.select("area_id", rebuilt("ring").alias("rings")).withColumn("area", F.aggregate("rings", F.lit(0.0), lambda s, r: s + signed(r)))
-    crossed = ring_faults(areas).filter("fault = 'crosses itself'").select("area_id", F.lit(True).alias("changed"))
-    return out.join(crossed, "area_id", "left").withColumn("changed", F.coalesce("changed", F.lit(False)))
+    return rings.rebuilt(dealt(areas)).select("area_id", "rings", F.aggregate("rings", F.lit(0.0), lambda s, r: s + signed(r)).alias("area"), "changed")
 
 
 def verification(areas: DataFrame) -> DataFrame:

@@ -282,6 +282,7 @@ def untangled(ring: list[tuple]) -> list[list[tuple]]:
     return [r for r in [*out, path] if len(r) > 2]
 
 
+_RING = pa.list_(pa.struct([(c, pa.float64()) for c in ("x", "y")]))
 _EDGES = pa.list_(pa.struct([(c, pa.float64()) for c in ("x1", "y1", "x2", "y2")]))
 EDGES = "array<struct<x1:double,y1:double,x2:double,y2:double>>"
 
@@ -319,6 +320,33 @@ def _border_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([ids, pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), _rows(e[i] for i in edges)], names=["area_id", "bx", "by", "near"])
 
 
+def _rebuilt_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        column = b.column("ring")
+        x, y = (column.values.field(c).cast(pa.float64()) for c in ("x", "y"))
+        corners = np.column_stack([v.to_numpy(zero_copy_only=False) for v in (x, y)])
+        whole = np.logical_and.reduce([v.is_valid().to_numpy(zero_copy_only=False) for v in (column.values, x, y)])
+        ends, there = column.offsets.to_numpy(), column.is_valid().to_numpy(zero_copy_only=False)
+        # many areas may have one ring; each ring of a batch is worked on once
+        nth: dict[bytes, int] = {}
+        made, changed, of = [], [], np.zeros(b.num_rows, np.int64)
+        for i, (begin, end) in enumerate(zip(ends[:-1], ends[1:])):
+            p = corners[begin:end] if there[i] and end - begin > 2 and whole[begin:end].all() else corners[:0]
+            of[i] = nth.setdefault(p.tobytes(), len(made))
+            if of[i] == len(made):
+                e = np.concatenate([p, np.roll(p, -1, axis=0)], axis=1)
+                made.append([[{"x": u, "y": v} for u, v in r] for r in repaired(e)] if len(p) else [])
+                changed.append(len(p) > 3 and crosses_itself(e))
+        rows = pa.array(of)
+        yield pa.record_batch([b.column("area_id"), pa.array(made, pa.list_(_RING)).take(rows), pa.array(changed, pa.bool_()).take(rows)], names=["area_id", "rings", "changed"])
+
+
+def rebuilt(areas: DataFrame) -> DataFrame:
+    """area_id, rings, changed: each ring as rings that don't cross themselves, and whether it crossed itself."""
+    kind = areas.schema["area_id"].dataType.simpleString()
+    return areas.select("area_id", "ring").mapInArrow(_rebuilt_rows, f"area_id {kind}, rings array<array<struct<x:double,y:double>>>, changed boolean")
+
+
 def quadtrees(areas: DataFrame) -> DataFrame:
     """area_id, level, cx, cy, odd, edges of areas (area_id, ring); rings that are null or have null corners have none."""
     kind = areas.schema["area_id"].dataType.simpleString()
