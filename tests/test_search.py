@@ -157,3 +157,24 @@ def test_genitive_streets_meet_their_rules_without_lemmas(spark):
     addresses = spark.createDataFrame([(1, "г. Самара, ул. Октябрьской, д. 5"), (2, "дома по Садовой, д. 5"), (3, "дома по Садовой, д. 50"), (4, "Мира, 1"), (5, None)], "row_id int, address string")
     got = {r.row_id: (r.section_num, r.source) for r in joins.rule_match(addresses, spark.createDataFrame([rule, other], RULES)).collect()}
     assert got == {1: ("7", "law_rules"), 2: ("8", "law_rules_nlp_fuzzy"), 3: (None, None), 4: (None, None), 5: (None, None)}
+
+
+def test_interval_totals_as_counted_pairs(spark):
+    draw = random.Random(6)
+    intervals_ = [(draw.choice("ab"), draw.choice([None, draw.randint(-50, 50)]), draw.choice([None, draw.randint(-50, 50)]), i) for i in range(80)] + [(None, 0, 9, 99), ("a", -5, 5, 7)]
+    probes = [(i, draw.choice(["a", "b", "c", None]), draw.randint(-60, 60)) for i in range(200)] + [(999, "a", None)]
+    want = {}
+    for r, s, n in probes:
+        held = [k for t, lo, hi, k in intervals_ if s is not None and s == t and n is not None and (lo is None or lo <= n) and (hi is None or n <= hi)]
+        if held:
+            want[r] = (len(held), min(held))
+    got = intervals.interval_totals(spark.createDataFrame(probes, "row int, street string, house int"), spark.createDataFrame(intervals_, "street string, low int, high int, nth int"), ["street"], "house", "nth")
+    assert {r.row: (r.n_ranges, r.first) for r in got.collect()} == want
+
+
+def test_interval_totals_make_no_pairs(spark):
+    """20,000 houses of one number in 20,000 ranges would be 4 * 10^8 pairs."""
+    k = F.col("id")
+    one = spark.range(20_000).select(F.lit("a").alias("street"), F.lit(1).alias("low"), F.lit(9).alias("high"), k, F.lit(5).alias("house"))
+    got = intervals.interval_totals(one.select("street", "house"), one, ["street"], "house", "id")
+    assert got.groupBy("n_ranges", "first").count().collect() == [(20_000, 0, 20_000)]

@@ -39,6 +39,17 @@ def bin_of(value: Column, level: Column) -> Column:
     return F.call_function("shiftright", value.cast("long"), level)
 
 
+def _binned(probes: DataFrame, intervals: DataFrame, value: str, low: str, high: str, top: int) -> tuple[DataFrame, int, int]:
+    """intervals with _level and _bin for each of their bins, and the smallest and largest value; bins are counted from the smallest."""
+    n = F.col(value).cast("long")
+    least, most = probes.agg(F.min(n), F.max(n)).first()
+    least, most = least or 0, most or 0
+    # counted from the smallest value, so that bins begin at zero
+    begin = F.greatest(F.coalesce(F.col(low).cast("long"), F.lit(least)), F.lit(least)) - least
+    end = F.least(F.coalesce(F.col(high).cast("long"), F.lit(most)), F.lit(most)) - least
+    return intervals.withColumn("_bin", F.explode(covers(begin, end, top))).select("*", "_bin.level", "_bin.bin").drop("_bin").withColumnsRenamed({"level": "_level", "bin": "_bin"}), least, most
+
+
 def interval_join(probes: DataFrame, intervals: DataFrame, on: list[str], value: str, low: str = "low", high: str = "high", top: int = 20, how: str = "inner") -> DataFrame:
     """probes with the intervals (columns of on, low, high and more) whose low..high holds their value, both included.
 
@@ -46,13 +57,8 @@ def interval_join(probes: DataFrame, intervals: DataFrame, on: list[str], value:
     to keep probes without intervals. Numbers below an open interval's other end are bound
     by the smallest and largest value of the probes, which are looked up once.
     """
+    binned, least, _ = _binned(probes, intervals, value, low, high, top)
     n = F.col(value).cast("long")
-    least, most = probes.agg(F.min(n), F.max(n)).first()
-    least, most = least or 0, most or 0
-    # counted from the smallest value, so that bins begin at zero
-    begin = F.greatest(F.coalesce(F.col(low).cast("long"), F.lit(least)), F.lit(least)) - least
-    end = F.least(F.coalesce(F.col(high).cast("long"), F.lit(most)), F.lit(most)) - least
-    binned = intervals.withColumn("_bin", F.explode(covers(begin, end, top))).select("*", "_bin.level", "_bin.bin").drop("_bin").withColumnsRenamed({"level": "_level", "bin": "_bin"})
     keys = [F.col(c).alias(f"_{c}") for c in on]
     same = lambda df: [F.col(c) == F.col(f"_{c}") for c in on]
     levels = binned.groupBy(*on).agg(F.array_sort(F.collect_set("_level")).alias("_levels")).select(*keys, "_levels")
@@ -65,3 +71,19 @@ def interval_join(probes: DataFrame, intervals: DataFrame, on: list[str], value:
     extra = [c for c in intervals.columns if c not in on]
     hits = met.select("_row", *extra).withColumnRenamed("_row", "_of")
     return numbered.join(hits, F.col("_row") == F.col("_of"), "left").drop("_row", "_of")
+
+
+def interval_totals(probes: DataFrame, intervals: DataFrame, on: list[str], value: str, first: str, low: str = "low", high: str = "high", top: int = 20) -> DataFrame:
+    """probes with n_ranges, how many intervals hold their value, and first, the least of their column first; equal in on.
+
+    What interval_join and a count give, without its pairs: intervals are counted by their ends
+    and then by bin, and each value of a key adds up one row of a bin for each size. Probes without intervals drop out.
+    """
+    alike = intervals.groupBy(*on, low, high).agg(F.count("*").alias("_n"), F.min(first).alias("_first"))
+    binned, least, most = _binned(probes, alike, value, low, high, top)
+    bins = binned.groupBy(*on, "_level", "_bin").agg(F.sum("_n").alias("_n"), F.min("_first").alias("_first"))
+    levels = range(min(top, (most - least).bit_length()) + 1)
+    values = probes.select(*on, F.col(value).cast("long").alias("_value")).distinct()
+    tried = values.withColumn("_level", F.explode(F.array(*map(F.lit, levels)).cast("array<int>"))).withColumn("_bin", bin_of(F.col("_value") - least, F.col("_level")))
+    totals = tried.join(bins, [*on, "_level", "_bin"]).groupBy(*on, "_value").agg(F.sum("_n").alias("n_ranges"), F.min("_first").alias("first"))
+    return probes.withColumn("_value", F.col(value).cast("long")).join(totals, [*on, "_value"]).drop("_value")
