@@ -274,3 +274,11 @@ def test_nearest_of_places_at_one_position(spark, monkeypatch):
     assert sorted({(r.place_id, r.nth) for r in joins.nearest(points, places, top=2).collect()}) == [(7, 1), (8, 2)]
     times = counted(spark, monkeypatch, geo, "haversine_km", 1.0)
     assert joins.nearest(points, places).count() == 100 and times.value <= 3  # 10,000 pairs
+
+
+def test_addresses_are_parsed_once_by_many_tasks(spark):
+    rows = spark.range(300).select("id", F.when(F.col("id") > 0, F.concat(F.lit("Самарская область, Приокский район, д. "), (F.col("id") % 100).cast("string"))).alias("address")).coalesce(1)
+    got = joins.parsed_parts(rows, "region", "district").collect()
+    assert {(r.id > 0, r.region, r.district) for r in got} == {(True, "Самарская область", "Приокский"), (False, None, None)} and len(got) == 300
+    plan = joins.parsed_parts(rows, "region")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [address" in plan and "Repartition" in plan

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wardline.functions import address, text
+from wardline.functions import text
 from wardline.operators import joins, resolve
+from wardline.operators.shared import settle
 
 FOUND = ("row_id", "court_name", "section_num", "source", "needs_review")
 BORDER_METRES, RADIUS_KM = 50.0, 5.0
@@ -64,7 +65,7 @@ def by_address(rows: DataFrame, rules: DataFrame, districts: DataFrame, provider
     filled = rows.filter(text.not_blank(F.col("address"))).select("row_id", F.trim("address").alias("address"), "lemmas")
     ruled = joins.rule_match(filled, rules).filter("section_num IS NOT NULL").withColumn("court_name", F.concat(F.lit("Судебный участок №"), "section_num"))
     stages = [ruled.select("row_id", "court_name", "section_num", "source", F.lit(False).alias("needs_review"))]
-    parsed = filled.select("row_id", address.parse(F.col("address")).alias("a")).select("row_id", "a.region", "a.district")
+    parsed = joins.parsed_parts(filled.select("row_id", "address"), "region", "district")
     stages.append(_by_district(parsed, districts, "address_district"))
     if provider is not None:
         stages.append(_found(provider.filter(text.not_blank(F.col("court_name"))), "dadata"))
@@ -85,7 +86,7 @@ def by_person(rows: DataFrame, districts: DataFrame, prefixes: DataFrame, provid
     address's region, the registry's answer by name, and in the end the fallback.
     """
     parsed = joins.prefix_lookup(rows.select("row_id", "fio", "passport", "address"), "passport", prefixes).withColumnRenamed("region", "passport_region")
-    parsed = parsed.withColumn("a", address.parse(F.col("address"))).select("row_id", "fio", "address", "passport_region", F.col("a.region").alias("address_region"), F.col("a.district").alias("district"))
+    parsed = settle(joins.parsed_parts(parsed, "region", "district").withColumnRenamed("region", "address_region"))  # all stages read it
     having = lambda table, column: table.join(parsed.filter(text.not_blank(F.col(column))).select("row_id"), "row_id", "left_semi")
     stages = []
     if provider is not None:
