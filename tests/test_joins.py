@@ -6,7 +6,7 @@ import random
 from pyspark.sql import functions as F
 
 from wardline.functions import address, documents, geo, ranges, text
-from wardline.operators import joins, quality, rings
+from wardline.operators import joins, quality, rings, tables
 
 RULES = "rule_order int, section_num string, region string, area_text string, street_pattern string, house_from int, house_to int, house_parity string, house_suffix string, house_step int"
 ONE = (1, "1", "Нижегородская область", "Нижний Новгород", r"ул\.\s*Ватутина", 1, 20, None, None, None)
@@ -282,3 +282,10 @@ def test_addresses_are_parsed_once_by_many_tasks(spark):
     assert {(r.id > 0, r.region, r.district) for r in got} == {(True, "Самарская область", "Приокский"), (False, None, None)} and len(got) == 300
     plan = joins.parsed_parts(rows, "region")._jdf.queryExecution().optimizedPlan().toString()
     assert "Aggregate [address" in plan and "Repartition" in plan
+
+
+def test_two_way_difference_takes_nulls_as_equal_and_joins_nothing(spark):
+    numbers = lambda *n: spark.createDataFrame([(x,) for x in n], "k int")
+    got = tables.two_way_difference(numbers(1, 2, 2, None), numbers(2, 3, 3, None), "k")
+    assert sorted(map(tuple, got.collect())) == [(1, "missing"), (3, "extra")]
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import dealt
+
 
 def keep_first(df: DataFrame, keys: list[str | Column], *order: Column) -> DataFrame:
     """Of rows alike in the keys the first by an explicit order."""
@@ -55,10 +57,12 @@ def missing_numbers(present: DataFrame, column: str, low: int, high: int) -> Dat
 
 
 def two_way_difference(expected: DataFrame, actual: DataFrame, key: str) -> DataFrame:
-    """key, side: what is expected and missing, and what is there in excess."""
-    e, a = expected.select(key).distinct(), actual.select(key).distinct()
-    missing = e.join(a, key, "left_anti").withColumn("side", F.lit("missing"))
-    return missing.unionByName(a.join(e, key, "left_anti").withColumn("side", F.lit("extra")))
+    """key, side: what is expected and missing, and what is there in excess; nulls are equal."""
+    of = lambda df, there: df.select(key, F.lit(there).alias("_expected"))
+    # keys are dealt once, so a task holds its share of them and nothing else
+    both = dealt(of(expected, True).unionByName(of(actual, False)), key).groupBy(key).agg(F.max("_expected").alias("_e"), F.min("_expected").alias("_a"))
+    side = F.when(F.col("_a"), "missing").when(~F.col("_e"), "extra")
+    return both.select(key, side.alias("side")).filter("side IS NOT NULL")
 
 
 def fill_down(df: DataFrame, value: str, by: list[str], *order: Column) -> DataFrame:
