@@ -145,3 +145,12 @@ def test_an_empty_log_has_no_messages(tmp_path, n):
         log.append(["a", "b"])
         log.append(["c"])
         assert list(log.read(1, 3)) == [(1, "b"), (2, "c")]
+
+
+def test_messages_of_positions_are_parsed_once(spark):
+    from wardline.streaming import stateful
+
+    said = ['{"position": {"lat": 1, "lng": 2}, "data": {"lat": 5, "MMSI": "m"}}', '{"lat": null, "vessel": {"latitude": 3, "longitude": 4, "mmsi": 7}}', '{"lat": 1}', "ping", None]
+    got = stateful.positions(spark.createDataFrame([(s,) for s in said], "value string"))
+    assert sorted((r.lat, r.lon, r.mmsi) for r in got.collect()) == [(1.0, 2.0, "m"), (3.0, 4.0, "7")]
+    assert got._jdf.queryExecution().optimizedPlan().toString().lower().count("parsejson") <= 1

@@ -54,15 +54,18 @@ def session_counts(stream: DataFrame, key: str, at: str, gap: str, late: str = "
 
 def positions(messages: DataFrame, value: str = "value") -> DataFrame:
     """Ship positions from JSON messages, under any of the names that trackers use; without coordinates none."""
-    v = F.try_parse_json(F.col(value).cast("string"))
-    roots = ("$", "$.position", "$.geometry", "$.vessel", "$.data", "$.result")
-    probe = lambda names, kind: F.coalesce(*[F.try_variant_get(v, f"{r}.{n}", kind) for r in roots for n in names])
-    rows = messages.select(
+    roots = ("position", "geometry", "vessel", "data", "result")
+    # a message is parsed once, its inner objects are looked up once, and names only in those that are there
+    once = lambda df, c: df.select("raw", F.explode(F.array(c)).alias("v"))
+    read = once(messages.select(F.col(value).cast("string").alias("raw")), F.try_parse_json("raw"))
+    objects = once(read, F.struct(F.col("v").alias("message"), *[F.try_variant_get("v", f"$.{r}", "variant").alias(r) for r in roots]))
+    probe = lambda names, kind: F.coalesce(*[F.try_variant_get(f"v.{r}", f"$.{n}", kind) for r in ("message", *roots) for n in names])
+    found = F.struct(
         probe(("mmsi", "MMSI"), "string").alias("mmsi"),
         probe(("name", "shipname"), "string").alias("name"),
         probe(("lat", "latitude"), "double").alias("lat"),
         probe(("lon", "lng", "longitude"), "double").alias("lon"),
         probe(("speed", "sog"), "double").alias("speed"),
-        F.col(value).cast("string").alias("raw"),
     )
+    rows = once(objects, found).select("v.*", "raw")
     return rows.filter("lat IS NOT NULL AND lon IS NOT NULL")
