@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wardline.functions import address, text
+from wardline.functions import text
 from wardline.operators import joins, resolve
 from wardline.operators.shared import settle
 
@@ -26,8 +26,7 @@ def point_candidates(rows: DataFrame, areas: DataFrame, courts: DataFrame) -> Da
 
 def parsed_rows(rows: DataFrame) -> DataFrame:
     """rows with region, district, street and house of their address, where they don't have these columns."""
-    parts = address.parse(F.col("address"))
-    return rows.withColumns({c: parts[c] for c in ("region", "district", "street", "house") if c not in rows.columns})
+    return joins.parsed_parts(rows, *[c for c in ("region", "district", "street", "house") if c not in rows.columns])
 
 
 def address_candidates(rows: DataFrame, districts: DataFrame, entries: DataFrame, rules: DataFrame, provider: DataFrame | None = None) -> DataFrame:
