@@ -284,6 +284,13 @@ def test_addresses_are_parsed_once_by_many_tasks(spark):
     assert "Aggregate [address" in plan and "Repartition" in plan
 
 
+def test_a_filter_on_a_parsed_part_is_not_worked_out_for_each_row(spark):
+    rows = spark.range(300).select("id", F.concat(F.lit("Самарская область, Приокский район, д. "), (F.col("id") % 3).cast("string")).alias("address"))
+    plan = joins.parsed_parts(rows, "region", "district").filter(text.not_blank(F.col("region")))._jdf.queryExecution().optimizedPlan().toString()
+    above, below = plan.split("Aggregate [address", 1)
+    assert "(?iuU)" in above and "(?iuU)" not in below
+
+
 def test_two_way_difference_takes_nulls_as_equal_and_joins_nothing(spark):
     numbers = lambda *n: spark.createDataFrame([(x,) for x in n], "k int")
     got = tables.two_way_difference(numbers(1, 2, 2, None), numbers(2, 3, 3, None), "k")

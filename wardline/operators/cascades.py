@@ -65,7 +65,7 @@ def by_address(rows: DataFrame, rules: DataFrame, districts: DataFrame, provider
     filled = rows.filter(text.not_blank(F.col("address"))).select("row_id", F.trim("address").alias("address"), "lemmas")
     ruled = joins.rule_match(filled, rules).filter("section_num IS NOT NULL").withColumn("court_name", F.concat(F.lit("Судебный участок №"), "section_num"))
     stages = [ruled.select("row_id", "court_name", "section_num", "source", F.lit(False).alias("needs_review"))]
-    parsed = joins.parsed_parts(filled.select("row_id", "address"), "region", "district")
+    parsed = settle(joins.parsed_parts(filled.select("row_id", "address"), "region", "district").select("row_id", "region", "district"))  # the lookup reads it twice
     stages.append(_by_district(parsed, districts, "address_district"))
     if provider is not None:
         stages.append(_found(provider.filter(text.not_blank(F.col("court_name"))), "dadata"))
