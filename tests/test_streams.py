@@ -2,6 +2,7 @@
 
 import datetime
 import json
+import random
 import socket
 import threading
 import time
@@ -45,6 +46,36 @@ def test_entries_expire_by_time(spark, tmp_path):
     assert ("never", "get", True, "x") in got and ("z", "get", False, None) in got
 
 
+def test_keys_share_rows_of_state(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(cache, "BUCKETS", 3)
+    draw = random.Random(5)
+    batch = lambda b: {(f"k{draw.randrange(30)}", draw.choice(["set", "get", "get", "drop"]), at(100 * b + draw.randrange(100))): (draw.choice([None, str(draw.random())]), draw.choice([0, 120, 900, None])) for _ in range(400)}
+    parts, want, held = [batch(b) for b in range(3)], [], {}
+    for part in parts:
+        for (key, op, when), (value, ttl) in sorted(part.items(), key=lambda r: (r[0][2], ["drop", "set", "get"].index(r[0][1]))):
+            if op == "get":
+                given, until = held.get(key, (None, at(-1)))
+                want.append((key, "get", until >= when, given if until >= when else None))
+            elif op == "drop":
+                held.pop(key, None)
+            else:
+                held[key] = (value, at(10_000) if ttl == 0 else when + datetime.timedelta(seconds=ttl or 3600))
+    got = serve(spark, tmp_path, [[(key, op, *rest, when) for (key, op, when), rest in part.items()] for part in parts], "shared")
+    assert [r for r in got if r[1] == "get" and r[0] == "k1"] == [w for w in want if w[0] == "k1"]
+    assert sorted((r for r in got if r[1] == "get"), key=str) == sorted(want, key=str) and sum(r[2] for r in got) > 50
+
+
+def test_a_row_of_state_for_each_bucket(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(cache, "BUCKETS", 3)
+    rows = spark.range(200).select(F.col("id").cast("string").alias("key"), F.lit("set").alias("op"), F.col("id").cast("string").alias("value"), F.lit(0).alias("ttl_s"), F.lit(at(1)).alias("at"))
+    rows.union(rows.withColumns({"op": F.lit("get"), "at": F.lit(at(2))})).write.parquet(str(tmp_path / "rows"))
+    query = cache.serve(spark.readStream.schema(REQUESTS).parquet(str(tmp_path / "rows"))).writeStream.format("memory").queryName("by_bucket").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+    query.awaitTermination(120)
+    assert {p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress} == {3}
+    got = spark.table("by_bucket").collect()
+    assert len(got) == 200 and all(r.hit and r.value == r.key for r in got)
+
+
 def test_keys_and_lifetimes(spark):
     df = spark.range(1).select(
         cache.address_key(F.lit(" a "), "v2").alias("a"), cache.point_key(F.lit(55.1234567), F.lit(37.0)).alias("p"),
